@@ -1,0 +1,36 @@
+"""A small table that a stream replaces as a whole, once per micro-batch."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class VersionedTable:
+    """Version b + 1 is written by micro-batch b, from version b.
+
+    A micro-batch that is run again after a failure finds its input unchanged and writes the
+    same version once more. Old versions are left for the folder's retention to remove.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def before(self, batch: int) -> DataFrame:
+        if batch == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={batch}")
+
+    def put(self, batch: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/version={batch + 1}")
+
+    def latest(self) -> DataFrame:
+        """The last version, or an empty table before the first."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        try:
+            number = files.load(self.path).select(
+                F.max(F.regexp_extract("path", r"/version=(\d+)/", 1).try_cast("int"))).first()[0]
+        except AnalysisException:
+            number = None
+        return self.before(number or 0)
