@@ -47,6 +47,11 @@ def base_name(col: Column) -> Column:
     return F.substring_index(col, "/", -1)
 
 
+def unescape(col: Column) -> Column:
+    """Percent-escapes resolved once; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+
+
 def fill(template: str, **values: Column) -> Column:
     """A str.format-style template with columns as its fields."""
     parts = []
@@ -90,3 +95,17 @@ def to_exponential(col: Column, digits: int) -> Column:
 
 def repo_file_name(repo: str) -> str:
     return re.sub("/", "_", repo) + fixed.PAIR_FILE_SUFFIX
+
+
+def parse_json(col: Column) -> Column:
+    """A text as VARIANT, or null if it is not exactly one JSON value.
+
+    The parser stops after the first value, so the text is parsed inside brackets, where anything
+    after the value is an error. A stray ']' would close those; texts with one must also parse
+    inside braces.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), col, F.lit("}"))).isNotNull()
+    whole = alone & (~F.contains(col, F.lit("]")) | braced)
+    return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))

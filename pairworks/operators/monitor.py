@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import to_exponential, to_fixed
+from pairworks.functions.text import parse_json, to_exponential, to_fixed
 from pairworks.plans.running import CHUNK, long_keys, running
 
 METRICS = ("loss", "grad_norm", "learning_rate", "epoch")
@@ -20,7 +20,7 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
     """
     channel = F.coalesce("channel", F.lit("stdout")) if "channel" in lines.columns else F.lit("stdout")
     parsed = lines.withColumn("_channel", channel).withColumn(
-        "_json", F.when(F.col("_channel") == "stdout", F.try_parse_json("line")))
+        "_json", F.when(F.col("_channel") == "stdout", parse_json(F.col("line"))))
 
     def text(name: str) -> Column:
         return F.try_variant_get("_json", f"$.{name}", "string")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairworks.functions.text import py_strip
+from pairworks.functions.text import parse_json, py_strip
 from pairworks.plans.running import CHUNK, long_keys, previous
 
 Fields = dict[str, tuple[Column, Column, Column]]
@@ -35,7 +35,7 @@ def normalize_pairs(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def normalize_json(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """The same mapping for JSON objects whose fields differ from row to row."""
-    parsed = df.withColumn("_json", F.try_parse_json(column))
+    parsed = df.withColumn("_json", parse_json(F.col(column)))
     fields = {}
     for name in _MAPPED:
         value = F.try_variant_get("_json", f"$.{name}", "variant")

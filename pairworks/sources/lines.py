@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairworks.functions.text import py_strip
+from pairworks.functions.text import parse_json, py_strip, unescape
 from pairworks.plans.shared import materialise
 
 INVALID_JSON = "INVALID_JSON"
@@ -19,7 +19,7 @@ def with_line_no(spark: SparkSession, path: str | list[str]) -> DataFrame:
     before give a row its number. No line is shuffled. The split table has one row per split.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        unescape(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
@@ -51,7 +51,7 @@ def parse_pairs(
     """
     others = [c for c in lines.columns if c != "value"]
     parsed = lines.filter(py_strip(F.col("value")) != "").withColumn(
-        "_json", F.try_parse_json("value"))
+        "_json", parse_json(F.col("value")))
     is_object = F.col("_json").isNotNull() & F.schema_of_variant("_json").startswith("OBJECT")
     field = _field_reader("_json")
     if strict:
@@ -82,7 +82,7 @@ def read_pairs_jsonl(
     if numbered:
         lines = with_line_no(spark, path)
     else:
-        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        lines = spark.read.text(path).select(unescape(F.col("_metadata.file_path")).alias("file"), "value")
     return parse_pairs(lines, extra, strict)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairworks.functions.text import unescape
 
 def inspect(df: DataFrame) -> DataFrame:
     """One row: the column names, and the first row as JSON. Reads no further than that row."""
@@ -50,4 +51,4 @@ def dataset_name(file: Column) -> Column:
     """The `dataset=` folder a line was read from, or else the file's name without its suffix."""
     folder = F.regexp_extract(file, r"/dataset=([^/]+)/", 1)
     name = F.regexp_replace(F.substring_index(file, "/", -1), r"\.jsonl?$", "")
-    return F.when(folder != "", F.url_decode(folder)).otherwise(name)
+    return F.when(folder != "", unescape(folder)).otherwise(name)

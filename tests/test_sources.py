@@ -48,12 +48,12 @@ def test_pairs_and_rejects(spark, tmp_path):
 def test_round_trip_replaces_only_written_datasets(spark, tmp_path):
     path = str(tmp_path / "pairs")
     df = spark.createDataFrame(
-        [("a/1", "x\ny", "é"), ("a/1", "", "t"), ("b", "q", "r")], "dataset string, input string, target string")
+        [("a/1 +é", "x\ny", "é"), ("a/1 +é", "", "t"), ("b", "q", "r")], "dataset string, input string, target string")
     T.write_pairs_jsonl(df, path)
     T.write_pairs_jsonl(df.filter("dataset = 'b'").withColumn("target", F.lit("new")), path)
     rows, _ = L.read_pairs_jsonl(spark, f"{path}/*/*.json")
     got = rows.select(T.dataset_name(F.col("file")).alias("d"), "input", "target").collect()
-    assert {tuple(r) for r in got} == {("a/1", "x\ny", "é"), ("a/1", "", "t"), ("b", "q", "new")}
+    assert {tuple(r) for r in got} == {("a/1 +é", "x\ny", "é"), ("a/1 +é", "", "t"), ("b", "q", "new")}
 
 
 def test_gate(spark):

@@ -59,3 +59,12 @@ def test_template_fields(spark):
     filled = spark.createDataFrame([("{x}",)], "t string").select(
         X.fill(fixed.PROMPT_TEMPLATE, input=F.col("t"))).first()[0]
     assert filled == "Input: {x}\nOutput:"
+
+
+def test_json_must_be_one_whole_value(spark):
+    good = ['{"a":1}', ' {"a":[1]} ', "[1,2]", "5", "null", '"x"', '{"a":"]}"}', '{"a":1,"a":2}']
+    bad = ["", '{"a":1} x', '{"a":1}}', '{"a":1}]', '{"a":1},', '{"a":1},{"b":2}', '{"a":1}]}', "5 6",
+           '{"a":1}}]', '{"a":1}] {}', '{"a":1},0]', "{'a':1}", '{"a":NaN}', "x"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = df.select("t", X.parse_json(F.col("t")).isNotNull().alias("ok")).collect()
+    assert [r["t"] for r in got if r["ok"]] == good
