@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import base_name, safe_file_name
+from pairworks.functions.text import base_name, safe_file_name, unescape
 
 
 def list_files(spark: SparkSession, roots: str | list[str], glob: str | None = None) -> DataFrame:
@@ -52,6 +52,17 @@ def dataset_inventory(files: DataFrame, selected: str | None = None) -> DataFram
         (F.col("name") == F.lit(chosen)).alias("selected"), F.lit(None).cast("string").alias("url"))
 
 
+def folder_inventory(files: DataFrame, selected: str | None = None) -> DataFrame:
+    """The same for datasets written by `write_pairs_jsonl`: one row per `dataset=` folder."""
+    folder = unescape(F.regexp_extract("path", r"/dataset=([^/]+)/", 1))
+    return files.withColumn("name", folder).filter(F.col("name") != "").groupBy("name").agg(
+        F.sum("size").alias("size"), F.min("modified").alias("created"),
+    ).select(
+        F.lit("dataset").alias("kind"), "name", "size", "created",
+        (F.col("name") == F.lit(selected or "")).alias("selected"),
+        F.lit(None).cast("string").alias("url"))
+
+
 def artifact_inventory(files: DataFrame) -> DataFrame:
     """Model files and reports with the address they are served under."""
     wanted = F.lit(False)

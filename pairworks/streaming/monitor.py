@@ -23,10 +23,13 @@ def read_log_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA) ->
 
 
 def start_table(
-    df: DataFrame, name: str, checkpoint: str, once: bool = False, mode: str = "complete"
+    df: DataFrame, table: VersionedTable, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Keeps the result of a streaming aggregation as an in-memory table for a display."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).option(
+    """Keeps the result of a streaming aggregation in `table`."""
+    def put(batch: DataFrame, number: int) -> None:
+        table.put(number, batch)
+
+    writer = df.writeStream.outputMode("complete").foreachBatch(put).option(
         "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class VersionedTable:
@@ -14,7 +15,7 @@ class VersionedTable:
     same version once more. Old versions are left for the folder's retention to remove.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
         self.spark, self.path, self.schema = spark, path, schema
 
     def before(self, batch: int) -> DataFrame:

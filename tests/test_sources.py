@@ -53,6 +53,9 @@ def test_round_trip_replaces_only_written_datasets(spark, tmp_path):
     T.write_pairs_jsonl(df.filter("dataset = 'b'").withColumn("target", F.lit("new")), path)
     rows, _ = L.read_pairs_jsonl(spark, f"{path}/*/*.json")
     got = rows.select(T.dataset_name(F.col("file")).alias("d"), "input", "target").collect()
+    inventory = S.folder_inventory(S.list_files(spark, path), "b").collect()
+    assert {(r["name"], r["selected"]) for r in inventory} == {("a/1 +é", False), ("b", True)}
+    assert all(r["size"] > 0 for r in inventory)
     assert {tuple(r) for r in got} == {("a/1 +é", "x\ny", "é"), ("a/1 +é", "", "t"), ("b", "q", "new")}
 
 

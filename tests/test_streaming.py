@@ -31,10 +31,10 @@ def test_log_streams_equal_batches(spark, tmp_path):
     events = M.parse_log_stream(stream)
     batch = M.parse_log_stream(lines)
 
-    query = SM.start_table(M.latest_metrics(events), "latest", str(tmp_path / "c1"), once=True)
-    query.awaitTermination()
-    assert {tuple(r) for r in spark.table("latest").collect()} == {
-        tuple(r) for r in M.latest_metrics(batch).collect()}
+    want = M.latest_metrics(batch)
+    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema.simpleString()[7:-1])
+    SM.start_table(M.latest_metrics(events), latest, str(tmp_path / "c1"), once=True).awaitTermination()
+    assert {tuple(r) for r in latest.latest().collect()} == {tuple(r) for r in want.collect()}
 
     schema = "run_id string, seq bigint, kind string, text string"
     table = VersionedTable(spark, str(tmp_path / "tail"), schema)
