@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from string import Formatter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
@@ -97,15 +98,25 @@ def repo_file_name(repo: str) -> str:
     return re.sub("/", "_", repo) + fixed.PAIR_FILE_SUFFIX
 
 
-def parse_json(col: Column) -> Column:
-    """A text as VARIANT, or null if it is not exactly one JSON value.
+# No text written before this process can hold this.
+_END = uuid.uuid4().hex
 
-    The parser stops after the first value, so the text is parsed inside brackets, where anything
-    after the value is an error. A stray ']' would close those; texts with one must also parse
-    inside braces.
+
+def evaluated(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """Adds a costly column that is worked out once per row.
+
+    A plain column would be worked out again in every expression and filter it is used in.
+    """
+    return df.select("*", F.explode(F.array(col)).alias(name))
+
+
+def with_json(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Adds a text as VARIANT, or null if it is not exactly one JSON value.
+
+    The parser stops after the first value, so the text is parsed as the first item of a list
+    whose second item is known: anything after the value breaks or displaces that item.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    braced = F.try_parse_json(F.concat(F.lit('{"v":'), col, F.lit("}"))).isNotNull()
-    whole = alone & (~F.contains(col, F.lit("]")) | braced)
-    return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    whole = F.try_variant_get("_listed", "$[1]", "string") == _END
+    value = F.when(whole, F.try_variant_get("_listed", "$[0]", "variant"))
+    return evaluated(evaluated(df, "_listed", listed), name, value).drop("_listed")

@@ -47,13 +47,16 @@ def recent_models(
     """
     named = saves.filter(F.coalesce(F.col("model"), F.lit("")) != "").select("user", "seq", "model")
     uses = named.groupBy("user", "model").agg(F.min("seq").alias("first"))
-    kinds = uses.groupBy("user").agg(F.count("*").alias("_models"))
+    many = materialise(
+        uses.groupBy("user").agg(F.count("*").alias("_models")).filter(F.col("_models") > n)
+        .select("user"), "busy-users")
     newest = Window.partitionBy("user").orderBy(F.col("first").desc())
-    settled = uses.join(kinds.filter(F.col("_models") <= n), "user", "left_semi").select(
+    settled = uses.join(many, "user", "left_anti").select(
         "user", F.row_number().over(newest).alias("position"), "model")
-    replayed = _replay(
-        named.join(kinds.filter(F.col("_models") > n), "user", "left_semi"), n, chunk
-    ).select("user", F.posexplode("models").alias("position", "model"))
+    if many.isEmpty():
+        return settled
+    replayed = _replay(named.join(many, "user", "left_semi"), n, chunk).select(
+        "user", F.posexplode("models").alias("position", "model"))
     return settled.unionByName(replayed.withColumn("position", F.col("position") + 1))
 
 
@@ -67,9 +70,10 @@ def _replay(saves: DataFrame, n: int, chunk: int) -> DataFrame:
     than n it can take a round per chunk.
     """
     long = long_keys(saves, ["user"], "seq", chunk)
-    changed = previous(saves, ["user"], "seq", {"_last": "model"}, long).filter(
-        F.col("_last").isNull() | (F.col("_last") != F.col("model")))
-    rows = cut(changed, ["user"], "seq", long).select("user", "_chunk", "seq", "model")
+    chunks = cut(saves, ["user"], "seq", long)
+    rows = previous(chunks, "seq", {"_last": "model"}, long).filter(
+        F.col("_last").isNull() | (F.col("_last") != F.col("model"))
+    ).select("user", "_chunk", "seq", "model")
     if long is not None:
         rows = materialise(rows, "saves")
     key = ["user", "_chunk"]

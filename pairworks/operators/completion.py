@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import fill, parse_json, strip_fences
+from pairworks.functions.text import evaluated, fill, strip_fences, with_json
 from pairworks.plans.shared import materialise
 
 Client = Callable[[str, float, float], str]
@@ -130,9 +130,8 @@ def parse_variations(replies: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 
     All objects count, also beyond the number asked for; absent texts are null.
     """
-    parsed = replies.withColumn("_json", parse_json(strip_fences(F.col("reply"))))
-    items = F.try_variant_get("_json", "$", "array<variant>")
-    listed = parsed.withColumn("_items", items)
+    parsed = with_json(replies, "_json", strip_fences(F.col("reply")))
+    listed = evaluated(parsed, "_items", F.try_variant_get("_json", "$", "array<variant>"))
     usable = F.col("_items").isNotNull()
     rows = listed.filter(usable).select(*keys, F.posexplode("_items").alias("variation", "_item"))
     rejected = listed.filter(~usable).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import fill, parse_json, py_strip, strip_fences
+from pairworks.functions.text import fill, py_strip, strip_fences, with_json
 from pairworks.plans.ranking import at_or_before, quota_cuts, with_cuts
 from pairworks.plans.running import CHUNK
 
@@ -105,7 +105,7 @@ def parse_judgments(df: DataFrame) -> DataFrame:
 
     A failed call, or a reply without a numeric score, scores 0. Scores are not clamped.
     """
-    parsed = df.withColumn("_json", parse_json(strip_fences(F.col("reply"))))
+    parsed = with_json(df, "_json", strip_fences(F.col("reply")))
     raw = F.try_variant_get("_json", "$.score", "variant")
     numeric = F.schema_of_variant(raw).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
     score = F.when(numeric, F.try_variant_get("_json", "$.score", "double"))

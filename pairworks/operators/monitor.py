@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import parse_json, to_exponential, to_fixed
-from pairworks.plans.running import CHUNK, long_keys, running
+from pairworks.functions.text import to_exponential, to_fixed, with_json
+from pairworks.plans.running import CHUNK, cut, long_keys, running
 
 METRICS = ("loss", "grad_norm", "learning_rate", "epoch")
 
@@ -19,8 +19,9 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
     stdout JSON objects are events and all other text is 'raw'.
     """
     channel = F.coalesce("channel", F.lit("stdout")) if "channel" in lines.columns else F.lit("stdout")
-    parsed = lines.withColumn("_channel", channel).withColumn(
-        "_json", F.when(F.col("_channel") == "stdout", parse_json(F.col("line"))))
+    parsed = with_json(
+        lines.withColumn("_channel", channel), "_json",
+        F.when(F.col("_channel") == "stdout", F.col("line")))
 
     def text(name: str) -> Column:
         return F.try_variant_get("_json", f"$.{name}", "string")
@@ -95,9 +96,11 @@ def overlapping_runs(runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     `started` and `ended` are log positions; `ended` is null for a run still active. Batch only.
     """
-    open_end = F.coalesce("ended", F.lit(2**63 - 1))
+    long = long_keys(runs, [], "started", chunk)
+    known = runs.select("run_id", "started", "ended").withColumn(
+        "_end", F.coalesce("ended", F.lit(2**63 - 1)))
     earlier = running(
-        runs.withColumn("_end", open_end), [], "started", {"active_until": ("max", "_end")},
-        inclusive=False, long=long_keys(runs, [], "started", chunk))
+        cut(known, [], "started", long), "started", {"active_until": ("max", "_end")},
+        inclusive=False, long=long)
     return earlier.filter(F.col("active_until") > F.col("started")).select(
         "run_id", "started", "ended")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairworks.functions.text import parse_json, py_strip
-from pairworks.plans.running import CHUNK, long_keys, previous
+from pairworks.functions.text import py_strip, with_json
+from pairworks.plans.running import CHUNK, cut, long_keys, previous
 
 Fields = dict[str, tuple[Column, Column, Column]]
 
@@ -35,7 +35,7 @@ def normalize_pairs(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def normalize_json(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """The same mapping for JSON objects whose fields differ from row to row."""
-    parsed = df.withColumn("_json", parse_json(F.col(column)))
+    parsed = with_json(df, "_json", F.col(column))
     fields = {}
     for name in _MAPPED:
         value = F.try_variant_get("_json", f"$.{name}", "variant")
@@ -169,9 +169,8 @@ def chat_to_pairs(
 ) -> DataFrame:
     """A pair per assistant message that follows a user message."""
     long = long_keys(df, [conversation], turn, chunk)
-    turns = previous(
-        df.select(conversation, turn, "role", "text"), [conversation], turn,
-        {"_role": "role", "_text": "text"}, long)
+    messages = cut(df.select(conversation, turn, "role", "text"), [conversation], turn, long)
+    turns = previous(messages, turn, {"_role": "role", "_text": "text"}, long)
     return turns.filter((F.col("role") == "assistant") & (F.col("_role") == "user")).select(
         conversation, turn,
         F.concat(F.lit("User: "), F.col("_text"), F.lit(" \n")).alias("input"),

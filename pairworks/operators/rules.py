@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pairworks.functions.text import js_collapse
-from pairworks.plans.running import CHUNK, long_keys, running
+from pairworks.plans.running import CHUNK, cut, long_keys, running
 from pairworks.plans.shared import materialise
 
 MATCH_TYPE = "struct<type: string, case_insensitive: boolean, normalize_ws: boolean>"
@@ -67,10 +67,10 @@ def apply_rule_changes(
         "_delete": is_delete.cast("bigint"),
     })
     long = long_keys(usable, ["id"], "seq", chunk)
-    counted = running(usable, ["id"], "seq", {
+    counted = running(cut(usable, ["id"], "seq", long), "seq", {
         "_s": ("sum", "_step"), "_posts": ("sum", "_post"), "_deletes": ("sum", "_delete"),
     }, long=long)
-    lowest = running(counted, ["id"], "seq", {"_low": ("min", "_s")}, inclusive=False, long=long)
+    lowest = running(counted, "seq", {"_low": ("min", "_s")}, inclusive=False, long=long)
     low_before = F.least(F.lit(0), F.coalesce("_low", F.lit(0)))
     live_before = F.col("_s") - F.col("_step") - low_before
     gone = F.col("_deletes") + F.least(low_before, F.col("_s"))
@@ -105,7 +105,10 @@ def _as_body() -> Column:
 
 
 def _merge(changes: DataFrame) -> DataFrame:
-    """One rule per (id, slot): of every field the value of the last change that names it."""
+    """One rule per (id, slot): of every field the value of the last change that names it.
+
+    Grouped by the key struct, which the rows are partitioned by already if no id is long.
+    """
     edits = F.col("op") != "DELETE"
     post = F.col("op") == "POST"
 
@@ -114,7 +117,7 @@ def _merge(changes: DataFrame) -> DataFrame:
         return F.max_by(F.col("body")[field], F.when(named, F.col("seq"))).alias(f"_{field}")
 
     made = F.max(F.when(post, F.col("_created")))
-    merged = changes.groupBy("id", "_slot").agg(
+    merged = changes.groupBy("_g", "_slot").agg(
         F.min(F.when(post, F.col("seq"))).alias("rule_ord"),
         latest("trigger"), latest("response"), latest("enabled"), latest("match"),
         latest("createdAt", F.col("op") == "PUT"), made.alias("_made"),
@@ -123,7 +126,7 @@ def _merge(changes: DataFrame) -> DataFrame:
     )
     created = F.coalesce(F.col("_createdAt").try_cast("timestamp"), F.col("_made"))
     return merged.filter(~F.col("_deleted")).select(
-        "rule_ord", "id", F.col("_trigger").alias("trigger"),
+        "rule_ord", F.col("_g.id").alias("id"), F.col("_trigger").alias("trigger"),
         F.from_json("_match", MATCH_TYPE).alias("match"), F.col("_response").alias("response"),
         created.alias("created_at"), "updated_at",
         F.coalesce(F.col("_enabled").try_cast("boolean"), F.lit(False)).alias("enabled"))

@@ -12,6 +12,7 @@ from pairworks.plans.shared import materialise
 
 FINE_BITS = 16
 BLOCK_ROWS = 200_000
+KEYS_TO_BROADCAST = 1_000_000
 
 
 def shuffle_key(seed: int | str, row_id: str) -> Column:
@@ -52,14 +53,14 @@ def quota_cuts(
         sized.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_rows") < F.col("quota")))
         .select(*keys, "_bucket", "n", "quota",
                 (F.col("quota") - F.col("_upto") + F.col("_rows")).alias("_need")),
-        "wanted-buckets",
+        "wanted-buckets", KEYS_TO_BROADCAST,
     ).withColumn("_g", group_key(keys)).drop(*keys)
     inside = narrow.withColumn("_g", group_key(keys)).join(wanted, ["_g", "_bucket"])
     position = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
     return materialise(
         inside.withColumn("_pos", position).filter(F.col("_pos") == F.col("_need"))
         .select(*keys, "n", "quota", *[F.col(o).alias(f"cut_{o}") for o in order]),
-        "cuts",
+        "cuts", KEYS_TO_BROADCAST,
     )
 
 
@@ -89,7 +90,8 @@ def global_rank(
     bits = F.least(F.lit(FINE_BITS), F.greatest(
         F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(block_rows))))).cast("int")
     sizes = materialise(
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_bits", bits), "key-sizes"
+        df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_bits", bits), "key-sizes",
+        KEYS_TO_BROADCAST,
     ).withColumn("_g", group_key(keys)).drop(*keys)
     keyed = (
         df.withColumn("_g", group_key(keys)).join(sizes, "_g")

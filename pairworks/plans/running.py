@@ -50,18 +50,21 @@ def long_keys(
 
 
 def cut(df: DataFrame, keys: list[str], order: str, long: DataFrame | None) -> DataFrame:
-    """Adds `_g` and `_chunk`; rows of keys that are not long are in chunk 0 and have no `_width`."""
+    """Adds `_g`, `_width` and `_chunk`. A key that is not long is all chunk 0, without a width.
+
+    `long` comes from `long_keys`.
+    """
     grouped = df.withColumn("_g", group_key(keys))
     if long is None:
-        return grouped.withColumns({"_width": F.lit(None).cast("bigint"), "_chunk": F.lit(0).cast("bigint")})
+        return grouped.withColumns(
+            {"_width": F.lit(None).cast("bigint"), "_chunk": F.lit(0).cast("bigint")})
     place = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
     return grouped.join(long, "_g", "left").withColumn(
         "_chunk", F.coalesce(place, F.lit(0))).drop("_low")
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
+    chunks: DataFrame,
     order: str,
     folds: dict[str, tuple[str, str]],
     inclusive: bool = True,
@@ -69,17 +72,16 @@ def running(
 ) -> DataFrame:
     """Adds `{out: (fold, column)}`: sum, min or max over the rows up to this one in its key.
 
-    The row itself counts if `inclusive`. `long` comes from `long_keys`.
+    The row itself counts if `inclusive`. `chunks` comes from `cut` and keeps its columns, so
+    that one shuffle and sort serve any number of steps.
     """
-    end = 0 if inclusive else -1
-    before = Window.unboundedPreceding
-    chunks = cut(df, keys, order, long)
+    before, end = Window.unboundedPreceding, 0 if inclusive else -1
     within = Window.partitionBy("_g", "_chunk").orderBy(order).rowsBetween(before, end)
     local = chunks.withColumns({
         (f"_l_{out}" if long is not None else out): _FOLDS[fold](col).over(within)
         for out, (fold, col) in folds.items()})
     if long is None:
-        return local.select(*df.columns, *folds)
+        return local
 
     earlier = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(before, -1)
     totals = chunks.filter(F.col("_width").isNotNull()).groupBy("_g", "_chunk").agg(
@@ -91,27 +93,27 @@ def running(
     return local.join(carried, ["_g", "_chunk"], "left").withColumns({
         out: _COMBINE[fold](F.col(f"_l_{out}"), F.col(f"_c_{out}"))
         for out, (fold, _) in folds.items()
-    }).select(*df.columns, *folds)
+    }).select(*chunks.columns, *folds)
 
 
 def previous(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    columns: dict[str, str],
-    long: DataFrame | None = None,
+    chunks: DataFrame, order: str, columns: dict[str, str], long: DataFrame | None = None
 ) -> DataFrame:
-    """Adds `{out: column}`: the value in the row before this one in its key, else null."""
-    chunks = cut(df, keys, order, long)
+    """Adds `{out: column}`: the value in the row before this one in its key, else null.
+
+    `chunks` comes from `cut` and keeps its columns.
+    """
+    within = Window.partitionBy("_g", "_chunk").orderBy(order)
+    local = chunks.withColumns({out: F.lag(c).over(within) for out, c in columns.items()})
+    if long is None:
+        return local
     row = F.struct(*[F.col(c).alias(out) for out, c in columns.items()])
-    local = chunks.withColumn(
-        "_before", F.lag(row).over(Window.partitionBy("_g", "_chunk").orderBy(order)))
-    if long is not None:
-        last = chunks.filter(F.col("_width").isNotNull()).groupBy("_g", "_chunk").agg(
-            F.max_by(row, F.col(order)).alias("_last"))
-        carried = last.select("_g", "_chunk", F.lag("_last").over(
-            Window.partitionBy("_g").orderBy("_chunk")).alias("_carried"))
-        local = local.join(carried, ["_g", "_chunk"], "left").withColumn(
-            "_before", F.coalesce("_before", "_carried"))
-    return local.select(
-        *df.columns, *[F.col(f"_before.{out}").alias(out) for out in columns])
+    last = chunks.filter(F.col("_width").isNotNull()).groupBy("_g", "_chunk").agg(
+        F.max_by(row, F.col(order)).alias("_last"))
+    carried = last.select("_g", "_chunk", F.lag("_last").over(
+        Window.partitionBy("_g").orderBy("_chunk")).alias("_carried"))
+    first = F.lag(order).over(within).isNull()
+    return local.withColumn("_first", first).join(carried, ["_g", "_chunk"], "left").withColumns({
+        out: F.when(F.col("_first"), F.col(f"_carried.{out}")).otherwise(F.col(out))
+        for out in columns
+    }).select(*chunks.columns, *columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -29,14 +30,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pairworks/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, broadcast_rows: int = 0) -> DataFrame:
     """`df` written once as Parquet and read back.
 
     Lineage ends here, so a lost executor costs a re-read and not a re-run, and from the file
     sizes Spark knows how big the table is: it broadcasts the table in a later join if it is
     below spark.sql.autoBroadcastJoinThreshold and uses a sort-merge join if it is not.
+    Tables of a few numbers per row may be worth a broadcast beyond that threshold: with
+    `broadcast_rows` the rows are counted, and up to that many are marked for it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    if broadcast_rows and stored.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return F.broadcast(stored)
+    return stored

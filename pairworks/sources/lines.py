@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairworks.functions.text import parse_json, py_strip, unescape
+from pairworks.functions.text import py_strip, unescape, with_json
 from pairworks.plans.shared import materialise
 
 INVALID_JSON = "INVALID_JSON"
+SPLITS_TO_BROADCAST = 1_000_000
 
 
 def with_line_no(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def with_line_no(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("file_lines", F.sum("_rows").over(of_file))
         .drop("_rows"),
-        "splits",
+        "splits", SPLITS_TO_BROADCAST,
     )
     number = (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no")
     return lines.join(offsets, ["file", "_block"]).select("file", number, "file_lines", "value")
@@ -50,9 +51,9 @@ def parse_pairs(
     with their types.
     """
     others = [c for c in lines.columns if c != "value"]
-    parsed = lines.filter(py_strip(F.col("value")) != "").withColumn(
-        "_json", parse_json(F.col("value")))
-    is_object = F.col("_json").isNotNull() & F.schema_of_variant("_json").startswith("OBJECT")
+    parsed = with_json(
+        lines.filter(py_strip(F.col("value")) != ""), "_json", F.col("value"))
+    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
     field = _field_reader("_json")
     if strict:
         message = F.concat(F.lit("not a JSON object: "), F.col("value"))
@@ -65,7 +66,7 @@ def parse_pairs(
         field("target").isNull().alias("target_missing"),
         *[field(name, type_).alias(name) for name, type_ in (extra or {}).items()],
     )
-    rejects = parsed.filter(~F.coalesce(is_object, F.lit(False))).select(
+    rejects = parsed.filter(~is_object).select(
         *others, "value", F.lit(INVALID_JSON).alias("error_code"),
         F.lit("line is not a JSON object").alias("error_message"))
     return rows, rejects

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairworks.functions.text import unescape
+from pairworks.plans.running import group_key
+from pairworks.plans.shared import materialise
 
 def inspect(df: DataFrame) -> DataFrame:
     """One row: the column names, and the first row as JSON. Reads no further than that row."""
@@ -15,12 +17,18 @@ def inspect(df: DataFrame) -> DataFrame:
 
 
 def inspect_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The same per key: its first row by `order`."""
-    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    return df.groupBy(*keys).agg(F.min_by(row, F.col(order)).alias("_row")).select(
+    """The same per key: its first row by `order`, which must not repeat within a key.
+
+    Finds the position of each first row before reading whole rows.
+    """
+    firsts = materialise(df.groupBy(*keys).agg(F.min(order).alias("_first")), "first-rows").select(
+        group_key(keys).alias("_g"), "_first")
+    rows = df.withColumn("_g", group_key(keys)).join(
+        firsts, ["_g"]).filter(F.col(order) == F.col("_first"))
+    return rows.select(
         *keys,
         F.array(*[F.lit(c) for c in df.columns]).alias("schema"),
-        F.to_json(F.struct(*keys, "_row.*"), {"ignoreNullFields": "false"}).alias("sample"))
+        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("sample"))
 
 
 def write_pairs_jsonl(

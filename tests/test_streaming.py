@@ -32,7 +32,7 @@ def test_log_streams_equal_batches(spark, tmp_path):
     batch = M.parse_log_stream(lines)
 
     want = M.latest_metrics(batch)
-    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema.simpleString()[7:-1])
+    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema)
     SM.start_table(M.latest_metrics(events), latest, str(tmp_path / "c1"), once=True).awaitTermination()
     assert {tuple(r) for r in latest.latest().collect()} == {tuple(r) for r in want.collect()}
 
