@@ -102,21 +102,21 @@ def _enter(listed: list[str], model: str, n: int) -> list[str]:
 
 
 def _from_empty(n: int):
-    def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, listed = None, []
-
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"user": [current[0]], "_chunk": [current[1]], "models": [listed]})
+    columns = ["user", "_chunk", "models"]
 
+    def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, listed, done = None, [], []
         for frame in frames:
             for user, chunk, model in zip(frame["user"], frame["_chunk"], frame["model"]):
                 if (user, chunk) != current:
                     if current is not None:
-                        yield row()
+                        done.append((*current, listed))
                     current, listed = (user, chunk), []
                 listed = _enter(listed, model, n)
+            yield pd.DataFrame(done, columns=columns)
+            done = []
         if current is not None:
-            yield row()
+            yield pd.DataFrame([(*current, listed)], columns=columns)
     return lists
 
 

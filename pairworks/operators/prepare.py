@@ -64,15 +64,17 @@ class WhitespaceTokenizer:
     def __init__(self, vocabulary: int = 50_000):
         self.vocabulary = vocabulary
 
-    def words(self, text: Column) -> Column:
-        return F.filter(F.split(text, "[ \t\n\r]+"), lambda word: word != "")
+    def words(self, text: Column, limit: int) -> Column:
+        """The first `limit` words. Two pieces more, for a blank start and for all that follows."""
+        pieces = F.split(text, "[ \t\n\r]+", limit + 2)
+        return F.slice(F.filter(pieces, lambda word: word != ""), 1, limit)
 
     def number(self, word: Column) -> Column:
         value = F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint")
         return (value % F.lit(self.vocabulary - 1) + 1).cast("int")
 
     def encode(self, text: Column, limit: int) -> Column:
-        return F.transform(F.slice(self.words(text), 1, limit), self.number)
+        return F.transform(self.words(text, limit), self.number)
 
     def encode_closed(self, text: Column, limit: int) -> Column:
         closed = F.concat(self.encode(text, limit), F.array(F.lit(self.eos_id)))

@@ -74,10 +74,11 @@ def apply_rule_changes(
     low_before = F.least(F.lit(0), F.coalesce("_low", F.lit(0)))
     live_before = F.col("_s") - F.col("_step") - low_before
     gone = F.col("_deletes") + F.least(low_before, F.col("_s"))
-    slotted = lowest.withColumns({
-        "_found": is_post | (live_before > 0),
-        "_slot": F.when(is_post, F.col("_posts")).when(is_delete, gone).otherwise(gone + 1),
-    })
+    slotted = materialise(lowest.select(
+        "seq", "ts", "op", "id", "body", "_created",
+        (is_post | (live_before > 0)).alias("_found"),
+        F.when(is_post, F.col("_posts")).when(is_delete, gone).otherwise(gone + 1).alias("_slot"),
+    ), "slotted-changes")
 
     missing = slotted.filter(~F.col("_found")).select(
         "seq", "op", "id", F.lit("NOT_FOUND").alias("error_code"),
@@ -105,10 +106,7 @@ def _as_body() -> Column:
 
 
 def _merge(changes: DataFrame) -> DataFrame:
-    """One rule per (id, slot): of every field the value of the last change that names it.
-
-    Grouped by the key struct, which the rows are partitioned by already if no id is long.
-    """
+    """One rule per (id, slot): of every field the value of the last change that names it."""
     edits = F.col("op") != "DELETE"
     post = F.col("op") == "POST"
 
@@ -117,7 +115,7 @@ def _merge(changes: DataFrame) -> DataFrame:
         return F.max_by(F.col("body")[field], F.when(named, F.col("seq"))).alias(f"_{field}")
 
     made = F.max(F.when(post, F.col("_created")))
-    merged = changes.groupBy("_g", "_slot").agg(
+    merged = changes.groupBy("id", "_slot").agg(
         F.min(F.when(post, F.col("seq"))).alias("rule_ord"),
         latest("trigger"), latest("response"), latest("enabled"), latest("match"),
         latest("createdAt", F.col("op") == "PUT"), made.alias("_made"),
@@ -126,7 +124,7 @@ def _merge(changes: DataFrame) -> DataFrame:
     )
     created = F.coalesce(F.col("_createdAt").try_cast("timestamp"), F.col("_made"))
     return merged.filter(~F.col("_deleted")).select(
-        "rule_ord", F.col("_g.id").alias("id"), F.col("_trigger").alias("trigger"),
+        "rule_ord", "id", F.col("_trigger").alias("trigger"),
         F.from_json("_match", MATCH_TYPE).alias("match"), F.col("_response").alias("response"),
         created.alias("created_at"), "updated_at",
         F.coalesce(F.col("_enabled").try_cast("boolean"), F.lit(False)).alias("enabled"))

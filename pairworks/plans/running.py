@@ -41,12 +41,9 @@ def long_keys(
     pieces = F.ceil(F.col("_n") / F.lit(chunk))
     sizes = df.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
-    found = materialise(
-        sizes.filter(F.col("_n") > chunk).select(
-            group_key(keys).alias("_g"), "_low",
-            F.ceil(span / pieces).cast("bigint").alias("_width")),
-        "long-keys")
-    return None if found.isEmpty() else found
+    found = sizes.filter(F.col("_n") > chunk).select(
+        group_key(keys).alias("_g"), "_low", F.ceil(span / pieces).cast("bigint").alias("_width"))
+    return None if found.isEmpty() else materialise(found, "long-keys")
 
 
 def cut(df: DataFrame, keys: list[str], order: str, long: DataFrame | None) -> DataFrame:

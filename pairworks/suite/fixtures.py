@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from pairworks.operators.rules import RULE_SCHEMA
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; with `spread`, one read in fewer pieces than there are cores is dealt out again.
 
+    That pays for costly work per row on small files and never happens to large tables.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
-def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+
+def pairs(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    return table(spark, folder, "documents", spread).select(
         F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"),
         F.col("lang").alias("input"), F.col("text").alias("target"))
 
@@ -35,7 +41,7 @@ def instructions(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed_json(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON object per document; its fields depend on the language."""
-    return table(spark, folder, "documents").selectExpr("doc_id", """
+    return table(spark, folder, "documents", spread=True).selectExpr("doc_id", """
         CASE lang
           WHEN 'de' THEN to_json(named_struct('instruction', source, 'input', lang, 'output', text))
           WHEN 'fr' THEN to_json(named_struct('act', source, 'prompt', text))

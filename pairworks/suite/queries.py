@@ -256,7 +256,7 @@ def _token_stats(tokens: DataFrame) -> DataFrame:
 
 @query
 def token_mask_stats(spark, folder):
-    return _token_stats(prepare.tokenize_and_mask(fx.pairs(spark, folder), max_len=256))
+    return _token_stats(prepare.tokenize_and_mask(fx.pairs(spark, folder, spread=True), max_len=256))
 
 
 @query
@@ -265,12 +265,12 @@ def loaded_tokenizer_stats(spark, folder):
         return lambda texts: [list(text.encode()) for text in texts]
 
     return _token_stats(prepare.tokenize_and_mask(
-        fx.pairs(spark, folder), prepare.LoadedTokenizer(load, "\x00", 0), max_len=4096))
+        fx.pairs(spark, folder, spread=True), prepare.LoadedTokenizer(load, "\x00", 0), max_len=4096))
 
 
 @query
 def batch_padding(spark, folder):
-    tokens = prepare.tokenize_and_mask(fx.pairs(spark, folder), max_len=256)
+    tokens = prepare.tokenize_and_mask(fx.pairs(spark, folder, spread=True), max_len=256)
     batches = prepare.make_batches(tokens, 4, pad_id=0)
 
     def cells(column: str, wanted=None):
@@ -321,7 +321,8 @@ def rule_fold_rejects(spark, folder):
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("input"))
+    return fx.table(spark, folder, "conversations", spread=True).select(
+        "conv_id", "turn", F.col("text").alias("input"))
 
 
 @query
@@ -359,7 +360,7 @@ def variation_prompts(spark, folder):
 
 @query
 def variation_rows(spark, folder):
-    replies = fx.table(spark, folder, "documents").selectExpr("doc_id", """
+    replies = fx.table(spark, folder, "documents", spread=True).selectExpr("doc_id", """
         CASE WHEN lang = 'es' THEN 'I cannot do that'
              ELSE concat('```json\\n[', to_json(struct(source AS input, text AS target)),
                          ', {"input": "', lang, '"}]\\n```') END AS reply""")
@@ -447,8 +448,8 @@ def judge_report(spark, folder):
 # --- monitoring -------------------------------------------------------------------------------
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.table(spark, folder, "events")
+def _events(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    return fx.table(spark, folder, "events", spread)
 
 
 def _log(events: DataFrame) -> DataFrame:
@@ -461,22 +462,22 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def parse_logs(spark, folder):
-    return _rounded(_log(_events(spark, folder)))
+    return _rounded(_log(_events(spark, folder, spread=True)))
 
 
 @query
 def latest_metrics(spark, folder):
-    return _rounded(monitor.latest_metrics(_log(_events(spark, folder))))
+    return _rounded(monitor.latest_metrics(_log(_events(spark, folder, spread=True))))
 
 
 @query
 def metric_cards(spark, folder):
-    return monitor.metric_cards(monitor.latest_metrics(_log(_events(spark, folder))))
+    return monitor.metric_cards(monitor.latest_metrics(_log(_events(spark, folder, spread=True))))
 
 
 @query
 def recent_logs(spark, folder):
-    return monitor.recent_logs(_log(_events(spark, folder))).select("run_id", "seq", "kind", "text")
+    return monitor.recent_logs(_log(_events(spark, folder, spread=True))).select("run_id", "seq", "kind", "text")
 
 
 @query
