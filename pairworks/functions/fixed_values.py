@@ -41,6 +41,9 @@ DEFAULT_EVALUATE_LIMIT, DEFAULT_JUDGE_LIMIT = 1.0, 0.2
 MIN_SHARPNESS, MAX_SHARPNESS, DEFAULT_SHARPNESS = 0, 100, 50
 MAX_VARIATIONS = 50
 
+# Files to evaluate on, best first.
+TEST_SETS = ("val.jsonl", "dataset.jsonl")
+
 # Judge: sharpness below 30 is lenient, above 70 strict, otherwise balanced.
 LENIENT_BELOW, STRICT_ABOVE = 30, 70
 LENIENT = (

@@ -85,7 +85,16 @@ def parse_float(col: Column) -> Column:
 
 
 def to_fixed(col: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", col.cast("double"))
+    """A number with `digits` decimals, rounded from its exact binary value as JavaScript does.
+
+    format_number rounds that value, but an exact half to even instead of up. A double lies
+    exactly halfway if it is an odd multiple of 2 ** -(digits + 1).
+    """
+    number = col.cast("double")
+    scaled = F.abs(number) * F.lit(float(2 ** (digits + 1)))
+    halfway = (scaled % 2) == 1
+    exact = F.replace(F.format_number(number, digits), F.lit(","), F.lit(""))
+    return F.when(halfway, F.format_string(f"%.{digits}f", number)).otherwise(exact)
 
 
 def to_exponential(col: Column, digits: int) -> Column:
@@ -94,6 +103,17 @@ def to_exponential(col: Column, digits: int) -> Column:
     return F.regexp_replace(padded, r"e([+-])0(\d)$", "e$1$2")
 
 
+def generated_file_name(made: Column) -> Column:
+    """The file of a set of variations, by the time they were made (UTC)."""
+    stamp = F.date_format(made, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
+    return F.concat(F.lit("generated_"), stamp, F.lit(fixed.PAIR_FILE_SUFFIX))
+
+
+def report_file_name(model: Column, quantization: Column, kind: str) -> Column:
+    """`kind` is report or judge."""
+    return F.concat(model, F.lit("-"), quantization, F.lit(f"-{kind}.json"))
+
+
 def repo_file_name(repo: str) -> str:
     return re.sub("/", "_", repo) + fixed.PAIR_FILE_SUFFIX
 

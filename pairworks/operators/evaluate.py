@@ -18,6 +18,14 @@ def _share(n: Column, limit: Column) -> Column:
     return F.when((limit > 0) & (limit < 1), part).otherwise(n).cast("bigint")
 
 
+def choose_test_set(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The file to evaluate on, per key: val.jsonl if it is there, or else dataset.jsonl."""
+    wanted = files.filter(F.col("name").isin(*fixed.TEST_SETS))
+    return wanted.groupBy(*keys).agg(
+        F.max_by("path", F.col("name") == fixed.TEST_SETS[0]).alias("path")
+    ).filter(F.col("path").isNotNull())
+
+
 def head_lines(lines: DataFrame, limit: float) -> DataFrame:
     """The first share of every file's raw lines, for the output of `with_line_no`.
 

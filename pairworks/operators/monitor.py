@@ -45,6 +45,44 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
         F.when(text("loss").isNull(), shown.otherwise(F.col("line"))).alias("text"))
 
 
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """(run_id, seq, type and the fields of all types) of (run_id, seq, message).
+
+    A message is a JSON object {type, payload}; the type is status, train-log or file-size, and
+    fields of the other types are null. Other texts are dropped. The result serves the functions
+    below: metrics and `kind` as from `parse_log_stream`, status, and file sizes.
+    """
+    parsed = with_json(messages, "_json", F.col("message"))
+
+    def field(name: str, type_: str) -> Column:
+        return F.try_variant_get("_json", f"$.payload.{name}", type_)
+
+    words = ("message", "stderr", "error", "raw")
+    return parsed.withColumn("type", F.try_variant_get("_json", "$.type", "string")).filter(
+        F.col("type").isin("status", "train-log", "file-size")
+    ).select(
+        "run_id", "seq", "type",
+        *[field(m, "double").alias(m) for m in METRICS], field("step", "bigint").alias("step"),
+        F.coalesce(*[field(w, "string") for w in words]).alias("text"),
+        field("running", "boolean").alias("running"), field("pid", "int").alias("pid"),
+        field("code", "int").alias("code"), field("killed", "boolean").alias("killed"),
+        field("file", "string").alias("file"), field("size", "bigint").alias("size"),
+        F.timestamp_millis(field("timestamp", "bigint")).alias("ts"))
+
+
+def log_messages(messages: DataFrame) -> DataFrame:
+    """What a log display shows: everything but file sizes."""
+    return messages.filter(F.col("type") != "file-size")
+
+
+def status_messages(messages: DataFrame) -> DataFrame:
+    return messages.filter((F.col("type") == "status") & F.col("running").isNotNull())
+
+
+def size_messages(messages: DataFrame) -> DataFrame:
+    return messages.filter(F.col("type") == "file-size")
+
+
 def latest_metrics(events: DataFrame) -> DataFrame:
     """The last metrics of every run; a loss of 0, or none, does not count."""
     loss = F.col("loss")

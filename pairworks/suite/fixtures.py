@@ -108,6 +108,19 @@ def log_lines(events: DataFrame) -> DataFrame:
         "CASE WHEN value > 200 THEN 'stderr' ELSE 'stdout' END AS channel")
 
 
+def messages(events: DataFrame) -> DataFrame:
+    """Events as messages of the three types; errors become texts that are no message."""
+    return events.selectExpr(
+        "user_id AS run_id", "event_id AS seq",
+        """CASE event_type
+             WHEN 'signup' THEN concat('{"type": "status", "payload": {"running": true, "pid": ', event_id, '}}')
+             WHEN 'purchase' THEN concat('{"type": "status", "payload": {"running": false, "code": ', event_id % 3, '}}')
+             WHEN 'click' THEN concat('{"type": "train-log", "payload": {"loss": ', value, ', "step": ', event_id, '}}')
+             WHEN 'view' THEN concat('{"type": "file-size", "payload": {"file": "', user_id, '.gguf", "size": ',
+                                     event_id * 1000, ', "timestamp": ', 1700000000000 + event_id, '}}')
+             ELSE concat('{"type": "train-log", "payload": ', event_id) END AS message""")
+
+
 def status_events(events: DataFrame) -> DataFrame:
     return events.filter("event_type IN ('signup', 'error', 'purchase')").selectExpr(
         "user_id AS run_id", "event_id AS seq", "event_type = 'signup' AS running",

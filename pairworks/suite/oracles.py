@@ -360,6 +360,24 @@ ORACLES["run_status"] = """
            bool_or(event_type = 'purchase' AND value > 100) AS killed
     FROM events WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY user_id"""
 ORACLES["stream_run_status"] = ORACLES["run_status"]
+ORACLES["message_log"] = """
+    SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'train-log' ELSE 'status' END AS type,
+           CASE event_type WHEN 'click' THEN round(value, 9) END AS loss,
+           CASE event_type WHEN 'click' THEN event_id END AS step,
+           CASE event_type WHEN 'signup' THEN true WHEN 'purchase' THEN false END AS running,
+           CASE event_type WHEN 'signup' THEN event_id::INTEGER END AS pid,
+           CASE event_type WHEN 'purchase' THEN (event_id % 3)::INTEGER END AS code
+    FROM events WHERE event_type IN ('signup', 'purchase', 'click')"""
+ORACLES["message_state"] = """
+    SELECT * FROM (
+      SELECT user_id AS run_id, arg_max(event_type, event_id) = 'signup' AS running,
+             arg_max_null(CASE WHEN event_type = 'signup' THEN event_id::INTEGER END, event_id) AS pid,
+             arg_max_null(CASE WHEN event_type = 'purchase' THEN (event_id % 3)::INTEGER END, event_id) AS code
+      FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)
+    FULL JOIN (SELECT user_id AS run_id, round(arg_max(value, event_id), 9) AS loss, max(event_id) AS step
+               FROM events WHERE event_type = 'click' AND value <> 0 GROUP BY 1) USING (run_id)
+    FULL JOIN (SELECT user_id AS run_id, max(event_id) * 1000 AS size
+               FROM events WHERE event_type = 'view' GROUP BY 1) USING (run_id)"""
 ORACLES["overlapping_runs"] = """
     SELECT run_id, started, ended FROM (
       SELECT *, max(coalesce(ended, 9223372036854775807)) OVER (

@@ -490,6 +490,24 @@ def run_status(spark, folder):
     return monitor.run_status(fx.status_events(_events(spark, folder)))
 
 
+@query
+def message_log(spark, folder):
+    parsed = monitor.parse_messages(fx.messages(_events(spark, folder, spread=True)))
+    return monitor.log_messages(parsed).select(
+        "run_id", "seq", "type", F.round("loss", 9).alias("loss"), "step", "running", "pid", "code")
+
+
+@query
+def message_state(spark, folder):
+    """Per run: its last status, metrics and file size, all from one log of messages."""
+    parsed = monitor.parse_messages(fx.messages(_events(spark, folder, spread=True)))
+    status = monitor.run_status(monitor.status_messages(parsed)).select("run_id", "running", "pid", "code")
+    metrics = monitor.latest_metrics(parsed).select("run_id", F.round("loss", 9).alias("loss"), "step")
+    sizes = monitor.latest_file_sizes(monitor.size_messages(parsed)).select(
+        F.substring_index("file", ".", 1).cast("bigint").alias("run_id"), "size")
+    return status.join(metrics, "run_id", "full").join(sizes, "run_id", "full")
+
+
 @query
 def overlapping_runs(spark, folder):
     runs = _events(spark, folder).filter("event_type = 'signup'").selectExpr(

@@ -91,3 +91,13 @@ def test_judgments_and_report(spark):
     report = E.judge_report(judged, accuracy).first()
     assert report["average_score"] == pytest.approx(27.5 / 8) and report["static_accuracy"] == 0.25
     assert report["sharpness"] == 50
+
+
+def test_choice_of_test_set(spark):
+    files = spark.createDataFrame(
+        [("a", "a/val.jsonl", "val.jsonl"), ("a", "a/dataset.jsonl", "dataset.jsonl"),
+         ("b", "b/dataset.jsonl", "dataset.jsonl"), ("c", "c/x.jsonl", "x.jsonl")],
+        "folder string, path string, name string")
+    got = {tuple(r) for r in E.choose_test_set(files, ("folder",)).collect()}
+    assert got == {("a", "a/val.jsonl"), ("b", "b/dataset.jsonl")}
+    assert E.choose_test_set(files.filter("folder = 'c'")).count() == 0

@@ -1,3 +1,7 @@
+import random
+from datetime import datetime, timezone
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,11 +46,31 @@ def test_number_prefixes(spark, value, whole, real):
     assert one(spark, X.parse_float, value) == real
 
 
-def test_number_formats(spark):
+def test_exponents(spark):
     df = spark.createDataFrame([(0.00005,), (123456.0,), (1.5e-12,)], "t double")
     assert [r[0] for r in df.select(X.to_exponential(F.col("t"), 2)).collect()] == [
         "5.00e-5", "1.23e+5", "1.50e-12"]
-    assert df.select(X.to_fixed(F.col("t"), 4)).first()[0] in ("0.0000", "0.0001")
+
+
+def test_fixed_decimals_round_the_exact_value(spark):
+    rng = random.Random(2)
+    values = [0.125, 0.375, -0.625, 1.005, 1.115, 2.5, 8.345, 0.0, 1234567.891, -0.004, 1e-9]
+    values += [rng.randint(-10**6, 10**6) / 2 ** rng.randint(0, 12) for _ in range(200)]
+    values += [round(rng.uniform(-100, 100), 3) for _ in range(300)]
+    for digits in (2, 4):
+        got = spark.createDataFrame([(v,) for v in values], "t double").select(
+            "t", X.to_fixed(F.col("t"), digits).alias("s")).collect()
+        for r in got:
+            want = Decimal(r["t"]).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)
+            assert Decimal(r["s"]) == want and len(r["s"].split(".")[1]) == digits
+
+
+def test_file_names(spark):
+    made = datetime(2024, 5, 6, 7, 8, 9, 123000, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(made, "tuned", "f16")], "made timestamp, model string, quantization string")
+    assert tuple(df.select(
+        X.generated_file_name(F.col("made")), X.report_file_name(F.col("model"), F.col("quantization"), "judge"),
+    ).first()) == ("generated_2024-05-06T07-08-09-123Z.jsonl", "tuned-f16-judge.json")
 
 
 def test_digest_frames_texts(spark):
