@@ -32,16 +32,21 @@ def read_completion(status: int, body: str) -> str:
 
 
 class HttpChat:
-    """Client factory for an OpenAI-style chat endpoint; called once per partition."""
+    """Client factory for an OpenAI-style chat endpoint; called once per partition.
 
-    def __init__(self, base_url: str):
+    Further settings go into every request; predictions to be scored want
+    max_tokens=MAX_NEW_TOKENS and stop=STOP_SEQUENCES.
+    """
+
+    def __init__(self, base_url: str, **settings):
         self.url = f"{base_url.rstrip('/')}/v1/chat/completions"
+        self.settings = settings
 
     def __call__(self) -> Client:
         def call(prompt: str, temperature: float, timeout: float) -> str:
             body = json.dumps({
                 "messages": [{"role": "user", "content": prompt}],
-                "temperature": temperature, "stream": False,
+                "temperature": temperature, "stream": False, **self.settings,
             }).encode()
             request = urllib.request.Request(
                 self.url, body, {"Content-Type": "application/json"})

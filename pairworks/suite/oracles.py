@@ -321,6 +321,21 @@ ORACLES["judge_report"] = f"""
     FROM (SELECT model, quantization, sharpness, avg(score) AS average_score FROM ({JUDGED}) GROUP BY ALL)
     JOIN ({ACCURACY}) USING (model, quantization)"""
 
+ORACLES["import_job"] = f"""
+    SELECT 'demo/instruct' AS repo, 'demo_instruct.jsonl' AS filename, count(*) FILTER (ok) AS count,
+           count(*) FILTER (NOT ok) AS skipped, count(*) FILTER (ok) AS written,
+           sum(length({_strip('text')})) FILTER (ok)::BIGINT AS target_chars
+    FROM (SELECT *, lang <> 'fr' AND {_strip('text')} <> '' AS ok FROM documents)
+    UNION ALL
+    SELECT 'demo/persona', 'demo_persona.jsonl', count(*) FILTER (ok), count(*) FILTER (NOT ok), count(*) FILTER (ok),
+           sum(length({_strip('text')})) FILTER (ok)::BIGINT
+    FROM (SELECT *, {_strip('text')} <> '' AS ok FROM documents)"""
+ORACLES["judge_job"] = """
+    SELECT 'demo' AS model, 'f16' AS quantization, 80 AS sharpness, 1.0::DOUBLE AS "limit",
+           round(avg(CASE WHEN lang = 'de' THEN 9.0::DOUBLE ELSE 0 END), 6) AS average_score,
+           round(avg(CASE WHEN source < 'src2' OR text = lang THEN 1.0::DOUBLE ELSE 0 END), 6) AS static_accuracy
+    FROM documents"""
+
 # --- monitoring -------------------------------------------------------------------------------
 
 LOG = """

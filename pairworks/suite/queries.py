@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairworks.functions.text import sanitize_for_log, strip_fences
 from pairworks.operators import (
-    catalog, clean, completion, evaluate, monitor, normalize, prepare, requests, rules,
+    catalog, clean, completion, evaluate, jobs, monitor, normalize, prepare, requests, rules,
 )
 from pairworks.plans.shared import materialise, new_path
 from pairworks.sources import files, lines, tables
@@ -445,6 +445,43 @@ def judge_report(spark, folder):
         F.round("static_accuracy", 6).alias("static_accuracy"))
 
 
+@query
+def import_job(spark, folder):
+    """What an import counts next to what it writes, per shape of the source."""
+    path = new_path(spark, "imports")
+    sources = {
+        "demo/instruct": fx.instructions(spark, folder),
+        "demo/persona": fx.table(spark, folder, "documents").selectExpr("source AS act", "text AS prompt"),
+    }
+    told = [(repo, *jobs.import_dataset(raw, repo, path).values()) for repo, raw in sources.items()]
+    counts = spark.createDataFrame(told, "repo string, filename string, count bigint, skipped bigint")
+    rows, _ = lines.read_pairs_jsonl(spark, f"{path}/*/*.json")
+    written = rows.groupBy(F.element_at(F.split("file", "/"), -2).alias("filename")).agg(
+        F.count("*").alias("written"), F.sum(F.length("target")).alias("target_chars"))
+    return counts.join(written, "filename")
+
+
+@query
+def judge_job(spark, folder):
+    """Evaluation and judging of a stub model over the documents, written as test sets."""
+    def model():
+        return lambda prompt, temperature, timeout: prompt[len("Input: "):].split("\n")[0] + "\nInput: x"
+
+    def judge():
+        return lambda prompt, temperature, timeout: (
+            '{"score": 9, "reason": "same"}' if 'Output: "de"' in prompt else "hm")
+
+    path = new_path(spark, "test-sets")
+    tests = fx.table(spark, folder, "documents").selectExpr(
+        "source AS dataset", "lang AS input", "CASE WHEN source < 'src2' THEN lang ELSE text END AS target")
+    tables.write_pairs_jsonl(tests, path)
+    numbered = lines.with_line_no(spark, f"{path}/*/*.json")
+    report, samples = jobs.evaluate_model(numbered, "demo", "f16", model)
+    return jobs.judge_model(samples, report, judge, limit=1.0, sharpness=80)[0].select(
+        "model", "quantization", "sharpness", "limit", F.round("average_score", 6).alias("average_score"),
+        F.round("static_accuracy", 6).alias("static_accuracy"))
+
+
 # --- monitoring -------------------------------------------------------------------------------
 
 

@@ -54,9 +54,9 @@ def test_http_request(monkeypatch):
         return Reply(b'{"choices": [{"message": {"content": "hi"}}]}')
 
     monkeypatch.setattr(C.urllib.request, "urlopen", urlopen)
-    assert C.HttpChat("http://model:1/")()("p", 0.8, 5) == "hi"
+    assert C.HttpChat("http://model:1/", max_tokens=64)()("p", 0.8, 5) == "hi"
     assert sent == {"url": "http://model:1/v1/chat/completions", "timeout": 5, "temperature": 0.8,
-                    "stream": False, "messages": [{"role": "user", "content": "p"}]}
+                    "stream": False, "max_tokens": 64, "messages": [{"role": "user", "content": "p"}]}
 
 
 def test_variations(spark):
