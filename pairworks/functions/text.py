@@ -105,7 +105,8 @@ def to_exponential(col: Column, digits: int) -> Column:
 
 def generated_file_name(made: Column) -> Column:
     """The file of a set of variations, by the time they were made (UTC)."""
-    stamp = F.date_format(made, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
+    utc = F.to_utc_timestamp(made, F.current_timezone())
+    stamp = F.date_format(utc, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
     return F.concat(F.lit("generated_"), stamp, F.lit(fixed.PAIR_FILE_SUFFIX))
 
 

@@ -20,6 +20,10 @@ RULE_SCHEMA = (
     "enabled boolean"
 )
 CHANGE_SCHEMA = "seq bigint, ts timestamp, op string, id string, body map<string,string>"
+_MATCH_JSON = (
+    "type string, case_insensitive boolean, normalize_ws boolean, "
+    "caseInsensitive boolean, normalizeWhitespace boolean"
+)
 REGEXES_PER_PASS = 500
 _COMBINATIONS = [(ws, ci) for ws in (False, True) for ci in (False, True)]
 
@@ -31,6 +35,29 @@ def build_rule_dataset(rules: DataFrame) -> DataFrame:
         "rule_ord", F.col("trigger").alias("input"), F.col("response").alias("target"))
 
 
+def match_struct(match: Column) -> Column:
+    """The match settings from JSON with the flags in either spelling."""
+    return F.when(match.isNotNull(), F.struct(
+        match["type"].alias("type"),
+        F.coalesce(match["case_insensitive"], match["caseInsensitive"]).alias("case_insensitive"),
+        F.coalesce(match["normalize_ws"], match["normalizeWhitespace"]).alias("normalize_ws")))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from a rule-set document {version, pairs: [...]}; their order is that of the list."""
+    pair = (
+        f"struct<id: string, trigger: string, match: struct<{_MATCH_JSON}>, response: string, "
+        "createdAt: string, updatedAt: string, enabled: boolean>"
+    )
+    listed = spark.read.schema(f"version string, pairs array<{pair}>").json(path, multiLine=True)
+    return listed.select(F.posexplode("pairs").alias("rule_ord", "_pair")).select(
+        F.col("rule_ord").cast("bigint").alias("rule_ord"), "_pair.id", "_pair.trigger",
+        match_struct(F.col("_pair.match")).alias("match"), "_pair.response",
+        F.col("_pair.createdAt").try_cast("timestamp").alias("created_at"),
+        F.col("_pair.updatedAt").try_cast("timestamp").alias("updated_at"),
+        F.coalesce("_pair.enabled", F.lit(False)).alias("enabled"))
+
+
 # --- change log -------------------------------------------------------------------------------
 
 
@@ -122,10 +149,11 @@ def _merge(changes: DataFrame) -> DataFrame:
         F.max_by("ts", F.when(edits, F.col("seq"))).alias("updated_at"),
         F.bool_or(F.col("op") == "DELETE").alias("_deleted"),
     )
+    match = F.from_json("_match", _MATCH_JSON)
     created = F.coalesce(F.col("_createdAt").try_cast("timestamp"), F.col("_made"))
     return merged.filter(~F.col("_deleted")).select(
         "rule_ord", "id", F.col("_trigger").alias("trigger"),
-        F.from_json("_match", MATCH_TYPE).alias("match"), F.col("_response").alias("response"),
+        match_struct(match).alias("match"), F.col("_response").alias("response"),
         created.alias("created_at"), "updated_at",
         F.coalesce(F.col("_enabled").try_cast("boolean"), F.lit(False)).alias("enabled"))
 

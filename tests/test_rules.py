@@ -210,3 +210,24 @@ def test_patterns_are_checked_in_halves(spark):
     patterns = ["a", "(", "b+", "[z", "c"]
     assert R.valid_patterns(spark, patterns) == [True, False, True, False, True]
     assert R.valid_patterns(spark, []) == []
+
+
+def test_rule_set_document_and_both_flag_spellings(spark, tmp_path):
+    document = {"version": "1.0", "pairs": [
+        {"id": "b", "trigger": "T", "match": {"type": "exact", "caseInsensitive": True}, "response": "r",
+         "createdAt": "2024-01-01T00:00:00.000Z", "updatedAt": "2024-01-02T00:00:00.000Z", "enabled": True},
+        {"id": "a", "trigger": "u", "match": {"type": "regex", "normalizeWhitespace": True}, "response": "s"},
+    ]}
+    (tmp_path / "rules.json").write_text(json.dumps(document, indent=2))
+    rules = R.read_rules(spark, str(tmp_path / "rules.json"))
+    got = {r["rule_ord"]: r for r in rules.collect()}
+    assert tuple(got[0]["match"]) == ("exact", True, None) and got[0]["created_at"] == T0
+    assert tuple(got[1]["match"]) == ("regex", None, True) and not got[1]["enabled"]
+    log = spark.createDataFrame([
+        (5, T0, "PUT", "a", {"match": '{"type": "exact", "caseInsensitive": true}', "enabled": "true"})],
+        R.CHANGE_SCHEMA)
+    after, _ = R.apply_rule_changes(rules, log)
+    assert rule_rows(after) == {
+        (0, "b", "T", "r", True, "exact", T0, datetime(2024, 1, 2)), (1, "a", "u", "s", True, "exact", None, T0)}
+    found, _ = R.resolve(spark.createDataFrame([("t",), ("U",)], "input string"), after)
+    assert {(r["input"], r["matched_ord"]) for r in found.collect()} == {("t", 0), ("U", 1)}
