@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +79,7 @@ def _replay(saves: DataFrame, n: int, chunk: int) -> DataFrame:
     key = ["user", "_chunk"]
     first = rows.repartition(*key).sortWithinPartitions(*key, "seq")
     columns = f"user {saves.schema['user'].dataType.simpleString()}, _chunk bigint, models array<string>"
-    ends = first.mapInPandas(_from_empty(n), columns)
+    ends = first.mapInArrow(_from_empty(n), columns)
     if long is None:
         return ends.select("user", "models")
 
@@ -93,7 +93,7 @@ def _replay(saves: DataFrame, n: int, chunk: int) -> DataFrame:
         if stale.isEmpty():
             return ends.groupBy("user").agg(F.max_by("models", "_chunk").alias("models"))
         again = rows.join(stale, key, "left_semi").groupBy(*key).cogroup(
-            stale.groupBy(*key)).applyInPandas(_from_start(n), f"{columns}, start array<string>")
+            stale.groupBy(*key)).applyInArrow(_from_start(n), f"{columns}, start array<string>")
         ends = materialise(ends.join(stale, key, "left_anti").unionByName(again), "lists")
 
 
@@ -101,32 +101,40 @@ def _enter(listed: list[str], model: str, n: int) -> list[str]:
     return listed if model in listed else [model, *listed][:n]
 
 
+def _lists(done: list[tuple], columns: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(columns, row)) for row in done], schema)
+
+
 def _from_empty(n: int):
     columns = ["user", "_chunk", "models"]
 
-    def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, listed, done = None, [], []
-        for frame in frames:
-            for user, chunk, model in zip(frame["user"], frame["_chunk"], frame["model"]):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, listed, done, schema = None, [], [], None
+        for batch in batches:
+            schema = pa.schema([
+                batch.schema.field("user"), batch.schema.field("_chunk"), ("models", pa.list_(pa.string()))])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("user", "_chunk", "model")))
+            for user, chunk, model in rows:
                 if (user, chunk) != current:
                     if current is not None:
                         done.append((*current, listed))
                     current, listed = (user, chunk), []
                 listed = _enter(listed, model, n)
-            yield pd.DataFrame(done, columns=columns)
+            yield _lists(done, columns, schema)
             done = []
         if current is not None:
-            yield pd.DataFrame([(*current, listed)], columns=columns)
+            yield _lists([(*current, listed)], columns, schema)
     return lists
 
 
 def _from_start(n: int):
-    def lists(saves: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        start = list(starts["wanted"].iloc[0])
+    def lists(saves: pa.Table, starts: pa.Table) -> pa.Table:
+        start = starts.column("wanted")[0].as_py()
         listed = start
-        for model in saves.sort_values("seq")["model"]:
+        for model in saves.sort_by("seq").column("model").to_pylist():
             listed = _enter(listed, model, n)
-        return pd.DataFrame({
-            "user": [starts["user"].iloc[0]], "_chunk": [starts["_chunk"].iloc[0]],
-            "models": [listed], "start": [start]})
+        names = pa.list_(pa.string())
+        return pa.table({
+            "user": starts.column("user").slice(0, 1), "_chunk": starts.column("_chunk").slice(0, 1),
+            "models": pa.array([listed], names), "start": pa.array([start], names)})
     return lists

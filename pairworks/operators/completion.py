@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,18 +62,19 @@ def complete(
     client_factory: Callable[[], Client],
     temperature: float = 0.0,
     timeout: float = fixed.COMPLETION_TIMEOUT_SECONDS,
-    concurrency: int | None = None,
+    partitions: int | None = None,
+    calls_per_task: int = 1,
 ) -> DataFrame:
     """Adds `reply` and `error` by one call per row; a failed call fails only its row.
 
-    `concurrency` bounds the number of partitions and so of calls at a time. The frame is lazy
-    and models do not repeat themselves: store the result before using it twice, see
-    `complete_once`.
+    `partitions` and `calls_per_task` bound the calls at a time; a client must be thread-safe if
+    a task makes several. The frame is lazy and models do not repeat themselves: store the
+    result before using it twice, see `complete_once`.
     """
     schema = T.StructType([
         *df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
-    def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
 
         def one(text: str) -> tuple[str | None, str | None]:
@@ -81,13 +83,16 @@ def complete(
             except Exception as error:  # noqa: BLE001  a failed call must not end the job
                 return None, f"{type(error).__name__}: {error}"
 
-        for frame in frames:
-            answers = [one(text) for text in frame[prompt]]
-            yield frame.assign(
-                reply=[reply for reply, _ in answers], error=[error for _, error in answers])
+        with ThreadPoolExecutor(calls_per_task) as pool:
+            for batch in batches:
+                answers = list(pool.map(one, batch.column(prompt).to_pylist()))
+                replies, errors = zip(*answers) if answers else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())],
+                    names=[*batch.schema.names, "reply", "error"])
 
-    spread = df.repartition(concurrency) if concurrency else df
-    return spread.mapInPandas(calls, schema)
+    spread = df.repartition(partitions) if partitions else df
+    return spread.mapInArrow(calls, schema)
 
 
 def complete_once(

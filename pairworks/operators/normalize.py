@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,13 +155,15 @@ def transform_rows(
         except Exception as error:  # noqa: BLE001  a bad row must not end the job
             return None, None, f"{type(error).__name__}: {error}"
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [one(row) for row in frame.to_dict("records")]
-            pairs = pd.DataFrame(made, columns=["input", "target", "error"], index=frame.index)
-            yield pd.concat([frame[keep], pairs], axis=1)
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            made = [one(row) for row in batch.to_pylist()]
+            columns = zip(*made) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keep), *(pa.array(c, pa.string()) for c in columns)],
+                names=[*keep, "input", "target", "error"])
 
-    return df.mapInPandas(batches, schema)
+    return df.mapInArrow(batches, schema)
 
 
 def chat_to_pairs(

@@ -21,11 +21,20 @@ def echo():
 
 def test_calls_are_isolated(spark, echo):
     df = spark.createDataFrame([(1, "a"), (2, "fail"), (3, "c")], "n int, prompt string")
-    got = {r["n"]: r for r in C.complete(df, "prompt", echo, 0.5, 9, concurrency=2).collect()}
+    called = C.complete(df, "prompt", echo, 0.5, 9, partitions=2, calls_per_task=3)
+    got = {r["n"]: r for r in called.collect()}
     assert got[1]["reply"] == "a|0.5|9" and got[1]["error"] is None
     assert got[2]["reply"] is None and got[2]["error"] == "ValueError: no"
 
 
+def test_other_columns_come_through_unchanged(spark, echo):
+    df = spark.createDataFrame(
+        [(2**60 + 1, None, [1, None], "a"), (None, {"k": 1.5}, None, "b")],
+        "big bigint, m map<string,double>, l array<int>, prompt string")
+    got = C.complete(df, "prompt", echo).select("big", "m", "l", "prompt").collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.collect()))
+
+
 def test_finished_calls_are_not_made_again(spark, echo):
     df = spark.createDataFrame([(1, "a"), (2, "fail"), (3, "c")], "n int, prompt string")
     done = C.complete_once(df, ["n"], "prompt", echo, temperature=0.1)

@@ -50,13 +50,15 @@ def test_validity_and_counts(spark):
 
 
 def test_row_transforms(spark):
-    df = spark.createDataFrame([(1, "q", "2"), (2, "r", "x"), (3, None, "4")], "n int, a string, b string")
+    df = spark.createDataFrame(
+        [(1, "q", "2", 2**60 + 1), (2, "r", "x", 5), (3, None, "4", None)], "n int, a string, b string, c bigint")
     made = N.transform_sql(df, "upper(a)", "b || '!'", ["n"]).collect()
     assert {tuple(r) for r in made} == {(1, "Q", "2!"), (2, "R", "x!"), (3, None, "4!")}
 
     def transform(row):
         if row["a"] is None:
             return None
+        assert row["c"] in (2**60 + 1, 5)
         return {"input": row["a"], "target": 2 * int(row["b"])}
 
     rows = {r["n"]: r for r in N.transform_rows(df, transform, ["n"]).collect()}
