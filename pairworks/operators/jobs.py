@@ -50,6 +50,8 @@ def training_input(
     epoch: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(batches of the training rows, validation rows) of stored pairs."""
+    if pairs.isEmpty():
+        raise ValueError("Dataset is empty")
     split = split_pairs(pairs, val_split)
     train = tokenize_and_mask(split.filter("split = 'train'"), tokenizer, max_len)
     held_out = split.filter("split = 'validation'").drop("split")

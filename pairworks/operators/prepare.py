@@ -110,14 +110,17 @@ def tokenize_and_mask(
 ) -> DataFrame:
     """Adds input_ids and labels, cut at `max_len`; labels hide the prompt from the loss.
 
-    Where the prompt alone fills the row, every label is hidden and the row is `dead`.
+    Where the prompt alone fills the row, every label is hidden and the row is `dead`;
+    `truncated` tells whether anything was cut off.
     """
     tokenizer = tokenizer or WhitespaceTokenizer()
     asked = prompt(F.col("input"))
     answered = F.concat(asked, F.lit(" "), F.col("target"))
     ids, shown = F.col("input_ids"), F.col("_prompt_len")
     return (
-        df.withColumn("input_ids", tokenizer.encode_closed(answered, max_len))
+        df.withColumn("_ids", tokenizer.encode_closed(answered, max_len + 1))
+        .withColumns({
+            "input_ids": F.slice("_ids", 1, max_len), "truncated": F.size("_ids") > max_len})
         .withColumn("_prompt_len", F.size(tokenizer.encode(asked, max_len)))
         .withColumns({
             "labels": F.transform(
@@ -126,7 +129,7 @@ def tokenize_and_mask(
             "n_trainable": F.greatest(F.size(ids) - shown, F.lit(0)),
         })
         .withColumn("dead", F.col("n_trainable") == 0)
-        .drop("_prompt_len")
+        .drop("_prompt_len", "_ids")
     )
 
 

@@ -166,11 +166,11 @@ def _words(expr: str) -> str:
 
 
 TOKENS = f"""
-    SELECT *, least(256, len(words) + 1) AS n_tokens, least(256, len(asked)) AS shown,
+    SELECT *, least(256, len(words) + 1) AS n_tokens, len(words) + 1 > 256 AS truncated, least(256, len(asked)) AS shown,
            list_transform(words[1:256], lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 49999 + 1) AS ids
     FROM (SELECT *, {_words(f"{_prompt} || ' ' || target")} AS words, {_words(_prompt)} AS asked FROM ({PAIRS}))"""
 _STATS = """
-    SELECT sample_id, n_tokens, greatest(n_tokens - shown, 0) AS n_trainable, n_tokens <= shown AS dead,
+    SELECT sample_id, n_tokens, greatest(n_tokens - shown, 0) AS n_trainable, n_tokens <= shown AS dead, truncated,
            coalesce(list_sum(ids), 0)::BIGINT AS id_sum,
            (coalesce(list_sum(ids[shown + 1:]), 0) - 100 * least(shown, n_tokens))::BIGINT AS label_sum"""
 ORACLES["token_mask_stats"] = f"{_STATS} FROM ({TOKENS})"
@@ -181,7 +181,7 @@ def _bytes(expr: str) -> str:
 
 
 ORACLES["loaded_tokenizer_stats"] = f"""{_STATS} FROM (
-    SELECT sample_id, least(4096, len(bytes) + 1) AS n_tokens, least(4096, strlen({_prompt})) AS shown, bytes[1:4096] AS ids
+    SELECT sample_id, least(4096, len(bytes) + 1) AS n_tokens, len(bytes) + 1 > 4096 AS truncated, least(4096, strlen({_prompt})) AS shown, bytes[1:4096] AS ids
     FROM (SELECT *, {_bytes(f"{_prompt} || ' ' || target")} AS bytes FROM ({PAIRS})))"""
 ORACLES["batch_padding"] = f"""
     SELECT dataset, batch_id, count(*) AS batch_rows, max(n_tokens) AS max_len,

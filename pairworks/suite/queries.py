@@ -250,7 +250,7 @@ def _token_stats(tokens: DataFrame) -> DataFrame:
 
     return tokens.select(
         "sample_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
-        F.col("n_trainable").cast("bigint").alias("n_trainable"), "dead",
+        F.col("n_trainable").cast("bigint").alias("n_trainable"), "dead", "truncated",
         total("input_ids").alias("id_sum"), total("labels").alias("label_sum"))
 
 

@@ -41,13 +41,15 @@ def test_prompt_and_masks(spark):
     assert [r["n_tokens"] for r in (got[1], got[2], got[3], got[4])] == [7, 4, 8, 6]
     assert [got[n]["n_trainable"] for n in (1, 2, 3, 4)] == [3, 1, 0, 4]
     assert [got[n]["dead"] for n in (1, 2, 3, 4)] == [False, False, True, False]
+    assert [got[n]["truncated"] for n in (1, 2, 3, 4)] == [False, False, True, False]
     for r in got.values():
         assert sum(x != -100 for x in r["labels"]) == r["n_trainable"]
         assert [a for a, b in zip(r["input_ids"], r["labels"]) if b != -100] == [
             b for b in r["labels"] if b != -100]
     assert got[1]["input_ids"][-1] == 0
     exact = P.tokenize_and_mask(df.filter("n = 1"), max_len=4).first()
-    assert exact["dead"] and len(exact["input_ids"]) == 4
+    assert exact["dead"] and exact["truncated"] and len(exact["input_ids"]) == 4
+    assert not P.tokenize_and_mask(df.filter("n = 1"), max_len=7).first()["truncated"]
 
 
 def test_loaded_tokenizer(spark, tmp_path):
@@ -89,6 +91,17 @@ def test_batches(spark, block_rows):
                 assert ids_ == [i] * real + [999] * (longest - real) and labels == [-100] * longest
 
 
+def test_batches_take_one_wide_shuffle(spark):
+    df = spark.range(400).select(
+        (F.col("id") % 3).alias("dataset"), F.col("id").alias("sample_id"),
+        F.array(F.col("id")).alias("input_ids"), F.array(F.col("id")).alias("labels"))
+    batches = P.make_batches(df, 8, 0, block_rows=20)
+    batches.collect()
+    plan = batches._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+    assert len([line for line in plan.splitlines() if "+- Exchange hashpartitioning" in line]) == 2
+
+
 def test_epochs_differ(spark):
     df = spark.range(50).select(F.lit("d").alias("dataset"), F.col("id").alias("sample_id"),
                                 F.array(F.lit(1)).alias("input_ids"), F.array(F.lit(1)).alias("labels"))
