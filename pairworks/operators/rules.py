@@ -236,8 +236,8 @@ def match_regex(
 ) -> tuple[DataFrame, DataFrame]:
     """(inputs with `regex_ord`, rejected rules): the first regex rule found in the text.
 
-    The rules become one CASE per pass, so a row stops at its first match, nothing is joined and
-    every pattern is compiled once per task. `exact` names a column with the exact match, past
+    The rules of a pass become one COALESCE, so a row stops at its first match, nothing is joined
+    and every pattern is compiled once per task. `exact` names a column with the exact match, past
     which no regex needs to be tried. A pattern that does not compile is rejected and skipped.
     """
     spark = inputs.sparkSession
@@ -249,15 +249,9 @@ def match_regex(
         valid = valid_patterns(spark, [_pattern(r) for r in some])
         rejected += [
             (r["rule_ord"], r["id"], r["trigger"]) for r, ok in zip(some, valid) if not ok]
-        first = F.when(F.col("regex_ord").isNotNull(), F.col("regex_ord"))
-        for rule, ok in zip(some, valid):
-            if not ok:
-                continue
-            hit = normalised(F.col(column), rule["_ws"], rule["_ci"]).rlike(_pattern(rule))
-            if exact:
-                hit = F.coalesce(F.col(exact) > rule["rule_ord"], F.lit(True)) & hit
-            first = first.when(hit, F.lit(rule["rule_ord"]).cast("bigint"))
-        found = found.withColumn("regex_ord", first)
+        usable = [r for r, ok in zip(some, valid) if ok]
+        if usable:
+            found = found.withColumn("regex_ord", _first_regex(usable, column, exact))
     rejects = spark.createDataFrame(
         rejected, "rule_ord bigint, id string, trigger string"
     ).withColumns({"error_code": F.lit("INVALID_INPUT"),
@@ -265,6 +259,29 @@ def match_regex(
     return found, rejects
 
 
+def _first_regex(some: list[Row], column: str, exact: str | None) -> Column:
+    """The first of some regex rules that is found, after those of earlier passes.
+
+    Inside a lambda the texts of the up to four flag combinations are made once per row, and an
+    expression of any length needs no generated code.
+    """
+    used = sorted({(r["_ws"], r["_ci"]) for r in some})
+    past = F.coalesce(F.col(exact), F.lit(2**63 - 1)) if exact else F.lit(2**63 - 1)
+    seen = F.struct(
+        F.col("regex_ord").alias("found"), past.alias("past"),
+        *[normalised(F.col(column), ws, ci).alias(f"text{i}") for i, (ws, ci) in enumerate(used)])
+
+    def search(row: Column) -> Column:
+        texts = {flags: row[f"text{i}"] for i, flags in enumerate(used)}
+        past = row["past"]
+        return F.coalesce(row["found"], *[
+            F.when((past > rule["rule_ord"]) & texts[rule["_ws"], rule["_ci"]].rlike(_pattern(rule)),
+                   F.lit(rule["rule_ord"]).cast("bigint"))
+            for rule in some])
+
+    return F.transform(F.array(seen), search)[0]
+
+
 def resolve(
     inputs: DataFrame, rules: DataFrame, column: str = "input", match_empty: bool = False
 ) -> tuple[DataFrame, DataFrame]:
