@@ -291,10 +291,11 @@ def resolve(
     empty text matches nothing unless `match_empty`.
     """
     text = F.col(column) if match_empty else F.nullif(F.col(column), F.lit(""))
-    tried = match_exact(inputs.withColumn("_text", text), rules, "_text")
-    tried, rejects = match_regex(tried, rules, "_text", "exact_ord")
-    answers = materialise(rules.filter("enabled").select(
-        F.col("rule_ord").alias("_ord"), F.col("id").alias("matched_id"), "response"), "answers")
+    live = materialise(rules.filter("enabled"), "rules")
+    tried = match_exact(inputs.withColumn("_text", text), live, "_text")
+    tried, rejects = match_regex(tried, live, "_text", "exact_ord")
+    answers = live.select(
+        F.col("rule_ord").alias("_ord"), F.col("id").alias("matched_id"), "response")
     first = F.least("exact_ord", "regex_ord")
     resolved = tried.withColumn("matched_ord", first).join(
         answers, F.col("matched_ord") == F.col("_ord"), "left")
