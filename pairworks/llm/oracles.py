@@ -76,4 +76,13 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
-ORACLES = {"op8_secrets": SECRETS, "op9_mix": MIX, "op10_warc": WARC}
+TOP_K = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+ORACLES = {"op4_exact_topk": TOP_K, "op8_secrets": SECRETS, "op9_mix": MIX, "op10_warc": WARC}

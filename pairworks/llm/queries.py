@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairworks.llm import byte_bpe, language, mixing, quality, secret_scan, token_counts, warc
+from pairworks.llm import byte_bpe, exact_topk, language, mixing, one_bit_index, quality, secret_scan, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.learn_and_identify(_table(spark, folder, "documents"), _remainder("doc_id", 3) == 1)
 
 
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_one_bit_index(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit_index.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,5 +61,6 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_language": op3_language,
+    "op4_exact_topk": op4_exact_topk, "op5_one_bit_index": op5_one_bit_index,
     "op6_token_counts": op6_token_counts, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_warc": op10_warc,
 }
