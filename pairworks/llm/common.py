@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from pairworks.plans.shared import materialise, new_path  # noqa: F401
 
@@ -40,7 +41,7 @@ class Remembered:
         return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType,
                 rows: int = 512) -> DataFrame:
     """`fn` on Arrow batches of at most `rows` rows, so that a task holds few whole texts at a time."""
 

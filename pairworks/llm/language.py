@@ -159,6 +159,20 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema, rows=256)
 
 
+def accepted(docs: DataFrame, profiles: Profiles, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text is in one of the languages: not `und`, with a score of `least_score` or more.
+
+    All columns stay as they are, and no row is moved.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = profiles.predict([text or "" for text in batch.column(at).to_pylist()])
+        return batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (scores >= least_score)))
+
+    return map_batches(docs, run, docs.schema, rows=256)
+
+
 def learn_and_identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
                        lang_col: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out and predicts all: id, held_out, lang_pred, score.

@@ -155,3 +155,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int
     none = blocks.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = [id_col, "tag", "source", "size", "source_size", "target", "taken"]
     return live.select(columns).unionByName(none.select(columns))
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 512, seed: str = "mix",
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` in the mix: each row as often as the mix takes it, a part of a document as the whole one.
+
+    A source has one such document at most, the one at which its quota ends. Rows that agree in
+    id, source and text share what they are taken together, rounded up.
+    """
+    taken = mix(docs, weights, block_words, seed, id_col, text_col, source_col).filter("taken > 0")
+    times = materialise(taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("tag").alias("__kept_tag")).agg(
+        F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("__times")), "mix-times")
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+                       & (F.xxhash64(F.col(text_col)) == F.col("__kept_tag")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])

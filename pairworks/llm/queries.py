@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairworks.llm import byte_bpe, exact_topk, language, mixing, one_bit_index, quality, secret_scan, token_counts, warc
+from pairworks.llm import byte_bpe, exact_topk, language, mixing, near_dedup, one_bit_index, quality, secret_scan, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, folder, "documents")).drop("tag")
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(_table(spark, folder, "documents"))
 
@@ -62,5 +66,5 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_language": op3_language,
     "op4_exact_topk": op4_exact_topk, "op5_one_bit_index": op5_one_bit_index,
-    "op6_token_counts": op6_token_counts, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_warc": op10_warc,
+    "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_warc": op10_warc,
 }
