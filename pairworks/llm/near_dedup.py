@@ -10,8 +10,10 @@ be of no use, as one connected group is all that is asked for. Links are therefo
 rounds. The first ties each class of a node to the smallest class of its block and node that it
 is like; confirmed links make groups. The second compares pairs of different groups only: nodes
 that hold one group are done, others branch on until they are small, and every pair in them that
-belongs to different groups and may be alike is confirmed. Nodes that are still large at the last
-level are compared block by block. Nothing is capped.
+belongs to different groups and may be alike is confirmed. Classes whose nodes are still large at
+the last level are alike throughout: classes with a common node are put together once for all
+trees and compared block by block, on the full sets and in the task, so that only links come out
+and their number grows with the classes and not with the pairs. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from pairworks.llm.components import components
 WORDS = 3  # in a shingle
 TOKENS = 64  # minwise tokens of a sketch
 TREES = 10
-LEVELS = 6
+LEVELS = 3
 SMALL = 64  # classes in a node that is compared exhaustively
+BLOCK = 256  # classes of a dense group that are compared with as many others at a time
 LIKE = 85  # per cent of the union that two sets share
 # Sketches of sets at the threshold agree in at least this many of 64 tokens, but for odds below 1e-6.
 SKETCH = 39
@@ -154,14 +157,12 @@ def _first_alike(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _across_groups(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """All pairs of members of different groups that may be alike; of them one from either list."""
+    """All pairs of members of different groups that may be alike."""
     lefts, rights = [], []
-    for ours, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if not ours or not theirs:
-            continue
-        ids, n, sig = _unpacked(ours + theirs)
-        labels = np.array([x["label"] for x in ours + theirs], np.int64)
-        left, right = (x.ravel() for x in np.meshgrid(np.arange(len(ours)), np.arange(len(theirs)) + len(ours), indexing="ij"))
+    for cell in batch.column(0).to_pylist():
+        ids, n, sig = _unpacked(cell)
+        labels = np.array([x["label"] for x in cell], np.int64)
+        left, right = np.triu_indices(len(ids), 1)
         differ = labels[left] != labels[right]
         left, right = left[differ], right[differ]
         hit = _alike(sig, n, left, right)
@@ -170,6 +171,52 @@ def _across_groups(batch: pa.RecordBatch) -> pa.RecordBatch:
     return _pairs(np.concatenate(lefts) if lefts else np.zeros(0, np.int64), np.concatenate(rights) if rights else np.zeros(0, np.int64))
 
 
+def _block_links(ours: list[dict], theirs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks, confirmed on the full sets; pairs that links found so far connect are left out.
+
+    Pairs of two members of `theirs` and of two of `ours` are not compared here. A member of ours
+    that is not in the main group meets the others from either side, and counts on one.
+    """
+    ids, n, sig = _unpacked(ours + theirs)
+    k, m = len(ours), len(ours) + len(theirs)
+    group = np.unique([x["label"] for x in ours + theirs], return_inverse=True)[1]
+    minor = np.array([x["minor"] for x in ours], bool)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(k, m), indexing="ij"))
+    once = ~minor[left] | (ids[left] < ids[right])
+    left, right = left[once], right[once]
+    hit = _alike(sig, n, left, right)
+    left, right = left[hit], right[hit]
+    sets = [np.frombuffer(x["shingles"], np.uint64) for x in ours + theirs]
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([0, *map(len, sets)])
+    mark = np.zeros(token.max(initial=0) + 1, bool)
+    # Members with most candidates first: they connect the most, and what is connected is done.
+    weight = np.bincount(left, minlength=m)
+    links = []
+    starts = np.searchsorted(left, np.arange(k + 1))
+    for i in np.argsort(-weight[:k], kind="stable"):
+        others = right[starts[i]:starts[i + 1]]
+        others = others[group[others] != group[i]]
+        if not len(others):
+            continue
+        mark[token[ends[i]:ends[i + 1]]] = True
+        at = np.concatenate([token[ends[j]:ends[j + 1]] for j in others])
+        sizes = n[others]
+        common = np.add.reduceat(mark[at], np.cumsum(sizes) - sizes, dtype=np.int64)
+        mark[token[ends[i]:ends[i + 1]]] = False
+        for j in others[100 * common >= LIKE * (n[i] + sizes - common)]:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                links.append((ids[i], ids[j]))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _dense_links(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = [_block_links(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if a and b]
+    return _pairs(*(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)))
+
+
 def _first_round(nodes: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate links that tie the classes of every node to a smallest one, by way of blocks of SMALL.
 
@@ -188,68 +235,74 @@ def _first_round(nodes: DataFrame, sizes: DataFrame, classes: DataFrame) -> Data
     return map_batches(groups.filter(F.size("members") > 1).select("members"), _first_alike, "a long, b long", rows=200).distinct()
 
 
-def _second_round(nodes: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate links between different groups: of all nodes with two groups or more."""
-    rows = classes.join(labels, F.col("set_id") == F.col("node_id"), "left").select(
-        "set_id", "n", "sig", F.coalesce("label", "set_id").alias("label"))
+def _second_round(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes with two groups or more: candidate links between the groups of small ones, and
+    (node, set_id) of those that are still large at the last level. `rows` are classes with their label."""
     named = materialise(nodes.join(rows.select("set_id", "label"), "set_id"), "path-labels")
+    member = F.struct("set_id", "n", "sig", "label")
     found = None
     for level in range(1, LEVELS + 1):
         stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
         stats = materialise(stats.filter("one <> other").select("node", "size"), "path-sizes")
-        small = named.join(stats.filter(F.col("size") <= SMALL) if level < LEVELS else stats, "node")
-        pairs = _compared(small, rows)
+        small = named.select("node", "set_id").join(stats.filter(F.col("size") <= SMALL), "node").join(rows, "set_id")
+        groups = small.groupBy("node").agg(F.collect_list(member).alias("members"))
+        pairs = map_batches(groups.select("members"), _across_groups, "a long, b long", rows=200)
         found = pairs if found is None else found.unionByName(pairs)
-        large = stats.filter(F.col("size") > SMALL)
-        if level == LEVELS or large.isEmpty():
-            break
-        named = materialise(_branch(named.join(large.select("node"), "node").join(rows.drop("n", "label"), "set_id")).select(
-            "node", "set_id", "label").distinct(), "path-labels")
-    return found.distinct()
+        large = named.select("node", "set_id", "label").join(stats.filter(F.col("size") > SMALL).select("node"), "node")
+        if level < LEVELS:
+            named = materialise(_branch(large.join(rows.select("set_id", "sig"), "set_id")).select(
+                "node", "set_id", "label").distinct(), "path-labels")
+    return found.distinct(), large.select("node", "set_id")
 
 
-def _compared(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of different groups in nodes (node, set_id, label, size), by blocks if a node is large.
+def _within_dense(dense: DataFrame, rows: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between classes of dense nodes that are in different groups.
 
-    The largest group of a node needs no comparison within itself: each of its blocks meets the
-    blocks of the others, and those meet each other. Work is size times size of the others.
+    Classes with a common node are one body. Its largest group needs no comparison within itself:
+    each block of the body meets each block of the others.
     """
-    counts = nodes.groupBy("node", "label").agg(F.count("*").alias("k"))
-    main = counts.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("total")).select(
-        "node", F.col("top.label").alias("main"), F.ceil(F.col("total") / SMALL).cast("int").alias("blocks"),
-        F.ceil((F.col("total") - F.col("top.k")) / SMALL).cast("int").alias("other_blocks"))
-    full = nodes.select("node", "set_id", "label").join(main, "node").join(rows.drop("label"), "set_id")
-    member = F.struct("set_id", "n", "sig", "label")
+    least = dense.groupBy("node").agg(F.min("set_id").alias("a"))
+    bodies = components(dense.join(least, "node").select("a", F.col("set_id").alias("b")).distinct()).select(
+        F.col("node").alias("set_id"), F.col("label").alias("body"))
+    full = bodies.join(rows, "set_id").join(_sets(bodies.select("set_id"), docs, classes, id_col, text_col), "set_id")
+    full = materialise(full, "dense")
+    counts = full.groupBy("body", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("body").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("total")).select(
+        "body", F.col("top.label").alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("total") - F.col("top.k")) / BLOCK).cast("int").alias("other_blocks"))
+    full = full.join(materialise(main.filter("other_blocks > 0"), "bodies"), "body").withColumn("minor", F.col("label") != F.col("main"))
+    member = F.struct("set_id", "n", "sig", "label", "minor", "shingles")
     hashed = F.xxhash64("set_id")
-    everything = full.select("node", F.pmod(hashed, F.col("blocks")).cast("int").alias("i"),
-                             F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"),
-                             F.lit(0).alias("side"), member.alias("m"))
-    others = full.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"),
-                                                 F.pmod(hashed, F.col("other_blocks")).cast("int").alias("j"),
-                                                 F.lit(1).alias("side"), member.alias("m"))
-    groups = everything.unionByName(others).groupBy("node", "i", "j").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.col("m"))).alias("ours"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("m"))).alias("theirs"))
-    return map_batches(groups.select("ours", "theirs"), _across_groups, "a long, b long", rows=200)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets share at least LIKE per cent of their union.
-
-    Sets are made again from the texts of one document per class that is in a pair.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(
-        classes.select("set_id", "id"), "set_id").select(F.col("id").alias("wanted_id")).distinct()
+    ours = full.select("body", F.pmod(hashed, F.col("blocks")).cast("int").alias("i"),
+                       F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"), member.alias("our"),
+                       F.lit(None).cast(full.select(member.alias("m")).schema["m"].dataType).alias("their"))
+    theirs = full.filter("minor").select(
+        "body", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"),
+        F.pmod(hashed, F.col("other_blocks")).cast("int").alias("j"),
+        F.lit(None).cast(full.select(member.alias("m")).schema["m"].dataType).alias("our"), member.alias("their"))
+    groups = ours.unionByName(theirs).groupBy("body", "i", "j").agg(
+        F.collect_list("our").alias("ours"), F.collect_list("their").alias("theirs"))
+    return materialise(map_batches(groups.select("ours", "theirs"), _dense_links, "a long, b long", rows=4), "dense-links")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, shingles) of the wanted classes, made again from the text of one document of each."""
+    ids = wanted.distinct().join(classes.select("set_id", "id"), "set_id").select(F.col("id").alias("wanted_id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s for s in shingle_sets([text or "" for text in batch.column(0).to_pylist()]) if len(s)]
         return pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()),
                                            pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "shingles"])
 
-    # Documents that share an id with a wanted one but not its set find no pair below.
-    full = materialise(map_batches(texts.select("text"), sets, "set_id long, shingles binary").dropDuplicates(["set_id"]), "sets")
+    # Documents that share an id with a wanted one but not its set find no partner later on.
+    return materialise(map_batches(texts.select("text"), run, "set_id long, shingles binary").dropDuplicates(["set_id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose full sets share at least LIKE per cent of their union."""
+    full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), docs, classes, id_col, text_col)
 
     def like(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -285,11 +338,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialise(_first_round(nodes, sizes, sketched), "candidates")
     links = _confirmed(first, docs, classes, id_col, text_col)
     labels = materialise(components(links), "groups")
-    second = materialise(_second_round(nodes, sketched, labels.withColumnRenamed("node", "node_id")).join(
-        first, ["a", "b"], "left_anti"), "candidates")
+    rows = sketched.join(labels, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "n", "sig", F.coalesce("label", "set_id").alias("label"))
+    second, dense = _second_round(nodes, materialise(rows, "labelled"))
+    second = materialise(second.join(first, ["a", "b"], "left_anti"), "candidates")
+    more = links
     if not second.isEmpty():
-        more = _confirmed(second, docs, classes, id_col, text_col)
-        labels = materialise(components(links.unionByName(more)), "groups")
+        more = more.unionByName(_confirmed(second, docs, classes, id_col, text_col))
+    dense = materialise(dense, "dense-nodes")
+    if not dense.isEmpty():
+        more = more.unionByName(_within_dense(dense, rows, docs, classes, id_col, text_col))
+    labels = materialise(components(more), "groups")
     grouped = classes.select("set_id", "id").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "id", F.coalesce("label", "set_id").alias("label"))
     least = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
