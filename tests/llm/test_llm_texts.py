@@ -1,0 +1,160 @@
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import sentencepiece
+import tiktoken
+from llm_rows import awkward, table, words
+from pyspark.sql import functions as F
+
+from pairworks.llm import byte_bpe, language, quality, secret_scan, token_counts
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_byte_bpe_is_that_of_the_library(spark):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = awkward()
+    got = byte_bpe.encode_decode(table(spark, rows), RANKS, public_tokenizers.PATTERN, with_ids=True, with_text=True).collect()
+    want = []
+    for i, text in rows:
+        ids = library.encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((text or "").encode()).hexdigest(), ids, (text or "").encode()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((*r[:4], list(r[4]), bytes(r[5])) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_byte_bpe_splits_white_space_as_the_pattern_does():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    marks = [" ", "  ", "\n", " \n", "\n ", "   ", "\t", "\x1c", "\x85", "\xa0", " ", "'s", "1", "a", "!"]
+    texts = [a + b + c for a in marks for b in marks for c in marks]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_token_counts_are_those_of_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = awkward() + [(100 + i, t) for i, t in enumerate(["ab" * 3000, " " * 999, "\n" * 50, "<s> </s> <unk>", "▁a▁", "中" * 500])]
+    got = token_counts.count_tokens(table(spark, rows), PIECES, limit=2000).collect()
+    want = [(i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 2000) for i, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert token_counts.count_tokens(table(spark, rows).limit(0), PIECES).count() == 0
+
+
+def test_cache_that_is_full_changes_nothing():
+    small = token_counts.PieceCounter(PIECES)
+    small._counts.entries = 5
+    texts = [words(k, 200) for k in range(5)]
+    assert small.count_texts(texts) == token_counts.counter(PIECES).count_texts(texts)
+
+
+def test_quality_is_learnt_and_defined_for_every_row(spark):
+    good = [(i, words(i, 40).capitalize() + ".") for i in range(200)]
+    bad = [(i, words(i, 40).upper().replace(" ", "!! ")) for i in range(200, 400)]
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(400)] + [(5, 1, 0), (6, None, 0), (None, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = table(spark, good + bad + awkward())
+    got = quality.fit_and_score(docs, labels, held).collect()
+    assert len(got) == 400 + len(awkward()) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == (1 if r.score >= 0.3 else 0) for r in got)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    new = [r for r in got if r.doc_id is not None and r.doc_id >= 20 and r.held_out]
+    assert np.mean([r.predicted == (r.doc_id < 200) for r in new]) > 0.95
+    assert {r.score for r in quality.fit_and_score(docs, labels.limit(0), held).collect()} == {0.5}
+    assert quality.fit_and_score(docs.limit(0), labels, held).count() == 0
+
+
+def test_density_difference_is_that_of_the_formula():
+    rng = np.random.default_rng(1)
+    cov = [np.cov(rng.normal(size=(3, 50))) + np.eye(3) for _ in range(2)]
+    means = rng.normal(size=(2, 3))
+    inverse = np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in cov])
+    model = quality.Discriminant(means, inverse, np.array([np.linalg.slogdet(c)[1] for c in cov]), np.log([0.3, 0.7]))
+    x = rng.normal(size=(20, 3))
+    density = [p * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(c))
+               for p, m, c in zip((0.3, 0.7), means, cov, strict=True)]
+    np.testing.assert_allclose(model.scores(x), density[1] / (density[0] + density[1]))
+
+
+def test_languages(spark):
+    pools = {"en": "the house of and was with that from have they which", "fr": "les des une pour avec dans était qui sur élève",
+             "de": "der die und nicht über ein mit für auch größer"}
+    rows = [(k * 1000 + i, " ".join(words(i, 25, pool).split()[:25]) + " " + pool, lang, "s", 1, 0.1, 1, "t")
+            for k, (lang, pool) in enumerate(pools.items()) for i in range(60)]
+    odd = [(9000, None, "en", "s", 1, 0.1, 1, "t"), (9001, "", "fr", "s", 1, 0.1, 1, "t"), (9002, "12 !!", "de", "s", 1, 0.1, 1, "t"),
+           (None, "the house", None, "s", 1, 0.1, 1, "t"), (9003, "the house of that " * 20_000, None, None, 1, 0.1, 1, "t")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long, score double, label int, tag string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = {r.doc_id: r for r in language.learn_and_identify(docs, held).collect()}
+    assert len(got) == 185 and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[r[0]].lang_pred == r[2] for r in rows)
+    assert {got[k].lang_pred for k in (9000, 9001, 9002)} == {"und"} and got[9003].lang_pred == "en" and got[None].held_out
+    assert {r.lang_pred for r in language.learn_and_identify(docs.withColumn("lang", F.lit(None).cast("string")), held).collect()} == {"und"}
+    assert language.learn_and_identify(docs.limit(0), held).count() == 0
+
+
+def test_ngrams_by_brute_force():
+    texts = ["Ab c", "", "été!x", "12", "a  b"]
+    owner, key = language.ngrams(texts)
+    got = sorted((int(o), int(k)) for o, k in zip(owner, key, strict=True))
+    want = []
+    for i, text in enumerate(texts):
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = "\0" + word + "\0"
+            for n in (1, 2, 3):
+                for j in range(len(padded) - n + 1):
+                    gram = padded[j:j + n]
+                    if gram.strip("\0") and (n > 1 or gram != "\0"):
+                        want.append((i, sum(ord(c) << 21 * (n - 1 - p) for p, c in enumerate(gram))))
+    # A word of one letter has the n-gram gap, letter, gap.
+    keep = sorted(w for w in want)
+    assert {x for x in got} <= set(keep) and len(got) <= len(keep)
+    assert len([x for x in got if x[0] == 3]) == 0
+
+
+def base_spans(text):
+    found = []
+    for k, (kind, pattern, least) in enumerate([
+            ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+            ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24)]):
+        found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[1]) >= least]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_secrets_against_a_plain_scan(spark):
+    key, number = "AKIA" + "Z9" * 8, "0123456789abcdef" * 2
+    texts = [f"é password: 'abc123' {key} {number}", "secret: token :abcdefgh", "token=abc password = abcdef", f"{key}{key} AKIA{key}",
+             f"ToKeN=\"{number}\" API_KEY : {key}", f"api-key=abcdefg apikey=abcdefg {number[:23]} x{number}x", "paſſword=abcdefgh",
+             f"user=bob {'far ' * 100} password=hunter22", "user: bob\npassword: hunter22 https://x.org/a", f"blob {'Ab1/' * 10} alone",
+             f"login: ann {'Ab1/' * 10}", f"{key} " + "q" * 40, "https://only.example/", ("word " * 20_000) + f"passwd={number}"]
+    rows = awkward() + [(50 + i, t) for i, t in enumerate(texts)]
+    got = secret_scan.report(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = sorted((i is None, i or 0, ",".join(base_spans(t or ""))) for i, t in rows)
+    found = sorted((r.doc_id is None, r.doc_id or 0, ",".join(s for s in r.spans.split(",") if s.split(":")[0] in secret_scan.BASE)) for r in got)
+    assert found == want
+    for r in got:
+        base = ",".join(s for s in r.spans.split(",") if s.split(":")[0] in secret_scan.BASE)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in ("assign", "access", "hex"))
+    weak = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s and s.split(":")[0] in secret_scan.WEAK] for r in got}
+    assert weak[57] == [] and weak[58] == ["user", "endpoint"] and weak[59] == [] and weak[60] == ["user", "blob"]
+    assert weak[61] == ["blob"] and weak[62] == []
+    assert secret_scan.report(table(spark, rows).limit(0)).count() == 0
+
+
+def test_redaction_leaves_no_secret_and_no_other_change(spark):
+    rows = [(1, "a password=hunter22 b"), (2, "token=" + "0123456789abcdef" * 2 + " end"), (3, "clean"), (4, None)]
+    got = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
+    assert got == {1: "a [secret] b", 2: "[secret] end", 3: "clean", 4: None}
