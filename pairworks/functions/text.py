@@ -36,8 +36,10 @@ def strip_fences(col: Column) -> Column:
     return js_trim(col)
 
 
-def sanitize_for_log(col: Column) -> Column:
-    return F.substring(F.regexp_replace(col, "[\n\r]", " "), 1, fixed.LOG_TEXT_LENGTH)
+def sanitize_for_log(col: Column, length: int | None = None) -> Column:
+    """A text on one line, cut to `length` characters if that is given."""
+    line = F.regexp_replace(col, "[\n\r]", " ")
+    return line if length is None else F.substring(line, 1, length)
 
 
 def safe_file_name(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,17 +15,16 @@ from pairworks.plans.running import CHUNK, cut, long_keys, previous
 from pairworks.plans.shared import materialise
 
 
-def search_limit(value: str | int | None) -> int:
-    try:
-        limit = int(value) if value else 0
-    except ValueError:
-        limit = 0
-    return limit if 0 < limit <= fixed.MAX_SEARCH_LIMIT else fixed.DEFAULT_SEARCH_LIMIT
+def search_limit(value: str | int | None, most: int | None = fixed.MAX_SEARCH_LIMIT) -> int:
+    """The leading whole number of a limit; the default if there is none or it is out of range."""
+    found = re.match(r"\s*([+-]?\d+)", str(value)) if value is not None else None
+    limit = int(found[1]) if found else 0
+    return limit if 0 < limit and (most is None or limit <= most) else fixed.DEFAULT_SEARCH_LIMIT
 
 
 def search_models(
     catalog: DataFrame, query: str = "", limit: str | int | None = None,
-    tag: str = fixed.SEARCH_TAG,
+    tag: str = fixed.SEARCH_TAG, most: int | None = fixed.MAX_SEARCH_LIMIT,
 ) -> DataFrame:
     """Models of a kind whose id holds the query, most downloads first.
 
@@ -32,7 +33,7 @@ def search_models(
     found = F.contains(F.lower("id"), F.lit(query.lower()))
     return (
         catalog.filter((F.col("pipeline_tag") == tag) & found)
-        .orderBy(F.col("downloads").desc(), "id").limit(search_limit(limit))
+        .orderBy(F.col("downloads").desc(), "id").limit(search_limit(limit, most))
     )
 
 

@@ -15,12 +15,14 @@ def dedupe_pairs(
     """The first row by `order` of every distinct (keys, input, target), untrimmed.
 
     Rows are grouped by a digest of the texts. Each task first reduces its own rows, so however
-    many copies a pair has, no more than one per task is shuffled.
+    many copies a pair has, no more than one per task is shuffled. A row without an order comes
+    after all that have one; of rows with the same order any may stay.
     """
+    place = F.struct(F.col(order).isNull(), F.col(order))
     return (
         df.groupBy(group_key(list(keys)).alias("_g"),
                    digest(F.col("input"), F.col("target")).alias("_digest"))
-        .agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
+        .agg(F.min_by(F.struct(*df.columns), place).alias("_row"))
         .select("_row.*")
     )
 

@@ -119,16 +119,21 @@ def complete_once(
     return materialise(replies, "replies")
 
 
-def variation_prompts(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seeds with `prompt`, rejected) for (seed_input, seed_output, count)."""
+def variation_prompts(seeds: DataFrame, max_count: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(seeds with `prompt`, rejected) for (seed_input, seed_output, count).
+
+    With `max_count`, higher counts are lowered to it, and `count_lowered` says so.
+    """
     def given(name: str, empty) -> Column:
         return F.coalesce(F.col(name) != F.lit(empty), F.lit(False))
 
     complete_seed = given("seed_input", "") & given("seed_output", "") & given("count", 0)
     rejected = seeds.filter(~complete_seed).withColumns({
         "error_code": F.lit("INVALID_INPUT"), "error_message": F.lit("Missing fields")})
-    capped = seeds.filter(complete_seed).withColumn(
-        "count", F.least("count", F.lit(fixed.MAX_VARIATIONS)))
+    capped = seeds.filter(complete_seed)
+    if max_count is not None:
+        capped = capped.withColumns({
+            "count_lowered": F.col("count") > max_count, "count": F.least("count", F.lit(max_count))})
     asked = fill(
         fixed.VARIATION_TEMPLATE, count=F.col("count").cast("string"),
         seed_input=F.col("seed_input"), seed_output=F.col("seed_output"))

@@ -59,10 +59,11 @@ def training_input(
 
 
 def generate_variations(
-    seeds: DataFrame, keys: list[str], client_factory: Callable[[], Client], **options
+    seeds: DataFrame, keys: list[str], client_factory: Callable[[], Client],
+    max_count: int | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, rejects): the variations of every seed that a model makes."""
-    prompts, refused = variation_prompts(seeds)
+    prompts, refused = variation_prompts(seeds, max_count)
     replies = complete_once(
         prompts.select(*keys, "prompt"), keys, "prompt", client_factory,
         temperature=fixed.VARIATION_TEMPERATURE, **options)

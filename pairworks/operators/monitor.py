@@ -116,8 +116,8 @@ def recent_logs(events: DataFrame, n: int = fixed.LOG_TAIL) -> DataFrame:
 
 
 def latest_file_sizes(events: DataFrame, order: str = "ts") -> DataFrame:
-    """The last size of every file."""
-    return events.groupBy("file").agg(F.max_by("size", order).alias("size")).withColumn(
+    """The last size of every file; of sizes told at the same time the larger one."""
+    return events.groupBy("file").agg(F.max_by("size", F.struct(order, "size")).alias("size")).withColumn(
         "size_mb", F.round(F.col("size") / F.lit(fixed.BYTES_PER_MB), 2))
 
 

@@ -12,6 +12,7 @@ from pairworks.functions.text import parse_float, parse_int
 IMPORTS = ("import", "smart_import")
 FILE_JOBS = ("clean", "select", "delete")
 MODEL_JOBS = ("convert", "evaluate", "judge")
+JOBS = (*IMPORTS, *FILE_JOBS, *MODEL_JOBS, "generate")
 
 _COLUMNS = {
     "repo": "string", "split": "string", "filename": "string", "model": "string",
@@ -21,12 +22,13 @@ _COLUMNS = {
 
 
 def validate_requests(
-    df: DataFrame, files: DataFrame | None = None
+    df: DataFrame, files: DataFrame | None = None, max_count: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of a frame with a `job` column and any of the request columns.
 
     Values that JavaScript takes for false (null, empty, 0) get the defaults. With `files` (a
-    column `name`), jobs on a file must name one that is there.
+    column `name`), jobs on a file must name one that is there. With `max_count`, accepted
+    requests to generate have their count lowered to it.
     """
     missing = {c: F.lit(None).cast(t) for c, t in _COLUMNS.items() if c not in df.columns}
     full = df.withColumns(missing) if missing else df
@@ -74,7 +76,8 @@ def validate_requests(
     )
     imports, on_file, on_model = job.isin(*IMPORTS), job.isin(*FILE_JOBS), job.isin(*MODEL_JOBS)
     failure = (
-        F.when(imports & ~F.col("_given_repo"), error("INVALID_INPUT", "Repo required"))
+        F.when(~F.coalesce(job.isin(*JOBS), F.lit(False)), error("INVALID_INPUT", "Unknown job"))
+        .when(imports & ~F.col("_given_repo"), error("INVALID_INPUT", "Repo required"))
         .when(imports & bad_repo, error(
             "INVALID_INPUT", "Invalid repository format. Expected: owner/repo"))
         .when(on_file & ~F.col("_given_file"), error("INVALID_INPUT", "Filename required"))
@@ -96,7 +99,9 @@ def validate_requests(
             F.col("_failure"),
             F.when(on_file & F.col("_known").isNull(), error("NOT_FOUND", "File not found"))))
     columns = [c for c in full.columns]
-    accepted = ready.filter(F.col("_failure").isNull()).withColumn(
-        "count", F.least(F.col("count"), F.lit(fixed.MAX_VARIATIONS))).select(*columns)
+    count = F.col("count")
+    if max_count is not None:
+        count = F.when(job == "generate", F.least(count, F.lit(max_count))).otherwise(count)
+    accepted = ready.filter(F.col("_failure").isNull()).withColumn("count", count).select(*columns)
     rejected = ready.filter(F.col("_failure").isNotNull()).select(*columns, "_failure.*")
     return accepted, rejected

@@ -16,8 +16,12 @@ KEYS_TO_BROADCAST = 1_000_000
 
 
 def shuffle_key(seed: int | str, row_id: str) -> Column:
-    """A repeatable random order: the MD5 of seed and row id, as hex text."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
+    """A repeatable random order: the MD5 of seed and row id, as hex text.
+
+    A row without an id has no place in it and would vanish without an error: it fails the job.
+    """
+    known = F.coalesce(F.col(row_id).cast("string"), F.raise_error(F.lit(f"a row has no {row_id}")).cast("string"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), known))
 
 
 def fine_bucket(key: Column) -> Column:

@@ -19,15 +19,15 @@ def list_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
         F.col("modificationTime").alias("modified"))
 
 
-def gate_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gate_files(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of a listing with `name` and `size`.
 
-    Names must end in .jsonl and files must not exceed 100 MB. Accepted files get the name they
+    Names must end in .jsonl; files above `max_bytes`, if given, are too large. Accepted files get the name they
     are stored under, and `collides` where several share it and would overwrite each other.
     """
     no_name = F.coalesce(F.col("name"), F.lit("")) == ""
     wrong_type = ~F.col("name").endswith(fixed.PAIR_FILE_SUFFIX)
-    too_big = F.col("size") > fixed.MAX_FILE_BYTES
+    too_big = F.col("size") > max_bytes if max_bytes is not None else F.lit(False)
     message = (
         F.when(no_name, "No file uploaded")
         .when(wrong_type, "Only .jsonl files are allowed")

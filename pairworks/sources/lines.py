@@ -15,16 +15,17 @@ SPLITS_TO_BROADCAST = 1_000_000
 def with_line_no(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files as (file, line_no, file_lines, value); line_no starts at 1.
 
-    Files are read in splits. Each row takes an id at the scan that counts up within its split;
-    a first pass that reads no text counts the lines per split, and the lines of the splits
-    before give a row its number. No line is shuffled. The split table has one row per split.
+    Files are read in splits. Each row takes an id at the scan that counts up within its split,
+    and the lines of the splits before give a row its number. Splits depend on the cores at hand,
+    which may change between two scans, so that one scan is stored and both the counts and the
+    lines come from it. No line is shuffled. The split table has one row per split.
     """
-    lines = spark.read.text(path).select(
+    lines = materialise(spark.read.text(path).select(
         unescape(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
-    )
+    ), "lines")
     blocks = lines.groupBy("file", "_block").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     of_file = Window.partitionBy("file")
@@ -78,10 +79,17 @@ def read_pairs_jsonl(
     extra: dict[str, str] | None = None,
     strict: bool = False,
     numbered: bool = False,
+    identified: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of JSONL files, with `file` and, if `numbered`, line_no and file_lines."""
-    if numbered:
+    """(rows, rejects) of JSONL files, with `file` and, if `numbered`, line_no and file_lines.
+
+    With `identified`, files of plain {input, target} lines get what later steps need: `dataset`
+    is the file, and `sample_id` the number of the line.
+    """
+    if numbered or identified:
         lines = with_line_no(spark, path)
+        if identified:
+            lines = lines.withColumns({"dataset": F.col("file"), "sample_id": F.col("line_no").cast("bigint")})
     else:
         lines = spark.read.text(path).select(unescape(F.col("_metadata.file_path")).alias("file"), "value")
     return parse_pairs(lines, extra, strict)

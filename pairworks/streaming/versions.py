@@ -12,7 +12,8 @@ class VersionedTable:
     """Version b + 1 is written by micro-batch b, from version b.
 
     A micro-batch that is run again after a failure finds its input unchanged and writes the
-    same version once more. Old versions are left for the folder's retention to remove.
+    same version once more. A version counts once it is named in the table `finished`, which is
+    written after it. Old versions are left for the folder's retention to remove.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
@@ -25,13 +26,13 @@ class VersionedTable:
 
     def put(self, batch: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/version={batch + 1}")
+        done = self.spark.range(1).select(F.lit(batch + 1).cast("int").alias("version"))
+        done.write.mode("append").parquet(f"{self.path}/finished")
 
     def latest(self) -> DataFrame:
-        """The last version, or an empty table before the first."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        """The last finished version, or an empty table before the first."""
         try:
-            number = files.load(self.path).select(
-                F.max(F.regexp_extract("path", r"/version=(\d+)/", 1).try_cast("int"))).first()[0]
+            number = self.spark.read.schema("version int").parquet(f"{self.path}/finished").agg(F.max("version")).first()[0]
         except AnalysisException:
             number = None
         return self.before(number or 0)

@@ -87,6 +87,13 @@ ORACLES["gate_files"] = """
            error_message FROM checked"""
 ORACLES["folder_inventory"] = """
     SELECT DISTINCT 'dataset' AS kind, source AS name, source = 'src3' AS selected, true AS filled FROM documents"""
+ORACLES["inspect_first"] = """
+    SELECT 'doc_id,text,lang,source,n_chars' AS columns, min(doc_id) AS first_id, arg_min(text, doc_id) AS first_text
+    FROM documents"""
+ORACLES["plain_pairs"] = """
+    SELECT source AS dataset, count(*) AS rows, CAST(greatest(1, floor(count(*) * 0.1)) AS BIGINT) AS held,
+           CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM (SELECT DISTINCT source, lang, text FROM documents WHERE trim(text) <> '') GROUP BY source"""
 ORACLES["inspect_datasets"] = """
     SELECT source, 'doc_id,text,lang,source,n_chars' AS columns, min(doc_id) AS first_id,
            arg_min(text, doc_id) AS first_text FROM documents GROUP BY source"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairworks.functions import fixed_values as fixed
 from pairworks.functions.text import sanitize_for_log, strip_fences
 from pairworks.operators import (
     catalog, clean, completion, evaluate, jobs, monitor, normalize, prepare, requests, rules,
@@ -66,6 +67,22 @@ def jsonl_rejects(spark, folder):
         rejects.select("sample_id", F.lit("").alias("input"), F.lit("").alias("target"), "error_code"))
 
 
+@query
+def plain_pairs(spark, folder):
+    """Lines of {input, target} without ids: read, cleaned and split by file and line number."""
+    path = new_path(spark, "plain")
+    fx.pairs(spark, folder).select("dataset", "input", "target").write.partitionBy("dataset").json(path)
+    rows, _ = lines.read_pairs_jsonl(spark, f"{path}/*/*.json", identified=True)
+    parted = split_stats(prepare.split_pairs(materialise(clean.clean(rows.withColumn(
+        "dataset", tables.dataset_name(F.col("file"))).withColumn("sample_id", F.concat_ws(":", "file", "line_no"))), "plain"), 0.1))
+    return parted
+
+
+def split_stats(parted):
+    return parted.groupBy("dataset").agg(F.count("*").alias("rows"), F.count_if(F.col("split") == "validation").alias("held"),
+                                         F.sum(F.length("target")).alias("chars"))
+
+
 @query
 def line_numbers(spark, folder):
     """Lines per dataset, and whether every file's numbers run from 1 to its length."""
@@ -93,7 +110,7 @@ def eval_head_lines(spark, folder):
 
 @query
 def gate_files(spark, folder):
-    accepted, rejected = files.gate_files(fx.uploads(spark, folder))
+    accepted, rejected = files.gate_files(fx.uploads(spark, folder), fixed.MAX_FILE_BYTES)
     return accepted.select("page_id", "safe_name", "collides", F.lit("").alias("error_message")).unionByName(
         rejected.select("page_id", F.lit("").alias("safe_name"), F.lit(False).alias("collides"), "error_message"))
 
@@ -116,8 +133,9 @@ def inspect_datasets(spark, folder):
 
 @query
 def inspect_first(spark, folder):
-    return tables.inspect(fx.table(spark, folder, "documents")).select(
-        F.array_join("schema", ",").alias("columns"), "sample")
+    return tables.inspect(fx.table(spark, folder, "documents").orderBy("doc_id")).select(
+        F.array_join("schema", ",").alias("columns"), F.get_json_object("sample", "$.doc_id").cast("bigint").alias("first_id"),
+        F.get_json_object("sample", "$.text").alias("first_text"))
 
 
 @query
@@ -190,7 +208,7 @@ def chat_pairs(spark, folder):
 
 @query
 def validate_requests(spark, folder):
-    accepted, rejected = requests.validate_requests(fx.requests(spark, folder))
+    accepted, rejected = requests.validate_requests(fx.requests(spark, folder), max_count=fixed.MAX_VARIATIONS)
     columns = ["page_id", "split", "model", "quantization", F.round("limit", 6).alias("limit"),
                "sharpness", "count"]
     none = F.lit("")
@@ -201,7 +219,7 @@ def validate_requests(spark, folder):
 @query
 def log_text(spark, folder):
     return fx.table(spark, folder, "documents").select(
-        "doc_id", sanitize_for_log(F.col("text")).alias("line"))
+        "doc_id", sanitize_for_log(F.col("text"), fixed.LOG_TEXT_LENGTH).alias("line"))
 
 
 # --- cleaning ---------------------------------------------------------------------------------
@@ -256,7 +274,7 @@ def _token_stats(tokens: DataFrame) -> DataFrame:
 
 @query
 def token_mask_stats(spark, folder):
-    return _token_stats(prepare.tokenize_and_mask(fx.pairs(spark, folder, spread=True), max_len=256))
+    return _token_stats(prepare.tokenize_and_mask(fx.pairs(spark, folder), max_len=256))
 
 
 @query
@@ -265,12 +283,12 @@ def loaded_tokenizer_stats(spark, folder):
         return lambda texts: [list(text.encode()) for text in texts]
 
     return _token_stats(prepare.tokenize_and_mask(
-        fx.pairs(spark, folder, spread=True), prepare.LoadedTokenizer(load, "\x00", 0), max_len=4096))
+        fx.pairs(spark, folder), prepare.LoadedTokenizer(load, "\x00", 0), max_len=4096))
 
 
 @query
 def batch_padding(spark, folder):
-    tokens = prepare.tokenize_and_mask(fx.pairs(spark, folder, spread=True), max_len=256)
+    tokens = prepare.tokenize_and_mask(fx.pairs(spark, folder), max_len=256)
     batches = prepare.make_batches(tokens, 4, pad_id=0)
 
     def cells(column: str, wanted=None):
@@ -321,7 +339,7 @@ def rule_fold_rejects(spark, folder):
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.table(spark, folder, "conversations", spread=True).select(
+    return fx.table(spark, folder, "conversations").select(
         "conv_id", "turn", F.col("text").alias("input"))
 
 
@@ -355,12 +373,12 @@ def route_chats(spark, folder):
 def variation_prompts(spark, folder):
     seeds = fx.table(spark, folder, "documents").selectExpr(
         "doc_id", "source AS seed_input", "text AS seed_output", "CAST(n_chars AS int) AS count")
-    return completion.variation_prompts(seeds)[0].select("doc_id", "count", "prompt")
+    return completion.variation_prompts(seeds, fixed.MAX_VARIATIONS)[0].select("doc_id", "count", "prompt")
 
 
 @query
 def variation_rows(spark, folder):
-    replies = fx.table(spark, folder, "documents", spread=True).selectExpr("doc_id", """
+    replies = fx.table(spark, folder, "documents").selectExpr("doc_id", """
         CASE WHEN lang = 'es' THEN 'I cannot do that'
              ELSE concat('```json\\n[', to_json(struct(source AS input, text AS target)),
                          ', {"input": "', lang, '"}]\\n```') END AS reply""")
@@ -485,8 +503,8 @@ def judge_job(spark, folder):
 # --- monitoring -------------------------------------------------------------------------------
 
 
-def _events(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
-    return fx.table(spark, folder, "events", spread)
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return fx.table(spark, folder, "events")
 
 
 def _log(events: DataFrame) -> DataFrame:
@@ -499,22 +517,22 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def parse_logs(spark, folder):
-    return _rounded(_log(_events(spark, folder, spread=True)))
+    return _rounded(_log(_events(spark, folder)))
 
 
 @query
 def latest_metrics(spark, folder):
-    return _rounded(monitor.latest_metrics(_log(_events(spark, folder, spread=True))))
+    return _rounded(monitor.latest_metrics(_log(_events(spark, folder))))
 
 
 @query
 def metric_cards(spark, folder):
-    return monitor.metric_cards(monitor.latest_metrics(_log(_events(spark, folder, spread=True))))
+    return monitor.metric_cards(monitor.latest_metrics(_log(_events(spark, folder))))
 
 
 @query
 def recent_logs(spark, folder):
-    return monitor.recent_logs(_log(_events(spark, folder, spread=True))).select("run_id", "seq", "kind", "text")
+    return monitor.recent_logs(_log(_events(spark, folder))).select("run_id", "seq", "kind", "text")
 
 
 @query
@@ -529,7 +547,7 @@ def run_status(spark, folder):
 
 @query
 def message_log(spark, folder):
-    parsed = monitor.parse_messages(fx.messages(_events(spark, folder, spread=True)))
+    parsed = monitor.parse_messages(fx.messages(_events(spark, folder)))
     return monitor.log_messages(parsed).select(
         "run_id", "seq", "type", F.round("loss", 9).alias("loss"), "step", "running", "pid", "code")
 
@@ -537,7 +555,7 @@ def message_log(spark, folder):
 @query
 def message_state(spark, folder):
     """Per run: its last status, metrics and file size, all from one log of messages."""
-    parsed = monitor.parse_messages(fx.messages(_events(spark, folder, spread=True)))
+    parsed = monitor.parse_messages(fx.messages(_events(spark, folder)))
     status = monitor.run_status(monitor.status_messages(parsed)).select("run_id", "running", "pid", "code")
     metrics = monitor.latest_metrics(parsed).select("run_id", F.round("loss", 9).alias("loss"), "step")
     sizes = monitor.latest_file_sizes(monitor.size_messages(parsed)).select(

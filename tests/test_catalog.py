@@ -53,11 +53,12 @@ BAD = [
     (dict(job="judge", limit=1.5), "Limit must be"), (dict(job="judge", sharpness=101), "Sharpness must be"),
     (dict(job="judge", sharpness=-1), "Sharpness must be"),
     (dict(job="generate", seed_input="a", seed_output="b"), "Missing fields"),
+    (dict(job="frobnicate", filename="../x"), "Unknown job"), (dict(job=None), "Unknown job"),
     (dict(job="generate", seed_input="a", seed_output="", count=3), "Missing fields"),
 ]
 GOOD = [
     (dict(job="import", repo="own-er_1/re.po-1"), {"split": "train"}),
-    (dict(job="clean", filename="here.jsonl"), {}), (dict(job="convert"), {"quantization": "q8_0", "model": "tuned"}),
+    (dict(job="clean", filename="here.jsonl", count=500), {"count": 500}), (dict(job="convert"), {"quantization": "q8_0", "model": "tuned"}),
     (dict(job="evaluate", limit=0.0), {"limit": 1.0}), (dict(job="judge"), {"limit": 0.2, "sharpness": 50}),
     (dict(job="judge", sharpness=0, limit=0.01, quantization="f16"), {"sharpness": 50, "limit": 0.01}),
     (dict(job="generate", seed_input="a", seed_output="b", count=99), {"count": 50}),
@@ -68,7 +69,7 @@ def test_requests(spark):
     rows = [tuple({**BASE, **r}.values()) for r, _ in BAD + GOOD]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"n int, {SCHEMA}")
     files = spark.createDataFrame([("here.jsonl",)], "name string")
-    accepted, rejected = Q.validate_requests(df, files)
+    accepted, rejected = Q.validate_requests(df, files, 50)
     bad = {r["n"]: r["error_message"] for r in rejected.collect()}
     assert set(bad) == set(range(len(BAD)))
     assert all(bad[i].startswith(message) for i, (_, message) in enumerate(BAD))
@@ -81,6 +82,6 @@ def test_requests_as_text(spark):
     df = spark.createDataFrame(
         [(1, "judge", "0.5x", "30"), (2, "judge", "", "30.9"), (3, "judge", "zero", "x")],
         "n int, job string, limit string, sharpness string")
-    accepted, rejected = Q.validate_requests(df)
+    accepted, rejected = Q.validate_requests(df, max_count=50)
     assert {(r["n"], r["limit"], r["sharpness"]) for r in accepted.collect()} == {(1, 0.5, 30), (2, 0.2, 30)}
     assert [r["n"] for r in rejected.collect()] == [3]

@@ -71,7 +71,7 @@ def test_http_request(monkeypatch):
 def test_variations(spark):
     seeds = spark.createDataFrame(
         [(1, "in", "out", 70), (2, "", "out", 1), (3, "in", None, 1), (4, "in", "out", 0)], SEEDS)
-    prompts, rejected = C.variation_prompts(seeds)
+    prompts, rejected = C.variation_prompts(seeds, 50)
     row = prompts.first()
     assert row["count"] == 50 and "generate 50 distinct" in row["prompt"]
     assert 'Seed Input: "in"' in row["prompt"] and '[{"input": "...", "target": "..."}, ...]' in row["prompt"]

@@ -65,7 +65,7 @@ def test_gate(spark):
         ("ok.jsonl", 5), ("a b.jsonl", 100 * mb), ("a?b.jsonl", 1), ("big.jsonl", 100 * mb + 1),
         ("x.json", 1), ("X.JSONL", 1), (None, 1),
     ], "name string, size bigint")
-    accepted, rejected = S.gate_files(df)
+    accepted, rejected = S.gate_files(df, 100 * 1024 * 1024)
     assert {(r["name"], r["safe_name"], r["collides"]) for r in accepted.collect()} == {
         ("ok.jsonl", "ok.jsonl", False), ("a b.jsonl", "a_b.jsonl", True),
         ("a?b.jsonl", "a_b.jsonl", True)}

@@ -33,7 +33,8 @@ def test_fences_go_anywhere(spark):
 def test_names_and_log_text(spark):
     assert one(spark, X.safe_file_name, "my file (é).jsonl") == "my_file____.jsonl"
     assert one(spark, X.base_name, "a/b/c.gguf") == "c.gguf"
-    assert one(spark, X.sanitize_for_log, "a\r\nb" + "x" * 600) == "a  b" + "x" * 496
+    assert one(spark, lambda c: X.sanitize_for_log(c, 500), "a\r\nb" + "x" * 600) == "a  b" + "x" * 496
+    assert one(spark, X.sanitize_for_log, "a\n" + "x" * 600) == "a " + "x" * 600
     assert X.repo_file_name("owner/name") == "owner_name.jsonl"
 
 
