@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairworks.functions.text import digest, py_strip
 from pairworks.plans.running import group_key
+from pairworks.plans.shared import materialise
 
 
 def dedupe_pairs(
@@ -14,17 +17,38 @@ def dedupe_pairs(
 ) -> DataFrame:
     """The first row by `order` of every distinct (keys, input, target), untrimmed.
 
-    Rows are grouped by a digest of the texts. Each task first reduces its own rows, so however
-    many copies a pair has, no more than one per task is shuffled. A row without an order comes
-    after all that have one; of rows with the same order any may stay.
+    Only keys, digests and orders are stored and shuffled to find the rows that go; whole rows
+    are compared with those where they lie, or meet them on (key, digest, order), which seldom
+    repeats. No text is sorted. A row without an order comes after all that have one; of copies
+    with the same order any may stay, and only such copies are reduced as whole rows.
+    `df` is read twice.
     """
-    place = F.struct(F.col(order).isNull(), F.col(order))
-    return (
-        df.groupBy(group_key(list(keys)).alias("_g"),
-                   digest(F.col("input"), F.col("target")).alias("_digest"))
-        .agg(F.min_by(F.struct(*df.columns), place).alias("_row"))
-        .select("_row.*")
-    )
+    on = ["_g", "_digest"]
+    tagged = df.withColumns({
+        "_g": group_key(list(keys)), "_digest": digest(F.col("input"), F.col("target")), "_order": F.col(order)})
+    narrow = materialise(tagged.select(*on, "_order"), "pair-digests")
+    # _first is null where no copy has an order.
+    copied = materialise(
+        narrow.groupBy(*on).agg(F.count("*").alias("_copies"), F.min("_order").alias("_first"))
+        .filter("_copies > 1").drop("_copies"), "copied-pairs")
+    copies = narrow.join(copied, on)
+    is_first = F.col("_order").eqNullSafe(F.col("_first"))
+    losers = materialise(copies.filter(~is_first).select(*on, "_order"), "lost-copies")
+    tied = materialise(
+        copies.filter(is_first).groupBy(*on).agg(F.count("*").alias("_copies"))
+        .filter("_copies > 1").select(*on), "tied-copies")
+    kept = _without(tagged, losers, [*on, "_order"])
+    if not tied.isEmpty():
+        again = kept.join(tied, on, "left_semi").dropDuplicates(on)
+        kept = kept.join(tied, on, "left_anti").unionByName(again)
+    return kept.select(*df.columns)
+
+
+def _without(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with no partner; nulls are equal."""
+    renamed = others.select(*[F.col(c).alias(f"_x{c}") for c in on])
+    return rows.join(
+        renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_x{c}")) for c in on]), "left_anti")
 
 
 def not_blank() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairworks.functions import fixed_values as fixed
 from pairworks.functions.text import fill, py_strip, strip_fences, with_json
 from pairworks.plans.ranking import at_or_before, quota_cuts, with_cuts
-from pairworks.plans.running import CHUNK
+from pairworks.plans.running import CHUNK, cut, long_keys
 
 RUN = ("model", "quantization")
 
@@ -39,14 +39,15 @@ def head_fraction(
 ) -> DataFrame:
     """The same for a table with a whole-number `order` that does not repeat within a key.
 
-    Only the chunk of positions that the share ends in is sorted; other rows are compared with
-    the row found there.
+    Only the chunk of rows that the share ends in is sorted; other rows are compared with the row
+    found there. Chunks are cut by counted rows, so sparse positions make no difference.
     """
     if not 0 < limit < 1:
         return df
     at = {"at": F.col(order)}
-    cuts = quota_cuts(df, list(keys), F.floor(F.col(order) / F.lit(chunk)), at,
-                      lambda n: _share(n, F.lit(float(limit))))
+    long = long_keys(df, list(keys), order, chunk)
+    narrow = cut(df.select(*dict.fromkeys([*keys, order])), list(keys), order, long)
+    cuts = quota_cuts(narrow, list(keys), F.col("_chunk"), at, lambda n: _share(n, F.lit(float(limit))))
     return with_cuts(df, cuts, list(keys)).filter(at_or_before(at)).select(*df.columns)
 
 

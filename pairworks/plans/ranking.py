@@ -77,7 +77,14 @@ def at_or_before(order: dict[str, Column]) -> Column:
 
 
 def with_cuts(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row with its key's cut; broadcast when the cuts are small, see `materialise`."""
+    """Every row with its key's cut; broadcast when the cuts are small, see `materialise`.
+
+    Without keys there is one cut at most: it is put into the plan as literals, without a join.
+    """
+    if not keys:
+        row = cuts.first()
+        return df.withColumns({
+            f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in cuts.schema.fields})
     return df.withColumn("_g", group_key(keys)).join(
         cuts.withColumn("_g", group_key(keys)).drop(*keys), "_g", "left").drop("_g")
 

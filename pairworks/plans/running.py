@@ -1,8 +1,8 @@
 """Ordered computations within a key that stay parallel when one key holds most rows.
 
 A plain window hands all rows of a key to one task. Keys with more than `chunk` rows are found
-first (there can be no more than rows / chunk of them) and cut along their order into chunks;
-a task then sees one chunk, and only a summary row per chunk crosses chunk borders.
+first (there can be no more than rows / chunk of them) and cut along their order, by counted rows,
+into chunks; a task then sees one chunk, and only a summary row per chunk crosses chunk borders.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairworks.plans.shared import materialise
 
 CHUNK = 1 << 20
+FEWEST_CELLS = 8
 
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 _COMBINE = {
@@ -31,33 +32,61 @@ def group_key(keys: list[str]) -> Column:
 
 def long_keys(
     df: DataFrame, keys: list[str], order: str, chunk: int = CHUNK
-) -> DataFrame | None:
-    """Keys with more than `chunk` rows, with the width of their chunks; None if there are none.
+) -> list[DataFrame] | None:
+    """Where keys with more than `chunk` rows are cut, level by level; None if there are none.
 
-    `order` is a whole number. The width makes chunks of about `chunk` rows if the order is
-    evenly filled.
+    `order` is a whole number. A long key is cut into cells of equal width, rows are counted per
+    cell, and a cell that still holds more than `chunk` rows is cut again, until none does or its
+    rows all have one order. Outliers and gaps so cost a level and never fill a chunk. There are
+    at most about max(FEWEST_CELLS, 2 * rows / chunk) cells per cell that is cut.
     """
-    span = F.col("_high") - F.col("_low") + 1
-    pieces = F.ceil(F.col("_n") / F.lit(chunk))
-    sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
-    found = sizes.filter(F.col("_n") > chunk).select(
-        group_key(keys).alias("_g"), "_low", F.ceil(span / pieces).cast("bigint").alias("_width"))
-    return None if found.isEmpty() else materialise(found, "long-keys")
+    rows = _uncut(df.select(group_key(keys).alias("_g"), F.col(order).alias("_at")))
+    cells = rows.groupBy("_g").agg(
+        F.count("*").alias("_n"), F.min("_at").cast("bigint").alias("_from"),
+        (F.max("_at") - F.min("_at") + 1).cast("bigint").alias("_span"))
+    levels: list[DataFrame] = []
+    while True:
+        step = F.expr(f"_span div greatest({FEWEST_CELLS}, 2 * _n div {chunk}) + 1")
+        level = materialise(
+            cells.filter((F.col("_n") > chunk) & (F.col("_span") > 1)).select("_g", "_from", step.alias("_step")),
+            "long-keys")
+        if level.isEmpty():
+            return levels or None
+        rows = _descend(rows, "_at", level, not levels, "inner")
+        if levels:
+            rows = materialise(rows, "long-rows")
+        levels.append(level)
+        cells = rows.groupBy("_g", F.col("_chunk").alias("_from"), F.col("_width").alias("_span")).agg(
+            F.count("*").alias("_n"))
+
+
+def _uncut(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_width": F.lit(None).cast("bigint"), "_chunk": F.lit(0).cast("bigint")})
+
+
+def _descend(rows: DataFrame, order: str, level: DataFrame, first: bool, how: str) -> DataFrame:
+    """Rows in cells that `level` cuts get the smaller cell: `_chunk`, where it starts, and `_width`.
+
+    A row without an order lies in the first cell.
+    """
+    side = level if first else level.withColumn("_chunk", F.col("_from"))
+    start = F.expr(f"_from + (CAST(`{order}` AS bigint) - _from) div _step * _step")
+    return rows.join(side, ["_g"] if first else ["_g", "_chunk"], how).withColumns({
+        "_chunk": F.coalesce(start, F.col("_from"), F.col("_chunk")),
+        "_width": F.coalesce("_step", "_width")}).drop("_from", "_step")
 
 
-def cut(df: DataFrame, keys: list[str], order: str, long: DataFrame | None) -> DataFrame:
+def cut(
+    df: DataFrame, keys: list[str], order: str, long: list[DataFrame] | None
+) -> DataFrame:
     """Adds `_g`, `_width` and `_chunk`. A key that is not long is all chunk 0, without a width.
 
-    `long` comes from `long_keys`.
+    `long` comes from `long_keys`. The chunks of a key are numbered by the order they start at.
     """
-    grouped = df.withColumn("_g", group_key(keys))
-    if long is None:
-        return grouped.withColumns(
-            {"_width": F.lit(None).cast("bigint"), "_chunk": F.lit(0).cast("bigint")})
-    place = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
-    return grouped.join(long, "_g", "left").withColumn(
-        "_chunk", F.coalesce(place, F.lit(0))).drop("_low")
+    rows = _uncut(df.withColumn("_g", group_key(keys)))
+    for number, level in enumerate(long or []):
+        rows = _descend(rows, order, level, number == 0, "left")
+    return rows
 
 
 def running(
@@ -65,7 +94,7 @@ def running(
     order: str,
     folds: dict[str, tuple[str, str]],
     inclusive: bool = True,
-    long: DataFrame | None = None,
+    long: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Adds `{out: (fold, column)}`: sum, min or max over the rows up to this one in its key.
 
@@ -94,7 +123,7 @@ def running(
 
 
 def previous(
-    chunks: DataFrame, order: str, columns: dict[str, str], long: DataFrame | None = None
+    chunks: DataFrame, order: str, columns: dict[str, str], long: list[DataFrame] | None = None
 ) -> DataFrame:
     """Adds `{out: column}`: the value in the row before this one in its key, else null.
 

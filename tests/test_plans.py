@@ -51,6 +51,23 @@ def test_previous_equals_a_loop(spark, chunk):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("orders", [
+    [0, *range(1_700_000_000_000, 1_700_000_002_000)],
+    [i * 1000 ** (i % 4) for i in range(2000)],
+    [i << 20 for i in range(2000)],
+    [2 ** (2 * k) for k in range(20)] * 20,
+])
+def test_chunks_are_cut_by_rows(spark, orders):
+    df = spark.createDataFrame([("hot", x) for x in orders] + [("cold", 5), (None, 6)], "k string, seq bigint")
+    chunks = running.cut(df, ["k"], "seq", running.long_keys(df, ["k"], "seq", 100))
+    sizes = chunks.groupBy("k", "_chunk").agg(
+        F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("k", "_chunk").collect()
+    hot = [r for r in sizes if r["k"] == "hot"]
+    assert sum(r["n"] for r in sizes) == len(orders) + 2 and len(hot) > 1
+    assert all(r["n"] <= 100 for r in hot)
+    assert all(a["high"] < b["low"] for a, b in zip(hot, hot[1:]))
+
+
 def test_running_over_everything(spark):
     df = spark.range(100).withColumnRenamed("id", "seq")
     long = running.long_keys(df, [], "seq", 9)
