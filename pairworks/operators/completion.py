@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,22 +102,51 @@ def complete_once(
     prompt: str,
     client_factory: Callable[[], Client],
     done: DataFrame | None = None,
+    path: str | None = None,
+    slices: int = 16,
     **options,
 ) -> DataFrame:
     """The same, written once; rows whose keys and prompt are already in `done` are not asked.
 
     `done` is an earlier result: its replies are kept where there is one, and failed calls are
-    made again.
+    made again. With `path` the calls are made slice by slice of the keys' hash and each slice is
+    committed there: after a failure, a run with the same rows, path and slices makes only the
+    calls of slices that are not finished. `df` is then read once per slice.
     """
     marked = df.withColumn("prompt_hash", F.sha2(F.col(prompt), 256))
     on = [*keys, "prompt_hash"]
-    if done is None:
-        return materialise(complete(marked, prompt, client_factory, **options), "replies")
-    kept = done.filter(F.col("error").isNull())
-    fresh = complete(
-        marked.join(kept.select(*on), on, "left_anti"), prompt, client_factory, **options)
-    replies = marked.join(kept.select(*on, "reply", "error"), on).unionByName(fresh)
-    return materialise(replies, "replies")
+    kept = None if done is None else done.filter(F.col("error").isNull())
+    asked = marked if kept is None else marked.join(kept.select(*on), on, "left_anti")
+    known = None if kept is None else marked.join(kept.select(*on, "reply", "error"), on)
+
+    def called(rows: DataFrame) -> DataFrame:
+        return complete(rows, prompt, client_factory, **options)
+
+    if path is None:
+        fresh = called(asked)
+        return materialise(fresh if known is None else known.unionByName(fresh), "replies")
+    fresh = _in_slices(asked, on, called, path, slices)
+    return fresh if known is None else known.unionByName(fresh)
+
+
+def _in_slices(
+    rows: DataFrame, on: list[str], called: Callable[[DataFrame], DataFrame], path: str, slices: int
+) -> DataFrame:
+    """A slice counts once it is named in the table `finished`, which is written after it."""
+    spark = rows.sparkSession
+    try:
+        listed = spark.read.schema("slice int").parquet(f"{path}/finished").collect()
+    except AnalysisException:
+        listed = []
+    finished = {r["slice"] for r in listed}
+    place = F.pmod(F.xxhash64(*on), F.lit(slices))
+    schema = called(rows).schema
+    for number in range(slices):
+        if number not in finished:
+            called(rows.filter(place == number)).write.mode("overwrite").parquet(f"{path}/slice={number}")
+            done = spark.range(1).select(F.lit(number).alias("slice"))
+            done.write.mode("append").parquet(f"{path}/finished")
+    return spark.read.schema(schema).parquet(*[f"{path}/slice={number}" for number in range(slices)])
 
 
 def variation_prompts(seeds: DataFrame, max_count: int | None = None) -> tuple[DataFrame, DataFrame]:

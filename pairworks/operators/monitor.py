@@ -48,8 +48,8 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
 def parse_messages(messages: DataFrame) -> DataFrame:
     """(run_id, seq, type and the fields of all types) of (run_id, seq, message).
 
-    A message is a JSON object {type, payload}; the type is status, train-log or file-size, and
-    fields of the other types are null. Other texts are dropped. The result serves the functions
+    A message is a JSON object {type, payload}; the fields of a type other than status, train-log
+    and file-size are null but for its text. Texts that are no such object are dropped. The result serves the functions
     below: metrics and `kind` as from `parse_log_stream`, status, and file sizes.
     """
     parsed = with_json(messages, "_json", F.col("message"))
@@ -59,7 +59,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
     words = ("message", "stderr", "error", "raw")
     return parsed.withColumn("type", F.try_variant_get("_json", "$.type", "string")).filter(
-        F.col("type").isin("status", "train-log", "file-size")
+        F.col("type").isNotNull()
     ).select(
         "run_id", "seq", "type",
         *[field(m, "double").alias(m) for m in METRICS], field("step", "bigint").alias("step"),

@@ -76,33 +76,34 @@ class WhitespaceTokenizer:
     def encode(self, text: Column, limit: int) -> Column:
         return F.transform(self.words(text, limit), self.number)
 
-    def encode_closed(self, text: Column, limit: int) -> Column:
-        closed = F.concat(self.encode(text, limit), F.array(F.lit(self.eos_id)))
-        return F.slice(closed, 1, limit)
+    def encode_pair(self, asked: Column, answered: Column, limit: int) -> Column:
+        """ids of `answered` and the end token, at most `limit`, and how many ids `asked` has up to `limit`."""
+        closed = F.concat(self.encode(answered, limit), F.array(F.lit(self.eos_id)))
+        return F.struct(F.slice(closed, 1, limit).alias("ids"), F.size(self.encode(asked, limit)).alias("asked"))
 
 
 class LoadedTokenizer:
     """A tokenizer that `load` returns, loaded once per Python worker.
 
-    `load()` gives a function from texts to id lists; `eos` is the end token's text.
+    `load()` gives a function from texts to id lists; `eos` is the end token's text. Both texts of
+    a row go to Python together, and ids beyond the limit do not come back.
     """
 
     def __init__(self, load: Callable[[], Encoder], eos: str, eos_id: int):
-        self.eos, self.eos_id = eos, eos_id
+        self.load, self.eos, self.eos_id = load, eos, eos_id
 
-        @F.pandas_udf("array<int>")
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode = load()
-            for texts in batches:
-                yield pd.Series(encode(texts.tolist()), index=texts.index, dtype=object)
-
-        self._ids = ids
+    def encode_pair(self, asked: Column, answered: Column, limit: int) -> Column:
+        load = self.load
 
-    def encode(self, text: Column, limit: int) -> Column:
-        return F.slice(self._ids(text), 1, limit)
+        @F.pandas_udf("ids array<int>, asked int")
+        def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            encode = load()
+            for prompts, texts in batches:
+                ids = [list(found[:limit]) for found in encode(texts.tolist())]
+                lengths = [min(len(found), limit) for found in encode(prompts.tolist())]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "asked": pd.Series(lengths, dtype="int32")})
 
-    def encode_closed(self, text: Column, limit: int) -> Column:
-        return self.encode(F.concat(text, F.lit(self.eos)), limit)
+        return pairs(asked, F.concat(answered, F.lit(self.eos)))
 
 
 def tokenize_and_mask(
@@ -116,12 +117,11 @@ def tokenize_and_mask(
     tokenizer = tokenizer or WhitespaceTokenizer()
     asked = prompt(F.col("input"))
     answered = F.concat(asked, F.lit(" "), F.col("target"))
-    ids, shown = F.col("input_ids"), F.col("_prompt_len")
+    ids, shown = F.col("input_ids"), F.least(F.col("_pair.asked"), F.lit(max_len))
     return (
-        df.withColumn("_ids", tokenizer.encode_closed(answered, max_len + 1))
+        df.withColumn("_pair", tokenizer.encode_pair(asked, answered, max_len + 1))
         .withColumns({
-            "input_ids": F.slice("_ids", 1, max_len), "truncated": F.size("_ids") > max_len})
-        .withColumn("_prompt_len", F.size(tokenizer.encode(asked, max_len)))
+            "input_ids": F.slice("_pair.ids", 1, max_len), "truncated": F.size("_pair.ids") > max_len})
         .withColumns({
             "labels": F.transform(
                 ids, lambda x, i: F.when(i < shown, fixed.IGNORED_LABEL).otherwise(x)),
@@ -129,7 +129,7 @@ def tokenize_and_mask(
             "n_trainable": F.greatest(F.size(ids) - shown, F.lit(0)),
         })
         .withColumn("dead", F.col("n_trainable") == 0)
-        .drop("_prompt_len", "_ids")
+        .drop("_pair")
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
-from pyspark.errors import PySparkException
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,18 +205,17 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
 
 
 def valid_patterns(spark: SparkSession, patterns: list[str]) -> list[bool]:
-    """Which patterns compile. Tested together; on failure each half is tested again."""
-    if not patterns:
-        return []
-    try:
-        spark.sql("SELECT 1").select(*[
-            F.lit("").rlike(p).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
-        return [True] * len(patterns)
-    except PySparkException:
-        if len(patterns) == 1:
-            return [False]
-        half = len(patterns) // 2
-        return valid_patterns(spark, patterns[:half]) + valid_patterns(spark, patterns[half:])
+    """Which patterns compile; asked of the driver's Java, without a job."""
+    java = spark._jvm.java.util.regex.Pattern
+
+    def compiles(pattern: str) -> bool:
+        try:
+            java.compile(pattern)
+        except IllegalArgumentException:
+            return False
+        return True
+
+    return [compiles(p) for p in patterns]
 
 
 def _pattern(rule: Row) -> str:
@@ -239,19 +238,26 @@ def match_regex(
     The rules of a pass become one COALESCE, so a row stops at its first match, nothing is joined
     and every pattern is compiled once per task. `exact` names a column with the exact match, past
     which no regex needs to be tried. A pattern that does not compile is rejected and skipped.
+    With more rules than one pass takes, the inputs are stored once; later passes read only the
+    texts of rows without a match and store row numbers, which meet the whole rows at the end.
     """
     spark = inputs.sparkSession
-    found = inputs.withColumn("regex_ord", F.lit(None).cast("bigint"))
     rejected: list[tuple] = []
-    for number, some in enumerate(_regex_passes(rules)):
-        if number:
-            found = materialise(found, "regex-pass")
-        valid = valid_patterns(spark, [_pattern(r) for r in some])
-        rejected += [
-            (r["rule_ord"], r["id"], r["trigger"]) for r, ok in zip(some, valid) if not ok]
-        usable = [r for r, ok in zip(some, valid) if ok]
-        if usable:
-            found = found.withColumn("regex_ord", _first_regex(usable, column, exact))
+
+    def usable() -> Iterator[list[Row]]:
+        for some in _regex_passes(rules):
+            valid = valid_patterns(spark, [_pattern(r) for r in some])
+            rejected.extend((r["rule_ord"], r["id"], r["trigger"]) for r, ok in zip(some, valid) if not ok)
+            if any(valid):
+                yield [r for r, ok in zip(some, valid) if ok]
+
+    passes = usable()
+    first, second = next(passes, None), next(passes, None)
+    if second is None:
+        found = inputs.withColumn(
+            "regex_ord", _first_regex(first, column, exact) if first else F.lit(None).cast("bigint"))
+    else:
+        found = _in_passes(inputs, chain([first, second], passes), column, exact)
     rejects = spark.createDataFrame(
         rejected, "rule_ord bigint, id string, trigger string"
     ).withColumns({"error_code": F.lit("INVALID_INPUT"),
@@ -259,8 +265,23 @@ def match_regex(
     return found, rejects
 
 
+def _in_passes(
+    inputs: DataFrame, passes: Iterable[list[Row]], column: str, exact: str | None
+) -> DataFrame:
+    stored = materialise(inputs.withColumn("_regex_row", F.monotonically_increasing_id()), "regex-inputs")
+    texts = stored.select("_regex_row", *dict.fromkeys([column, exact] if exact else [column]))
+    matched = None
+    for some in passes:
+        left = texts if matched is None else texts.join(matched, "_regex_row", "left_anti")
+        hits = materialise(
+            left.select("_regex_row", _first_regex(some, column, exact).alias("regex_ord"))
+            .filter("regex_ord IS NOT NULL"), "regex-hits")
+        matched = hits if matched is None else matched.unionByName(hits)
+    return stored.join(matched, "_regex_row", "left").drop("_regex_row")
+
+
 def _first_regex(some: list[Row], column: str, exact: str | None) -> Column:
-    """The first of some regex rules that is found, after those of earlier passes.
+    """The first of some regex rules that is found.
 
     Inside a lambda the texts of the up to four flag combinations are made once per row, and an
     expression of any length needs no generated code.
@@ -268,13 +289,13 @@ def _first_regex(some: list[Row], column: str, exact: str | None) -> Column:
     used = sorted({(r["_ws"], r["_ci"]) for r in some})
     past = F.coalesce(F.col(exact), F.lit(2**63 - 1)) if exact else F.lit(2**63 - 1)
     seen = F.struct(
-        F.col("regex_ord").alias("found"), past.alias("past"),
+        past.alias("past"),
         *[normalised(F.col(column), ws, ci).alias(f"text{i}") for i, (ws, ci) in enumerate(used)])
 
     def search(row: Column) -> Column:
         texts = {flags: row[f"text{i}"] for i, flags in enumerate(used)}
         past = row["past"]
-        return F.coalesce(row["found"], *[
+        return F.coalesce(*[
             F.when((past > rule["rule_ord"]) & texts[rule["_ws"], rule["_ci"]].rlike(_pattern(rule)),
                    F.lit(rule["rule_ord"]).cast("bigint"))
             for rule in some])
@@ -314,11 +335,14 @@ def route_chats(
 ) -> DataFrame:
     """(conv_id, route, matched_id, input, envelope) for chats as (conv_id, turn, role, text).
 
-    The last message is matched. A match is answered with a completion envelope; other chats
+    The last message is matched; a turn must not repeat within a chat. Texts are not sorted to find
+    it: turns are compared first, and whole messages meet the last turns. A match is answered with a completion envelope; other chats
     have the route 'upstream' and go to `complete`.
     """
-    last = messages.groupBy("conv_id").agg(F.max_by("text", "turn").alias("input"))
-    return _routed(last, rules, model, id_prefix, created)
+    ends = messages.groupBy(F.col("conv_id").alias("_conv")).agg(F.max("turn").alias("_end"))
+    last = messages.join(
+        ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_end")), "left_semi")
+    return _routed(last.select("conv_id", F.col("text").alias("input")), rules, model, id_prefix, created)
 
 
 def route_requests(

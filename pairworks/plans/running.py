@@ -42,13 +42,13 @@ def long_keys(
     """
     rows = _uncut(df.select(group_key(keys).alias("_g"), F.col(order).alias("_at")))
     cells = rows.groupBy("_g").agg(
-        F.count("*").alias("_n"), F.min("_at").cast("bigint").alias("_from"),
+        F.count("*").alias("_n"), F.min("_at").cast("bigint").alias("_cell_start"),
         (F.max("_at") - F.min("_at") + 1).cast("bigint").alias("_span"))
     levels: list[DataFrame] = []
     while True:
         step = F.expr(f"_span div greatest({FEWEST_CELLS}, 2 * _n div {chunk}) + 1")
         level = materialise(
-            cells.filter((F.col("_n") > chunk) & (F.col("_span") > 1)).select("_g", "_from", step.alias("_step")),
+            cells.filter((F.col("_n") > chunk) & (F.col("_span") > 1)).select("_g", "_cell_start", step.alias("_cell_width")),
             "long-keys")
         if level.isEmpty():
             return levels or None
@@ -56,7 +56,7 @@ def long_keys(
         if levels:
             rows = materialise(rows, "long-rows")
         levels.append(level)
-        cells = rows.groupBy("_g", F.col("_chunk").alias("_from"), F.col("_width").alias("_span")).agg(
+        cells = rows.groupBy("_g", F.col("_chunk").alias("_cell_start"), F.col("_width").alias("_span")).agg(
             F.count("*").alias("_n"))
 
 
@@ -69,11 +69,11 @@ def _descend(rows: DataFrame, order: str, level: DataFrame, first: bool, how: st
 
     A row without an order lies in the first cell.
     """
-    side = level if first else level.withColumn("_chunk", F.col("_from"))
-    start = F.expr(f"_from + (CAST(`{order}` AS bigint) - _from) div _step * _step")
+    side = level if first else level.withColumn("_chunk", F.col("_cell_start"))
+    start = F.expr(f"_cell_start + (CAST(`{order}` AS bigint) - _cell_start) div _cell_width * _cell_width")
     return rows.join(side, ["_g"] if first else ["_g", "_chunk"], how).withColumns({
-        "_chunk": F.coalesce(start, F.col("_from"), F.col("_chunk")),
-        "_width": F.coalesce("_step", "_width")}).drop("_from", "_step")
+        "_chunk": F.coalesce(start, F.col("_cell_start"), F.col("_chunk")),
+        "_width": F.coalesce("_cell_width", "_width")}).drop("_cell_start", "_cell_width")
 
 
 def cut(

@@ -32,14 +32,19 @@ def inspect_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def write_pairs_jsonl(
-    df: DataFrame, path: str, partition: str | None = "dataset", rebalance: bool = True
+    df: DataFrame, path: str, partition: str | None = "dataset", rebalance: bool = True,
+    order: str | None = None,
 ) -> None:
     """One JSON object per line, one folder per dataset; only datasets in `df` are replaced.
 
     Rebalancing gathers the rows of small datasets, so that not every task writes a file for
-    every dataset, and splits large datasets over many tasks and files.
+    every dataset, and splits large datasets over many tasks and files. With `order` the lines of
+    a dataset rise by it, from file to file by name, and large datasets are split by its ranges.
     """
-    if rebalance:
+    if order:
+        sorting = [partition, order] if partition else [order]
+        df = df.repartitionByRange(*sorting).sortWithinPartitions(*sorting)
+    elif rebalance:
         df = df.hint("rebalance", partition) if partition else df.hint("rebalance")
     writer = df.write.mode("overwrite").option("ignoreNullFields", "false")
     if partition:

@@ -103,7 +103,7 @@ def log_lines(events: DataFrame) -> DataFrame:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """Events as messages of the three types; errors become texts that are no message."""
+    """Events as messages; errors become a message of another type, or texts that are none."""
     return events.selectExpr(
         "user_id AS run_id", "event_id AS seq",
         """CASE event_type
@@ -112,7 +112,8 @@ def messages(events: DataFrame) -> DataFrame:
              WHEN 'click' THEN concat('{"type": "train-log", "payload": {"loss": ', value, ', "step": ', event_id, '}}')
              WHEN 'view' THEN concat('{"type": "file-size", "payload": {"file": "', user_id, '.gguf", "size": ',
                                      event_id * 1000, ', "timestamp": ', 1700000000000 + event_id, '}}')
-             ELSE concat('{"type": "train-log", "payload": ', event_id) END AS message""")
+             ELSE CASE WHEN event_id % 2 = 0 THEN concat('{"type": "system", "payload": {"message": "m', event_id, '"}}')
+                       ELSE concat('{"type": "train-log", "payload": ', event_id) END END AS message""")
 
 
 def status_events(events: DataFrame) -> DataFrame:

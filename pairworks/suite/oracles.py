@@ -87,6 +87,9 @@ ORACLES["gate_files"] = """
            error_message FROM checked"""
 ORACLES["folder_inventory"] = """
     SELECT DISTINCT 'dataset' AS kind, source AS name, source = 'src3' AS selected, true AS filled FROM documents"""
+ORACLES["jsonl_order"] = """
+    SELECT source AS dataset, doc_id AS sample_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position
+    FROM documents"""
 ORACLES["inspect_first"] = """
     SELECT 'doc_id,text,lang,source,n_chars' AS columns, min(doc_id) AS first_id, arg_min(text, doc_id) AS first_text
     FROM documents"""
@@ -240,6 +243,9 @@ ORACLES["match_exact"] = f"""
     SELECT m.conv_id, m.turn, e.ord AS exact_ord FROM conversations m LEFT JOIN ({EXACT}) e USING (conv_id, turn)"""
 ORACLES["match_regex"] = f"""
     SELECT m.conv_id, m.turn, x.ord AS regex_ord FROM conversations m LEFT JOIN ({REGEX}) x USING (conv_id, turn)"""
+ORACLES["match_regex_rejects"] = """
+    SELECT s_suppkey AS rule_ord, 'regex-' || s_suppkey AS id, s_name || CASE s_suppkey % 3 WHEN 0 THEN '(' ELSE '[a' END AS trigger,
+           'INVALID_INPUT' AS error_code FROM supplier WHERE s_suppkey % 3 < 2"""
 ORACLES["resolve_rules"] = f"SELECT conv_id, turn, matched_ord, matched_id, response FROM ({RESOLVED})"
 ORACLES["route_chats"] = f"""
     SELECT conv_id, CASE WHEN matched_ord IS NULL THEN 'upstream' ELSE 'rule' END AS route, matched_id, text AS input,
@@ -383,13 +389,14 @@ ORACLES["run_status"] = """
     FROM events WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY user_id"""
 ORACLES["stream_run_status"] = ORACLES["run_status"]
 ORACLES["message_log"] = """
-    SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'train-log' ELSE 'status' END AS type,
+    SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'train-log' WHEN 'error' THEN 'system' ELSE 'status' END AS type,
+           CASE event_type WHEN 'error' THEN 'm' || event_id END AS text,
            CASE event_type WHEN 'click' THEN round(value, 9) END AS loss,
            CASE event_type WHEN 'click' THEN event_id END AS step,
            CASE event_type WHEN 'signup' THEN true WHEN 'purchase' THEN false END AS running,
            CASE event_type WHEN 'signup' THEN event_id::INTEGER END AS pid,
            CASE event_type WHEN 'purchase' THEN (event_id % 3)::INTEGER END AS code
-    FROM events WHERE event_type IN ('signup', 'purchase', 'click')"""
+    FROM events WHERE event_type IN ('signup', 'purchase', 'click') OR event_type = 'error' AND event_id % 2 = 0"""
 ORACLES["message_state"] = """
     SELECT * FROM (
       SELECT user_id AS run_id, arg_max(event_type, event_id) = 'signup' AS running,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
@@ -55,6 +55,22 @@ def jsonl_round_trip(spark, folder):
         "NULL AS sample_id", "error_code AS dataset", "value AS input", "NULL AS target"))
 
 
+@query
+def jsonl_order(spark, folder):
+    """Where each pair stands in the files of its dataset, written in order."""
+    path = new_path(spark, "jsonl")
+    pairs = fx.table(spark, folder, "documents").selectExpr(
+        "source AS dataset", "doc_id AS sample_id", "lang AS input", "text AS target")
+    tables.write_pairs_jsonl(pairs, path, order="sample_id")
+    rows, _ = lines.read_pairs_jsonl(spark, f"{path}/*/*.json", extra={"sample_id": "bigint"}, numbered=True)
+    rows = rows.withColumn("dataset", tables.dataset_name(F.col("file")))
+    earlier = Window.partitionBy("dataset").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.select("dataset", "file", "file_lines").distinct().select(
+        "file", F.coalesce(F.sum("file_lines").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(offsets, "file").select(
+        "dataset", "sample_id", (F.col("before") + F.col("line_no")).alias("position"))
+
+
 @query
 def jsonl_rejects(spark, folder):
     """Lines of which some are cut off, blank or followed by more."""
@@ -353,6 +369,17 @@ def match_regex(spark, folder):
     return rules.match_regex(_messages(spark, folder), fx.rules(spark, folder))[0].drop("input")
 
 
+@query
+def match_regex_rejects(spark, folder):
+    """Of rules of which two thirds do not compile, those; the supplier names are the patterns."""
+    made = fx.table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS rule_ord", "concat('regex-', s_suppkey) AS id",
+        "concat(s_name, CASE s_suppkey % 3 WHEN 0 THEN '(' WHEN 1 THEN '[a' ELSE '' END) AS trigger",
+        "named_struct('type', 'regex', 'case_insensitive', false, 'normalize_ws', false) AS match",
+        "'answer' AS response", "true AS enabled")
+    return rules.match_regex(_messages(spark, folder), made)[1].drop("error_message")
+
+
 @query
 def resolve_rules(spark, folder):
     return rules.resolve(_messages(spark, folder), fx.rules(spark, folder))[0].drop("input")
@@ -549,7 +576,7 @@ def run_status(spark, folder):
 def message_log(spark, folder):
     parsed = monitor.parse_messages(fx.messages(_events(spark, folder)))
     return monitor.log_messages(parsed).select(
-        "run_id", "seq", "type", F.round("loss", 9).alias("loss"), "step", "running", "pid", "code")
+        "run_id", "seq", "type", "text", F.round("loss", 9).alias("loss"), "step", "running", "pid", "code")
 
 
 @query

@@ -44,6 +44,34 @@ def test_finished_calls_are_not_made_again(spark, echo):
     assert replies == {1: "a|0.1|300", 2: None, 3: "new|0.9|300", 4: "d|0.9|300"}
 
 
+def test_a_run_that_breaks_off_keeps_its_finished_slices(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    broken.touch()
+
+    def client():
+        def call(prompt, temperature, timeout):
+            if prompt == "p7" and broken.exists():
+                raise SystemExit("lost")
+            with calls.open("a") as log:
+                log.write(prompt + "\n")
+            return prompt.upper()
+        return call
+
+    df = spark.range(20).selectExpr("id AS n", "concat('p', id) AS prompt")
+    path = str(tmp_path / "replies")
+    run = lambda: C.complete_once(df, ["n"], "prompt", client, path=path, slices=5)
+    with pytest.raises(Exception):
+        run().count()
+    finished = {r["slice"] for r in spark.read.parquet(f"{path}/finished").collect()} if (tmp_path / "replies/finished").exists() else set()
+    kept = {r["prompt"] for n in finished for r in spark.read.parquet(f"{path}/slice={n}").collect()}
+    broken.unlink()
+    calls.write_text("")
+    assert {(r["n"], r["reply"]) for r in run().collect()} == {(i, f"P{i}") for i in range(20)}
+    assert sorted(calls.read_text().split()) == sorted({f"p{i}" for i in range(20)} - kept)
+    calls.write_text("")
+    assert run().count() == 20 and not calls.read_text()
+
+
 @pytest.mark.parametrize("status,body", [
     (500, "oops"), (200, "{}"), (200, '{"choices": []}'), (200, '{"choices": [{}]}'),
     (200, '{"choices": [{"message": {"content": ""}}]}'), (200, "not json")])

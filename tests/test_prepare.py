@@ -68,8 +68,12 @@ def test_loaded_tokenizer(spark, tmp_path):
         return lambda texts: [e.ids for e in loaded.encode_batch(texts)]
 
     df = spark.createDataFrame([("a", "b")], "input string, target string")
-    row = P.tokenize_and_mask(df, P.LoadedTokenizer(load, "</s>", 1)).first()
+    made = P.tokenize_and_mask(df, P.LoadedTokenizer(load, "</s>", 1))
+    row = made.first()
     assert row["input_ids"] == [2, 3, 5, 4, 3, 6, 1] and row["labels"] == [-100] * 5 + [6, 1]
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    short = P.tokenize_and_mask(df, P.LoadedTokenizer(load, "</s>", 1), max_len=4).first()
+    assert short["input_ids"] == [2, 3, 5, 4] and short["truncated"] and short["dead"]
 
 
 @pytest.mark.parametrize("block_rows", [5, 60, 100_000])

@@ -206,7 +206,21 @@ def test_routes(spark):
         (2, "INVALID_INPUT"), (3, "INVALID_INPUT")}
 
 
-def test_patterns_are_checked_in_halves(spark):
+def test_passes_store_the_inputs_once(spark, monkeypatch):
+    stored = []
+    real = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, label, *more: stored.append(label) or real(df, label, *more))
+    monkeypatch.setattr(R, "REGEXES_PER_PASS", 2)
+    made = [rule(i, f"^{i}$", "regex") for i in range(11)]
+    inputs = spark.createDataFrame([(i % 13, str(i % 13)) for i in range(40)], "n int, input string")
+    got, _ = R.match_regex(inputs, spark.createDataFrame(made, R.RULE_SCHEMA))
+    assert sorted(tuple(r) for r in got.select("n", "regex_ord").collect() if r["n"] < 11) == sorted(
+        (i % 13, i % 13) for i in range(40) if i % 13 < 11)
+    assert got.filter("regex_ord IS NULL").count() == sum(i % 13 > 10 for i in range(40))
+    assert stored.count("regex-inputs") == 1 and stored.count("regex-hits") == 6
+
+
+def test_patterns_are_checked(spark):
     patterns = ["a", "(", "b+", "[z", "c"]
     assert R.valid_patterns(spark, patterns) == [True, False, True, False, True]
     assert R.valid_patterns(spark, []) == []
