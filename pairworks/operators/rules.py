@@ -25,6 +25,7 @@ _MATCH_JSON = (
     "caseInsensitive boolean, normalizeWhitespace boolean"
 )
 REGEXES_PER_PASS = 500
+RULES_TO_BROADCAST = 1_000_000
 _COMBINATIONS = [(ws, ci) for ws in (False, True) for ci in (False, True)]
 
 
@@ -80,9 +81,7 @@ def apply_rule_changes(
         "id", _as_body().alias("body"), F.col("created_at").alias("_created"),
         F.lit(True).alias("_earlier"))
     later = changes.select(
-        "seq", "ts", "op", F.coalesce("id", F.when(
-            F.col("op") == "POST", F.coalesce(F.col("body")["id"], F.sha2(F.col("seq").cast("string"), 256))
-        )).alias("id"),
+        "seq", "ts", "op", _change_id().alias("id"),
         F.coalesce("body", F.create_map().cast("map<string,string>")).alias("body"),
         F.col("ts").alias("_created"), F.lit(False).alias("_earlier"))
     log = earlier.unionByName(later).withColumn("_problem", _problem())
@@ -116,6 +115,17 @@ def apply_rule_changes(
     return _merge(slotted.filter("_found")), invalid.unionByName(missing)
 
 
+def changed_ids(changes: DataFrame) -> DataFrame:
+    """The ids of the rules that a change log may touch."""
+    return changes.select(_change_id().alias("id")).filter("id IS NOT NULL").distinct()
+
+
+def _change_id() -> Column:
+    """The id a change names; a POST may name it in its body or leave it to be made."""
+    made = F.coalesce(F.col("body")["id"], F.sha2(F.col("seq").cast("string"), 256))
+    return F.coalesce("id", F.when(F.col("op") == "POST", made))
+
+
 def _problem() -> Column:
     op = F.col("op")
     return (
@@ -167,6 +177,10 @@ def normalised(text: Column, normalize_ws: bool, case_insensitive: bool) -> Colu
     return F.lower(text) if case_insensitive else text
 
 
+def _digest(text: Column, normalize_ws: bool, case_insensitive: bool) -> Column:
+    return F.unhex(F.sha2(normalised(text, normalize_ws, case_insensitive), 256))
+
+
 def _flags(rules: DataFrame, kind: str) -> DataFrame:
     """The enabled rules of a kind with their two flags; absent flags are off."""
     return rules.filter(F.col("enabled") & (F.col("match.type") == kind)).select(
@@ -179,17 +193,18 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
     """Adds `exact_ord`: the first exact rule that equals the text under the rule's flags.
 
     Of the rules with one key only the first can win, so each of the up to four flag
-    combinations in use is a join that finds at most one rule per row. The rules are a stored
-    table: broadcast while small, and a sort-merge join beyond that.
+    combinations in use is a join that finds at most one rule per row. Keys are digests, so a
+    rule is a few dozen bytes whatever its text: the stored table is broadcast up to a counted
+    million rules, and joined by sort-merge beyond that.
     """
     exact = _flags(rules, "exact")
     key = F.coalesce(*[
-        F.when((F.col("_ws") == ws) & (F.col("_ci") == ci), normalised(F.col("trigger"), ws, ci))
+        F.when((F.col("_ws") == ws) & (F.col("_ci") == ci), _digest(F.col("trigger"), ws, ci))
         for ws, ci in _COMBINATIONS])
     wins = materialise(
         exact.withColumn("_key", key).filter(F.col("_key").isNotNull())
         .groupBy("_ws", "_ci", "_key").agg(F.min("rule_ord").alias("_ord")),
-        "exact-rules",
+        "exact-rules", RULES_TO_BROADCAST,
     )
     used = {(r["_ws"], r["_ci"]) for r in wins.select("_ws", "_ci").distinct().collect()}
     found = inputs
@@ -198,7 +213,7 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
         side = wins.filter((F.col("_ws") == ws) & (F.col("_ci") == ci)).select(
             F.col("_key").alias(f"_key{i}"), F.col("_ord").alias(f"_ord{i}"))
         found = found.join(
-            side, normalised(F.col(column), ws, ci) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
+            side, _digest(F.col(column), ws, ci) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
         ords.append(F.col(f"_ord{i}"))
     first = F.least(*ords) if len(ords) > 1 else ords[0] if ords else F.lit(None).cast("bigint")
     return found.select(*inputs.columns, first.alias("exact_ord"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_to_delete: ContextVar[list[str] | None] = ContextVar("_to_delete", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pairworks/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pairworks/{label}-{uuid.uuid4().hex}"
+    if (within := _to_delete.get()) is not None:
+        within.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators stored on the way inside it, in this thread.
+
+    For work that ends with a write: frames that are still to be computed may read those tables.
+    """
+    paths: list[str] = []
+    token = _to_delete.set(paths)
+    try:
+        yield
+    finally:
+        _to_delete.reset(token)
+        for path in paths:
+            delete_folder(spark, path)
 
 
 def materialise(df: DataFrame, label: str, broadcast_rows: int = 0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 `parse_log_stream`, `latest_metrics`, `latest_file_sizes` and `run_status` take streaming frames
 as they are. All order by a position in the data, so late and repeated rows change nothing, and
-no watermark is needed for right results.
+no watermark is needed for right results. The price is a state row per run or file for as long as
+the stream lives.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairworks.functions import fixed_values as fixed
 from pairworks.operators.monitor import recent_logs
+from pairworks.plans.shared import materialise, temporary_tables
 from pairworks.streaming.versions import VersionedTable
 
 LINE_SCHEMA = "run_id string, seq bigint, line string, channel string"
@@ -25,11 +27,14 @@ def read_log_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA) ->
 def start_table(
     df: DataFrame, table: VersionedTable, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Keeps the result of a streaming aggregation in `table`."""
+    """Keeps the result of a streaming aggregation in `table`, whose keys are those of the groups.
+
+    A micro-batch writes the groups it changed and no others.
+    """
     def put(batch: DataFrame, number: int) -> None:
         table.put(number, batch)
 
-    writer = df.writeStream.outputMode("complete").foreachBatch(put).option(
+    writer = df.writeStream.outputMode("update").foreachBatch(put).option(
         "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -41,14 +46,17 @@ def start_recent_logs(
     n: int = fixed.LOG_TAIL,
     once: bool = False,
 ) -> StreamingQuery:
-    """Keeps the last n events of every run in `table`.
+    """Keeps the last n events of every run in `table`, whose key is run_id.
 
     A micro-batch is cut to n rows per run before it meets the kept ones, so a run that floods
-    the log costs no more than n rows per task in the shuffle.
+    the log costs no more than n rows per task in the shuffle. Runs without new events are neither
+    shuffled nor written.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        kept = table.before(number)
-        table.put(number, recent_logs(kept.unionByName(batch.select(*kept.columns)), n))
+        with temporary_tables(table.spark):
+            new = materialise(recent_logs(batch.select(*table.schema.names), n), "newest-logs")
+            kept = table.touching(table.before(number), new)
+            table.put(number, recent_logs(kept.unionByName(new), n))
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from pairworks.operators.rules import apply_rule_changes, route_requests
+from pairworks.operators.rules import apply_rule_changes, changed_ids, route_requests
+from pairworks.plans.shared import materialise, temporary_tables
 from pairworks.streaming.versions import VersionedTable
 
 
 def start_rule_changes(
     changes: DataFrame, table: VersionedTable, rejects: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Applies each micro-batch to the rules in `table`; rejects go to a folder per micro-batch.
+    """Applies each micro-batch to the rules in `table`, whose key is id; rejects go to a folder per
+    micro-batch. Rules of other ids are neither shuffled nor written.
 
     Later micro-batches must hold later `seq`s.
     """
     def apply(batch: DataFrame, number: int) -> None:
-        rules, refused = apply_rule_changes(table.before(number), batch)
-        refused.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        table.put(number, rules)
+        with temporary_tables(table.spark):
+            new = materialise(batch, "rule-changes")
+            touched = changed_ids(new)
+            rules, refused = apply_rule_changes(table.touching(table.before(number), touched), new)
+            refused.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+            table.put(number, rules, touched)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -30,9 +35,10 @@ def start_routing(
 ) -> StreamingQuery:
     """Routes chat requests; each micro-batch reads the rules anew."""
     def route(batch: DataFrame, number: int) -> None:
-        routed, refused = route_requests(batch, table.latest())
-        routed.write.mode("overwrite").parquet(f"{output}/routed/batch={number}")
-        refused.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
+        with temporary_tables(table.spark):
+            routed, refused = route_requests(batch, table.latest())
+            routed.write.mode("overwrite").parquet(f"{output}/routed/batch={number}")
+            refused.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
 
     writer = requests.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

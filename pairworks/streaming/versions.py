@@ -1,38 +1,108 @@
-"""A small table that a stream replaces as a whole, once per micro-batch."""
+"""A table that a stream keeps up to date by writing the keys it changed."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructType
+
+from pairworks.plans.shared import delete_folder
+
+FOLD = 20
 
 
 class VersionedTable:
-    """Version b + 1 is written by micro-batch b, from version b.
+    """Micro-batch b writes version b + 1: all rows that the keys it touched have from then on.
+
+    A key's rows are those of its last version; a key that lost all its rows is marked as gone.
+    Every `fold` versions the whole table is written as well, and all versions before the whole
+    one before that are deleted. So neither files nor the rows to read grow with the number of
+    micro-batches, and readers may lag by `fold` versions.
 
-    A micro-batch that is run again after a failure finds its input unchanged and writes the
-    same version once more. A version counts once it is named in the table `finished`, which is
-    written after it. Old versions are left for the folder's retention to remove.
+    A version counts once the table `finished` names its folder, which is written last. An attempt
+    has a folder of its own: running a micro-batch again changes no files under its readers, and
+    finds its input as it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, keys: Sequence[str],
+                 fold: int = FOLD):
+        self.spark, self.path, self.keys, self.fold = spark, path, list(keys), fold
+        self.schema = spark.createDataFrame([], schema).schema
+        self._stored = StructType([*self.schema.fields]).add("_gone", BooleanType()).add("_version", IntegerType())
 
     def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={batch}")
-
-    def put(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/version={batch + 1}")
-        done = self.spark.range(1).select(F.lit(batch + 1).cast("int").alias("version"))
-        done.write.mode("append").parquet(f"{self.path}/finished")
+        """The table as micro-batch `batch` finds it."""
+        return self._at(batch)
 
     def latest(self) -> DataFrame:
-        """The last finished version, or an empty table before the first."""
+        """The table after the last finished version; empty before the first."""
+        return self._at(None)
+
+    def put(self, batch: int, rows: DataFrame, touched: DataFrame | None = None) -> None:
+        """Writes the rows of the keys that `batch` changed; `touched` names keys that may have none left."""
+        version = batch + 1
+        path = self._folder(version)
+        rows.select(*self.schema.names, F.lit(False).alias("_gone"), F.lit(version).alias("_version")).write.parquet(path)
+        if touched is not None:
+            written = self.spark.read.schema(self._stored).parquet(path)
+            gone = touched.select(*self.keys).distinct().join(self._renamed(written).distinct(), self._same_key(), "left_anti")
+            others = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name not in self.keys]
+            gone.select(*self.keys, *others, F.lit(True).alias("_gone"), F.lit(version).alias("_version")).select(
+                *self._stored.names).write.mode("append").parquet(path)
+        self._finish(version, path, whole=False)
+        if version % self.fold == 0:
+            path = self._folder(version)
+            self._at(version).withColumns({"_gone": F.lit(False), "_version": F.lit(version)}).write.parquet(path)
+            self._finish(version, path, whole=True)
+            self._forget(version)
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version}/{uuid.uuid4().hex}"
+
+    def _renamed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(k).alias(f"_key_{k}") for k in self.keys])
+
+    def _same_key(self) -> Column:
+        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self.keys])
+
+    def touching(self, rows: DataFrame, touched: DataFrame) -> DataFrame:
+        """The rows whose key is among the touched ones."""
+        return rows.join(self._renamed(touched).distinct(), self._same_key(), "left_semi")
+
+    def _finished(self) -> list[Row]:
+        """The finished versions, a bounded number; of several attempts at one the same each time."""
         try:
-            number = self.spark.read.schema("version int").parquet(f"{self.path}/finished").agg(F.max("version")).first()[0]
+            named = self.spark.read.schema("folder string, whole boolean, version int").parquet(
+                f"{self.path}/finished")
         except AnalysisException:
-            number = None
-        return self.before(number or 0)
+            return []
+        return named.groupBy("version", "whole").agg(F.max("folder").alias("folder")).collect()
+
+    def _finish(self, version: int, folder: str, whole: bool) -> None:
+        self.spark.range(0, 1, 1, 1).select(F.lit(folder).alias("folder"), F.lit(whole).alias("whole")).write.mode(
+            "append").parquet(f"{self.path}/finished/version={version}")
+
+    def _at(self, version: int | None) -> DataFrame:
+        known = [d for d in self._finished() if version is None or d["version"] <= version]
+        start = max((d["version"] for d in known if d["whole"]), default=0)
+        folders = [d["folder"] for d in known if d["version"] > start or d["whole"] and d["version"] == start]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self._stored).parquet(*sorted(folders))
+        if len(folders) > 1:
+            newest = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in self.keys]).agg(
+                F.max("_version").alias("_newest"))
+            rows = rows.join(newest, self._same_key() & (F.col("_version") == F.col("_newest")), "left_semi")
+        return rows.filter(~F.col("_gone")).select(*self.schema.names)
+
+    def _forget(self, version: int) -> None:
+        known = self._finished()
+        before = max((d["version"] for d in known if d["whole"] and d["version"] < version), default=0)
+        for old in sorted({d["version"] for d in known if d["version"] < before}):
+            delete_folder(self.spark, f"{self.path}/finished/version={old}")
+            delete_folder(self.spark, f"{self.path}/version={old}")

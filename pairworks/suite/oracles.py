@@ -252,6 +252,10 @@ ORACLES["route_chats"] = f"""
            CASE WHEN matched_ord IS NOT NULL THEN 'chatcmpl-' || conv_id END AS reply_id, response AS content
     FROM ({RESOLVED}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
 
+ORACLES["stream_routing"] = f"""
+    SELECT conv_id || '-' || turn AS conv_id, CASE WHEN matched_ord IS NULL THEN 'upstream' ELSE 'rule' END AS route,
+           matched_id, text AS input FROM ({RESOLVED})"""
+
 SLOTTED = """
     SELECT *, post OR s - step - low > 0 AS found,
            CASE WHEN post THEN posts WHEN del THEN dels + least(low, s) ELSE dels + least(low, s) + 1 END AS slot
@@ -262,14 +266,31 @@ SLOTTED = """
                event_type = 'signup' AS post, event_type = 'error' AS del,
                CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS step
         FROM events WHERE event_type <> 'view') WINDOW w AS (PARTITION BY id ORDER BY seq)))"""
-ORACLES["rule_fold"] = f"""
-    SELECT min(seq) FILTER (post) AS rule_ord, id,
-      arg_max(CASE WHEN post THEN 't' ELSE 'p' END || seq, seq) FILTER (event_type IN ('signup', 'purchase')) AS trigger,
-      arg_max(CASE WHEN post THEN props ELSE 'c' || seq END, seq) FILTER (event_type IN ('signup', 'click')) AS response,
-      arg_max(post, seq) FILTER (event_type IN ('signup', 'purchase')) AS enabled, 'exact' AS match_type,
-      strftime(min(ts) FILTER (post), '%Y-%m-%d %H:%M:%S') AS created_at,
-      strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') AS updated_at
-    FROM ({SLOTTED}) WHERE found GROUP BY id, slot HAVING NOT bool_or(del)"""
+# The log replayed change by change, each id with the list of its live rules.
+ORACLES["rule_fold"] = """
+    WITH RECURSIVE log AS (
+      SELECT user_id::VARCHAR AS id, event_type AS kind, event_id AS seq, ts, props,
+             row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+      FROM events WHERE event_type <> 'view' AND user_id IS NOT NULL),
+    state AS (
+      SELECT DISTINCT id, 0::BIGINT AS n, []::STRUCT(rule_ord BIGINT, trigger VARCHAR, response VARCHAR, enabled BOOLEAN,
+             created TIMESTAMP, updated TIMESTAMP)[] AS live FROM log
+      UNION ALL
+      SELECT id, l.n, CASE
+          WHEN kind = 'signup' THEN list_append(live, {rule_ord: seq, trigger: 't' || seq, response: props, enabled: TRUE,
+                                                       created: ts::TIMESTAMP, updated: ts::TIMESTAMP})
+          WHEN len(live) = 0 THEN live
+          WHEN kind = 'error' THEN live[2:]
+          WHEN kind = 'purchase' THEN list_prepend({rule_ord: live[1].rule_ord, trigger: 'p' || seq, response: live[1].response,
+               enabled: FALSE, created: live[1].created, updated: ts::TIMESTAMP}, live[2:])
+          WHEN kind = 'click' THEN list_prepend({rule_ord: live[1].rule_ord, trigger: live[1].trigger, response: 'c' || seq,
+               enabled: live[1].enabled, created: live[1].created, updated: ts::TIMESTAMP}, live[2:])
+          ELSE list_prepend({rule_ord: live[1].rule_ord, trigger: live[1].trigger, response: live[1].response,
+               enabled: live[1].enabled, created: live[1].created, updated: ts::TIMESTAMP}, live[2:]) END
+      FROM state s JOIN log l USING (id) WHERE l.n = s.n + 1)
+    SELECT r.rule_ord AS rule_ord, id, r.trigger AS trigger, r.response AS response, r.enabled AS enabled, 'exact' AS match_type,
+           strftime(r.created, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(r.updated, '%Y-%m-%d %H:%M:%S') AS updated_at
+    FROM (SELECT id, unnest(live) AS r FROM state QUALIFY n = max(n) OVER (PARTITION BY id))"""
 ORACLES["stream_rule_fold"] = ORACLES["rule_fold"]
 ORACLES["rule_fold_rejects"] = f"""
     SELECT seq, CASE WHEN del THEN 'DELETE' ELSE 'PUT' END AS op, id, 'NOT_FOUND' AS error_code

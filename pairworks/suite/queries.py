@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pairworks.functions import fixed_values as fixed
 from pairworks.functions.text import sanitize_for_log, strip_fences
@@ -601,52 +602,72 @@ def overlapping_runs(spark, folder):
 # --- the same as streams ----------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = fx.table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def _in_runs(rows: DataFrame, order: str, start: Callable[[DataFrame], StreamingQuery], runs: int = 5) -> None:
+    """A stream over `rows` that is stopped and started again: run by run later rows arrive."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "arrived")
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    place = F.width_bucket(order, F.lit(least), F.lit(most + 1), F.lit(runs)) if least is not None else F.lit(1)
+    for run in range(1, runs + 1):
+        rows.filter(F.coalesce(place, F.lit(1)) == run).write.mode("append").parquet(path)
+        start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
-def _kept(spark: SparkSession, result: DataFrame, label: str) -> DataFrame:
-    """The final table of a streaming aggregation."""
-    table = VersionedTable(spark, new_path(spark, label), result.schema)
-    stream_monitor.start_table(
-        result, table, new_path(spark, f"{label}-checkpoint"), once=True).awaitTermination()
+def _kept(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], key: str, label: str) -> DataFrame:
+    """The final table of a streaming aggregation over the events."""
+    events = _events(spark, folder)
+    table = VersionedTable(spark, new_path(spark, label), make(events).schema, [key])
+    checkpoint = new_path(spark, f"{label}-checkpoint")
+    _in_runs(events, "event_id", lambda stream: stream_monitor.start_table(make(stream), table, checkpoint, once=True))
     return table.latest()
 
 
 @query
 def stream_latest_metrics(spark, folder):
-    return _rounded(_kept(spark, monitor.latest_metrics(_log(_event_stream(spark, folder))), "metrics"))
+    return _rounded(_kept(spark, folder, lambda e: monitor.latest_metrics(_log(e)), "run_id", "metrics"))
 
 
 @query
 def stream_file_sizes(spark, folder):
-    return _kept(spark, monitor.latest_file_sizes(fx.size_events(_event_stream(spark, folder))), "sizes")
+    return _kept(spark, folder, lambda e: monitor.latest_file_sizes(fx.size_events(e)), "file", "sizes")
 
 
 @query
 def stream_run_status(spark, folder):
-    return _kept(spark, monitor.run_status(fx.status_events(_event_stream(spark, folder))), "status")
+    return _kept(spark, folder, lambda e: monitor.run_status(fx.status_events(e)), "run_id", "status")
 
 
 @query
 def stream_recent_logs(spark, folder):
-    events = _log(_event_stream(spark, folder)).select("run_id", "seq", "kind", "text")
-    table = VersionedTable(spark, new_path(spark, "tail"), events.schema)
-    stream_monitor.start_recent_logs(
-        events, table, new_path(spark, "tail-checkpoint"), once=True).awaitTermination()
+    events, columns = _events(spark, folder), ["run_id", "seq", "kind", "text"]
+    table = VersionedTable(spark, new_path(spark, "tail"), _log(events).select(*columns).schema, ["run_id"])
+    checkpoint = new_path(spark, "tail-checkpoint")
+    _in_runs(events, "event_id", lambda stream: stream_monitor.start_recent_logs(
+        _log(stream).select(*columns), table, checkpoint, once=True))
     return table.latest()
 
 
 @query
 def stream_rule_fold(spark, folder):
-    table = VersionedTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA)
-    stream_rules.start_rule_changes(
-        fx.changes(_event_stream(spark, folder)), table, new_path(spark, "rule-rejects"),
-        new_path(spark, "rules-checkpoint"), once=True).awaitTermination()
+    table = VersionedTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, ["id"])
+    rejects, checkpoint = new_path(spark, "rule-rejects"), new_path(spark, "rules-checkpoint")
+    _in_runs(_events(spark, folder), "event_id", lambda stream: stream_rules.start_rule_changes(
+        fx.changes(stream), table, rejects, checkpoint, once=True))
     return _folded(table.latest())
 
 
+@query
+def stream_routing(spark, folder):
+    """Every message as a request of its own, routed as it arrives."""
+    table = VersionedTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, ["id"])
+    table.put(0, fx.rules(spark, folder))
+    output, checkpoint = new_path(spark, "routing"), new_path(spark, "routing-checkpoint")
+    asked = fx.table(spark, folder, "conversations").selectExpr(
+        "conv_id AS chat", "concat(conv_id, '-', turn) AS conv_id",
+        "array(named_struct('role', role, 'content', text)) AS messages")
+    _in_runs(asked, "chat", lambda stream: stream_rules.start_routing(stream, table, output, checkpoint, once=True), 2)
+    return spark.read.parquet(f"{output}/routed").select("conv_id", "route", "matched_id", "input")
+
+
 # --- catalogue --------------------------------------------------------------------------------
 
 

@@ -32,12 +32,12 @@ def test_log_streams_equal_batches(spark, tmp_path):
     batch = M.parse_log_stream(lines)
 
     want = M.latest_metrics(batch)
-    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema)
+    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema, ["run_id"])
     SM.start_table(M.latest_metrics(events), latest, str(tmp_path / "c1"), once=True).awaitTermination()
     assert {tuple(r) for r in latest.latest().collect()} == {tuple(r) for r in want.collect()}
 
     schema = "run_id string, seq bigint, kind string, text string"
-    table = VersionedTable(spark, str(tmp_path / "tail"), schema)
+    table = VersionedTable(spark, str(tmp_path / "tail"), schema, ["run_id"])
     query = SM.start_recent_logs(
         spark.readStream.schema(SM.LINE_SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "log"))
         .transform(M.parse_log_stream), table, str(tmp_path / "c2"), n=31, once=True)
@@ -53,7 +53,7 @@ def test_rule_stream_and_routing(spark, tmp_path):
         spark.createDataFrame(changes[40 * i: 40 * (i + 1)], R.CHANGE_SCHEMA).coalesce(1).write.mode(
             "append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(R.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    table = VersionedTable(spark, str(tmp_path / "rules"), R.RULE_SCHEMA)
+    table = VersionedTable(spark, str(tmp_path / "rules"), R.RULE_SCHEMA, ["id"])
     assert table.latest().count() == 0
     SR.start_rule_changes(
         stream, table, str(tmp_path / "rejects"), str(tmp_path / "c1"), once=True).awaitTermination()
@@ -73,3 +73,55 @@ def test_rule_stream_and_routing(spark, tmp_path):
     assert {(r["conv_id"], r["route"], r["matched_id"]) for r in routed.collect()} == {
         (r["conv_id"], r["route"], r["matched_id"]) for r in batch.collect()}
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
+
+
+def test_changed_keys_and_folding(spark, tmp_path):
+    """Against a dict; keys lose all rows, attempts fail before and after they finish, old versions go."""
+    rng = random.Random(9)
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], fold=3)
+    want = {}
+    for batch in range(8):
+        touched = rng.sample(["a", "b", "c", "d", None], 3)
+        change = {k: [rng.randrange(100) for _ in range(rng.choice([0, 1, 2]))] for k in touched}
+        keys = spark.createDataFrame([(k,) for k in touched], "k string")
+        rows = [(k, v) for k, vs in change.items() for v in vs]
+        before = {tuple(r) for r in table.before(batch).collect()}
+        if batch in (2, 5):  # killed before it finished, and run again after it did
+            spark.createDataFrame([("a", -1, False, batch + 1)], "k string, v int, _gone boolean, _version int").write.parquet(
+                str(tmp_path / f"t/version={batch + 1}/killed"))
+            table.put(batch, spark.createDataFrame(rows, "k string, v int"), keys)
+            assert {tuple(r) for r in table.before(batch).collect()} == before
+        table.put(batch, spark.createDataFrame(rows, "k string, v int"), keys)
+        want.update(change)
+        got = sorted(map(tuple, table.latest().collect()), key=str)
+        assert got == sorted(((k, v) for k, vs in want.items() for v in vs), key=str)
+    kept = {int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("version=*")}
+    assert kept == {3, 4, 5, 6, 7, 8}
+
+
+def test_update_writes_changed_groups_only(spark, tmp_path):
+    lines = tmp_path / "log"
+    table = None
+    for i, runs in enumerate([["a", "b", "c"], ["b"]]):
+        spark.createDataFrame([(r, 10 * i + 1, json.dumps({"loss": i + 1.0}), None) for r in runs], SM.LINE_SCHEMA).write.mode(
+            "append").json(str(lines))
+        events = M.latest_metrics(M.parse_log_stream(SM.read_log_lines(spark, str(lines))))
+        table = table or VersionedTable(spark, str(tmp_path / "t"), events.schema, ["run_id"])
+        SM.start_table(events, table, str(tmp_path / "c"), once=True).awaitTermination()
+    assert spark.read.parquet(str(next((tmp_path / "t/version=2").iterdir()))).count() == 1
+    assert {(r["run_id"], r["loss"]) for r in table.latest().collect()} == {("a", 1.0), ("b", 2.0), ("c", 1.0)}
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from pairworks.plans.shared import materialise, new_path, temporary_tables
+
+    with temporary_tables(spark):
+        stored = materialise(spark.range(3), "gone")
+        folder = Path(stored.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists()
+    assert not folder.exists()
+    kept = new_path(spark, "kept")
+    spark.range(1).write.parquet(kept)
+    assert Path(kept).exists()

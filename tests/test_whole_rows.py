@@ -55,13 +55,14 @@ def test_rows_without_an_id_fail_a_split(spark):
 
 
 def test_a_half_written_version_is_not_read(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "version=5/t"), "a int")
+    table = VersionedTable(spark, str(tmp_path / "version=5/t"), "a int", ["a"])
     assert table.latest().count() == 0
     table.put(0, spark.createDataFrame([(1,), (2,)], "a int"))
     spark.createDataFrame([(9,)], "a int").write.parquet(f"{table.path}/version=2")
     assert table.latest().count() == 2
-    table.put(1, spark.createDataFrame([(3,)], "a int"))
-    table.put(1, spark.createDataFrame([(3,)], "a int"))
+    touched = spark.createDataFrame([(1,), (2,), (3,)], "a int")
+    table.put(1, spark.createDataFrame([(3,)], "a int"), touched)
+    table.put(1, spark.createDataFrame([(3,)], "a int"), touched)
     assert [r.a for r in table.latest().collect()] == [3]
 
 
