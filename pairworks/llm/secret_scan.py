@@ -36,12 +36,50 @@ COMPLEMENTS = {
     "endpoint": ["assign", "hex", "blob"],
 }
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
+_CHUNK = 256
+_NOWHERE = -(1 << 30)
+_BLOCK = 1024  # code points of a text that are cut at a time
+_STRETCH = 64  # blocks for which spans are looked up together
 
 
 def _no_spans() -> Column:
     return F.array().cast(_SPAN)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(rows: Column, zero: int, merge: Callable[[Column, Column], Column], value: Callable[[Column], Column],
+          emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """`emit` of each row and of the sum of the values before it, `merge` being the addition.
+
+    Chunks are summed first, then each chunk is gone through from the sum before it, so that
+    growing arrays are copied within chunks only.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def through(chunk: Column, before: Column) -> Column:
+        state = F.struct(before.alias("sum"), none.alias("out"))
+        return F.aggregate(chunk, state, lambda s, r: F.struct(
+            merge(s["sum"], value(r)).alias("sum"), F.concat(s["out"], F.array(emit(s["sum"], r))).alias("out")),
+            lambda s: s["out"])
+
+    def chunked(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), lambda s, r: merge(s, value(r))))
+        state = F.struct(F.lit(zero).alias("sum"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(sums, state, lambda s, n: F.struct(
+            merge(s["sum"], n).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(chunks, before, through))
+
+    def cut(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / _CHUNK).cast("int"))
+        return _with(F.transform(numbers, lambda i: F.slice(whole, i * _CHUNK + 1, _CHUNK)), chunked)
+
+    return _with(rows, lambda whole: F.when(F.size(whole) > 0, cut(whole)).otherwise(none))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Spans of one kind. The texts between and the texts of the matches give the places: a match
     starts where the lengths of all before it add up to."""
@@ -49,24 +87,39 @@ def _spans(text: Column, kind: str) -> Column:
     order = KINDS.index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches,
-                                 lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("n"))),
-                      values, lambda row, value: F.struct(row["gap"].alias("gap"), row["n"].alias("n"),
-                                                          F.length(value).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"))
+    lengths = _with(matches, lambda found: F.zip_with(
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found,
+        lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("n"))))
+    rows = F.zip_with(lengths, values, lambda row, value: F.struct(
+        row["gap"].alias("gap"), row["n"].alias("n"), F.length(value).alias("value")))
+
+    def emit(at: Column, row: Column) -> Column:
+        begin = at + row["gap"]
+        return F.struct(F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + row["n"]).alias("end")).alias("span"),
+                        (row["value"] >= least).alias("long"))
 
-    def add(state: Column, row: Column) -> Column:
-        begin = state["at"] + row["gap"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + row["n"]).alias("end"))
-        return F.struct((begin + row["n"]).alias("at"),
-                        F.when(row["value"] >= least, F.concat(state["spans"], F.array(span)))
-                        .otherwise(state["spans"]).alias("spans"))
+    placed = _scan(rows, 0, lambda a, b: a + b, lambda row: row["gap"] + row["n"], emit,
+                   "struct<span:struct<start:int,ord:int,end:int>,long:boolean>")
+    spans = F.transform(F.filter(placed, lambda p: p["long"]), lambda p: p["span"])
+    return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, add, lambda state: state["spans"])).otherwise(_no_spans())
 
+def _near(spans: Column, others: Column, reach: int, wanted: bool = True) -> Column:
+    """The spans that have one of the others within reach, or those that have none.
 
-def _near(reach: int) -> Callable[[Column, Column], Column]:
-    return lambda a, b: (a["start"] < b["end"] + reach) & (b["start"] < a["end"] + reach)
+    An interval join by a sweep: the others come in the order of their starts, a span where all
+    that start before its end and the reach have come; the largest end until then decides.
+    """
+    event = lambda s, key, is_span: F.struct(
+        key.alias("key"), F.lit(0 if is_span else 1).alias("other"), s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: event(s, s["end"] + reach, True)),
+                                   F.transform(others, lambda s: event(s, s["start"], False))))
+    seen = _scan(events, _NOWHERE, F.greatest, lambda e: F.when(e["other"] == 1, e["end"]).otherwise(F.lit(_NOWHERE)),
+                 lambda end, e: F.struct(F.struct(e["start"].alias("start"), e["ord"].alias("ord"), e["end"].alias("end")).alias("span"),
+                                         ((e["other"] == 0) & ((end + reach > e["start"]) == wanted)).alias("keep")),
+                 "struct<span:struct<start:int,ord:int,end:int>,keep:boolean>")
+    kept = F.transform(F.filter(seen, lambda e: e["keep"]), lambda e: e["span"])
+    return F.when(F.size(spans) > 0, kept).otherwise(_no_spans())
 
 
 def _joined(spans: Column) -> Column:
@@ -92,22 +145,18 @@ def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col
     # Worked out once per row: an explode of one element keeps Spark from copying it into each use.
     found = found.withColumn(parts, F.explode(F.array(parts)))
     part = {kind: F.col(parts)[kind] for kind in KINDS}
-    near, overlap = _near(reach), _near(0)
-    base = F.array_sort(F.concat(*[part[kind] for kind in BASE]))
-    blobs = F.filter(part["blob"], lambda b: ~F.exists(F.concat(*[part[kind] for kind in BASE]), lambda s: overlap(b, s)))
-    part["blob"] = blobs
-
-    def linked(kind: str) -> Column:
-        others = F.concat(*[part[other] for other in COMPLEMENTS[kind]])
-        return F.filter(part[kind], lambda w: F.exists(others, lambda s: near(w, s)))
-
-    weak = [linked(kind) for kind in WEAK]
+    base = F.sort_array(F.concat(*[part[kind] for kind in BASE]))
+    found = found.withColumn(parts, F.explode(F.array(F.struct(
+        base.alias("base"), *[part[kind] for kind in KINDS if kind != "blob"], _near(part["blob"], base, 0, wanted=False).alias("blob")))))
+    part = {kind: F.col(parts)[kind] for kind in KINDS}
+    base = F.col(parts)["base"]
+    weak = [_near(part[kind], F.concat(*[part[other] for other in COMPLEMENTS[kind]]), reach) for kind in WEAK]
     some_weak = F.lit(False)
     for kind in WEAK:
-        some_weak = some_weak | (F.size(F.col(parts)[kind]) > 0)
+        some_weak = some_weak | (F.size(part[kind]) > 0)
     return found.withColumns({
         base_col: base,
-        all_col: F.when(some_weak, F.array_sort(F.concat(base, *weak))).otherwise(base)}).drop(parts)
+        all_col: F.when(some_weak, F.sort_array(F.concat(base, *weak))).otherwise(base)}).drop(parts)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
@@ -125,16 +174,33 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str =
 
     Texts without a span, and null texts, stay as they are.
     """
-    text = F.col(text_col)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(state: Column, span: Column) -> Column:
-        behind = span["start"] >= state["at"]
-        gap = F.substr(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.when(behind, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
-
-    spans = F.col("__all")
-    whole = F.aggregate(spans, state, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    text, spans = F.col(text_col), F.col("__all")
+    # Spans that begin within an earlier one add no mark of their own.
+    led = _scan(spans, 0, F.greatest, lambda s: s["end"], lambda end, s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), (s["start"] >= end).alias("lead")), "struct<start:int,end:int,lead:boolean>")
+
+    def within(some: Column, begin: Column, length: int) -> Column:
+        return F.filter(some, lambda s: (s["end"] > begin) & (s["start"] < begin + length))
+
+    def cut(block: Column, some: Column, begin: Column) -> Column:
+        def add(state: Column, span: Column) -> Column:
+            here = span["start"] - begin
+            gap = F.substr(block, state["at"] + 1, F.greatest(here - state["at"], F.lit(0)))
+            return F.struct(F.greatest(state["at"], span["end"] - begin).alias("at"),
+                            F.when(span["lead"] & (here >= 0), F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+        state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(some, state, add, lambda s: F.concat(s["out"], F.substr(block, s["at"] + 1, F.lit(_BLOCK))))
+
+    def stretch(blocks: Column, i: Column, led: Column) -> Column:
+        begin = i * (_BLOCK * _STRETCH)
+        return _with(within(led, begin, _BLOCK * _STRETCH), lambda some: F.array_join(F.transform(
+            F.slice(blocks, i * _STRETCH + 1, _STRETCH),
+            lambda block, j: cut(block, within(some, begin + j * _BLOCK, _BLOCK), begin + j * _BLOCK)), ""))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    whole = _with(F.struct(blocks.alias("blocks"), led.alias("led")), lambda row: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(row["blocks"]) - 1) / _STRETCH).cast("int")),
+        lambda i: stretch(row["blocks"], i, row["led"])), ""))
     return with_spans(df, text_col, reach, "__base", "__all").withColumn(
         text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).drop("__base", "__all")

@@ -1,10 +1,12 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 import tiktoken
 from llm_rows import awkward, table, words
@@ -158,3 +160,41 @@ def test_redaction_leaves_no_secret_and_no_other_change(spark):
     rows = [(1, "a password=hunter22 b"), (2, "token=" + "0123456789abcdef" * 2 + " end"), (3, "clean"), (4, None)]
     got = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
     assert got == {1: "a [secret] b", 2: "[secret] end", 3: "clean", 4: None}
+
+
+def plain_spans(text, reach=200):
+    """All spans that are to be reported, by comparing every pair of parts."""
+    parts = []
+    for order, kind in enumerate(secret_scan.KINDS):
+        pattern, group, least = (secret_scan.BASE | secret_scan.WEAK)[kind]
+        parts += [(m.start(), order, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    name = lambda p: secret_scan.KINDS[p[1]]
+    near = lambda a, b, far: a[0] < b[2] + far and b[0] < a[2] + far
+    base = [p for p in parts if name(p) in secret_scan.BASE]
+    weak = [p for p in parts if name(p) in secret_scan.WEAK and not (name(p) == "blob" and any(near(p, b, 0) for b in base))]
+    return sorted(base + [w for w in weak if any(
+        near(w, o, reach) for o in base + weak if name(o) in secret_scan.COMPLEMENTS[name(w)])])
+
+
+@pytest.mark.parametrize("sizes", [(256, 1024, 64), (2, 8, 2), (1, 5, 3)])
+def test_links_and_redaction_against_all_pairs(spark, monkeypatch, sizes):
+    for name, size in zip(("_CHUNK", "_BLOCK", "_STRETCH"), sizes, strict=True):
+        monkeypatch.setattr(secret_scan, name, size)
+    rng = random.Random(5)
+    number = "0123456789abcdef" * 2
+    some = ["password=hunter22", f"token={number}", number, number * 2, "AKIA" + "Z9" * 9, "user=bob", "login: ann9", "Ab1/" * 11, "https://x.org/a",
+            f"token=https://a.b/{number}", "secret=a", "user=x", "mysql://h/" + "Zz9+" * 10, "password=user=joe99", "passwd:AKIA" + "Q8" * 9]
+    gaps = ["", " ", "é😀 ", "far away " * 3, "word " * 45, "\n"]
+    texts = ["".join(rng.choice(some) + rng.choice(gaps) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in secret_scan.report(table(spark, rows)).collect()}
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
+    for i, text in rows:
+        spans = plain_spans(text)
+        assert got[i] == ",".join(f"{secret_scan.KINDS[o]}:{s}:{e}" for s, o, e in spans)
+        out, at = "", 0
+        for start, _, end in spans:
+            if start >= at:
+                out += text[at:start] + "[secret]"
+            at = max(at, end)
+        assert hidden[i] == out + text[at:]
