@@ -133,13 +133,47 @@ def evaluated(df: DataFrame, name: str, col: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(col)).alias(name))
 
 
-def with_json(df: DataFrame, name: str, text: Column) -> DataFrame:
+# The parser behind try_parse_json takes no text value of more characters.
+_PARSED = 20_000_000
+# from_json with the strictness of try_parse_json, and no cap on a text value.
+_STRICT = {"maxStringLen": str(2**31 - 1), "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+
+
+def _listed(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))
+
+
+def _is_long(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text) > _PARSED, F.lit(False))
+
+
+def _oversized(text: Column) -> Column:
+    """Whether a long text is exactly one JSON value, for texts that gave no VARIANT."""
+    parts = F.transform(F.array(F.from_json(_listed(text), "array<string>", _STRICT)), lambda p: (F.size(p) == 2) & (p[1] == _END))
+    return _is_long(text) & F.coalesce(parts[0], F.lit(False))
+
+
+def with_json(df: DataFrame, name: str, text: Column, oversized: bool = False) -> DataFrame:
     """Adds a text as VARIANT, or null if it is not exactly one JSON value.
 
     The parser stops after the first value, so the text is parsed as the first item of a list
-    whose second item is known: anything after the value breaks or displaces that item.
+    whose second item is known: anything after the value breaks or displaces that item. A VARIANT
+    holds up to 128 MiB. A value beyond that fails the job, or is null with `oversized`, for
+    callers that read it with `with_json_texts`.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    listed = F.when(_is_long(text), F.from_json(_listed(text), "variant", _STRICT)).otherwise(F.try_parse_json(_listed(text)))
     whole = F.try_variant_get("_listed", "$[1]", "string") == _END
     value = F.when(whole, F.try_variant_get("_listed", "$[0]", "variant"))
+    if not oversized:
+        value = value.when(F.col("_listed").isNull() & _oversized(text), F.raise_error(F.lit("a JSON value of more than 128 MiB as VARIANT")))
     return evaluated(evaluated(df, "_listed", listed), name, value).drop("_listed")
+
+
+def with_json_texts(df: DataFrame, name: str, parsed: Column, text: Column, fields: list[str]) -> DataFrame:
+    """Adds a struct with `fields` of a JSON object as texts if it is beyond a VARIANT, else null.
+
+    `parsed` is what `with_json` gave. Numbers, lists and objects are shown as compact JSON.
+    """
+    schema = "struct<" + ", ".join(f"`{f}`:string" for f in fields) + ">"
+    is_object = F.btrim(F.substring(text, 1, 1000), F.lit(" \t\r\n")).startswith("{")
+    return evaluated(df, name, F.when(parsed.isNull() & is_object & _oversized(text), F.from_json(text, schema, _STRICT)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairworks.functions.text import py_strip, unescape, with_json
+from pairworks.functions.text import py_strip, unescape, with_json, with_json_texts
 from pairworks.plans.shared import materialise
 
 INVALID_JSON = "INVALID_JSON"
@@ -53,9 +53,13 @@ def parse_pairs(
     """
     others = [c for c in lines.columns if c != "value"]
     parsed = with_json(
-        lines.filter(py_strip(F.col("value")) != ""), "_json", F.col("value"))
-    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
-    field = _field_reader("_json")
+        lines.filter(py_strip(F.col("value")) != ""), "_json", F.col("value"), oversized=True)
+    # Objects beyond a VARIANT have their fields as texts.
+    parsed = with_json_texts(
+        parsed, "_texts", F.col("_json"), F.col("value"), list(dict.fromkeys(["input", "target", *(extra or {})])))
+    is_object = F.coalesce(
+        F.schema_of_variant("_json").startswith("OBJECT"), F.col("_texts").isNotNull())
+    field = _field_reader("_json", "_texts")
     if strict:
         message = F.concat(F.lit("not a JSON object: "), F.col("value"))
         parsed = parsed.filter(F.when(is_object, F.lit(True)).otherwise(
@@ -95,7 +99,7 @@ def read_pairs_jsonl(
     return parse_pairs(lines, extra, strict)
 
 
-def _field_reader(variant: str):
+def _field_reader(variant: str, texts: str):
     def read(name: str, type_: str = "string") -> Column:
-        return F.try_variant_get(F.col(variant), f"$.{name}", type_)
+        return F.coalesce(F.try_variant_get(F.col(variant), f"$.{name}", type_), F.col(texts)[name].try_cast(type_))
     return read

@@ -45,6 +45,22 @@ def test_pairs_and_rejects(spark, tmp_path):
         L.read_pairs_jsonl(spark, str(tmp_path), strict=True)[0].count()
 
 
+def test_long_texts_are_read(spark):
+    # 30 million characters are beyond try_parse_json, 140 million beyond a VARIANT.
+    sizes = [5, 30_000_000, 140_000_000]
+    line = lambda n, after: F.concat(
+        F.lit('{"k": 7, "input": "é'), F.repeat(F.lit("x"), F.col("id").cast("int") + n), F.lit('", "target": null}'), F.lit(after))
+    found, ends = [], ("", ' x', ', {"a": 1}')
+    for n in sizes:
+        for after in ends:
+            df = spark.range(1).select(line(n, after).alias("value"))
+            rows, rejects = L.parse_pairs(df, {"k": "int"})
+            got = rows.select(F.length("input").alias("n"), F.right("input", F.lit(1)).alias("end"), "target", "target_missing", "k").collect()
+            found.append([tuple(r) for r in got])
+            assert rejects.select("error_code").count() == (1 if after else 0)
+    assert found == [[(n + 1, "x", "", True, 7)] if end == "" else [] for n in sizes for end in ends]
+
+
 def test_round_trip_replaces_only_written_datasets(spark, tmp_path):
     path = str(tmp_path / "pairs")
     df = spark.createDataFrame(

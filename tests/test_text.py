@@ -93,3 +93,14 @@ def test_json_must_be_one_whole_value(spark):
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
     got = X.with_json(df, "v", F.col("t")).select("t", F.col("v").isNotNull().alias("ok")).collect()
     assert len(got) == len(good + bad) and [r["t"] for r in got if r["ok"]] == good
+
+
+def test_long_json_is_one_whole_value(spark):
+    text = lambda n: F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), F.col("id").cast("int") + n), F.lit('"}'))
+    for n in (30_000_000,):
+        for value, ok in ((text(n), True), (F.concat(text(n), F.lit("x")), False), (F.concat(F.lit('{"b":NaN,"c":'), text(n), F.lit("}")), False)):
+            got = X.with_json(spark.range(1).select(value.alias("t")), "v", F.col("t"))
+            assert got.select(F.length(F.try_variant_get("v", "$.a", "string"))).first()[0] == (n if ok else None)
+    beyond = spark.range(1).select(text(140_000_000).alias("t"))
+    with pytest.raises(Exception, match="more than 128 MiB"):
+        X.with_json(beyond, "v", F.col("t")).select(F.col("v").isNull()).collect()
