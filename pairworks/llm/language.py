@@ -159,16 +159,17 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema, rows=256)
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text is in one of the languages: not `und`, with a score of `least_score` or more.
+def accepted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text fits a language: not `und`, and with an n-gram of its profile.
 
-    All columns stay as they are, and no row is moved.
+    How large a score gets depends on the script and the length of the text as much as on its
+    language, so that no other score decides. All columns stay as they are, and no row is moved.
     """
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = profiles.predict([text or "" for text in batch.column(at).to_pylist()])
-        return batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (scores >= least_score)))
+        return batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (scores > 0)))
 
     return map_batches(docs, run, docs.schema, rows=256)
 

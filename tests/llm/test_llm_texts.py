@@ -106,6 +106,22 @@ def test_languages(spark):
     assert language.learn_and_identify(docs.limit(0), held).count() == 0
 
 
+def test_documents_of_a_script_with_many_letters_are_accepted(spark):
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 4001)
+
+    def text(n):
+        return " ".join("".join(chr(0x4E00 + c) for c in rng.choice(4000, 2, p=share / share.sum())) for _ in range(n))
+
+    rows = [(i, text(n), "zh") for i, n in enumerate([12, 60, 120, 300] * 60)]
+    odd = [(1000, "Привет мир", None), (1001, "12 !!", None), (1002, None, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    profiles = language.learn(docs)
+    scores = [r.score for r in language.identify(docs, profiles).collect() if r.doc_id < 1000]
+    assert min(scores) < 0.2
+    assert sorted(r.doc_id for r in language.accepted(docs, profiles).collect()) == [r[0] for r in rows]
+
+
 def test_ngrams_by_brute_force():
     texts = ["Ab c", "", "été!x", "12", "a  b"]
     owner, key = language.ngrams(texts)
