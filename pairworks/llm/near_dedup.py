@@ -327,6 +327,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger than any other; a component without an id has none and is kept. Other columns are not
     read, an empty table gives an empty one. `tag` is the xxhash64 of the text.
     """
+    return _grouped(docs, id_col, text_col).drop("group")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates with `group`, the label of the component; null without shingles."""
     found = materialise(sketches(docs, id_col, text_col), "sketches")
     classes = materialise(found.filter("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -352,22 +357,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = classes.select("set_id", "id").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "id", F.coalesce("label", "set_id").alias("label"))
     least = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = materialise(grouped.join(least, "label").select("set_id", "component_id"), "set-components")
-    with_sets = found.filter("set_id IS NOT NULL").select("id", "tag", "n", "set_id").join(named, "set_id").select("id", "tag", "n", "component_id")
-    alone = found.filter("set_id IS NULL").select("id", "tag", "n", F.col("id").alias("component_id"))
+    named = materialise(grouped.join(least, "label").select("set_id", "component_id", "label"), "set-components")
+    with_sets = found.filter("set_id IS NOT NULL").select("id", "tag", "n", "set_id").join(named, "set_id").select(
+        "id", "tag", "n", "component_id", "label")
+    alone = found.filter("set_id IS NULL").select("id", "tag", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return with_sets.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "tag")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "tag",
+        F.col("label").alias("group"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the one with the smallest id, and of rows that
-    repeat an id and a text one. Documents are joined to the decisions by id and digest of the text."""
-    decided = materialise(near_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("__id"), F.col("tag").alias("__kept_tag")), "kept")
+    """One row of `docs` per component: the one with the smallest id, a null id being larger than any
+    other, and of several with that id the one whose text has the smallest tag. A text without
+    shingles is a component of its own with the rows that repeat its id and text. Documents are
+    joined to the decisions by id and digest of the text."""
+    # All kept rows of a component have the same id, or none has one.
+    alone = F.when(F.col("group").isNull(), F.col("tag"))
+    kept = _grouped(docs, id_col, text_col).filter("kept").groupBy("group", alone.alias("alone"), F.col(id_col).alias("__id"))
+    decided = materialise(kept.agg(F.min("tag").alias("__kept_tag"), F.count("*").alias("rows")), "kept")
     tag = F.xxhash64(F.col(text_col))
-    names = decided.distinct()
-    stay = docs.join(names, F.col(id_col).eqNullSafe(F.col("__id")) & (tag == F.col("__kept_tag")), "left_semi")
-    repeated = decided.groupBy("__id", "__kept_tag").agg(F.count("*").alias("rows")).filter("rows > 1")
-    if repeated.isEmpty():
+    stay = docs.join(decided.select("__id", "__kept_tag"), F.col(id_col).eqNullSafe(F.col("__id")) & (tag == F.col("__kept_tag")), "left_semi")
+    if decided.filter("rows > 1").isEmpty():
         return stay
     return stay.withColumn("__tag", tag).dropDuplicates([id_col, "__tag"]).drop("__tag")

@@ -72,6 +72,17 @@ def test_one_row_of_each_group_stays(spark):
     assert stay.columns == table(spark, rows).columns
 
 
+def test_one_row_of_a_group_without_ids_or_with_one_id_stays(spark):
+    long = [words(seed, 200) for seed in range(3)]
+    rows = [(None, long[0]), (None, long[0] + " a"), (None, long[0] + " b"), (None, long[0]), (5, long[1]), (5, long[1] + " a"), (5, long[1] + " a"),
+            (None, long[1] + " b"), (None, long[2]), (7, long[2] + " a"), (None, ""), (None, None), (None, ""), (8, "")]
+    stay = [(r.doc_id, r.text) for r in near_dedup.one_of_each(table(spark, rows)).collect()]
+    assert set(stay) <= set(rows) and len(stay) == len(set(stay)) == 6
+    for text, ids in zip(long, ([None], [5], [7]), strict=True):
+        assert [i for i, t in stay if t and t.startswith(text)] == ids
+    assert {(None, ""), (None, None), (8, "")} <= set(stay)
+
+
 def mixture(spark):
     sources = {"a": 40, "b": 3, "c": 25, None: 12, "é": 1}
     rows = [(k * 100 + i, words(i, 1 + i * 7 % 50), "en", s, 1, 0.1, 1, "t") for k, (s, n) in enumerate(sources.items()) for i in range(n)]
