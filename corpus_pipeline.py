@@ -21,9 +21,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported secret replaced by a mark; n_chars follows the text."""
+    """Every reported secret, and keys that stick out of one, replaced by a mark; n_chars follows the text."""
     before = F.col("__before")
-    hidden = secret_scan.redact(docs.withColumn("__before", F.length("text")))
+    hidden = secret_scan.redact(docs.withColumn("__before", F.length("text")), overhang=True)
     changed = ~F.length("text").eqNullSafe(before)
     return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__before")
 

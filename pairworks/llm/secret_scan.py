@@ -122,18 +122,34 @@ def _near(spans: Column, others: Column, reach: int, wanted: bool = True) -> Col
     return F.when(F.size(spans) > 0, kept).otherwise(_no_spans())
 
 
+def _not_within(spans: Column, others: Column) -> Column:
+    """The spans that lie within none of the others, by a sweep as in _near: where a span starts, the
+    largest end of the others that have started until then decides."""
+    event = lambda s, key, other: F.struct(
+        key.alias("key"), F.lit(other).alias("other"), s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: event(s, s["start"] + 1, 0)),
+                                   F.transform(others, lambda s: event(s, s["start"], 1))))
+    seen = _scan(events, _NOWHERE, F.greatest, lambda e: F.when(e["other"] == 1, e["end"]).otherwise(F.lit(_NOWHERE)),
+                 lambda end, e: F.struct(F.struct(e["start"].alias("start"), e["ord"].alias("ord"), e["end"].alias("end")).alias("span"),
+                                         ((e["other"] == 0) & (end < e["end"])).alias("keep")),
+                 "struct<span:struct<start:int,ord:int,end:int>,keep:boolean>")
+    kept = F.transform(F.filter(seen, lambda e: e["keep"]), lambda e: e["span"])
+    return F.when(F.size(spans) > 0, kept).otherwise(_no_spans())
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.element_at(F.array(*map(F.lit, KINDS)), s["ord"] + 1), s["start"], s["end"])), ",")
 
 
 def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col: str = "base_spans",
-               all_col: str = "all_spans") -> DataFrame:
+               all_col: str = "all_spans", overhang: bool = False) -> DataFrame:
     """`df` with two arrays of (start, ord, end), sorted: the base spans, and all that are reported.
 
     Places are code points, the end exclusive; `ord` counts KINDS. A null or empty text has none.
     `reach` is the most code points between two parts that go together. A blob that overlaps a
-    base span is that span and not reported again. Rows, repeated or not, and all other columns
+    base span is that span and not reported again; with `overhang` that holds only for a blob within
+    a base span, and one that sticks out is a blob whose partner is the base span. Rows, repeated or not, and all other columns
     stay as they are; two columns are added and must not be there yet.
     """
     for name in (base_col, all_col):
@@ -146,11 +162,14 @@ def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col
     found = found.withColumn(parts, F.explode(F.array(parts)))
     part = {kind: F.col(parts)[kind] for kind in KINDS}
     base = F.sort_array(F.concat(*[part[kind] for kind in BASE]))
+    blobs = _not_within(part["blob"], base) if overhang else _near(part["blob"], base, 0, wanted=False)
     found = found.withColumn(parts, F.explode(F.array(F.struct(
-        base.alias("base"), *[part[kind] for kind in KINDS if kind != "blob"], _near(part["blob"], base, 0, wanted=False).alias("blob")))))
+        base.alias("base"), *[part[kind] for kind in KINDS if kind != "blob"], blobs.alias("blob")))))
     part = {kind: F.col(parts)[kind] for kind in KINDS}
     base = F.col(parts)["base"]
     weak = [_near(part[kind], F.concat(*[part[other] for other in COMPLEMENTS[kind]]), reach) for kind in WEAK]
+    if overhang:
+        weak = [F.array_distinct(F.concat(*weak, _near(part["blob"], base, 0)))]
     some_weak = F.lit(False)
     for kind in WEAK:
         some_weak = some_weak | (F.size(part[kind]) > 0)
@@ -169,10 +188,10 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
         _joined(F.col("all_spans")).alias("spans"))
 
 
-def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str = "[secret]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str = "[secret]", overhang: bool = False) -> DataFrame:
     """`df` with every reported span in its texts replaced by `mark`; overlapping spans become one.
 
-    Texts without a span, and null texts, stay as they are.
+    `overhang` is that of with_spans. Texts without a span, and null texts, stay as they are.
     """
     text, spans = F.col(text_col), F.col("__all")
     # Spans that begin within an earlier one add no mark of their own.
@@ -202,5 +221,5 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str =
     whole = _with(F.struct(blocks.alias("blocks"), led.alias("led")), lambda row: F.array_join(F.transform(
         F.sequence(F.lit(0), F.floor((F.size(row["blocks"]) - 1) / _STRETCH).cast("int")),
         lambda i: stretch(row["blocks"], i, row["led"])), ""))
-    return with_spans(df, text_col, reach, "__base", "__all").withColumn(
+    return with_spans(df, text_col, reach, "__base", "__all", overhang).withColumn(
         text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).drop("__base", "__all")
