@@ -85,4 +85,61 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5"""
 
-ORACLES = {"op4_exact_topk": TOP_K, "op8_secrets": SECRETS, "op9_mix": MIX, "op10_warc": WARC}
+LINES = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS MATERIALIZED (
+    SELECT rid, doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT rid, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+k AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key
+      HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.first AS dropped FROM l LEFT JOIN k ON l.key = k.key),
+g AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+             string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped) AS kept FROM m GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN g USING (rid)"""
+
+# DuckDB has no CRC-32: its table is worked out, then the digits of each id are gone through.
+TRIE = """
+WITH crc AS (SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                 lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS t
+             FROM range(256) r(n)),
+o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT c, turn, length(x) AS n, md5(length(r) || ':' || r || x) AS id FROM o),
+p AS MATERIALIZED (SELECT c, id, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS pos FROM w),
+v AS MATERIALIZED (
+    SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''),
+               lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT c FROM p), crc),
+b AS (SELECT v.c, p.pos, p.id, p.n FROM v JOIN p ON p.c = v.base WHERE p.pos <= v.h
+      UNION ALL SELECT v.c, p.pos + 1000000, p.id, p.n FROM v JOIN p ON p.c = v.c WHERE p.pos > v.h),
+s AS MATERIALIZED (SELECT v.c, coalesce(list(b.id ORDER BY b.pos) FILTER (b.id IS NOT NULL), CAST([] AS VARCHAR[])) AS ids,
+                          list(b.n ORDER BY b.pos) FILTER (b.id IS NOT NULL) AS ns FROM v LEFT JOIN b ON b.c = v.c GROUP BY v.c),
+e AS (SELECT c, k AS depth, list_slice(ids, 1, k) AS path, CASE WHEN k > 0 THEN ns[k] ELSE 0 END AS n, len(ids) = k AS last
+      FROM (SELECT c, ids, ns, unnest(range(0, len(ids) + 1)) AS k FROM s)),
+nodes AS MATERIALIZED (
+    SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY path, depth),
+kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (SELECT list_slice(path, 1, k) AS path, (n_convs - 1) * n AS saved, leaf
+       FROM (SELECT nodes.path, n_convs, n, kids.path IS NULL AS leaf, unnest(range(0, depth + 1)) AS k FROM nodes LEFT JOIN kids ON kids.path = nodes.path)),
+subs AS (SELECT path, CAST(count(*) FILTER (leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY path)
+SELECT nodes.conv_id, nodes.depth, above.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN subs ON subs.path = nodes.path LEFT JOIN kids ON kids.path = nodes.path
+LEFT JOIN nodes above ON nodes.depth > 0 AND above.path = list_slice(nodes.path, 1, nodes.depth - 1)"""
+
+MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+             CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o"""
+
+ORACLES = {"op4_exact_topk": TOP_K, "op8_secrets": SECRETS, "op9_mix": MIX, "op10_warc": WARC, "op11_line_dedup": LINES,
+           "op12_prefix_trie": TRIE, "op13_fill_middle": MIDDLE}

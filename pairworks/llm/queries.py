@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairworks.llm import byte_bpe, exact_topk, language, mixing, near_dedup, one_bit_index, quality, secret_scan, token_counts, warc
+from pairworks.llm import (
+    byte_bpe, exact_topk, fill_middle, language, line_dedup, mixing, near_dedup, one_bit_index, prefix_trie, quality,
+    secret_scan, token_counts, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,8 +66,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(_table(spark, folder, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, folder, "conversations"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.report(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_language": op3_language,
     "op4_exact_topk": op4_exact_topk, "op5_one_bit_index": op5_one_bit_index,
     "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_warc": op10_warc,
+    "op11_line_dedup": op11_line_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_fill_middle": op13_fill_middle,
 }
