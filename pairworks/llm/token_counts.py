@@ -1,15 +1,20 @@
 """Token counts of a sentencepiece BPE model by rank-synchronous merging of numpy arrays.
 
 A text is cut where no merge can reach across: before a run of word-start marks, and around
-characters that no piece holds. The parts of a batch lie one after the other in one array of
-piece ids. In each round every part merges all places of its best-scored pair at once, from the
-left and without overlap; the symbols that are left in the end are the tokens. Characters that
-no piece covers count as many tokens as they have bytes.
+characters that no piece holds; a long part also between two characters that no piece has side by
+side. The parts of a batch lie one after the other in one array of piece ids. In each round every
+part merges all places of its best-scored pair at once, from the left and without overlap; the
+symbols that are left in the end are the tokens. Characters that no piece covers count as many
+tokens as they have bytes.
+
+A round costs as much as the part is long, so that rounds are for parts of up to LONG characters.
+A longer part that has no place to cut keeps its pairs in a queue by rank and place instead.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -30,6 +35,8 @@ _SPACE = "▁"
 
 _EDGES = re.compile(r"^ |  | \Z")
 _NONE = np.iinfo(np.int64).max
+LONG = 64
+_BITS = 21  # of a code point
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,6 +92,9 @@ class PieceCounter:
                         for k in range(1, len(name)) if name[:k] in id_of and name[k:] in id_of})
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        self._made = {key: (int(self.rank[i]), i) for key, i in pairs}
+        beside = {ord(a) << _BITS | ord(b) for name in names for a, b in zip(name, name[1:])}  # noqa: B905
+        self.beside = np.array(sorted(beside), np.int64)
         # A piece is unsafe if it is part of a piece with a better rank: that pair would come first.
         self.unsafe = np.zeros(len(names), bool)
         for key, whole in pairs:
@@ -115,6 +125,64 @@ class PieceCounter:
         return np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
 
     def count_parts(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each part."""
+        long = [i for i, part in enumerate(parts) if len(part) > LONG]
+        if not long:
+            return self._count_short(parts)
+        total = np.zeros(len(parts), np.int64)
+        owners, short = [], []
+        for i, part in enumerate(parts):
+            for piece in self._cut(part) if len(part) > LONG else (part,):
+                if len(piece) > LONG:
+                    total[i] += self._count_long(piece)
+                else:
+                    owners.append(i)
+                    short.append(piece)
+        for start in range(0, len(short), 50_000):
+            some = short[start:start + 50_000]
+            np.add.at(total, owners[start:start + len(some)], self._count_short(some))
+        return total
+
+    def _cut(self, part: str) -> list[str]:
+        """A part in pieces between which no merge is possible, as no piece has the two characters side by side."""
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pairs = codes[:-1] << _BITS | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)
+        cuts = (np.flatnonzero(self.beside[at] != pairs) + 1).tolist()
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+
+    def _count_long(self, part: str) -> int:
+        """Tokens of a part without a place to cut: the best pair first, of equal ones the leftmost."""
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
+        known = self.char_codes[at] == codes
+        ids = np.where(known, self.char_ids[at], -1).tolist()
+        n, made = len(ids), self._made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(new[0], i, new[1]) for i in range(n - 1)
+                 if ids[i] >= 0 and ids[i + 1] >= 0 and (new := made.get(ids[i] << 32 | ids[i + 1]))]
+        heapq.heapify(queue)
+        left = int(known.sum())
+        while queue:
+            _, i, piece = heapq.heappop(queue)
+            j = after[i]
+            # A pair that is no longer there has a symbol that has changed or gone.
+            if ids[i] < 0 or j >= n or ids[j] < 0 or made.get(ids[i] << 32 | ids[j], (0, -1))[1] != piece:
+                continue
+            ids[i], ids[j] = piece, -1
+            left -= 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if ids[k] >= 0 and (new := made.get(piece << 32 | ids[k])):
+                    heapq.heappush(queue, (new[0], i, new[1]))
+            h = before[i]
+            if h >= 0 and ids[h] >= 0 and (new := made.get(ids[h] << 32 | piece)):
+                heapq.heappush(queue, (new[0], h, new[1]))
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        return left + int(width[~known].sum())
+
+    def _count_short(self, parts: list[str]) -> np.ndarray:
         """Tokens of each part, all parts merged side by side."""
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -188,8 +256,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc
 
     `path` is a sentencepiece model that must exist on every executor. Nothing is moved. A null or
     empty text has no bytes and no tokens; null and repeated ids stay, one row each; other columns
-    are not read; an empty table gives an empty one. Texts are never cut. A part without a place
-    to cut, however long, is merged in as many rounds as it has different pairs at most.
+    are not read; an empty table gives an empty one. The whole text counts, and the work grows with its
+    length, whether or not it has spaces.
     """
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 

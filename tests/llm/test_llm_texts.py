@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -54,6 +55,19 @@ def test_token_counts_are_those_of_the_library(spark):
     assert token_counts.count_tokens(table(spark, rows).limit(0), PIECES).count() == 0
 
 
+def test_long_texts_without_a_space_are_counted_in_time():
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(4)
+    some = "the machine reading international transformer attention don was".split()
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), base64.b64encode(rng.randbytes(500_000)).decode(),
+             "".join(rng.choices(some, k=60_000)), "".join(rng.choices("ab(){};=\x01é中", k=300_000)), "the" * 50_000 + "aa" * 50_001]
+    texts += ["".join(rng.choices(some + ["é", "中", "--", "0"], k=rng.randrange(10, 60))) for _ in range(300)]
+    start = time.time()
+    got = token_counts.counter(PIECES).count_texts(texts)
+    assert time.time() - start < 60
+    assert got == [len(library.encode(t)) for t in texts]
+
+
 def test_cache_that_is_full_changes_nothing():
     small = token_counts.PieceCounter(PIECES)
     small._counts.entries = 5
