@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -182,9 +183,65 @@ def test_conditions_reach_the_reader_and_payloads_stay_undecoded(spark, tmp_path
     reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
     assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("page_id",), 3)])) == [GreaterThan(("page_id",), 3)]
-    monkeypatch.setattr(warc.zlib, "decompress", lambda *a, **k: pytest.fail("decoded"))
+    monkeypatch.setattr(warc.WarcReader, "_take_payload", lambda *a: pytest.fail("decoded"))
+    inflated, read = [], warc.Member.read
+    monkeypatch.setattr(warc.Member, "read", lambda self, n: inflated.append(read(self, n)) or inflated[-1])
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == found.sparkSession.read.format("warc").option(
         "payload", "false").load(path).filter("record_type = 'revisit'").count()
+    # Of the page of 500,000 bytes no more than a header's share is inflated.
+    assert 0 < sum(map(len, inflated)) < 4096 * len(rows)
+
+
+def test_archives_of_several_writes(spark, tmp_path):
+    _, table_ = pages(spark)
+    path = str(tmp_path / "archive")
+    ids = lambda: sorted(r.page_id for r in warc.read_archives(spark, path, payload=False).collect())
+    one, two = (warc.records(table_.filter(f"page_id >= {a} AND page_id < {a + 10}").distinct()) for a in (10, 30))
+    warc.write_archives(one, path)
+    warc.write_archives(two, path, compress=False)
+    assert ids() == [*range(10, 20), *range(30, 40)]
+    broken = two.withColumn("target_uri", F.when(F.col("page_id") == 35, F.raise_error(F.lit("no"))).otherwise("x"))
+    with pytest.raises(Exception, match="no"):
+        warc.write_archives(broken, path)
+    assert ids() == [*range(10, 20), *range(30, 40)]
+    warc.write_archives(two, path, mode="overwrite")
+    assert ids() == [*range(30, 40)]
+    left = [f.name for f in (tmp_path / "archive").iterdir() if not f.name.startswith(".")]
+    assert sum(name.startswith("_files-") for name in left) == 1 and not any(name.endswith(".warc") for name in left)
+
+
+def test_payloads_are_the_html(spark, tmp_path):
+    warc.write_archives(warc.records(spark.createDataFrame([(1, "u", "<p>é</p>")], "page_id long, url string, html string")),
+                        str(tmp_path / "a"), compress=False)
+    (file,) = (tmp_path / "a").glob("*.warc")
+    data = file.read_bytes()
+    length = int(data.split(b"Content-Length: ")[1].split(b"\r\n")[0])
+    block = data.split(b"\r\n\r\n", 1)[1][:length]
+    assert block.startswith(b"HTTP/1.1 200") and block.split(b"\r\n\r\n", 1)[1] == "<p>é</p>".encode()
+    assert hashlib.sha256("<p>é</p>".encode()).hexdigest().encode() in data
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "told"])
+def test_archives_made_elsewhere(spark, tmp_path, form):
+    def made(fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in {**fields, "content-length": len(block)}.items())
+        return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [
+        made({"WARC-Type": "warcinfo", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        made({"warc-type": "response", "WARC-TARGET-URI": "http://a", "content-type": "application/http; msgtype=response",
+              "WARC-Payload-Digest": "sha1:ABC"}, b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody" + b"z" * 5000),
+        made({"WARC-Type": "metadata", "WARC-Record-ID": "<urn:1>"}, b""),
+        made({"WARC-Type": "response", "Content-Type": "application/http"}, b"HTTP/1.0 204 No\r\n\r\n")]
+    pack = {"plain": lambda r: r, "members": gzip.compress, "told": warc.member}[form]
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(b"".join(map(pack, records)))
+    (tmp_path / "notes.txt").write_text("no archive")
+    read = warc.read_archives(spark, str(tmp_path))
+    got = [(r.record_type, r.target_uri, r.record_id, r.payload_digest, r.payload_bytes, bytes(r.payload)) for r in read.collect()]
+    assert got == [("warcinfo", None, None, None, 13, b"software: x\r\n"), ("response", "http://a", None, "sha1:ABC", 5004, b"body" + b"z" * 5000),
+                   ("metadata", None, "<urn:1>", None, 0, b""), ("response", None, None, None, 0, b"")]
+    heads = warc.read_archives(spark, str(tmp_path), payload=False).filter("record_type = 'response' AND page_id IS NULL")
+    assert [(r.target_uri, r.payload) for r in heads.collect()] == [("http://a", None), (None, None)]
 
 
 def test_files_of_unfinished_tasks_are_not_read(spark, tmp_path):
