@@ -12,11 +12,14 @@ _PATTERNS = {
     "user": (r"""([uU][sS][eE][rR]_?[nN][aA][mM][eE]|[uU][sS][eE][rR]|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][oO][uU][nN][tT])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9@+_.-]+)""", 2, 3),
     "blob": (r"[A-Za-z0-9+/]+", 0, 40),
     "endpoint": (r"""(https?|ftp|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"''<>]+""", 0, 1),
+    "userinfo": (r"""(https?|ftp|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"''<>/@:]*:[^\x00-\x20"''<>/@]+@[^\x00-\x20"''<>]+""", 0, 1),
 }
 
 
 def _matches(kind: str) -> str:
     pattern, group, least = _PATTERNS[kind]
+    holds = """ AND regexp_matches(v[i], '[0-9]') AND len(list_filter(string_split(v[i], '/'), lambda x: length(x) >= 12
+                 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]'))) > 0""" if kind == "blob" else ""
     return f"""
     SELECT rid, '{kind}' AS kind, {KINDS.index(kind)} AS ord, s AS s, s + length(m[i]) AS e
     FROM (SELECT rid, m, v, i, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
@@ -24,19 +27,24 @@ def _matches(kind: str) -> str:
           FROM (SELECT rid, m, v, g, unnest(generate_series(1, len(m))) AS i
                 FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
                              string_split_regex(t, '{pattern}') AS g FROM d))
-          WHERE length(v[i]) >= {least})"""
+          WHERE length(v[i]) >= {least}{holds})"""
 
 
 SECRETS = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 parts AS MATERIALIZED ({" UNION ALL ".join(map(_matches, KINDS))}),
 base AS (SELECT * FROM parts WHERE ord < 3),
-weak AS (SELECT * FROM parts p WHERE ord >= 3 AND NOT (kind = 'blob' AND EXISTS (
-    SELECT 1 FROM base b WHERE b.rid = p.rid AND b.s < p.e AND p.s < b.e))),
-linked AS (SELECT * FROM weak w WHERE EXISTS (
-    SELECT 1 FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) o
+-- Parts that overlap are no partners.
+weak AS MATERIALIZED (SELECT * FROM parts p WHERE ord >= 3 AND NOT EXISTS (
+    SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.s < p.e AND p.s < o.e AND CASE p.kind
+        WHEN 'blob' THEN o.ord < 3 OR o.kind = 'endpoint' WHEN 'user' THEN o.ord < 3 OR o.kind = 'blob' ELSE FALSE END)),
+free AS MATERIALIZED (SELECT * FROM base p WHERE kind = 'assign' AND NOT EXISTS (
+    SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.s < p.e AND p.s < o.e AND o.kind = 'endpoint')),
+linked AS (SELECT * FROM weak w WHERE kind = 'userinfo' OR EXISTS (
+    SELECT 1 FROM (SELECT *, '' AS f FROM base UNION ALL SELECT *, '' FROM weak UNION ALL SELECT *, 'free' FROM free) o
     WHERE o.rid = w.rid AND o.s < w.e + 200 AND w.s < o.e + 200 AND CASE w.kind
-        WHEN 'blob' THEN o.kind IN ('access', 'user', 'endpoint') ELSE o.kind IN ('assign', 'hex', 'blob') END)),
+        WHEN 'user' THEN o.kind IN ('assign', 'hex', 'blob') WHEN 'blob' THEN o.kind IN ('access', 'user', 'endpoint')
+        ELSE o.f = 'free' OR o.kind = 'blob' END)),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
              count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS j
       FROM base GROUP BY rid),

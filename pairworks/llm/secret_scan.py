@@ -3,14 +3,16 @@
 The base kinds (assignments, access identifiers, long hexadecimal numbers) are reported wherever
 they are. The weak kinds (user names, long runs of key characters, endpoints) are reported only
 where a complementary part lies within reach: the parts of a text are interval-joined, each
-widened by the reach, and a weak part without a partner is left out. A scope never leaves its
-document, so that the join runs over the arrays of one row, and no row or part is shuffled.
-Only DataFrame functions are used.
+widened by the reach, and a weak part without a partner is left out. Parts that overlap are one
+thing and no partners: an address, a path or a number is never its own credential. A scope never
+leaves its document, so that the join runs over the arrays of one row, and no row or part is
+shuffled. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +29,23 @@ WEAK = {
     "user": (r"""(?i)(user_?name|user|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]+)""", 2, 3),
     "blob": (r"[A-Za-z0-9+/]{40,}", 0, 40),
     "endpoint": (r"""(https?|ftp|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+""", 0, 1),
+    # An endpoint with a user's password in it, which needs no partner.
+    "userinfo": (r"""(https?|ftp|jdbc:[a-z]+|postgres(ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>/@:]*:[^\x00-\x20"'<>/@]+@[^\x00-\x20"'<>]+""", 0, 1),
 }
 KINDS = [*BASE, *WEAK]
-# What a weak part needs within reach.
+# What a part must hold besides: a digit, and letters of both cases in a stretch without a slash. Else it
+# is a word, a path or a number.
+HOLDS = {"blob": ("[0-9]", ["[a-z]", "[A-Z]"])}
+STRETCH_CHARS = 12
+# What a weak part needs within reach. A hexadecimal number by an address is as often a digest as a key.
 COMPLEMENTS = {
     "user": ["assign", "hex", "blob"],
     "blob": ["access", "user", "endpoint"],
-    "endpoint": ["assign", "hex", "blob"],
+    "endpoint": ["assign", "blob"],
+    "userinfo": [],
 }
+# Parts that count only if they overlap none of these; an assignment within an address is no partner of addresses.
+APART = {"blob": ["endpoint"], "user": [*BASE, "blob"], "assign": ["endpoint"]}
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
 _CHUNK = 256
 _NOWHERE = -(1 << 30)
@@ -90,17 +101,26 @@ def _spans(text: Column, kind: str) -> Column:
     lengths = _with(matches, lambda found: F.zip_with(
         F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found,
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("n"))))
+
+    def counts(value: Column) -> Column:
+        enough = F.length(value) >= least
+        if kind not in HOLDS:
+            return enough
+        whole, within = HOLDS[kind]
+        holds = lambda stretch: reduce(Column.__and__, [stretch.rlike(what) for what in within], F.length(stretch) >= STRETCH_CHARS)
+        return enough & value.rlike(whole) & F.exists(F.split(value, "/"), holds)
+
     rows = F.zip_with(lengths, values, lambda row, value: F.struct(
-        row["gap"].alias("gap"), row["n"].alias("n"), F.length(value).alias("value")))
+        row["gap"].alias("gap"), row["n"].alias("n"), counts(value).alias("counts")))
 
     def emit(at: Column, row: Column) -> Column:
         begin = at + row["gap"]
         return F.struct(F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + row["n"]).alias("end")).alias("span"),
-                        (row["value"] >= least).alias("long"))
+                        row["counts"].alias("counts"))
 
     placed = _scan(rows, 0, lambda a, b: a + b, lambda row: row["gap"] + row["n"], emit,
-                   "struct<span:struct<start:int,ord:int,end:int>,long:boolean>")
-    spans = F.transform(F.filter(placed, lambda p: p["long"]), lambda p: p["span"])
+                   "struct<span:struct<start:int,ord:int,end:int>,counts:boolean>")
+    spans = F.transform(F.filter(placed, lambda p: p["counts"]), lambda p: p["span"])
     return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
 
 
@@ -147,7 +167,8 @@ def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col
     """`df` with two arrays of (start, ord, end), sorted: the base spans, and all that are reported.
 
     Places are code points, the end exclusive; `ord` counts KINDS. A null or empty text has none.
-    `reach` is the most code points between two parts that go together. A blob that overlaps a
+    `reach` is the most code points between two parts that go together. Only the base kinds and addresses
+    with a password in them are reported alone. A blob that overlaps a
     base span is that span and not reported again; with `overhang` that holds only for a blob within
     a base span, and one that sticks out is a blob whose partner is the base span. Rows, repeated or not, and all other columns
     stay as they are; two columns are added and must not be there yet.
@@ -162,12 +183,16 @@ def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col
     found = found.withColumn(parts, F.explode(F.array(parts)))
     part = {kind: F.col(parts)[kind] for kind in KINDS}
     base = F.sort_array(F.concat(*[part[kind] for kind in BASE]))
-    blobs = _not_within(part["blob"], base) if overhang else _near(part["blob"], base, 0, wanted=False)
+    apart = {kind: _near(part[kind], F.concat(*[part[other] for other in others]), 0, wanted=False) for kind, others in APART.items()}
+    blobs = _not_within(apart["blob"], base) if overhang else _near(apart["blob"], base, 0, wanted=False)
     found = found.withColumn(parts, F.explode(F.array(F.struct(
-        base.alias("base"), *[part[kind] for kind in KINDS if kind != "blob"], blobs.alias("blob")))))
-    part = {kind: F.col(parts)[kind] for kind in KINDS}
+        base.alias("base"), *[part[kind].alias(kind) for kind in KINDS if kind not in ("user", "blob")], apart["user"].alias("user"),
+        blobs.alias("blob"), apart["assign"].alias("free")))))
+    part = {kind: F.col(parts)[kind] for kind in [*KINDS, "free"]}
     base = F.col(parts)["base"]
-    weak = [_near(part[kind], F.concat(*[part[other] for other in COMPLEMENTS[kind]]), reach) for kind in WEAK]
+    free = lambda kind, other: "free" if (kind, other) == ("endpoint", "assign") else other
+    weak = [_near(part[kind], F.concat(*[part[free(kind, other)] for other in others]), reach) if others else part[kind]
+            for kind, others in COMPLEMENTS.items()]
     if overhang:
         weak = [F.array_distinct(F.concat(*weak, _near(part["blob"], base, 0)))]
     some_weak = F.lit(False)

@@ -169,8 +169,8 @@ def test_secrets_against_a_plain_scan(spark):
     key, number = "AKIA" + "Z9" * 8, "0123456789abcdef" * 2
     texts = [f"é password: 'abc123' {key} {number}", "secret: token :abcdefgh", "token=abc password = abcdef", f"{key}{key} AKIA{key}",
              f"ToKeN=\"{number}\" API_KEY : {key}", f"api-key=abcdefg apikey=abcdefg {number[:23]} x{number}x", "paſſword=abcdefgh",
-             f"user=bob {'far ' * 100} password=hunter22", "user: bob\npassword: hunter22 https://x.org/a", f"blob {'Ab1/' * 10} alone",
-             f"login: ann {'Ab1/' * 10}", f"{key} " + "q" * 40, "https://only.example/", ("word " * 20_000) + f"passwd={number}"]
+             f"user=bob {'far ' * 100} password=hunter22", "user: bob\npassword: hunter22 https://x.org/a", f"blob {'Ab1+' * 10} alone",
+             f"login: ann {'Ab1+' * 10}", f"{key} " + "qZ9x" * 10, "https://only.example/", ("word " * 20_000) + f"passwd={number}"]
     rows = awkward() + [(50 + i, t) for i, t in enumerate(texts)]
     got = secret_scan.report(table(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -187,6 +187,27 @@ def test_secrets_against_a_plain_scan(spark):
     assert secret_scan.report(table(spark, rows).limit(0)).count() == 0
 
 
+def test_ordinary_addresses_paths_and_numbers_stay(spark):
+    texts = ["https://example.com/articles/2024/01/some/long/path/about/gardens", "see /usr/local/share/doc/packages/python3/README/index before https://x.org now",
+             "https://en.wikipedia.org/wiki/Byte_pair_encoding#Modified_algorithm_2X_and_others9", "user: ann wrote https://x.org/a/B9c/dEf8/a/B9c/dEf8/a/B9c/dEf8/a/B9c",
+             "https://x.org/?user=ann&page=2 and https://y.org/" + "Ab1/" * 12, "the account: ann, the path " + "Documents/" * 6, "q" * 60 + " https://x.org",
+             "client_id=" + "Ab1x" * 12, "ftp://mirror.example/pub/Linux/Kernel/v6/Patch/linux6/Patch99/Incremental/x"]
+    stay = secret_scan.redact(table(spark, list(enumerate(texts))), overhang=True).collect()
+    assert {r.doc_id: r.text for r in stay} == dict(enumerate(texts))
+    assert {r.spans for r in secret_scan.report(table(spark, list(enumerate(texts)))).collect()} == {""}
+    digest = "0123456789abcdef" * 2
+    said = f"commit {digest} of https://x.org/repo"
+    assert secret_scan.redact(table(spark, [(1, said)])).first().text == "commit [secret] of https://x.org/repo"
+
+
+def test_parts_of_a_credential_are_linked(spark):
+    key, blob = "AKIA" + "Z9" * 8, "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzEXAMPLEKEY"
+    texts = [f"id {key} and key {blob}", f"https://api.example/v1 with {blob}", f"user: ann\nkey: {blob}", "host https://db.example password=hunter22",
+             "postgres://ann:hunter22@db.example/x", f"login=ann {'far away ' * 30} {blob}"]
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in secret_scan.report(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: ["access", "blob"], 1: ["endpoint", "blob"], 2: ["user", "blob"], 3: ["endpoint", "assign"], 4: ["userinfo"], 5: []}
+
+
 def test_redaction_leaves_no_secret_and_no_other_change(spark):
     rows = [(1, "a password=hunter22 b"), (2, "token=" + "0123456789abcdef" * 2 + " end"), (3, "clean"), (4, None)]
     got = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
@@ -212,10 +233,23 @@ def plain_spans(text, reach=200):
         parts += [(m.start(), order, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
     name = lambda p: secret_scan.KINDS[p[1]]
     near = lambda a, b, far: a[0] < b[2] + far and b[0] < a[2] + far
+    mixed = lambda t: len(t) >= 12 and any(map(str.islower, t)) and any(map(str.isupper, t))
+    key_like = lambda t: any(map(str.isdigit, t)) and any(map(mixed, t.split("/")))
+    parts = [p for p in parts if name(p) != "blob" or key_like(text[p[0]:p[2]])]
     base = [p for p in parts if name(p) in secret_scan.BASE]
-    weak = [p for p in parts if name(p) in secret_scan.WEAK and not (name(p) == "blob" and any(near(p, b, 0) for b in base))]
-    return sorted(base + [w for w in weak if any(
-        near(w, o, reach) for o in base + weak if name(o) in secret_scan.COMPLEMENTS[name(w)])])
+
+    def alone(p, *others):
+        return not any(near(p, o, 0) for o in others)
+
+    addresses = [p for p in parts if name(p) == "endpoint"]
+    blobs = [p for p in parts if name(p) == "blob"]
+    users = [p for p in parts if name(p) == "user" and alone(p, *base, *blobs)]
+    keys = [p for p in blobs if alone(p, *base, *addresses)]
+    kind = lambda k: [p for p in base if name(p) == k]
+    partners = {"user": [*kind("assign"), *kind("hex"), *keys], "blob": [*kind("access"), *users, *addresses],
+                "endpoint": [*[p for p in kind("assign") if alone(p, *addresses)], *keys]}
+    linked = [w for w in [*users, *keys, *addresses] if any(near(w, o, reach) for o in partners[name(w)])]
+    return sorted(base + linked + [p for p in parts if name(p) == "userinfo"])
 
 
 @pytest.mark.parametrize("sizes", [(256, 1024, 64), (2, 8, 2), (1, 5, 3)])
@@ -224,8 +258,9 @@ def test_links_and_redaction_against_all_pairs(spark, monkeypatch, sizes):
         monkeypatch.setattr(secret_scan, name, size)
     rng = random.Random(5)
     number = "0123456789abcdef" * 2
-    some = ["password=hunter22", f"token={number}", number, number * 2, "AKIA" + "Z9" * 9, "user=bob", "login: ann9", "Ab1/" * 11, "https://x.org/a",
-            f"token=https://a.b/{number}", "secret=a", "user=x", "mysql://h/" + "Zz9+" * 10, "password=user=joe99", "passwd:AKIA" + "Q8" * 9]
+    some = ["password=hunter22", f"token={number}", number, number * 2, "AKIA" + "Z9" * 9, "user=bob", "login: ann9", "Ab1+" * 11, "https://x.org/a",
+            f"token=https://a.b/{number}", "secret=a", "user=x", "mysql://h/" + "Zz9+" * 10, "password=user=joe99", "passwd:AKIA" + "Q8" * 9,
+            "q" * 41, "https://joe:pw99@x.org/a", "client_id=" + "Ab1+" * 11, "https://x.org/?token=abcdef99", "Ab1/" * 12, "/usr/local/Share/doc2/" + "abc/" * 8]
     gaps = ["", " ", "é😀 ", "far away " * 3, "word " * 45, "\n"]
     texts = ["".join(rng.choice(some) + rng.choice(gaps) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
     rows = list(enumerate(texts))
