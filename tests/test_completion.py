@@ -44,32 +44,59 @@ def test_finished_calls_are_not_made_again(spark, echo):
     assert replies == {1: "a|0.1|300", 2: None, 3: "new|0.9|300", 4: "d|0.9|300"}
 
 
-def test_a_run_that_breaks_off_keeps_its_finished_slices(spark, tmp_path):
-    calls, broken = tmp_path / "calls", tmp_path / "broken"
-    broken.touch()
+def logged(calls, broken=None):
+    """A client that writes down its calls; while the file `broken` is there, "p7" ends its worker."""
+    refusal = C.ModelError
 
     def client():
         def call(prompt, temperature, timeout):
-            if prompt == "p7" and broken.exists():
+            if prompt == "p7" and broken is not None and broken.exists():
                 raise SystemExit("lost")
             with calls.open("a") as log:
                 log.write(prompt + "\n")
+            if prompt == "p3":
+                raise refusal(503, "busy")
             return prompt.upper()
         return call
+    return client
+
 
-    df = spark.range(20).selectExpr("id AS n", "concat('p', id) AS prompt")
-    path = str(tmp_path / "replies")
-    run = lambda: C.complete_once(df, ["n"], "prompt", client, path=path, slices=5)
+def test_a_run_that_breaks_off_keeps_the_replies_of_its_tasks(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    broken.touch()
+    df = spark.range(0, 40, 1, 16).selectExpr("id AS n", "concat('p', id) AS prompt").filter("n <> 3")
+    path = str(tmp_path / "ledger")
+    run = lambda: C.complete_once(df, ["n"], "prompt", logged(calls, broken), path=path, partitions=40)
     with pytest.raises(Exception):
-        run().count()
-    finished = {r["slice"] for r in spark.read.parquet(f"{path}/finished").collect()} if (tmp_path / "replies/finished").exists() else set()
-    kept = {r["prompt"] for n in finished for r in spark.read.parquet(f"{path}/slice={n}").collect()}
+        run()
+    kept = {r["reply"].lower() for r in C.Ledger(spark, path).rows().collect()}
+    assert kept
     broken.unlink()
     calls.write_text("")
-    assert {(r["n"], r["reply"]) for r in run().collect()} == {(i, f"P{i}") for i in range(20)}
-    assert sorted(calls.read_text().split()) == sorted({f"p{i}" for i in range(20)} - kept)
-    calls.write_text("")
-    assert run().count() == 20 and not calls.read_text()
+    assert {(r["n"], r["reply"]) for r in run().collect()} == {(i, f"P{i}") for i in range(40) if i != 3}
+    assert sorted(calls.read_text().split()) == sorted({f"p{i}" for i in range(40) if i != 3} - kept)
+
+
+def test_a_ledger_serves_other_rows_and_other_partitions(spark, tmp_path):
+    calls = tmp_path / "calls"
+    path = str(tmp_path / "ledger")
+
+    def run(n, **options):
+        calls.write_text("")
+        df = spark.range(n).selectExpr("IF(id = 5, NULL, id) AS n", "concat('p', id) AS prompt")
+        got = C.complete_once(df.unionByName(df.filter("n = 2")), ["n"], "prompt", logged(calls), path=path, **options).collect()
+        assert len(got) == n + 1
+        assert all(r["reply"] == r["prompt"].upper() and r["status"] == 200 or r["prompt"] == "p3" for r in got)
+        assert {(r["error"], r["status"]) for r in got if r["prompt"] == "p3"} == {("ModelError: model API returned 503: busy", 503)}
+        return sorted(calls.read_text().split())
+
+    assert run(20, partitions=8) == sorted(f"p{i}" for i in range(20))
+    assert run(20, partitions=3) == ["p3"]
+    assert run(30) == sorted(["p3", *[f"p{i}" for i in range(20, 30)]])
+    assert run(10) == ["p3"]
+    # A task that was run twice has left its replies twice.
+    C.Ledger(spark, path).append(C.Ledger(spark, path).rows())
+    assert run(30, partitions=5) == ["p3"]
 
 
 @pytest.mark.parametrize("status,body", [
@@ -96,6 +123,17 @@ def test_http_request(monkeypatch):
                     "stream": False, "max_tokens": 64, "messages": [{"role": "user", "content": "p"}]}
 
 
+def test_refused_requests_keep_their_status(monkeypatch):
+    def urlopen(request, timeout):
+        assert json.loads(request.data)["messages"] == [{"role": "system", "content": "a"}, {"role": "user", "content": "b"}]
+        raise C.urllib.error.HTTPError(request.full_url, 429, "no", {}, io.BytesIO(b"later"))
+
+    monkeypatch.setattr(C.urllib.request, "urlopen", urlopen)
+    with pytest.raises(C.ModelError, match="429: later") as refused:
+        C.HttpChat("http://model:1", as_messages=True)()('[{"role": "system", "content": "a"}, {"role": "user", "content": "b"}]', 0, 5)
+    assert refused.value.status == 429
+
+
 def test_variations(spark):
     seeds = spark.createDataFrame(
         [(1, "in", "out", 70), (2, "", "out", 1), (3, "in", None, 1), (4, "in", "out", 0)], SEEDS)
