@@ -1,4 +1,4 @@
-"""Training logs, file sizes and run status; all also work on streams unless noted."""
+"""Training logs, file sizes and run status; see streaming.monitor for streams."""
 
 from __future__ import annotations
 
@@ -83,11 +83,15 @@ def size_messages(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("type") == "file-size")
 
 
-def latest_metrics(events: DataFrame) -> DataFrame:
-    """The last metrics of every run; a loss of 0, or none, does not count."""
+def metric_events(events: DataFrame) -> DataFrame:
+    """The events that tell metrics; a loss of 0, or none, does not count."""
     loss = F.col("loss")
-    usable = events.filter(loss.isNotNull() & (loss != 0) & ~F.isnan(loss))
-    return usable.groupBy("run_id").agg(
+    return events.filter(loss.isNotNull() & (loss != 0) & ~F.isnan(loss))
+
+
+def latest_metrics(events: DataFrame) -> DataFrame:
+    """The last metrics of every run."""
+    return metric_events(events).groupBy("run_id").agg(
         F.max("seq").alias("seq"),
         *[F.max_by(c, "seq").alias(c) for c in (*METRICS, "step")])
 
@@ -106,7 +110,7 @@ def metric_cards(latest: DataFrame) -> DataFrame:
 
 
 def recent_logs(events: DataFrame, n: int = fixed.LOG_TAIL) -> DataFrame:
-    """The last n events of every run. Batch only; see streaming.monitor for streams.
+    """The last n events of every run.
 
     Spark keeps n rows per run in every task before the shuffle.
     """
@@ -132,7 +136,7 @@ def run_status(events: DataFrame) -> DataFrame:
 def overlapping_runs(runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Of runs as (run_id, started, ended), those started while an earlier one was active.
 
-    `started` and `ended` are log positions; `ended` is null for a run still active. Batch only.
+    `started` and `ended` are log positions; `ended` is null for a run still active.
     """
     long = long_keys(runs, [], "started", chunk)
     known = runs.select("run_id", "started", "ended").withColumn(

@@ -352,7 +352,7 @@ def route_chats(
 
     The last message is matched; a turn must not repeat within a chat. Texts are not sorted to find
     it: turns are compared first, and whole messages meet the last turns. A match is answered with a completion envelope; other chats
-    have the route 'upstream' and go to `complete`.
+    have the route 'upstream'; see `answer_chats`.
     """
     ends = messages.groupBy(F.col("conv_id").alias("_conv")).agg(F.max("turn").alias("_end"))
     last = messages.join(
@@ -377,22 +377,27 @@ def route_requests(
     return _routed(last, rules, model, id_prefix, created), rejected
 
 
-def _routed(
-    last: DataFrame, rules: DataFrame, model: str, id_prefix: str, created: int
-) -> DataFrame:
-    resolved, _ = resolve(last, rules, match_empty=True)
-    message = F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content"))
+def envelope(conv_id: Column, content: Column, model: Column, id_prefix: str, created: int) -> Column:
+    """A reply in the form of a chat completion."""
+    message = F.struct(F.lit("assistant").alias("role"), content.alias("content"))
     choice = F.struct(
         F.lit(0).alias("index"), message.alias("message"), F.lit("stop").alias("finish_reason"))
-    envelope = F.struct(
-        F.concat(F.lit(id_prefix), F.col("conv_id").cast("string")).alias("id"),
+    return F.struct(
+        F.concat(F.lit(id_prefix), conv_id.cast("string")).alias("id"),
         F.lit("chat.completion").alias("object"),
         F.lit(created).cast("bigint").alias("created"),
-        F.lit(model).alias("model"),
+        model.alias("model"),
         F.array(choice).alias("choices"),
         F.struct(F.lit(0).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"),
                  F.lit(0).alias("total_tokens")).alias("usage"))
+
+
+def _routed(
+    last: DataFrame, rules: DataFrame, model: str, id_prefix: str, created: int
+) -> DataFrame:
+    resolved, _ = resolve(last, rules, match_empty=True)
     matched = F.col("matched_ord").isNotNull()
+    reply = envelope(F.col("conv_id"), F.col("response"), F.lit(model), id_prefix, created)
     return resolved.select(
         "conv_id", F.when(matched, "rule").otherwise("upstream").alias("route"), "matched_id",
-        "input", F.when(matched, envelope).alias("envelope"))
+        "input", F.when(matched, reply).alias("envelope"))

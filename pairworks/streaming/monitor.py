@@ -1,20 +1,20 @@
 """Monitoring as streams.
 
-`parse_log_stream`, `latest_metrics`, `latest_file_sizes` and `run_status` take streaming frames
-as they are. All order by a position in the data, so late and repeated rows change nothing, and
-no watermark is needed for right results. The price is a state row per run or file for as long as
-the stream lives.
+`parse_log_stream` and `parse_messages` take streaming frames as they are. The functions here keep
+what their batch counterparts need: `latest_metrics`, `run_status`, `latest_file_sizes` and
+`recent_logs` over the folder they append to give what they give over all events so far. All order
+by a position in the data, so late and repeated rows change nothing, and no watermark is needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.operators.monitor import recent_logs
-from pairworks.plans.shared import materialise, temporary_tables
-from pairworks.streaming.versions import VersionedTable
+from pairworks.operators.monitor import metric_events
+from pairworks.streaming.newest import KEEP_ENDED_MS, newest_rows, start_newest
 
 LINE_SCHEMA = "run_id string, seq bigint, line string, channel string"
 
@@ -24,39 +24,26 @@ def read_log_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA) ->
     return spark.readStream.schema(schema).json(path)
 
 
-def start_table(
-    df: DataFrame, table: VersionedTable, checkpoint: str, once: bool = False
-) -> StreamingQuery:
-    """Keeps the result of a streaming aggregation in `table`, whose keys are those of the groups.
+def start_metrics(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Appends the metrics that were the latest of their run when they came."""
+    return start_newest(newest_rows(metric_events(events), "run_id", F.col("seq")), path, checkpoint, once)
 
-    A micro-batch writes the groups it changed and no others.
-    """
-    def put(batch: DataFrame, number: int) -> None:
-        table.put(number, batch)
-
-    writer = df.writeStream.outputMode("update").foreachBatch(put).option(
-        "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def start_recent_logs(
-    events: DataFrame,
-    table: VersionedTable,
-    checkpoint: str,
-    n: int = fixed.LOG_TAIL,
-    once: bool = False,
-) -> StreamingQuery:
-    """Keeps the last n events of every run in `table`, whose key is run_id.
-
-    A micro-batch is cut to n rows per run before it meets the kept ones, so a run that floods
-    the log costs no more than n rows per task in the shuffle. Runs without new events are neither
-    shuffled nor written.
+
+def start_status(events: DataFrame, path: str, checkpoint: str, once: bool = False,
+                 keep_ms: int = KEEP_ENDED_MS) -> StreamingQuery:
+    """Appends the status events that were the latest of their run when they came, and all that tell of a kill.
+
+    The state of a run that has ended is dropped after `keep_ms`.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        with temporary_tables(table.spark):
-            new = materialise(recent_logs(batch.select(*table.schema.names), n), "newest-logs")
-            kept = table.touching(table.before(number), new)
-            table.put(number, recent_logs(kept.unionByName(new), n))
-
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    rows = newest_rows(events, "run_id", F.col("seq"), ends=~F.col("running"), always=F.col("killed"), keep_ms=keep_ms)
+    return start_newest(rows, path, checkpoint, once)
+
+
+def start_file_sizes(events: DataFrame, path: str, checkpoint: str, order: str = "ts", once: bool = False) -> StreamingQuery:
+    """Appends the sizes that were the latest of their file when they came."""
+    return start_newest(newest_rows(events, "file", F.unix_micros(F.col(order).cast("timestamp"))), path, checkpoint, once)
+
+
+def start_recent_logs(events: DataFrame, path: str, checkpoint: str, n: int = fixed.LOG_TAIL, once: bool = False) -> StreamingQuery:
+    """Appends the events that were among the last n of their run when they came."""
+    return start_newest(newest_rows(events, "run_id", F.col("seq"), n), path, checkpoint, once)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from pairworks.operators.chats import answer_chats
+from pairworks.operators.completion import Client
 from pairworks.operators.rules import apply_rule_changes, changed_ids, route_requests
 from pairworks.plans.shared import materialise, temporary_tables
-from pairworks.streaming.versions import VersionedTable
+from pairworks.streaming.batches import BatchTable
 
 
 def start_rule_changes(
-    changes: DataFrame, table: VersionedTable, rejects: str, checkpoint: str, once: bool = False
+    changes: DataFrame, table: BatchTable, rejects: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
     """Applies each micro-batch to the rules in `table`, whose key is id; rejects go to a folder per
     micro-batch. Rules of other ids are neither shuffled nor written.
@@ -31,7 +35,7 @@ def start_rule_changes(
 
 
 def start_routing(
-    requests: DataFrame, table: VersionedTable, output: str, checkpoint: str, once: bool = False
+    requests: DataFrame, table: BatchTable, output: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
     """Routes chat requests; each micro-batch reads the rules anew."""
     def route(batch: DataFrame, number: int) -> None:
@@ -42,3 +46,20 @@ def start_routing(
 
     writer = requests.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def start_answering(
+    requests: DataFrame, table: BatchTable, client_factory: Callable[[], Client], output: str, ledger: str, checkpoint: str,
+    once: bool = False, **options
+) -> StreamingQuery:
+    """Answers chat requests, a partition per micro-batch below `output`; each micro-batch reads the rules anew.
+
+    A micro-batch that runs again makes only the calls that have no reply in the ledger.
+    """
+    def answer(batch: DataFrame, number: int) -> None:
+        with temporary_tables(table.spark):
+            answers = answer_chats(batch, table.latest(), client_factory, path=ledger, **options)
+            answers.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

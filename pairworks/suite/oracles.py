@@ -252,6 +252,17 @@ ORACLES["route_chats"] = f"""
            CASE WHEN matched_ord IS NOT NULL THEN 'chatcmpl-' || conv_id END AS reply_id, response AS content
     FROM ({RESOLVED}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
 
+ORACLES["answer_chats"] = ORACLES["stream_answers"] = f"""
+    SELECT a.conv_id, route, matched_id, status, CASE WHEN status = 200 THEN 'chatcmpl-' || a.conv_id END AS reply_id,
+           CASE WHEN status = 200 THEN CASE route WHEN 'rule' THEN 'override-rules' ELSE 'upstream' END END AS model,
+           CASE WHEN status = 200 THEN CASE route WHEN 'rule' THEN response ELSE 'be brief: ' || role || ' ' || text END END AS content,
+           CASE status WHEN 400 THEN 'INVALID_INPUT' WHEN 429 THEN 'INTERNAL_ERROR' END AS error_code,
+           CASE status WHEN 400 THEN 'Invalid messages' WHEN 429 THEN 'ModelError: model API returned 429: busy' END AS error_message
+    FROM (SELECT conv_id || '-' || turn AS conv_id, response, text, CASE WHEN turn <> 3 THEN matched_id END AS matched_id,
+                 CASE WHEN turn = 3 THEN 'rejected' WHEN matched_ord IS NULL THEN 'upstream' ELSE 'rule' END AS route,
+                 CASE WHEN turn = 3 THEN 400 WHEN matched_ord IS NULL AND contains(text, 'z') THEN 429 ELSE 200 END AS status
+          FROM ({RESOLVED})) a
+    JOIN (SELECT conv_id || '-' || turn AS conv_id, role FROM conversations) b ON a.conv_id = b.conv_id"""
 ORACLES["stream_routing"] = f"""
     SELECT conv_id || '-' || turn AS conv_id, CASE WHEN matched_ord IS NULL THEN 'upstream' ELSE 'rule' END AS route,
            matched_id, text AS input FROM ({RESOLVED})"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,13 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pairworks.functions import fixed_values as fixed
 from pairworks.functions.text import sanitize_for_log, strip_fences
 from pairworks.operators import (
-    catalog, clean, completion, evaluate, jobs, monitor, normalize, prepare, requests, rules,
+    catalog, chats, clean, completion, evaluate, jobs, monitor, normalize, prepare, requests, rules,
 )
 from pairworks.plans.shared import materialise, new_path
 from pairworks.sources import files, lines, tables
 from pairworks.streaming import monitor as stream_monitor
 from pairworks.streaming import rules as stream_rules
-from pairworks.streaming.versions import VersionedTable
+from pairworks.streaming.batches import BatchTable
 from pairworks.suite import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,6 +396,36 @@ def route_chats(spark, folder):
         F.col("envelope.choices")[0]["message"]["content"].alias("content"))
 
 
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message as a chat of its own; those of turn 3 have no messages."""
+    return fx.table(spark, folder, "conversations").selectExpr(
+        "concat(conv_id, '-', turn) AS conv_id",
+        """CASE WHEN turn <> 3 THEN array(named_struct('role', 'system', 'content', 'be brief'),
+                                         named_struct('role', role, 'content', text)) END AS messages""")
+
+
+def _chat_model(refusal=completion.ModelError):
+    def call(prompt, temperature, timeout):
+        system, last = json.loads(prompt)
+        if "z" in last["content"]:
+            raise refusal(429, "busy")
+        return f"{system['content']}: {last['role']} {last['content']}"
+    return call
+
+
+def _answers(answered: DataFrame) -> DataFrame:
+    return answered.select(
+        "conv_id", "route", "matched_id", "status", F.col("envelope.id").alias("reply_id"), F.col("envelope.model").alias("model"),
+        F.col("envelope.choices")[0]["message"]["content"].alias("content"), F.col("error.code").alias("error_code"),
+        F.col("error.message").alias("error_message"))
+
+
+@query
+def answer_chats(spark, folder):
+    """Chats answered by rules and by a stub model, of which it refuses some."""
+    return _answers(chats.answer_chats(_requests(spark, folder), fx.rules(spark, folder), _chat_model))
+
+
 # --- model calls ------------------------------------------------------------------------------
 
 
@@ -612,43 +644,39 @@ def _in_runs(rows: DataFrame, order: str, start: Callable[[DataFrame], Streaming
         start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
-def _kept(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], key: str, label: str) -> DataFrame:
-    """The final table of a streaming aggregation over the events."""
-    events = _events(spark, folder)
-    table = VersionedTable(spark, new_path(spark, label), make(events).schema, [key])
-    checkpoint = new_path(spark, f"{label}-checkpoint")
-    _in_runs(events, "event_id", lambda stream: stream_monitor.start_table(make(stream), table, checkpoint, once=True))
-    return table.latest()
+def _followed(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], start, label: str) -> DataFrame:
+    """What a stream over the events has appended in the end."""
+    path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
+    _in_runs(_events(spark, folder), "event_id", lambda stream: start(make(stream), path, checkpoint, once=True))
+    return spark.read.parquet(path)
 
 
 @query
 def stream_latest_metrics(spark, folder):
-    return _rounded(_kept(spark, folder, lambda e: monitor.latest_metrics(_log(e)), "run_id", "metrics"))
+    return _rounded(monitor.latest_metrics(_followed(spark, folder, _log, stream_monitor.start_metrics, "metrics")))
 
 
 @query
 def stream_file_sizes(spark, folder):
-    return _kept(spark, folder, lambda e: monitor.latest_file_sizes(fx.size_events(e)), "file", "sizes")
+    return monitor.latest_file_sizes(_followed(spark, folder, fx.size_events, stream_monitor.start_file_sizes, "sizes"))
 
 
 @query
 def stream_run_status(spark, folder):
-    return _kept(spark, folder, lambda e: monitor.run_status(fx.status_events(e)), "run_id", "status")
+    """The state of ended runs is dropped at once, while later events of theirs may still come."""
+    return monitor.run_status(_followed(
+        spark, folder, fx.status_events, partial(stream_monitor.start_status, keep_ms=0), "status"))
 
 
 @query
 def stream_recent_logs(spark, folder):
-    events, columns = _events(spark, folder), ["run_id", "seq", "kind", "text"]
-    table = VersionedTable(spark, new_path(spark, "tail"), _log(events).select(*columns).schema, ["run_id"])
-    checkpoint = new_path(spark, "tail-checkpoint")
-    _in_runs(events, "event_id", lambda stream: stream_monitor.start_recent_logs(
-        _log(stream).select(*columns), table, checkpoint, once=True))
-    return table.latest()
+    return monitor.recent_logs(_followed(
+        spark, folder, lambda e: _log(e).select("run_id", "seq", "kind", "text"), stream_monitor.start_recent_logs, "tail"))
 
 
 @query
 def stream_rule_fold(spark, folder):
-    table = VersionedTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, ["id"])
+    table = BatchTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, "id")
     rejects, checkpoint = new_path(spark, "rule-rejects"), new_path(spark, "rules-checkpoint")
     _in_runs(_events(spark, folder), "event_id", lambda stream: stream_rules.start_rule_changes(
         fx.changes(stream), table, rejects, checkpoint, once=True))
@@ -658,7 +686,7 @@ def stream_rule_fold(spark, folder):
 @query
 def stream_routing(spark, folder):
     """Every message as a request of its own, routed as it arrives."""
-    table = VersionedTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, ["id"])
+    table = BatchTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, "id")
     table.put(0, fx.rules(spark, folder))
     output, checkpoint = new_path(spark, "routing"), new_path(spark, "routing-checkpoint")
     asked = fx.table(spark, folder, "conversations").selectExpr(
@@ -668,6 +696,18 @@ def stream_routing(spark, folder):
     return spark.read.parquet(f"{output}/routed").select("conv_id", "route", "matched_id", "input")
 
 
+@query
+def stream_answers(spark, folder):
+    """The same as they arrive, with a ledger that outlives the runs."""
+    table = BatchTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, "id")
+    table.put(0, fx.rules(spark, folder))
+    output, ledger, checkpoint = (new_path(spark, f"answers{suffix}") for suffix in ("", "-ledger", "-checkpoint"))
+    asked = _requests(spark, folder).withColumn("chat", F.substring_index("conv_id", "-", 1).cast("bigint"))
+    _in_runs(asked, "chat", lambda stream: stream_rules.start_answering(
+        stream.drop("chat"), table, _chat_model, output, ledger, checkpoint, once=True), 2)
+    return _answers(spark.read.parquet(output).drop("batch"))
+
+
 # --- catalogue --------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from pairworks.operators import monitor as M
 from pairworks.operators import rules as R
 from pairworks.streaming import monitor as SM
 from pairworks.streaming import rules as SR
-from pairworks.streaming.versions import VersionedTable
+from pairworks.streaming.batches import BatchTable
 from test_rules import random_changes, replay, rule_rows, want_rows
 
 
@@ -19,32 +20,87 @@ def write_parts(df, path, parts):
             1).write.mode("append").json(path)
 
 
+def state(spark, checkpoint):
+    """The orders kept per key in a stream's state store."""
+    rows = spark.read.format("statestore").option("stateVarName", "orders").load(str(checkpoint)).collect()
+    kept = {}
+    for r in rows:
+        kept.setdefault(r["key"][0], []).append(r["list_element"]["at"])
+    return {key: sorted(orders) for key, orders in kept.items()}
+
+
 def test_log_streams_equal_batches(spark, tmp_path):
+    """Rows come late, twice and without a run; every part is a micro-batch or a run of its own."""
     rng = random.Random(4)
     order = rng.sample(range(400), 400)
-    rows = [(rng.choice(["hot", "hot", "cold"]), s,
+    rows = [(rng.choice(["hot", "hot", "cold", None]), s,
              json.dumps({"loss": rng.choice([0, 0.5, 1.5]), "step": s}) if s % 5 else "text", None)
             for s in order]
-    lines = spark.createDataFrame(rows, SM.LINE_SCHEMA)
-    write_parts(lines, str(tmp_path / "log"), 4)
-    stream = SM.read_log_lines(spark, str(tmp_path / "log"))
-    events = M.parse_log_stream(stream)
-    batch = M.parse_log_stream(lines)
-
-    want = M.latest_metrics(batch)
-    latest = VersionedTable(spark, str(tmp_path / "latest"), want.schema, ["run_id"])
-    SM.start_table(M.latest_metrics(events), latest, str(tmp_path / "c1"), once=True).awaitTermination()
-    assert {tuple(r) for r in latest.latest().collect()} == {tuple(r) for r in want.collect()}
-
-    schema = "run_id string, seq bigint, kind string, text string"
-    table = VersionedTable(spark, str(tmp_path / "tail"), schema, ["run_id"])
-    query = SM.start_recent_logs(
-        spark.readStream.schema(SM.LINE_SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "log"))
-        .transform(M.parse_log_stream), table, str(tmp_path / "c2"), n=31, once=True)
-    query.awaitTermination()
-    assert {tuple(r) for r in table.latest().collect()} == {
-        tuple(r) for r in M.recent_logs(batch, 31).select("run_id", "seq", "kind", "text").collect()}
-    assert len(list((tmp_path / "tail").glob("version=*"))) == 4
+    rows = rows[:200] + rows[150:]
+    out, checkpoints = tmp_path / "out", tmp_path / "checkpoints"
+    for i in range(3):
+        for part in range(2):
+            some = rows[(2 * i + part) * 75:(2 * i + part + 1) * 75]
+            spark.createDataFrame(some, SM.LINE_SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+        batch = M.parse_log_stream(SM.read_log_lines(spark, str(tmp_path / "log")))
+        tail = M.parse_log_stream(spark.readStream.schema(SM.LINE_SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "log")))
+        SM.start_metrics(batch, str(out / "metrics"), str(checkpoints / "metrics"), once=True).awaitTermination()
+        SM.start_recent_logs(tail.select("run_id", "seq", "kind", "text"), str(out / "tail"), str(checkpoints / "tail"), n=31, once=True).awaitTermination()
+        seen = M.parse_log_stream(spark.createDataFrame(rows[:150 * (i + 1)], SM.LINE_SCHEMA))
+        got = M.latest_metrics(spark.read.parquet(str(out / "metrics")))
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in M.latest_metrics(seen).collect()}
+        got = M.recent_logs(spark.read.parquet(str(out / "tail")), 31)
+        want = M.recent_logs(seen.select("run_id", "seq", "kind", "text"), 31)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    # What was too old when it came has not gone on, and the state holds the newest orders.
+    assert spark.read.parquet(str(out / "tail")).count() < 400
+    assert state(spark, checkpoints / "tail")["hot"] == sorted(r["seq"] for r in want.collect() if r["run_id"] == "hot")
+
+
+def test_state_of_ended_runs_is_dropped(spark, tmp_path):
+    schema = "run_id string, seq bigint, running boolean, pid int, code int, killed boolean"
+    steps = [
+        [("a", 1, True, 10, None, None), ("b", 2, True, 11, None, None), ("c", 3, True, 12, None, None)],
+        [("a", 4, False, None, 0, True), ("b", 5, False, None, 1, False)],
+        [("b", 6, True, 13, None, None), ("c", 7, True, 14, None, None)],
+        [("c", 8, True, 15, None, None), ("a", 2, True, 9, None, None), ("a", 3, False, None, 9, True)],
+        [("c", 9, True, 16, None, None)],
+    ]
+    told, kept = [], []
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        SM.start_status(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"),
+                        once=True, keep_ms=0).awaitTermination()
+        told += step
+        want = M.run_status(spark.createDataFrame(told, schema))
+        assert {tuple(r) for r in M.run_status(spark.read.parquet(str(tmp_path / "out"))).collect()} == {tuple(r) for r in want.collect()}
+        kept.append(state(spark, tmp_path / "c"))
+    assert kept[0] == {"a": [1], "b": [2], "c": [3]}
+    # Run a has ended and is gone by the next micro-batch; run b started again, and stays.
+    assert "a" not in kept[2] and kept[2]["b"] == [6] and kept[4]["b"] == [6] and kept[4]["c"] == [9]
+
+
+def test_a_file_that_grows(spark, tmp_path):
+    schema = "file string, size bigint, ts timestamp"
+    rows = [("m", i * 100, f"2024-01-01 00:00:{i:02d}") for i in (3, 1, 5, 4)] + [("m", 700, "2024-01-01 00:00:05"), ("n", 1, "2024-01-01 00:00:00")]
+    for i in (0, 3):
+        spark.createDataFrame(rows[i:i + 3], "file string, size bigint, ts string").selectExpr("file", "size", "CAST(ts AS timestamp) AS ts").coalesce(
+            1).write.mode("append").parquet(str(tmp_path / "in"))
+        SM.start_file_sizes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert {(r["file"], r["size"]) for r in M.latest_file_sizes(spark.read.parquet(str(tmp_path / "out"))).collect()} == {("m", 700), ("n", 1)}
+
+
+def test_a_flood_is_thinned_before_its_state(spark):
+    import pyarrow as pa
+
+    from pairworks.streaming.newest import _thin
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50), i % 17 == 0, i % 19 == 0) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["k", "_order", "_ends", "_always"])
+    got = [tuple(r.values()) for r in _thin(batch, "k", 5).to_pylist()]
+    least = {k: sorted((r[1] for r in rows if r[0] == k), reverse=True)[4] for k in ("a", "b", None)}
+    assert got == [r for r in rows if r[1] >= least[r[0]] or r[2] or r[3]]
 
 
 def test_rule_stream_and_routing(spark, tmp_path):
@@ -53,7 +109,7 @@ def test_rule_stream_and_routing(spark, tmp_path):
         spark.createDataFrame(changes[40 * i: 40 * (i + 1)], R.CHANGE_SCHEMA).coalesce(1).write.mode(
             "append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(R.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    table = VersionedTable(spark, str(tmp_path / "rules"), R.RULE_SCHEMA, ["id"])
+    table = BatchTable(spark, str(tmp_path / "rules"), R.RULE_SCHEMA, "id")
     assert table.latest().count() == 0
     SR.start_rule_changes(
         stream, table, str(tmp_path / "rejects"), str(tmp_path / "c1"), once=True).awaitTermination()
@@ -75,41 +131,25 @@ def test_rule_stream_and_routing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
 
 
-def test_changed_keys_and_folding(spark, tmp_path):
-    """Against a dict; keys lose all rows, attempts fail before and after they finish, old versions go."""
+def test_changed_keys(spark, tmp_path):
+    """Against a dict; keys lose all rows, and micro-batches run again."""
     rng = random.Random(9)
-    table = VersionedTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], fold=3)
+    table = BatchTable(spark, str(tmp_path / "t"), "k string, v int", "k")
     want = {}
-    for batch in range(8):
+    for batch in range(7):
         touched = rng.sample(["a", "b", "c", "d", None], 3)
         change = {k: [rng.randrange(100) for _ in range(rng.choice([0, 1, 2]))] for k in touched}
         keys = spark.createDataFrame([(k,) for k in touched], "k string")
-        rows = [(k, v) for k, vs in change.items() for v in vs]
+        rows = spark.createDataFrame([(k, v) for k, vs in change.items() for v in vs], "k string, v int")
         before = {tuple(r) for r in table.before(batch).collect()}
-        if batch in (2, 5):  # killed before it finished, and run again after it did
-            spark.createDataFrame([("a", -1, False, batch + 1)], "k string, v int, _gone boolean, _version int").write.parquet(
-                str(tmp_path / f"t/version={batch + 1}/killed"))
-            table.put(batch, spark.createDataFrame(rows, "k string, v int"), keys)
+        if batch in (2, 5):
+            table.put(batch, rows, keys)
             assert {tuple(r) for r in table.before(batch).collect()} == before
-        table.put(batch, spark.createDataFrame(rows, "k string, v int"), keys)
+        table.put(batch, rows, keys)
         want.update(change)
         got = sorted(map(tuple, table.latest().collect()), key=str)
         assert got == sorted(((k, v) for k, vs in want.items() for v in vs), key=str)
-    kept = {int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("version=*")}
-    assert kept == {3, 4, 5, 6, 7, 8}
-
-
-def test_update_writes_changed_groups_only(spark, tmp_path):
-    lines = tmp_path / "log"
-    table = None
-    for i, runs in enumerate([["a", "b", "c"], ["b"]]):
-        spark.createDataFrame([(r, 10 * i + 1, json.dumps({"loss": i + 1.0}), None) for r in runs], SM.LINE_SCHEMA).write.mode(
-            "append").json(str(lines))
-        events = M.latest_metrics(M.parse_log_stream(SM.read_log_lines(spark, str(lines))))
-        table = table or VersionedTable(spark, str(tmp_path / "t"), events.schema, ["run_id"])
-        SM.start_table(events, table, str(tmp_path / "c"), once=True).awaitTermination()
-    assert spark.read.parquet(str(next((tmp_path / "t/version=2").iterdir()))).count() == 1
-    assert {(r["run_id"], r["loss"]) for r in table.latest().collect()} == {("a", 1.0), ("b", 2.0), ("c", 1.0)}
+    assert {r["k"] for r in table.touching(table.latest(), spark.createDataFrame([("a",), (None,)], "k string")).collect()} <= {"a", None}
 
 
 def test_temporary_tables_go(spark, tmp_path):
