@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
-from pyspark.errors import IllegalArgumentException
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from pairworks.functions.patterns import required_literals
 from pairworks.functions.text import js_collapse
 from pairworks.plans.running import CHUNK, cut, long_keys, running
 from pairworks.plans.shared import materialise
@@ -25,6 +27,7 @@ _MATCH_JSON = (
     "caseInsensitive boolean, normalizeWhitespace boolean"
 )
 REGEXES_PER_PASS = 500
+SHORT_GRAM, LONG_GRAM = 3, 6
 RULES_TO_BROADCAST = 1_000_000
 _COMBINATIONS = [(ws, ci) for ws in (False, True) for ci in (False, True)]
 
@@ -219,29 +222,30 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
     return found.select(*inputs.columns, first.alias("exact_ord"))
 
 
-def valid_patterns(spark: SparkSession, patterns: list[str]) -> list[bool]:
-    """Which patterns compile; asked of the driver's Java, without a job."""
-    java = spark._jvm.java.util.regex.Pattern
+def _pattern(rule: Row) -> str:
+    return ("(?iu)" if rule["_ci"] else "") + rule["trigger"]
 
-    def compiles(pattern: str) -> bool:
-        try:
-            java.compile(pattern)
-        except IllegalArgumentException:
-            return False
-        return True
 
-    return [compiles(p) for p in patterns]
+@F.pandas_udf(ArrayType(StringType()))
+def _literals(patterns: pd.Series, case_insensitive: pd.Series) -> pd.Series:
+    return pd.Series([required_literals(p, bool(ci)) for p, ci in zip(patterns, case_insensitive)])
 
 
-def _pattern(rule: Row) -> str:
-    return ("(?iu)" if rule["_ci"] else "") + rule["trigger"]
+def _regexes(rules: DataFrame) -> DataFrame:
+    """The regex rules with `pattern`, `valid` (it compiles, asked of Java in the tasks) and `literals`, null where
+    every text must be tried."""
+    pattern = F.concat(F.when(F.col("_ci"), "(?iu)").otherwise(""), F.col("trigger"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
+    made = _flags(rules, "regex").filter(F.col("trigger").isNotNull()).select(
+        "rule_ord", "id", "trigger", "_ws", "_ci", pattern.alias("pattern"))
+    made = made.withColumn("valid", compiled.isNotNull())
+    return materialise(made.withColumn("literals", F.when(F.col("valid"), _literals("trigger", "_ci"))), "regex-rules")
 
 
-def _regex_passes(rules: DataFrame) -> Iterator[list[Row]]:
-    """The regex rules in order, a bounded number at a time."""
-    regexes = _flags(rules, "regex").filter(F.col("trigger").isNotNull()).select(
-        "rule_ord", "id", "trigger", "_ws", "_ci").orderBy("rule_ord").toLocalIterator()
-    while some := list(islice(regexes, REGEXES_PER_PASS)):
+def _passes(regexes: DataFrame) -> Iterator[list[Row]]:
+    """Rules in order, a bounded number at a time."""
+    listed = regexes.select("rule_ord", "trigger", "_ws", "_ci").orderBy("rule_ord").toLocalIterator()
+    while some := list(islice(listed, REGEXES_PER_PASS)):
         yield some
 
 
@@ -250,49 +254,78 @@ def match_regex(
 ) -> tuple[DataFrame, DataFrame]:
     """(inputs with `regex_ord`, rejected rules): the first regex rule found in the text.
 
-    The rules of a pass become one COALESCE, so a row stops at its first match, nothing is joined
-    and every pattern is compiled once per task. `exact` names a column with the exact match, past
-    which no regex needs to be tried. A pattern that does not compile is rejected and skipped.
-    With more rules than one pass takes, the inputs are stored once; later passes read only the
-    texts of rows without a match and store row numbers, which meet the whole rows at the end.
+    Up to REGEXES_PER_PASS rules become one COALESCE, so a row stops at its first match, nothing is
+    joined and every pattern is compiled once per task. With more, a pattern is tried only on texts
+    that hold a gram of the literals it needs, found by an equi-join; rules without such a literal
+    are tried on all texts that have no earlier match yet, REGEXES_PER_PASS at a time. Beyond these
+    passes no rule comes to the driver. `exact` names a column with the exact match, past which no
+    regex needs to be tried. A pattern that does not compile is rejected and skipped.
     """
-    spark = inputs.sparkSession
-    rejected: list[tuple] = []
-
-    def usable() -> Iterator[list[Row]]:
-        for some in _regex_passes(rules):
-            valid = valid_patterns(spark, [_pattern(r) for r in some])
-            rejected.extend((r["rule_ord"], r["id"], r["trigger"]) for r, ok in zip(some, valid) if not ok)
-            if any(valid):
-                yield [r for r, ok in zip(some, valid) if ok]
-
-    passes = usable()
-    first, second = next(passes, None), next(passes, None)
-    if second is None:
+    regexes = _regexes(rules)
+    usable = regexes.filter("valid")
+    rejects = regexes.filter(~F.col("valid")).select("rule_ord", "id", "trigger").withColumns({
+        "error_code": F.lit("INVALID_INPUT"), "error_message": F.lit("Invalid regex pattern")})
+    first = usable.select("rule_ord", "trigger", "_ws", "_ci").orderBy("rule_ord").limit(REGEXES_PER_PASS + 1).collect()
+    if len(first) <= REGEXES_PER_PASS:
         found = inputs.withColumn(
             "regex_ord", _first_regex(first, column, exact) if first else F.lit(None).cast("bigint"))
-    else:
-        found = _in_passes(inputs, chain([first, second], passes), column, exact)
-    rejects = spark.createDataFrame(
-        rejected, "rule_ord bigint, id string, trigger string"
-    ).withColumns({"error_code": F.lit("INVALID_INPUT"),
-                   "error_message": F.lit("Invalid regex pattern")})
-    return found, rejects
-
+        return found, rejects
 
-def _in_passes(
-    inputs: DataFrame, passes: Iterable[list[Row]], column: str, exact: str | None
-) -> DataFrame:
     stored = materialise(inputs.withColumn("_regex_row", F.monotonically_increasing_id()), "regex-inputs")
-    texts = stored.select("_regex_row", *dict.fromkeys([column, exact] if exact else [column]))
-    matched = None
+    texts = stored.select(
+        "_regex_row", F.col(column).alias("_text"), (F.col(exact) if exact else F.lit(None)).cast("bigint").alias("_exact"))
+    matched = _by_literals(texts.filter("_text IS NOT NULL"), usable.filter("literals IS NOT NULL"))
+    matched = _in_passes(texts, matched, _passes(usable.filter("literals IS NULL")))
+    return stored.join(matched, "_regex_row", "left").drop("_regex_row"), rejects
+
+
+def _folded(text: Column, normalize_ws: bool, case_insensitive: bool) -> Column:
+    """The text in which literals are looked for; Java takes a long s and a dotless i for the plain ones."""
+    text = normalised(text, normalize_ws, case_insensitive)
+    return F.translate(text, "\u017f\u0131", "si") if case_insensitive else text
+
+
+def _by_literals(texts: DataFrame, regexes: DataFrame) -> DataFrame:
+    """(_regex_row, regex_ord): the first of the rules with literals that is found in each text.
+
+    Of each literal the gram counts that the fewest other literals share. Only grams, rows' numbers
+    and rules' orders are joined to find candidates; a text is shuffled once if it has any.
+    """
+    literals = regexes.select("rule_ord", "_ws", "_ci", F.explode("literals").alias("literal"))
+    size = F.when(F.length("literal") >= LONG_GRAM, LONG_GRAM).otherwise(SHORT_GRAM)
+    grams = literals.withColumn("gram", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("literal") - size + 1), lambda i: F.substr(F.col("literal"), i, size))))
+    shared = grams.groupBy("_ws", "_ci", "gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(shared, ["_ws", "_ci", "gram"]).groupBy("rule_ord", "_ws", "_ci", "literal").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    rarest = materialise(rarest.select("_ws", "_ci", "gram", "rule_ord").distinct(), "regex-grams", RULES_TO_BROADCAST)
+    used = [tuple(r) for r in rarest.select("_ws", "_ci", F.length("gram").alias("n")).distinct().collect()]
+    if not used:
+        return texts.sparkSession.createDataFrame([], "_regex_row bigint, regex_ord bigint")
+
+    def held(ws: bool, ci: bool, n: int) -> Column:
+        # A lookahead finds a gram at every character, in one pass over the text.
+        found = F.array_distinct(F.regexp_extract_all(_folded(F.col("_text"), ws, ci), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        return F.transform(found, lambda gram: F.struct(F.lit(ws).alias("_ws"), F.lit(ci).alias("_ci"), gram.alias("gram")))
+
+    there = texts.select("_regex_row", "_exact", F.explode(F.concat(*[held(*combination) for combination in used])).alias("held"))
+    candidates = there.select("_regex_row", "_exact", "held.*").join(rarest, ["_ws", "_ci", "gram"]).filter(
+        F.coalesce(F.col("rule_ord") < F.col("_exact"), F.lit(True))).select("_regex_row", "rule_ord").distinct()
+    text = F.coalesce(*[
+        F.when((F.col("_ws") == ws) & (F.col("_ci") == ci), normalised(F.col("_text"), ws, ci)) for ws, ci in _COMBINATIONS])
+    pairs = candidates.join(regexes.select("rule_ord", "_ws", "_ci", "pattern"), "rule_ord").join(texts.select("_regex_row", "_text"), "_regex_row")
+    return materialise(pairs.filter(F.rlike(text, F.col("pattern"))).groupBy("_regex_row").agg(
+        F.min("rule_ord").alias("regex_ord")), "regex-hits")
+
+
+def _in_passes(texts: DataFrame, matched: DataFrame, passes: Iterable[list[Row]]) -> DataFrame:
+    """`matched` with the rules of the passes as well. A pass stores the rows it matches, and reads each text
+    up to its first match so far."""
     for some in passes:
-        left = texts if matched is None else texts.join(matched, "_regex_row", "left_anti")
+        left = texts.join(matched, "_regex_row", "left").withColumn("_past", F.least("_exact", "regex_ord"))
         hits = materialise(
-            left.select("_regex_row", _first_regex(some, column, exact).alias("regex_ord"))
-            .filter("regex_ord IS NOT NULL"), "regex-hits")
-        matched = hits if matched is None else matched.unionByName(hits)
-    return stored.join(matched, "_regex_row", "left").drop("_regex_row")
+            left.select("_regex_row", _first_regex(some, "_text", "_past").alias("regex_ord")).filter("regex_ord IS NOT NULL"), "regex-hits")
+        matched = materialise(matched.unionByName(hits).groupBy("_regex_row").agg(F.min("regex_ord").alias("regex_ord")), "regex-matched")
+    return matched
 
 
 def _first_regex(some: list[Row], column: str, exact: str | None) -> Column:

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pairworks.functions.patterns import required_literals
 from pairworks.operators import rules as R
 
 T0 = datetime(2024, 1, 1)
@@ -221,9 +222,9 @@ def test_passes_store_the_inputs_once(spark, monkeypatch):
 
 
 def test_patterns_are_checked(spark):
-    patterns = ["a", "(", "b+", "[z", "c"]
-    assert R.valid_patterns(spark, patterns) == [True, False, True, False, True]
-    assert R.valid_patterns(spark, []) == []
+    made = [rule(i, pattern, "regex") for i, pattern in enumerate(["a", "(", "b+", "[z", "c", "(?i", "a{2,1}"])]
+    got = R._regexes(spark.createDataFrame(made, R.RULE_SCHEMA)).orderBy("rule_ord").collect()
+    assert [r["valid"] for r in got] == [True, False, True, False, True, False, False]
 
 
 def test_rule_set_document_and_both_flag_spellings(spark, tmp_path):
@@ -245,3 +246,59 @@ def test_rule_set_document_and_both_flag_spellings(spark, tmp_path):
         (0, "b", "T", "r", True, "exact", T0, datetime(2024, 1, 2)), (1, "a", "u", "s", True, "exact", None, T0)}
     found, _ = R.resolve(spark.createDataFrame([("t",), ("U",)], "input string"), after)
     assert {(r["input"], r["matched_ord"]) for r in found.collect()} == {("t", 0), ("U", 1)}
+
+
+def regex_rules(seed, n):
+    """Patterns of words, classes, groups, quantifiers and branches, some of which do not compile."""
+    rng = random.Random(seed)
+    some = ["hello", "École", "paſsword", "abc", "world", r"\.", r"\d+", "[a-c]x", "[^]]", "(one|two)", "(?:three)?", "x*", "yes+", "no{2}", "z{0,2}",
+            "^", "$", ".", r"\bcat", "(?=dog)", "(?i)", "I", "kK", r"\Qa.b\E", "(", "a|b", "long word here|other word", " ", r"\s", "+", "[a&&[^b]]", r"\x41"]
+    return [rule(i, "".join(rng.choice(some) for _ in range(rng.randint(1, 4))), "regex", rng.random() < 0.5, rng.random() < 0.3) for i in range(n)]
+
+
+def test_candidates_by_literals_are_those_that_match(spark, monkeypatch):
+    rng = random.Random(3)
+    rules = spark.createDataFrame(regex_rules(1, 300), R.RULE_SCHEMA)
+    pieces = ["hello", "HELLO", "école", "ÉCOLE", "password", "paſſword", "abc", "ABC", "World", "world", ".", "12", "ax", "one", "two", "three", "x", "yess", "noo",
+              "cat", "dog", "i", "ı", "İ", "k", "K", "a.b", "long word here", "long  word\there", "other word", " ", "\n", "A"]
+    texts = [None, ""] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    inputs = spark.createDataFrame([(i, t, rng.choice([None, 50, 200])) for i, t in enumerate(texts)], "n int, input string, e bigint")
+    for exact in (None, "e"):
+        want, rejects = R.match_regex(inputs, rules, exact=exact)
+        want = {tuple(r) for r in want.collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(R, "REGEXES_PER_PASS", 40)
+            got, refused = R.match_regex(inputs, rules, exact=exact)
+            assert {tuple(r) for r in got.collect()} == want
+            assert sorted(refused.collect()) == sorted(rejects.collect())
+    assert sum(r[3] is not None for r in want) > 100 and rejects.count() > 10
+
+
+def test_a_hundred_thousand_regex_rules(spark, monkeypatch):
+    """None of them has to come to the driver: those with a literal are found by it."""
+    def no_passes(texts, matched, passes):
+        assert next(iter(passes), None) is None
+        return matched
+
+    monkeypatch.setattr(R, "_in_passes", no_passes)
+    rules = spark.range(100_000).selectExpr(
+        "id AS rule_ord", "concat('r', id) AS id",
+        "CASE WHEN id % 1000 = 999 THEN concat('code', id, '(') ELSE concat('code', id, '[^0-9]') END AS trigger",
+        "named_struct('type', 'regex', 'case_insensitive', id % 2 = 0, 'normalize_ws', id % 3 = 0) AS match",
+        "'answer' AS response", "CAST(NULL AS timestamp) AS created_at", "CAST(NULL AS timestamp) AS updated_at", "true AS enabled")
+    inputs = spark.range(2000).selectExpr("id AS n", "concat('see CODE', id * 77 % 120000, ' or code', id * 31 % 130000, '.') AS input")
+    got, rejects = R.match_regex(inputs, rules)
+    one, two = (lambda n: n * 77 % 120000), (lambda n: n * 31 % 130000)
+    want = {n: min([c for c in (one(n), two(n)) if c < 100_000 and c % 1000 != 999 and (c == two(n) or c % 2 == 0)], default=None) for n in range(2000)}
+    assert {r["n"]: r["regex_ord"] for r in got.collect()} == want
+    assert rejects.count() == 100
+
+
+@pytest.mark.parametrize("pattern, ci, want", [
+    ("hello", False, ["hello"]), ("hel+o there", False, ["o there"]), ("hel*o", False, None), ("abcd?e", False, ["abc"]), ("abc|defg", False, ["abc", "defg"]),
+    ("abc|de", False, None), (r"a\.b\.c", False, ["a.b.c"]), ("(abc)def", False, ["def"]), ("(?i)abc", False, None), ("x(?i)abc", False, None),
+    ("ABCÉDEF", True, ["abc"]), ("ABCÉDEF", False, ["ABCÉDEF"]), (r"\Qabc\E", False, None), ("[abc]defg", False, ["defg"]), ("[]abc]defg", False, None),
+    ("ab{2}cde", False, ["cde"]), ("abc|", False, None), (r"abc\d+xyzw", False, ["xyzw"]), ("(a|(b[)])c)dddd", False, ["dddd"]), ("abc)", False, None),
+    (r"abc\1", False, None), ("abc++d", False, ["abc"]), ("", False, None), ("ab\\", False, None)])
+def test_required_literals(pattern, ci, want):
+    assert required_literals(pattern, ci) == want
