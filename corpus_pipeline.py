@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairworks.llm import byte_bpe, language, mixing, near_dedup, secret_scan
-from pairworks.llm.common import materialise
+from pairworks.llm.common import fresh_name, materialise
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns profiles from the rows with a language and drops documents that fit none."""
-    return language.accepted(docs, language.learn(docs))
+    """Learns profiles from four fifths of the rows with a language, and the least score of each language and length
+    from the others; drops documents that fit no language, those that reach no such score included."""
+    held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+    profiles = language.learn(docs.filter(~held_out))
+    return language.accepted(docs, profiles, language.learn_least_scores(docs.filter(held_out), profiles))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +25,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported secret, and keys that stick out of one, replaced by a mark; n_chars follows the text."""
-    before = F.col("__before")
-    hidden = secret_scan.redact(docs.withColumn("__before", F.length("text")), overhang=True)
-    changed = ~F.length("text").eqNullSafe(before)
-    return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__before")
+    before = fresh_name(docs, "before")
+    hidden = secret_scan.redact(docs.withColumn(before, F.length("text")), overhang=True)
+    changed = ~F.length("text").eqNullSafe(F.col(before))
+    return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources takes it."""
+    """Each document as often as the mixture of sources takes it, in the order of its schedule."""
     return mixing.copies(docs)
 
 

@@ -14,6 +14,14 @@ from pairworks.plans.shared import materialise, new_path  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has, in letters of either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Remembered:
     """Values of short texts, worked out many at a time and kept for up to `entries` of them.
 

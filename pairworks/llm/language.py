@@ -20,6 +20,7 @@ from pairworks.llm.common import map_batches
 LONGEST = 3
 PROFILE = 400
 UNDETERMINED = "und"
+FEWEST_FOR_LEAST = 200
 _BITS = 21  # of a code point; three of them and no more fit into a key
 
 
@@ -109,7 +110,7 @@ class Profiles:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles of all rows with a text and a language.
+    """Profiles of all rows with a text and a language; a row that repeats counts as often.
 
     N-grams are counted per batch and language before the shuffle, so that a hot language
     shuffles no more than the others. Equal counts are put in the order of their keys. The
@@ -159,17 +160,51 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema, rows=256)
 
 
-def accepted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text fits a language: not `und`, and with an n-gram of its profile.
+def _length_class(text: str) -> int:
+    """Scores depend on the length of a text: each doubling is a class of its own."""
+    return len(text).bit_length()
 
-    How large a score gets depends on the script and the length of the text as much as on its
-    language, so that no other score decides. All columns stay as they are, and no row is moved.
+
+def learn_least_scores(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang",
+                       fewest: int = FEWEST_FOR_LEAST) -> dict[tuple[str, int], float]:
+    """The least score that a text of a language and length class should reach, from rows with a language
+    that the profiles have not been learnt from.
+
+    It lies as far below the lowest score that was seen as half the way from there to the median;
+    a class with fewer than `fewest` rows has none. Rows that look like another language than theirs
+    do not count. At most one row per language and class reaches the driver.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [text or "" for text in batch.column(1).to_pylist()]
+        langs, scores = profiles.predict(texts)
+        own = pa.array([a == b for a, b in zip(langs, batch.column(0).to_pylist(), strict=True)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(_length_class, texts)), pa.int32()), pa.array(scores, pa.float64())],
+                                          ["lang", "class", "score"]).filter(own)
+
+    rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    seen = map_batches(rows, run, "lang string, class int, score double", rows=256).groupBy("lang", "class").agg(
+        F.count("*").alias("n"), F.min("score").alias("low"), F.percentile_approx("score", 0.5, 1000).alias("middle"))
+    return {(r["lang"], r["class"]): r["low"] - (r["middle"] - r["low"]) / 2 for r in seen.filter(F.col("n") >= fewest).collect()}
+
+
+def accepted(docs: DataFrame, profiles: Profiles, least: dict[tuple[str, int], float] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text fits a language.
+
+    That is: not `und`, with an n-gram of its profile, and with at least the score that `least` has
+    for its language and length class, if any. How large a score gets depends on the script and the
+    length as much as on the language, so that no one number decides. All columns stay as they are,
+    repeated rows stay or go together, and no row is moved.
     """
     at = docs.columns.index(text_col)
+    least = least or {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = profiles.predict([text or "" for text in batch.column(at).to_pylist()])
-        return batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (scores > 0)))
+        texts = [text or "" for text in batch.column(at).to_pylist()]
+        langs, scores = profiles.predict(texts)
+        fits = [lang != UNDETERMINED and score > 0 and score >= least.get((lang, _length_class(text)), 0.0)
+                for lang, score, text in zip(langs, scores, texts, strict=True)]
+        return batch.filter(pa.array(fits, pa.bool_()))
 
     return map_batches(docs, run, docs.schema, rows=256)
 
@@ -178,7 +213,8 @@ def learn_and_identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
                        lang_col: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out and predicts all: id, held_out, lang_pred, score.
 
-    A row whose `held_out` is null, as with a null id, is held out.
+    A row whose `held_out` is null, as with a null id, is held out; repeated rows are learnt from, and
+    come back, as often as they are there.
     """
     out = F.coalesce(held_out, F.lit(True))
     profiles = learn(docs.filter(~out), text_col, lang_col)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairworks.llm.common import WORD, materialise
+from pairworks.llm.common import WORD, fresh_name, materialise
 
 MOST_REPEATS = 3
 _BINS = 1024
@@ -108,7 +108,7 @@ def place_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_wo
     """The mix: a row for each document and block that holds some of it, with the block's slot.
 
     Columns: id, tag (digest of the text), source, size, source_no, source_size, target, offset,
-    slot (null if the block is not taken), block, begin and end (words of the document). A document
+    slot (null if the block is not taken), round, block, begin and end (words of the document). A document
     without words has one row without a block. A source's blocks go round its documents up to
     MOST_REPEATS times; the last block is cut where the quota, the rounded target, is reached.
     """
@@ -135,12 +135,17 @@ def place_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_wo
     end = F.least((F.col("block") + 1) * block_words - F.col("from"), F.col("size"), F.col("quota") - F.col("from"))
     pieces = pieces.withColumns({"begin": begin, "end": end})
     return pieces.join(slots, ["source_no", "block"], "left").select(
-        id_col, "tag", "source", "size", "source_no", "source_size", "target", "offset", "slot", "block", "begin", "end")
+        id_col, "tag", "source", "size", "source_no", "source_size", "target", "offset", "slot", "round", "block", "begin", "end")
+
+
+def _words_taken() -> Column:
+    return F.when(F.col("slot").isNotNull(), F.col("end") - F.col("begin")).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 512, seed: str = "mix",
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, tag, source, size, source_size, target, and taken, the words the mix takes with repeats.
+    """Per row: id, tag, source, size, source_size, target, taken, the words the mix takes with repeats, and its place in
+    the schedule: first_slot, null if nothing is taken, and n_slots, how many slots take a part of it.
 
     Null and empty texts have size 0 and take nothing; null sources are one source, the last;
     repeated rows count one by one; null ids are shuffled like others. Rows that agree in id,
@@ -148,25 +153,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int
     empty table gives an empty one.
     """
     blocks = place_blocks(docs, weights, block_words, seed, id_col, text_col, source_col)
-    words = F.when(F.col("slot").isNotNull(), F.col("end") - F.col("begin")).otherwise(0)
     # Documents without words share an offset with the next one, so that they are grouped by size too.
     live = blocks.filter("size > 0").groupBy(id_col, "tag", "source", "size", "source_no", "source_size", "target", "offset").agg(
-        F.sum(words).alias("taken"))
-    none = blocks.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = [id_col, "tag", "source", "size", "source_size", "target", "taken"]
+        F.sum(_words_taken()).alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    none = blocks.filter("size = 0").withColumns({
+        "taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_slots": F.lit(0).cast("long")})
+    columns = [id_col, "tag", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
     return live.select(columns).unionByName(none.select(columns))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int = 512, seed: str = "mix",
            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` in the mix: each row as often as the mix takes it, a part of a document as the whole one.
+    """`docs` in the mix, in the order of the schedule: each row as often as the mix takes it, a part of a document as
+    the whole one, where the first slot that takes some of it in that round is.
 
-    A source has one such document at most, the one at which its quota ends. Rows that agree in
-    id, source and text share what they are taken together, rounded up.
+    A source has one document at most that is taken in part, the one at which its quota ends. Rows that
+    agree in id, source and text share what they are taken together, rounded up, and stand side by side. The
+    result is partitioned by ranges of slots and sorted within them, so that any stretch of it has each source
+    close to its share. Its columns are those of `docs`, whatever their names.
     """
-    taken = mix(docs, weights, block_words, seed, id_col, text_col, source_col).filter("taken > 0")
-    times = materialise(taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("tag").alias("__kept_tag")).agg(
-        F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("__times")), "mix-times")
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-                       & (F.xxhash64(F.col(text_col)) == F.col("__kept_tag")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    blocks = place_blocks(docs, weights, block_words, seed, id_col, text_col, source_col).filter("slot IS NOT NULL")
+    names = {name: fresh_name(docs, name) for name in ("id", "source", "tag", "times", "slots", "copy", "slot")}
+    rounds = blocks.groupBy(F.col(id_col).alias("id"), "source", "tag", "offset", "size", "round").agg(
+        F.min("slot").alias("slot"), F.sum(_words_taken()).alias("taken"))
+    # A document goes round MOST_REPEATS times and a part at most.
+    rows = rounds.groupBy("id", "source", "tag", "offset", "size").agg(
+        F.sum("taken").alias("taken"), F.sort_array(F.collect_list("slot")).alias("slots")).filter("taken > 0")
+    times = materialise(rows.groupBy("id", "source", "tag").agg(
+        F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("times"), F.min("slots").alias("slots")), "mix-times")
+    times = times.select(*[F.col(name).alias(names[name]) for name in times.columns])
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col(names["id"])) & F.col(source_col).cast("string").eqNullSafe(F.col(names["source"]))
+                       & (F.xxhash64(F.col(text_col)) == F.col(names["tag"])))
+    slots = F.col(names["slots"])
+    placed = joined.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).withColumn(
+        names["slot"], F.element_at(slots, F.least(F.col(names["copy"]), F.size(slots))))
+    return placed.repartitionByRange(names["slot"]).sortWithinPartitions(names["slot"]).select(*[docs[c] for c in docs.columns])

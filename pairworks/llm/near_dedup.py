@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairworks.llm.common import Remembered, map_batches, materialise
+from pairworks.llm.common import Remembered, fresh_name, map_batches, materialise
 from pairworks.llm.components import components
 
 WORDS = 3  # in a shingle
@@ -370,13 +370,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of `docs` per component: the one with the smallest id, a null id being larger than any
     other, and of several with that id the one whose text has the smallest tag. A text without
     shingles is a component of its own with the rows that repeat its id and text. Documents are
-    joined to the decisions by id and digest of the text."""
+    joined to the decisions by id and digest of the text; columns of any name come through."""
     # All kept rows of a component have the same id, or none has one.
     alone = F.when(F.col("group").isNull(), F.col("tag"))
-    kept = _grouped(docs, id_col, text_col).filter("kept").groupBy("group", alone.alias("alone"), F.col(id_col).alias("__id"))
-    decided = materialise(kept.agg(F.min("tag").alias("__kept_tag"), F.count("*").alias("rows")), "kept")
+    kept_id, kept_tag, own_tag = (fresh_name(docs, name) for name in ("kept_id", "kept_tag", "own_tag"))
+    found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    kept = found.filter("kept").groupBy("group", alone.alias("alone"), F.col("doc_id").alias(kept_id))
+    decided = materialise(kept.agg(F.min("tag").alias(kept_tag), F.count("*").alias("rows")), "kept")
     tag = F.xxhash64(F.col(text_col))
-    stay = docs.join(decided.select("__id", "__kept_tag"), F.col(id_col).eqNullSafe(F.col("__id")) & (tag == F.col("__kept_tag")), "left_semi")
+    stay = docs.join(decided.select(kept_id, kept_tag), F.col(id_col).eqNullSafe(F.col(kept_id)) & (tag == F.col(kept_tag)), "left_semi")
     if decided.filter("rows > 1").isEmpty():
         return stay
-    return stay.withColumn("__tag", tag).dropDuplicates([id_col, "__tag"]).drop("__tag")
+    return stay.withColumn(own_tag, tag).dropDuplicates([id_col, own_tag]).drop(own_tag)

@@ -54,7 +54,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(a.j, '')) AS base_sha256, coalesce(b.j, '') AS spans
 FROM d LEFT JOIN a USING (rid) LEFT JOIN b USING (rid)"""
 
-# The words taken follow from the quota and each document's place in its source's shuffled order.
+# The words taken follow from the quota and each document's place in its source's shuffled order; the slots from the points
+# of the sequence, the digits of a slot's number reversed.
 MIX = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -69,11 +70,27 @@ t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight
 o AS (SELECT doc_id, size, t.source_size, target, CAST(round(target) AS BIGINT) AS quota,
              coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY md5('mix:' || doc_id), doc_id, size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at
-      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT source, CAST(round(target) AS BIGINT) AS quota FROM t WHERE round(target) > 0),
+h AS (SELECT source, quota, CAST(ceil(quota / 512.0) AS BIGINT) AS blocks,
+             (sum(quota) OVER w - quota) / CAST(sum(quota) OVER () AS DOUBLE) AS lo, sum(quota) OVER w / CAST(sum(quota) OVER () AS DOUBLE) AS hi
+      FROM q WINDOW w AS (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT CAST(ceil(sum(quota) / 512.0) AS BIGINT) AS slots FROM q),
+p AS (SELECT slot, list_sum(list_transform(range(0, 52), lambda i: CAST((slot >> i) & 1 AS DOUBLE) / (1::BIGINT << (i + 1)))) AS point
+      FROM (SELECT unnest(range(0, slots)) AS slot FROM n)),
+r AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block, blocks FROM p JOIN h ON point >= lo AND point < hi),
+g AS (SELECT h.source, blocks, count(r.slot) AS given FROM h LEFT JOIN (SELECT source, slot FROM r) r ON r.source IS NOT DISTINCT FROM h.source GROUP BY h.source, blocks),
+k AS (SELECT source, block, slot FROM r WHERE block < blocks
+      UNION ALL SELECT source, block, slots + block - given FROM (SELECT source, given, unnest(range(given, blocks)) AS block FROM g), n),
+c AS (SELECT o.*, row_number() OVER () AS row FROM (SELECT o.*, d.source FROM o JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)) o),
+u AS (SELECT row, source, size, quota, round * source_size + begin_at AS start
+      FROM (SELECT *, unnest(range(0, CAST((quota - 1 - begin_at) // source_size + 1 AS BIGINT))) AS round FROM c WHERE size > 0 AND quota > begin_at)),
+y AS (SELECT row, source, unnest(range(CAST(start // 512 AS BIGINT), CAST(least((quota - 1) // 512, (start + size - 1) // 512) + 1 AS BIGINT))) AS block FROM u),
+z AS (SELECT y.row, min(slot) AS first_slot, count(slot) AS n_slots FROM y JOIN k ON k.source IS NOT DISTINCT FROM y.source AND k.block = y.block GROUP BY y.row)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE size * (quota // source_size)
-            + greatest(0, least(size, quota % source_size - begin_at)) END AS BIGINT) AS taken
-FROM o"""
+            + greatest(0, least(size, quota % source_size - begin_at)) END AS BIGINT) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM c LEFT JOIN z ON z.row = c.row"""
 
 WARC = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

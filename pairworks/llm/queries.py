@@ -59,7 +59,7 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:

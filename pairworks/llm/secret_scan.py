@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairworks.llm.common import fresh_name
+
 # Kinds in the order in which they are listed, with pattern, group and least length.
 # `+` stands where a match that is too short still uses up its characters; maximal runs of one
 # class may be searched by their least length at once.
@@ -177,7 +179,7 @@ def with_spans(df: DataFrame, text_col: str = "text", reach: int = 200, base_col
         if name.lower() in {c.lower() for c in df.columns}:
             raise ValueError(f"the table has a column {name}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = "__parts"
+    parts = fresh_name(df, "parts")
     found = df.withColumn(parts, F.struct(*[_spans(text, kind).alias(kind) for kind in KINDS]))
     # Worked out once per row: an explode of one element keeps Spark from copying it into each use.
     found = found.withColumn(parts, F.explode(F.array(parts)))
@@ -216,9 +218,11 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str = "[secret]", overhang: bool = False) -> DataFrame:
     """`df` with every reported span in its texts replaced by `mark`; overlapping spans become one.
 
-    `overhang` is that of with_spans. Texts without a span, and null texts, stay as they are.
+    `overhang` is that of with_spans. Texts without a span, and null texts, stay as they are; columns of any
+    name come through.
     """
-    text, spans = F.col(text_col), F.col("__all")
+    base_col, all_col = fresh_name(df, "base_spans"), fresh_name(df, "all_spans")
+    text, spans = F.col(text_col), F.col(all_col)
     # Spans that begin within an earlier one add no mark of their own.
     led = _scan(spans, 0, F.greatest, lambda s: s["end"], lambda end, s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), (s["start"] >= end).alias("lead")), "struct<start:int,end:int,lead:boolean>")
@@ -246,5 +250,5 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = 200, mark: str =
     whole = _with(F.struct(blocks.alias("blocks"), led.alias("led")), lambda row: F.array_join(F.transform(
         F.sequence(F.lit(0), F.floor((F.size(row["blocks"]) - 1) / _STRETCH).cast("int")),
         lambda i: stretch(row["blocks"], i, row["led"])), ""))
-    return with_spans(df, text_col, reach, "__base", "__all", overhang).withColumn(
-        text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).drop("__base", "__all")
+    return with_spans(df, text_col, reach, base_col, all_col, overhang).withColumn(
+        text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).drop(base_col, all_col)

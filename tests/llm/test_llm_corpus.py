@@ -148,6 +148,39 @@ def test_copies_are_what_is_taken(spark):
         assert times.get(r.doc_id, 0) == (-(-r.taken // r.size) if r.size else 0)
 
 
+def test_any_stretch_of_the_mix_has_each_source_close_to_its_share(spark, tmp_path):
+    rows = [(1000 * k + i, words(1000 * k + i, 20 + i % 50), "en", f"s{k}", 1, 0.1, 1, "t") for k, n in enumerate((600, 300, 900)) for i in range(n)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    mixing.copies(docs, block_words=64).write.parquet(str(tmp_path / "mix"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # The files in their order, as they were written.
+    files = sorted((tmp_path / "mix").glob("*.parquet"))
+    mix = [r for f in files for r in spark.read.schema(SCHEMA).parquet(str(f)).coalesce(1).collect()]
+    assert len(files) > 1
+    size = [len(r.text.split()) for r in mix]
+    target = {r.source: r.target for r in mixing.mix(docs, block_words=64).collect()}
+    taken = dict.fromkeys(target, 0)
+    for i, r in enumerate(mix):
+        taken[r.source] += size[i]
+        done = sum(taken.values())
+        assert all(abs(taken[s] - done * target[s] / sum(target.values())) < 64 * 12 for s in taken)
+    told = {r.doc_id: (r.first_slot, r.n_slots, r.taken) for r in mixing.mix(docs, block_words=64).collect()}
+    assert all((slot is None) == (n == 0) == (words_ == 0) for slot, n, words_ in told.values())
+
+
+def test_columns_of_any_name_come_through(spark, tmp_path):
+    names = ["__id", "__times", "__copy", "__kept_tag", "__tag", "__before", "id", "tag", "times", "slots", "slot", "copy", "kept_id", "KEPT_TAG", "own_tag",
+             "before", "parts", "base_spans", "all_spans", "_id", "group", "rows", "n", "score", "label", "round"]
+    rows = [(1, words(1, 30)), (1, words(1, 30)), (2, words(2, 30) + " password=hunter22"), (3, words(2, 30) + " password=hunter22 more")]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").withColumns({name: F.lit(f"own {name}") for name in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[name] == f"own {name}" for r in got for name in names)
+
+
 def pages(spark):
     same, rng = "<p>same</p>" * 20, random.Random(3)
     rows = [(i, f"http://x/{i}", same if i % 3 == 0 else f"<p>{rng.random()}</p>" * rng.randint(0, 30), "t") for i in range(60)]

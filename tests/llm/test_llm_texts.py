@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -121,6 +122,61 @@ def test_languages(spark):
     assert language.learn_and_identify(docs.limit(0), held).count() == 0
 
 
+def made_up(language, seed, n):
+    """Text of a made-up language over the Latin letters, each with syllables of its own."""
+    rng = random.Random(language)
+    syllables = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 2))) for _ in range(40)]
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(syllables[:10 + 30 * (rng.random() < 0.3)]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def test_foreign_languages_go_and_learnt_ones_stay(spark):
+    rng = random.Random(6)
+    rows = [(10_000 * k + i, made_up(lang, 10_000 * k + i, rng.randint(110, 250)), lang) for k, lang in enumerate("ABC") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+    profiles = language.learn(docs.filter(~held_out))
+    least = language.learn_least_scores(docs.filter(held_out), profiles, fewest=20)
+    assert {lang for lang, _ in least} == set("ABC") and len(least) >= 6
+    assert language.learn_least_scores(docs.filter(held_out), profiles, fewest=10_000) == {}
+    new = [(90_000 + i, made_up(lang, 90_000 + i, rng.randint(110, 250)), None) for lang in "ABC" for i in range(300)]
+    foreign = [(95_000 + i, made_up(lang, 95_000 + i, rng.randint(110, 250)), lang) for lang in "XYZ" for i in range(200)]
+    stay = language.accepted(spark.createDataFrame(rows + new + foreign, docs.schema), profiles, least)
+    got = [r.doc_id for r in stay.collect()]
+    assert len(got) == len(rows) + len(new) and max(got) < 95_000
+    # Without labels nothing is learnt, and without scores nothing but a foreign script goes.
+    assert language.accepted(spark.createDataFrame(new, docs.schema), profiles, {}).count() == len(new)
+
+
+def test_profiles_and_distances_by_brute_force(spark):
+    rows = [(k, words(k, 30 + k % 50, "der die und" if k % 2 else "the of and to"), "de" if k % 2 else "en") for k in range(60)]
+    profiles = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def counted(text):
+        low = "".join(c.lower() if c.isalpha() else " " for c in text)
+        padded = " " + " ".join(low.split()) + " "
+        found = [padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        code = lambda g: sum((0 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        # A gap stands at the ends of an n-gram only, and never alone.
+        return Counter(code(g) for g in found if g.strip() and " " not in g[1:-1])
+
+    def places(counts):
+        return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:language.PROFILE])}
+
+    learnt = {lang: places(sum((counted(t) for _, t, own in rows if own == lang), Counter())) for lang in ("de", "en")}
+    assert profiles.languages == ["de", "en"]
+    for lang, column in zip(profiles.languages, profiles.places.T, strict=True):
+        assert {int(k): int(p) for k, p in zip(profiles.keys, column, strict=True) if p < language.PROFILE} == learnt[lang]
+    texts = [words(900 + k, 5 + k, "der the und of") for k in range(30)] + ["", "12", "zzz", "the"]
+    langs, scores = profiles.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        own = places(counted(text))
+        cost = {other: sum(abs(place - learnt[other][g]) if g in learnt[other] else language.PROFILE for g, place in own.items()) for other in learnt}
+        best = min(sorted(cost), key=cost.get)
+        assert lang == (best if own else "und")
+        assert score == pytest.approx(1 - cost[best] / (len(own) * language.PROFILE) if own else 0)
+
+
 def test_documents_of_a_script_with_many_letters_are_accepted(spark):
     rng = np.random.default_rng(5)
     share = 1 / np.arange(1, 4001)
