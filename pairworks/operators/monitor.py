@@ -45,6 +45,33 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
         F.when(text("loss").isNull(), shown.otherwise(F.col("line"))).alias("text"))
 
 
+def chunk_lines(chunks: DataFrame) -> DataFrame:
+    """(run_id, channel, line_no, line) of a process's output as (run_id, channel, seq, data), cut anywhere.
+
+    A line may reach over any number of chunks, and a chunk hold any number of lines; what follows
+    the last line feed is a line too, unless it is empty. Only the pieces at the borders of chunks
+    are shuffled to be put together; a long run is cut along `seq`, which is a whole number. See
+    streaming.lines for streams.
+    """
+    pieces = F.split(F.coalesce("data", F.lit("")), "\n", -1)
+    whole = chunks.select(
+        "run_id", "channel", "seq", pieces.alias("_pieces"), (F.size(pieces) - 1).cast("bigint").alias("_feeds"))
+    keys = ["run_id", "channel"]
+    long = long_keys(whole, keys, "seq")
+    placed = running(cut(whole, keys, "seq", long), "seq", {"_before": ("sum", "_feeds")}, inclusive=False, long=long)
+    numbered = placed.select(
+        *keys, "seq", "_feeds", F.coalesce("_before", F.lit(0).cast("bigint")).alias("_before"), F.posexplode("_pieces").alias("_at", "_piece"))
+    numbered = numbered.withColumn("line_no", F.col("_before") + F.col("_at") + 1)
+    inner = (F.col("_at") > 0) & (F.col("_at") < F.col("_feeds"))
+    border = numbered.filter(~inner).groupBy(*keys, "line_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_at", "_piece"))), lambda p: p["_piece"]), "").alias("line"),
+        # A line has ended if a later piece of a chunk follows the last of its own.
+        F.bool_or(F.col("_at") < F.col("_feeds")).alias("_ended"))
+    lines = numbered.filter(inner).select(*keys, "line_no", F.col("_piece").alias("line")).unionByName(
+        border.filter((F.col("line") != "") | F.col("_ended")).drop("_ended"))
+    return lines
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """(run_id, seq, type and the fields of all types) of (run_id, seq, message).
 

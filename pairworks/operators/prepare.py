@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairworks.functions import fixed_values as fixed
 from pairworks.functions.text import fill
 from pairworks.plans.ranking import (
-    BLOCK_ROWS, at_or_before, fine_bucket, global_rank, quota_cuts, shuffle_key, with_cuts,
+    BLOCK_ROWS, at_or_before, fine_bucket, global_rank, in_broken_tie, quota_cuts, shuffle_key, with_cuts,
 )
 
 Encoder = Callable[[Sequence[str]], list[list[int]]]
@@ -34,15 +34,38 @@ def split_pairs(
 ) -> DataFrame:
     """Adds `split`: an exact, repeatable random share of every dataset is 'validation'.
 
-    Row ids must be unique per dataset. Reads only keys and ids to find where each dataset's
-    share ends in hash order; the wide rows are then compared with that cut and stay in place.
-    `df` is read three times, so pass a stored table.
+    Reads only keys and ids to find where each dataset's share ends in hash order; the wide rows
+    are then compared with that cut and stay in place. Where ids repeat, the share may end among
+    rows with one id: only those are then told apart by their digests, and rows that are equal
+    throughout are dealt out by their number. `df` is read three times, so pass a stored table.
     """
     order = {"key": shuffle_key(seed, row_id), "id": F.col(row_id)}
     cuts = quota_cuts(
         df, list(keys), fine_bucket(order["key"]), order, validation_quota(val_split))
-    chosen = F.when(at_or_before(order), "validation").otherwise("train")
-    return with_cuts(df, cuts, list(keys)).withColumn("split", chosen).select(*df.columns, "split")
+    placed = with_cuts(df, cuts, list(keys))
+    named = _named(placed, at_or_before(order)).select(*df.columns, "split")
+    if cuts.filter("tie_rows > tie_take").isEmpty():
+        return named
+    tie = in_broken_tie(order)
+    sure = _named(placed.filter(~tie), at_or_before(order)).select(*df.columns, "split")
+    tied = placed.filter(tie).select(*df.columns, F.col("tie_take").alias("_take"))
+    return sure.unionByName(_split_tied(tied, df.columns, [*keys, "_take"]))
+
+
+def _named(rows: DataFrame, held: Column) -> DataFrame:
+    return rows.withColumn("split", F.when(held, "validation").otherwise("train"))
+
+
+def _split_tied(tied: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """The split of rows of which the first `_take` of every key, by the digests of whole rows, are held out."""
+    order = {"digest": F.md5(F.to_json(F.struct(*columns)))}
+    cuts = quota_cuts(tied, keys, fine_bucket(order["digest"]), order, lambda n: F.col("_take"))
+    placed = with_cuts(tied, cuts, keys)
+    equal = in_broken_tie(order)
+    sure = _named(placed.filter(~equal), at_or_before(order)).select(*columns, "split")
+    one = placed.filter(equal).groupBy(*keys, "tie_rows", "tie_take").agg(F.first(F.struct(*columns)).alias("_row"))
+    dealt = one.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("tie_rows"))))
+    return sure.unionByName(_named(dealt, F.col("_no") <= F.col("tie_take")).select("_row.*", "split"))
 
 
 def prompt(source: Column) -> Column:

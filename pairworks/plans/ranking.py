@@ -41,7 +41,8 @@ def quota_cuts(
     `bucket` must rise with `order`. Buckets are counted first; then only the one bucket that
     holds the wanted row is ranked, so the sort touches a sliver of the rows and the caller can
     compare wide rows with the cut where they lie instead of shuffling them. Returns the keys,
-    n, quota and `cut_*` per order column; a key whose quota is 0 has no row.
+    n, quota and `cut_*` per order column; a key whose quota is 0 has no row. `tie_rows` rows have
+    the order of the cut, of which `tie_take` lie within the quota.
     """
     narrow = df.select(*keys, bucket.alias("_bucket"), *[c.alias(o) for o, c in order.items()])
     counts = narrow.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
@@ -60,10 +61,12 @@ def quota_cuts(
         "wanted-buckets", KEYS_TO_BROADCAST,
     ).withColumn("_g", group_key(keys)).drop(*keys)
     inside = narrow.withColumn("_g", group_key(keys)).join(wanted, ["_g", "_bucket"])
-    position = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    in_order = Window.partitionBy("_g").orderBy(*order)
+    placed = inside.withColumns({"_pos": F.row_number().over(in_order), "_first": F.rank().over(in_order)})
     return materialise(
-        inside.withColumn("_pos", position).filter(F.col("_pos") == F.col("_need"))
-        .select(*keys, "n", "quota", *[F.col(o).alias(f"cut_{o}") for o in order]),
+        placed.withColumn("_tied", F.count("*").over(Window.partitionBy("_g", *order))).filter(F.col("_pos") == F.col("_need"))
+        .select(*keys, "n", "quota", *[F.col(o).alias(f"cut_{o}") for o in order],
+                F.col("_tied").alias("tie_rows"), (F.col("_pos") - F.col("_first") + 1).cast("bigint").alias("tie_take")),
         "cuts", KEYS_TO_BROADCAST,
     )
 
@@ -76,6 +79,14 @@ def at_or_before(order: dict[str, Column]) -> Column:
     return F.coalesce(F.col(f"cut_{names[0]}").isNotNull() & (here <= cut), F.lit(False))
 
 
+def in_broken_tie(order: dict[str, Column]) -> Column:
+    """Whether a row has the order of its key's cut, and so do others of which only some lie within the quota."""
+    same = F.lit(True)
+    for o, here in order.items():
+        same = same & here.eqNullSafe(F.col(f"cut_{o}"))
+    return F.coalesce((F.col("tie_rows") > F.col("tie_take")) & same, F.lit(False))
+
+
 def with_cuts(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """Every row with its key's cut; broadcast when the cuts are small, see `materialise`.
 

@@ -72,7 +72,18 @@ ORACLES["jsonl_rejects"] = f"""
     SELECT sample_id, CASE WHEN input IN ('de', 'fr', 'es') THEN '' ELSE input END AS input,
            CASE WHEN input IN ('de', 'fr') THEN '' ELSE target END AS target,
            CASE WHEN input IN ('de', 'fr') THEN 'INVALID_JSON' ELSE '' END AS error_code FROM ({PAIRS})"""
-ORACLES["line_numbers"] = "SELECT source AS dataset, count(*) AS lines, true AS numbered FROM documents GROUP BY 1"
+ORACLES["line_numbers"] = """
+    SELECT source AS dataset, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_no,
+           count(*) OVER (PARTITION BY source) AS file_lines, doc_id AS sample_id FROM documents"""
+_MODELS = """
+    SELECT 'artifact' AS kind, name, '/models/' || name AS url, CAST(sum(octet_length(encode(s_name)) + 1) AS BIGINT) AS size
+    FROM (SELECT 'model-' || s_nationkey || CASE s_nationkey % 3 WHEN 0 THEN '.gguf' WHEN 1 THEN '.report.json' ELSE '.bin' END AS name, s_name
+          FROM supplier) WHERE name LIKE '%.gguf' OR name LIKE '%.json' GROUP BY name"""
+ORACLES["artifacts"] = _MODELS
+ORACLES["file_inventory"] = f"""
+    SELECT 'dataset' AS kind, source || '.jsonl' AS name, source = 'src3' AS selected, CAST(NULL AS VARCHAR) AS url,
+           CAST(sum(octet_length(encode(lang)) + 1) AS BIGINT) AS size FROM documents GROUP BY source
+    UNION ALL SELECT kind, name, NULL, url, size FROM ({_MODELS})"""
 ORACLES["eval_head_lines"] = "SELECT source AS dataset, count(*) AS lines, true AS cut FROM documents GROUP BY 1"
 ORACLES["gate_files"] = """
     WITH named AS (SELECT page_id, split_part(url, '/', 5) || CASE WHEN url LIKE '%.html' THEN ''
@@ -321,6 +332,15 @@ ORACLES["variation_rows"] = """
 ORACLES["model_calls"] = """
     SELECT doc_id, CASE WHEN lang <> 'fr' THEN length(lang || ' ' || text) || ' at 0.5: ' || lang || ' ' || text END AS reply,
            CASE WHEN lang = 'fr' THEN 'TimeoutError: no answer' END AS error FROM documents"""
+ORACLES["generate_job"] = """
+    WITH d AS (SELECT lang = 'es' AS refused, doc_id % 60 = 0 AS rejected FROM documents),
+    t AS (SELECT count(*) FILTER (NOT rejected AND NOT refused) AS n, count(*) FILTER (rejected) AS missing, count(*) FILTER (refused AND NOT rejected) AS failed FROM d)
+    SELECT 'generated_2024-05-06T07-08-09-010Z.jsonl' AS filename, 2 * n AS count, unnest(['a', 'b', 'INVALID_INPUT', 'INTERNAL_ERROR']) AS input,
+           unnest([n, n, missing, failed]) AS rows FROM t"""
+ORACLES["training_job"] = f"""
+    WITH s AS ({SPLIT}), t AS (SELECT dataset, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation,
+        CAST(sum(length(target)) FILTER (split = 'validation') AS BIGINT) AS validation_chars FROM s GROUP BY dataset)
+    SELECT dataset, CAST(ceil(train / 4) AS BIGINT) AS batches, train, validation, validation_chars FROM t"""
 ORACLES["fenced_text"] = f"""
     SELECT doc_id, {_trim(f"replace(text, '```', '') || {NL} || ' ' || lang")} AS text FROM documents"""
 
@@ -398,6 +418,10 @@ _rounded = ("round(loss, 9) AS loss, round(grad_norm, 9) AS grad_norm, "
             "round(learning_rate, 9) AS learning_rate, round(epoch, 9) AS epoch")
 LATEST = f"""SELECT * FROM ({LOG}) WHERE loss <> 0
     QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1"""
+ORACLES["log_chunks"] = ORACLES["stream_log_chunks"] = f"""
+    SELECT l.run_id, channel, line_no, kind, {_rounded}, step, text
+    FROM ({LOG}) l JOIN (SELECT event_id, CASE WHEN value > 200 THEN 'stderr' ELSE 'stdout' END AS channel,
+        row_number() OVER (PARTITION BY user_id, value > 200 ORDER BY event_id) AS line_no FROM events) e ON e.event_id = l.seq"""
 ORACLES["parse_logs"] = f"SELECT * REPLACE ({_rounded}) FROM ({LOG})"
 ORACLES["latest_metrics"] = f"SELECT run_id, seq, {_rounded}, step FROM ({LATEST})"
 ORACLES["stream_latest_metrics"] = ORACLES["latest_metrics"]

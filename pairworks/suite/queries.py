@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Callable
 from functools import partial
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import sanitize_for_log, strip_fences
+from pairworks.functions.text import sanitize_for_log, strip_fences, unescape
 from pairworks.operators import (
     catalog, chats, clean, completion, evaluate, jobs, monitor, normalize, prepare, requests, rules,
 )
 from pairworks.plans.shared import materialise, new_path
 from pairworks.sources import files, lines, tables
+from pairworks.streaming import lines as stream_lines
 from pairworks.streaming import monitor as stream_monitor
 from pairworks.streaming import rules as stream_rules
 from pairworks.streaming.batches import BatchTable
+from pairworks.streaming.newest import start_newest
 from pairworks.suite import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,15 +107,14 @@ def split_stats(parted):
 
 @query
 def line_numbers(spark, folder):
-    """Lines per dataset, and whether every file's numbers run from 1 to its length."""
-    numbered = lines.with_line_no(spark, f"{_written(spark, folder)}/*/*.json")
-    per_file = numbered.groupBy("file").agg(
-        F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high"),
-        F.sum("line_no").alias("total"), F.max("file_lines").alias("told"))
-    right = ((F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("told") == F.col("n"))
-             & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1)))
-    return per_file.groupBy(tables.dataset_name(F.col("file")).alias("dataset")).agg(
-        F.sum("n").alias("lines"), F.bool_and(right).alias("numbered"))
+    """The number of every line in a file of each dataset, written in order, and what the line holds."""
+    path = new_path(spark, "ordered")
+    pairs = fx.table(spark, folder, "documents").selectExpr("source AS dataset", "doc_id AS sample_id", "lang AS input", "text AS target")
+    pairs.repartition(1, "dataset").sortWithinPartitions("dataset", "sample_id").write.partitionBy("dataset").json(path)
+    numbered = lines.with_line_no(spark, f"{path}/*/*.json")
+    return numbered.select(
+        tables.dataset_name(F.col("file")).alias("dataset"), "line_no", "file_lines",
+        F.try_variant_get(F.try_parse_json("value"), "$.sample_id", "bigint").alias("sample_id"))
 
 
 @query
@@ -140,6 +142,37 @@ def folder_inventory(spark, folder):
     return listed.select("kind", "name", "selected", (F.col("size") > 0).alias("filled"))
 
 
+def _inventory_folder(spark: SparkSession, folder: str) -> str:
+    """Documents as a pair file per source and suppliers as model files and reports per nation."""
+    path = new_path(spark, "inventory")
+    sources = fx.table(spark, folder, "documents").selectExpr("concat(source, '.jsonl') AS name", "lang AS value")
+    models = fx.table(spark, folder, "supplier").selectExpr(
+        """concat('model-', s_nationkey, CASE s_nationkey % 3 WHEN 0 THEN '.gguf' WHEN 1 THEN '.report.json' ELSE '.bin' END) AS name""",
+        "s_name AS value")
+    for root, rows in (("data", sources), ("models", models)):
+        rows.repartition("name").write.partitionBy("name").text(f"{path}/{root}")
+    return path
+
+
+def _by_folder(listed: DataFrame) -> DataFrame:
+    """Spark names the files it writes itself: the folder's name stands for the file's here."""
+    return listed.withColumn("name", unescape(F.regexp_extract("path", r"/name=([^/]+)/", 1)))
+
+
+@query
+def artifacts(spark, folder):
+    listed = _by_folder(files.list_files(spark, f"{_inventory_folder(spark, folder)}/models"))
+    return files.artifact_inventory(listed).groupBy("kind", "name", "url").agg(F.sum("size").alias("size"))
+
+
+@query
+def file_inventory(spark, folder):
+    path = _inventory_folder(spark, folder)
+    datasets = files.dataset_inventory(_by_folder(files.list_files(spark, f"{path}/data")), "../data/src3.jsonl")
+    models = files.artifact_inventory(_by_folder(files.list_files(spark, f"{path}/models")))
+    return datasets.unionByName(models).groupBy("kind", "name", "selected", "url").agg(F.sum("size").alias("size"))
+
+
 @query
 def inspect_datasets(spark, folder):
     each = tables.inspect_each(fx.table(spark, folder, "documents"), ["source"], "doc_id")
@@ -560,6 +593,39 @@ def judge_job(spark, folder):
         F.round("static_accuracy", 6).alias("static_accuracy"))
 
 
+@query
+def training_job(spark, folder):
+    """Batches and val.jsonl of one published split, read back, per dataset."""
+    path = new_path(spark, "training")
+    jobs.training_job(fx.pairs(spark, folder), 0.1, 4, prepare.WhitespaceTokenizer(), path)
+    batches, held = jobs.published_run(spark, path)
+    trained = spark.read.parquet(batches).groupBy("dataset").agg(
+        F.count("*").alias("batches"), F.sum(F.size("sample_ids")).alias("train"))
+    rows, _ = lines.read_pairs_jsonl(spark, f"{held}/*/*.json")
+    validation = rows.groupBy(tables.dataset_name(F.col("file")).alias("dataset")).agg(
+        F.count("*").alias("validation"), F.sum(F.length("target")).alias("validation_chars"))
+    return trained.join(validation, "dataset")
+
+
+@query
+def generate_job(spark, folder):
+    """Variations that a stub model makes of every document, written and counted, read back next to the counts."""
+    def model():
+        def call(prompt, temperature, timeout):
+            if 'Seed Input: "es"' in prompt:
+                return "I cannot do that"
+            return '```json\n[{"input": "a", "target": "' + str(len(prompt)) + '"}, {"input": "b", "target": "c"}]\n```'
+        return call
+
+    path = new_path(spark, "generated")
+    seeds = fx.table(spark, folder, "documents").selectExpr("doc_id", "lang AS seed_input", "source AS seed_output", "CAST(doc_id % 60 AS int) AS count")
+    told, rejects = jobs.generate_job(seeds, ["doc_id"], model, path, made=datetime.datetime(2024, 5, 6, 7, 8, 9, 10_000))
+    rows, _ = lines.read_pairs_jsonl(spark, f"{path}/*/*.json")
+    written = rows.groupBy("input").agg(F.count("*").alias("rows"))
+    refused = rejects.groupBy(F.col("error_code").alias("input")).agg(F.count("*").alias("rows"))
+    return written.unionByName(refused).select(F.lit(told["filename"]).alias("filename"), F.lit(told["count"]).alias("count"), "input", "rows")
+
+
 # --- monitoring -------------------------------------------------------------------------------
 
 
@@ -580,6 +646,26 @@ def parse_logs(spark, folder):
     return _rounded(_log(_events(spark, folder)))
 
 
+def _chunks(events: DataFrame) -> DataFrame:
+    """The log as a process's output, cut within its lines: a chunk ends in the middle of each."""
+    told = fx.log_lines(events).withColumn("half", F.floor(F.length("line") / 2).cast("int"))
+    halves = F.array(
+        F.struct((F.col("seq") * 2).alias("seq"), F.expr("substr(line, 1, half)").alias("data")),
+        F.struct((F.col("seq") * 2 + 1).alias("seq"), F.expr("concat(substr(line, half + 1), '\n')").alias("data")))
+    return told.select("run_id", "channel", F.explode(halves).alias("chunk")).select("run_id", "channel", "chunk.*")
+
+
+def _parsed_lines(numbered: DataFrame) -> DataFrame:
+    parsed = monitor.parse_log_stream(numbered.withColumn("seq", F.struct("channel", "line_no")))
+    return _rounded(parsed).select("run_id", "seq.*", "kind", *monitor.METRICS, "step", "text")
+
+
+@query
+def log_chunks(spark, folder):
+    """Output in chunks put together to lines and parsed."""
+    return _parsed_lines(monitor.chunk_lines(_chunks(_events(spark, folder))))
+
+
 @query
 def latest_metrics(spark, folder):
     return _rounded(monitor.latest_metrics(_log(_events(spark, folder))))
@@ -674,6 +760,15 @@ def stream_recent_logs(spark, folder):
         spark, folder, lambda e: _log(e).select("run_id", "seq", "kind", "text"), stream_monitor.start_recent_logs, "tail"))
 
 
+@query
+def stream_log_chunks(spark, folder):
+    """The same as the chunks arrive; a run ends between the two halves of a line."""
+    path, checkpoint = new_path(spark, "lines"), new_path(spark, "lines-checkpoint")
+    chunks = _chunks(_events(spark, folder))
+    _in_runs(chunks, "seq", lambda stream: start_newest(stream_lines.chunk_lines(stream), path, checkpoint, once=True), 3)
+    return _parsed_lines(spark.read.parquet(path))
+
+
 @query
 def stream_rule_fold(spark, folder):
     table = BatchTable(spark, new_path(spark, "rules"), rules.RULE_SCHEMA, "id")

@@ -32,6 +32,52 @@ def test_training_input(spark):
     assert not set(ids) & {r["sample_id"] for r in held_out.collect()}
 
 
+def test_training_job_publishes_both_outputs_of_one_split(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    pairs = lambda n: spark.range(n).select(
+        F.lit("d").alias("dataset"), F.col("id").alias("sample_id"), F.concat(F.lit("q"), "id").alias("input"), F.lit("a b").alias("target"))
+
+    def outputs():
+        batches, held = J.published_run(spark, folder)
+        rows, _ = read_pairs_jsonl(spark, f"{held}/*/*.json")
+        return sorted(f"q{i}" for r in spark.read.parquet(batches).collect() for i in r["sample_ids"]), sorted(r["input"] for r in rows.collect())
+
+    assert J.published_run(spark, folder) is None
+    told = J.training_job(pairs(50), 0.1, 8, WhitespaceTokenizer(), folder)
+    train, held = outputs()
+    assert (told["train"], told["validation"], len(train), len(held)) == (45, 5, 45, 5)
+    assert sorted(train + held) == sorted(f"q{i}" for i in range(50))
+    # A run that breaks off between its outputs leaves the one before.
+    with monkeypatch.context() as broken:
+        broken.setattr(J, "write_pairs_jsonl", lambda *a, **k: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            J.training_job(pairs(70), 0.1, 8, WhitespaceTokenizer(), folder)
+    assert outputs() == (train, held)
+    J.training_job(pairs(70), 0.1, 8, WhitespaceTokenizer(), folder)
+    assert [len(x) for x in outputs()] == [63, 7]
+    with pytest.raises(ValueError, match="empty"):
+        J.training_job(pairs(0), 0.1, 8, WhitespaceTokenizer(), folder)
+
+
+def test_generated_dataset_is_written_and_counted(spark, tmp_path):
+    import datetime
+
+    def client():
+        def call(prompt, temperature, timeout):
+            return '[{"input": "x", "target": "y"}, {"input": "z"}]' if "good" in prompt else "no"
+        return call
+
+    seeds = spark.createDataFrame(
+        [(1, "good", "o", 2), (2, "bad", "o", 2), (3, "", "o", 2), (4, "good", "p", 99)],
+        "n int, seed_input string, seed_output string, count int")
+    made = datetime.datetime(2024, 1, 2, 3, 4, 5, 67_000)
+    told, rejects = J.generate_job(seeds, ["n"], client, str(tmp_path), made=made, path=str(tmp_path / "ledger"))
+    assert told == {"filename": "generated_2024-01-02T03-04-05-067Z.jsonl", "count": 4}
+    rows, _ = read_pairs_jsonl(spark, str(tmp_path / told["filename"]))
+    assert sorted((r["input"], r["target"] or "") for r in rows.collect()) == [("x", "y"), ("x", "y"), ("z", ""), ("z", "")]
+    assert {(r["n"], r["error_code"]) for r in rejects.collect()} == {(2, "INTERNAL_ERROR"), (3, "INVALID_INPUT")}
+
+
 def test_generation(spark):
     def client():
         def call(prompt, temperature, timeout):

@@ -79,3 +79,53 @@ def test_overlapping_runs(spark, chunk):
         active = max(active, 2**63 - 1 if end is None else end)
     df = spark.createDataFrame(runs, "run_id string, started bigint, ended bigint")
     assert {r["run_id"] for r in M.overlapping_runs(df, chunk).collect()} == want
+
+
+def chunked(rng, text):
+    out = []
+    while text:
+        n = rng.choice([1, 2, 3, 7, 20, 60])
+        out.append(text[:n])
+        text = text[n:]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 8])
+def test_lines_out_of_chunks_cut_anywhere(spark, monkeypatch, chunk):
+    monkeypatch.setattr(M, "long_keys", lambda df, keys, order, real=M.long_keys: real(df, keys, order, chunk))
+    rng = random.Random(7)
+    rows, want = [], []
+    for run in ("a", "b", None):
+        for channel in ("stdout", "stderr"):
+            lines = ["".join(rng.choice("xyé {}") for _ in range(rng.choice([0, 0, 1, 5, 40]))) for _ in range(30)]
+            text = "\n".join(lines) + rng.choice(["", "\n"])
+            rows += [(run, channel, 3 * i, piece) for i, piece in enumerate(chunked(rng, text))]
+            ended = text.split("\n")
+            want += [(run, channel, i + 1, line) for i, line in enumerate(ended if ended[-1] else ended[:-1])]
+    rows.append(("c", "stdout", 1, None))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run_id string, channel string, seq bigint, data string")
+    got = M.chunk_lines(df)
+    assert got.columns == ["run_id", "channel", "line_no", "line"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert M.chunk_lines(df.limit(0)).count() == 0
+
+
+def test_lines_out_of_a_stream_of_chunks(spark, tmp_path):
+    """Lines reach over micro-batches and restarts; what has not ended is not told."""
+    from pairworks.streaming.lines import chunk_lines
+    from pairworks.streaming.newest import start_newest
+
+    rng = random.Random(8)
+    schema = "run_id string, channel string, seq bigint, data string"
+    texts = {(run, channel): "\n".join("".join(rng.choice("xyé ") for _ in range(rng.choice([0, 3, 90]))) for _ in range(12)) + end
+             for (run, channel), end in zip([("a", "stdout"), ("a", "stderr"), ("b", "stdout")], ["\n", " not ended", ""])}
+    chunks = {key: chunked(rng, text) for key, text in texts.items()}
+    for part in range(3):
+        rows = [(*key, i, piece) for key, pieces in chunks.items() for i, piece in enumerate(pieces) if i * 3 // len(pieces) == part]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start_newest(chunk_lines(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"),
+                     once=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got)) == sorted((*key, i + 1, line) for key, text in texts.items() for i, line in enumerate(text.split("\n")[:-1]))

@@ -26,6 +26,24 @@ def test_split_sizes_and_members(spark, share):
         assert held == set(order(range(n), 42)[:quota])
 
 
+@pytest.mark.parametrize("texts", [1, 3, 1000])
+def test_split_sizes_with_repeated_ids(spark, texts):
+    """100 rows under 10 ids, a dataset of one row many times, and one of unique ids; texts may repeat too."""
+    rows = [("a", i % 10, f"t{i // 10 % texts}") for i in range(100)] + [("same", 1, "t")] * 37 + [("one", i, "t") for i in range(20)] + [(None, 5, f"t{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "dataset string, sample_id bigint, text string").repartition(4)
+    got = P.split_pairs(df, 0.15)
+    assert got.columns == ["dataset", "sample_id", "text", "split"]
+    held = {}
+    for r in got.filter("split = 'validation'").collect():
+        held[r["dataset"]] = held.get(r["dataset"], 0) + 1
+    assert held == {"a": 15, "same": 5, "one": 3, None: 1}
+    assert sorted(map(tuple, got.drop("split").collect()), key=str) == sorted(rows, key=str)
+    again = P.split_pairs(df.repartition(7), 0.15)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    whole = P.split_pairs(df, 0.15, keys=()).filter("split = 'validation'").count()
+    assert whole == len(rows) * 15 // 100
+
+
 def test_wide_rows_are_not_shuffled_by_a_split(spark):
     df = spark.range(1000).selectExpr("id AS sample_id", "id % 3 AS dataset", "repeat('x', 50) AS text")
     plan = P.split_pairs(df, 0.1)._jdf.queryExecution().executedPlan().toString()
