@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairworks.functions import fixed_values as fixed
-from pairworks.functions.text import base_name, safe_file_name, unescape
+from pairworks.functions.text import safe_file_name, unescape
+from pairworks.sources.folders import list_folders
 
 
 def list_files(spark: SparkSession, roots: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, name, size, modified) of the files below some folders."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(roots).select(
-        "path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"))
+    """(path, name, size, modified) of the files below some folders, listed by tasks."""
+    return list_folders(spark, roots, glob)
 
 
 def gate_files(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairworks.functions import fixed_values as fixed
 from pairworks.operators.monitor import metric_events
+from pairworks.sources.folders import watch_sizes
 from pairworks.streaming.newest import KEEP_ENDED_MS, newest_rows, start_newest
 
 LINE_SCHEMA = "run_id string, seq bigint, line string, channel string"
@@ -44,6 +45,12 @@ def start_file_sizes(events: DataFrame, path: str, checkpoint: str, order: str =
     return start_newest(newest_rows(events, "file", F.unix_micros(F.col(order).cast("timestamp"))), path, checkpoint, once)
 
 
+def start_watched_sizes(spark: SparkSession, roots: str | list[str], path: str, checkpoint: str, glob: str | None = None,
+                        ignore_initial: bool = True, every: str = "5 seconds", once: bool = False) -> StreamingQuery:
+    """Appends the sizes of files below `roots` that are added or change, as `latest_file_sizes` takes them."""
+    return start_newest(watch_sizes(spark, roots, glob, ignore_initial), path, checkpoint, once, every)
+
+
 def start_recent_logs(events: DataFrame, path: str, checkpoint: str, n: int = fixed.LOG_TAIL, once: bool = False) -> StreamingQuery:
     """Appends the events that were among the last n of their run when they came."""
     return start_newest(newest_rows(events, "run_id", F.col("seq"), n), path, checkpoint, once)

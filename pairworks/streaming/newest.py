@@ -114,14 +114,19 @@ def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def start_newest(rows: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start_newest(rows: DataFrame, path: str, checkpoint: str, once: bool = False, every: str | None = None) -> StreamingQuery:
     """Appends the rows of `newest_rows` to the Parquet folder `path`, from where `checkpoint` left off.
 
     With `once` the stream ends when it has taken all that is there. Timers then run out in the
-    first micro-batch with rows after their time, as empty ones would never end.
+    first micro-batch with rows after their time, as empty ones would never end. `every` is the
+    time from one micro-batch to the next; without it one follows the other.
     """
     spark = rows.sparkSession
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     settings = {_PROVIDER: _ROCKS} | ({_EMPTY_BATCHES: "false"} if once else {})
     with _settings(spark, **settings):
-        return (writer.trigger(availableNow=True) if once else writer).start()
+        if once:
+            writer = writer.trigger(availableNow=True)
+        elif every:
+            writer = writer.trigger(processingTime=every)
+        return writer.start()

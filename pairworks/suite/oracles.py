@@ -80,6 +80,7 @@ _MODELS = """
     FROM (SELECT 'model-' || s_nationkey || CASE s_nationkey % 3 WHEN 0 THEN '.gguf' WHEN 1 THEN '.report.json' ELSE '.bin' END AS name, s_name
           FROM supplier) WHERE name LIKE '%.gguf' OR name LIKE '%.json' GROUP BY name"""
 ORACLES["artifacts"] = _MODELS
+ORACLES["stream_watched_sizes"] = _MODELS
 ORACLES["file_inventory"] = f"""
     SELECT 'dataset' AS kind, source || '.jsonl' AS name, source = 'src3' AS selected, CAST(NULL AS VARCHAR) AS url,
            CAST(sum(octet_length(encode(lang)) + 1) AS BIGINT) AS size FROM documents GROUP BY source

@@ -142,15 +142,23 @@ def folder_inventory(spark, folder):
     return listed.select("kind", "name", "selected", (F.col("size") > 0).alias("filled"))
 
 
-def _inventory_folder(spark: SparkSession, folder: str) -> str:
+def _inventory_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents as a pair file per source and suppliers as model files and reports per nation."""
-    path = new_path(spark, "inventory")
     sources = fx.table(spark, folder, "documents").selectExpr("concat(source, '.jsonl') AS name", "lang AS value")
     models = fx.table(spark, folder, "supplier").selectExpr(
         """concat('model-', s_nationkey, CASE s_nationkey % 3 WHEN 0 THEN '.gguf' WHEN 1 THEN '.report.json' ELSE '.bin' END) AS name""",
         "s_name AS value")
-    for root, rows in (("data", sources), ("models", models)):
-        rows.repartition("name").write.partitionBy("name").text(f"{path}/{root}")
+    return sources, models
+
+
+def _write_files(rows: DataFrame, path: str) -> None:
+    rows.repartition("name").write.mode("append").partitionBy("name").text(path)
+
+
+def _inventory_folder(spark: SparkSession, folder: str) -> str:
+    path = new_path(spark, "inventory")
+    for root, rows in zip(("data", "models"), _inventory_rows(spark, folder), strict=True):
+        _write_files(rows, f"{path}/{root}")
     return path
 
 
@@ -747,6 +755,19 @@ def stream_file_sizes(spark, folder):
     return monitor.latest_file_sizes(_followed(spark, folder, fx.size_events, stream_monitor.start_file_sizes, "sizes"))
 
 
+@query
+def stream_watched_sizes(spark, folder):
+    """Files that are there at first do not count; those of later writes do, run by run."""
+    sources, models = _inventory_rows(spark, folder)
+    path, sizes, checkpoint = (new_path(spark, label) for label in ("watched", "watched-sizes", "watched-checkpoint"))
+    for rows in (sources, models.filter("hash(value) % 2 = 0"), models.filter("hash(value) % 2 <> 0")):
+        _write_files(rows, path)
+        stream_monitor.start_watched_sizes(spark, path, sizes, checkpoint, once=True).awaitTermination()
+    latest = monitor.latest_file_sizes(spark.read.parquet(sizes).withColumn("file", F.col("path")))
+    listed = _by_folder(latest.select(F.col("file").alias("path"), "size", F.lit(None).cast("timestamp").alias("modified")))
+    return files.artifact_inventory(listed).groupBy("kind", "name", "url").agg(F.sum("size").alias("size"))
+
+
 @query
 def stream_run_status(spark, folder):
     """The state of ended runs is dropped at once, while later events of theirs may still come."""

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,41 @@ def test_inventory(spark, tmp_path):
     assert "content" not in plan
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    want = {}
+    for i in range(300):
+        folder = tmp_path / f"k={i % 70}" / "x y%2F" / str(i % 7)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i} é.{'json' if i % 2 else 'gguf'}").write_text("x" * i)
+        (folder / ".hidden.json").write_text("x")
+        (folder / f"{i}.txt").write_text("x")
+        want[f"{i} é.{'json' if i % 2 else 'gguf'}"] = i
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "1.json").write_text("x")
+    (tmp_path / "top.json").write_text("xy")
+    want["top.json"] = 2
+    found = S.list_files(spark, str(tmp_path), "*.{gguf,json}")
+    assert {r["name"]: r["size"] for r in found.collect()} == want and found.count() == len(want)
+    # The same as Spark's own listing, for addresses, sizes and times; that one passes over empty files.
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gguf,json}").load(str(tmp_path))
+    columns = ("path", "size", F.unix_millis("modified").alias("ms"))
+    own = own.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("ms"))
+    assert {tuple(r) for r in found.filter("size > 0").select(*columns).collect()} == {tuple(r) for r in own.collect()}
+    assert found.rdd.getNumPartitions() == 71
+    assert S.list_files(spark, str(tmp_path / "k=[12]" / "*")).count() > 0
+    assert {r["name"] for r in S.list_files(spark, str(tmp_path / "top.json")).collect()} == {"top.json"}
+    with pytest.raises(FileNotFoundError):
+        S.list_files(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert S.list_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_inventory_sees_no_contents(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{}")
+    os.chmod(tmp_path / "a.jsonl", 0)
+    assert S.dataset_inventory(S.list_files(spark, str(tmp_path))).select("size").collect()[0][0] == 2
+
+
 def test_inspect(spark, tmp_path):
     df = spark.createDataFrame([("d", 2, "b", None), ("d", 1, "a", "x"), ("e", 5, "c", "y")],
                                "dataset string, seq int, input string, more string")

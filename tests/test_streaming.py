@@ -1,7 +1,9 @@
 import json
+import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairworks.operators import monitor as M
@@ -90,6 +92,36 @@ def test_a_file_that_grows(spark, tmp_path):
     assert {(r["file"], r["size"]) for r in M.latest_file_sizes(spark.read.parquet(str(tmp_path / "out"))).collect()} == {("m", 700), ("n", 1)}
 
 
+@pytest.mark.parametrize("ignore_initial", [True, False])
+def test_sizes_of_watched_folders(spark, tmp_path, ignore_initial):
+    """Every step is a run of its own: what a listing sees new or changed goes on, once."""
+    models = tmp_path / "models"
+    (models / "sub").mkdir(parents=True)
+    (models / "old.gguf").write_text("1")
+    steps = [
+        ({}, {} if ignore_initial else {"old.gguf": 1}),
+        ({"new.gguf": "22", "sub/deep.gguf": "333", "notes.txt": "x"}, {"new.gguf": 2, "deep.gguf": 3}),
+        ({}, {}),
+        ({"old.gguf": "4444", "sub/deep.gguf": None}, {"old.gguf": 4}),
+        ({"sub/deep.gguf": "55555"}, {"deep.gguf": 5}),
+    ]
+    told = 0
+    for i, (writes, want) in enumerate(steps):
+        for name, text in writes.items():
+            (models / name).unlink(missing_ok=True)
+            if text is not None:
+                (models / name).write_text(text)
+                if name == "new.gguf":
+                    os.utime(models / name, (1e9, 1e9))  # comes with an old time
+        SM.start_watched_sizes(spark, str(models), str(tmp_path / "out"), str(tmp_path / "c"), "*.gguf",
+                               ignore_initial=ignore_initial, once=True).awaitTermination()
+        rows = spark.read.schema("file string, size bigint, ts timestamp").parquet(str(tmp_path / "out")).orderBy("ts").collect()
+        assert {r["file"]: r["size"] for r in rows[told:]} == want and len(rows) == told + len(want), i
+        told = len(rows)
+    sizes = M.latest_file_sizes(spark.read.parquet(str(tmp_path / "out")))
+    assert {r["file"]: r["size"] for r in sizes.collect()} == {"new.gguf": 2, "old.gguf": 4, "deep.gguf": 5}
+
+
 def test_a_flood_is_thinned_before_its_state(spark):
     import pyarrow as pa
 
