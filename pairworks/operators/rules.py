@@ -29,6 +29,7 @@ _MATCH_JSON = (
 REGEXES_PER_PASS = 500
 SHORT_GRAM, LONG_GRAM = 3, 6
 RULES_TO_BROADCAST = 1_000_000
+BLOOM_WORDS = 2_000_000
 _COMBINATIONS = [(ws, ci) for ws in (False, True) for ci in (False, True)]
 
 
@@ -195,10 +196,10 @@ def _flags(rules: DataFrame, kind: str) -> DataFrame:
 def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> DataFrame:
     """Adds `exact_ord`: the first exact rule that equals the text under the rule's flags.
 
-    Of the rules with one key only the first can win, so each of the up to four flag
-    combinations in use is a join that finds at most one rule per row. Keys are digests, so a
-    rule is a few dozen bytes whatever its text: the stored table is broadcast up to a counted
-    million rules, and joined by sort-merge beyond that.
+    Of the rules with one key only the first can win, and keys are digests, so a rule is a few
+    dozen bytes whatever its text. Up to a counted million rules each of the up to four flag
+    combinations in use is a broadcast join that finds at most one rule per row. Beyond that
+    `_match_many` goes over digests alone and joins the rows it found something for once.
     """
     exact = _flags(rules, "exact")
     key = F.coalesce(*[
@@ -207,14 +208,17 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
     wins = materialise(
         exact.withColumn("_key", key).filter(F.col("_key").isNotNull())
         .groupBy("_ws", "_ci", "_key").agg(F.min("rule_ord").alias("_ord")),
-        "exact-rules", RULES_TO_BROADCAST,
+        "exact-rules",
     )
     used = {(r["_ws"], r["_ci"]) for r in wins.select("_ws", "_ci").distinct().collect()}
+    combinations = [c for c in _COMBINATIONS if c in used]
+    if wins.limit(RULES_TO_BROADCAST + 1).count() > RULES_TO_BROADCAST:
+        return _match_many(inputs, wins, combinations, column)
     found = inputs
     ords = []
-    for i, (ws, ci) in enumerate(c for c in _COMBINATIONS if c in used):
-        side = wins.filter((F.col("_ws") == ws) & (F.col("_ci") == ci)).select(
-            F.col("_key").alias(f"_key{i}"), F.col("_ord").alias(f"_ord{i}"))
+    for i, (ws, ci) in enumerate(combinations):
+        side = F.broadcast(wins.filter((F.col("_ws") == ws) & (F.col("_ci") == ci)).select(
+            F.col("_key").alias(f"_key{i}"), F.col("_ord").alias(f"_ord{i}")))
         found = found.join(
             side, _digest(F.col(column), ws, ci) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
         ords.append(F.col(f"_ord{i}"))
@@ -222,6 +226,63 @@ def match_exact(inputs: DataFrame, rules: DataFrame, column: str = "input") -> D
     return found.select(*inputs.columns, first.alias("exact_ord"))
 
 
+def _match_many(inputs: DataFrame, wins: DataFrame, combinations: list[tuple[bool, bool]], column: str) -> DataFrame:
+    """`match_exact` with more rules than are broadcast, of which `wins` are the first per key.
+
+    A text becomes a row per flag combination with two digests, its own and the one to look up.
+    A Bloom filter of the rules drops nearly all that no rule has before anything is shuffled, and
+    equal texts become one on the way. The texts found are few dozen bytes each; a filter made
+    of them leaves only rows that will most likely match to be joined, the others pass by.
+    """
+    text = F.col(column)
+    looked_up = F.array(*[
+        F.struct(F.lit(ws).alias("_ws"), F.lit(ci).alias("_ci"), _digest(text, ws, ci).alias("_key"))
+        for ws, ci in combinations])
+    own = F.unhex(F.sha2(text, 256))
+    asked = inputs.filter(text.isNotNull()).select(own.alias("_whole"), F.explode(looked_up).alias("_asked")).select(
+        "_whole", "_asked.*")
+    # The joins on keys see one row per distinct text: a text that a third of the rows have is no hot key.
+    asked = _likely(asked, "_key", wins, "_key").distinct()
+    found = materialise(asked.join(wins, ["_ws", "_ci", "_key"]).groupBy("_whole").agg(F.min("_ord").alias("exact_ord")), "exact-found")
+    # One filter in two branches: rows it lets through are joined, and a null passes neither.
+    tagged, passed = _with_likely(inputs.withColumn("_whole", own), "_whole", found, "_whole")
+    matched = tagged.filter(passed).join(found, "_whole", "left").select(*inputs.columns, "exact_ord")
+    return matched.unionByName(tagged.filter(~passed).select(*inputs.columns, F.lit(None).cast("bigint").alias("exact_ord")))
+
+
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(words))
+
+
+def _mask(key: Column) -> Column:
+    """Three of the 64 bits of a word."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64)).cast("int"))
+            for i in (2, 3, 4)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def _with_likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, Column]:
+    """`rows` with the word of a blocked Bloom filter of `wanted` that `key` falls on, and whether it holds the key.
+
+    The filter is a table of at most BLOOM_WORDS words of 64 bits, eight keys to a word, broadcast by that
+    bound. With far more keys than that it lets most through, which costs time and changes no result.
+    """
+    words = max(1, min(BLOOM_WORDS, wanted.count() // 8))
+    wanted_col = F.col(wanted_key)
+    bloom = materialise(
+        wanted.select(_word(wanted_col, words).alias("_word"), _mask(wanted_col).alias("_bits"))
+        .groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "bloom")
+    tagged = rows.withColumn("_word", _word(F.col(key), words)).join(F.broadcast(bloom), "_word", "left").drop("_word")
+    mask = _mask(F.col(key))
+    passed = F.col(key).isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
+    return tagged, passed
+
+
+def _likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    tagged, passed = _with_likely(rows, key, wanted, wanted_key)
+    return tagged.filter(passed).drop("_bits")
+
+
 def _pattern(rule: Row) -> str:
     return ("(?iu)" if rule["_ci"] else "") + rule["trigger"]
 

@@ -163,6 +163,44 @@ def test_random_rules_in_several_passes(spark, monkeypatch):
         (n, loop(t, rules)) for n, t in enumerate(texts)}
 
 
+def test_more_exact_rules_than_are_broadcast(spark, monkeypatch):
+    """The way for many rules gives what the loop gives, also with a filter that is far too full."""
+    rng = random.Random(8)
+    words = ["Alpha", "alpha", "beta", " beta", "Gamma  x", "gamma x", "é", "É"]
+    for most, bloom in ((0, 2_000_000), (3, 1)):
+        rules = [rule(i, f"{rng.choice(words)}{rng.choice(['', rng.randrange(30)])}", ci=rng.random() < 0.5, ws=rng.random() < 0.5)
+                 for i in range(60)] + RULES
+        texts = [f"{rng.choice(words)}{rng.choice(['', rng.randrange(40)])}" for _ in range(200)] + TEXTS + ["alpha"] * 300
+        monkeypatch.setattr(R, "RULES_TO_BROADCAST", most)
+        monkeypatch.setattr(R, "BLOOM_WORDS", bloom)
+        rows = spark.createDataFrame(list(enumerate(texts)), "n int, input string").repartition(3)
+        got = {r["n"]: r["exact_ord"] for r in R.match_exact(rows, spark.createDataFrame(rules, R.RULE_SCHEMA)).collect()}
+        exact = [r for r in rules if r[3][0] == "exact"]
+        assert got == {n: loop(text, exact, empty=True) for n, text in enumerate(texts)}
+    resolved, _ = R.resolve(rows, spark.createDataFrame(exact, R.RULE_SCHEMA))
+    assert {r["n"]: r["response"] for r in resolved.collect()} == {
+        n: None if not text or ord_ is None else f"r{ord_}" for n, text in enumerate(texts) for ord_ in [loop(text, exact)]}
+    none = spark.createDataFrame([], "n int, input string")
+    assert R.match_exact(none, spark.createDataFrame(rules, R.RULE_SCHEMA)).collect() == []
+
+
+def test_ten_million_exact_rules(spark):
+    """Texts go into no exchange, and the filter leaves few rows to look up."""
+    rules = spark.range(10_000_000).selectExpr(
+        "id AS rule_ord", "string(id) AS id", "concat('Trigger ', id) AS trigger",
+        "named_struct('type', 'exact', 'case_insensitive', id % 2 = 0, 'normalize_ws', false) AS match", "'r' AS response",
+        "CAST(NULL AS timestamp) AS created_at", "CAST(NULL AS timestamp) AS updated_at", "true AS enabled")
+    texts = spark.range(40_000).selectExpr(
+        "id", "concat(CASE WHEN id % 4 < 2 THEN 'trigger ' WHEN id % 4 = 2 THEN 'Trigger ' ELSE 'none ' END, id) AS input", "repeat('x', 100) AS wide")
+    got = R.match_exact(texts, rules)
+    plan = got._jdf.queryExecution().toString()
+    for line in plan.splitlines():
+        assert "Exchange hashpartitioning" not in line and "SortMergeJoin" not in line, line
+    counts = got.groupBy((F.col("id") % 4).alias("kind")).agg(
+        F.count("*").alias("rows"), F.count("exact_ord").alias("hits"), F.bool_and(F.col("exact_ord") == F.col("id")).alias("right"))
+    assert {tuple(r) for r in counts.collect()} == {(0, 10_000, 10_000, True), (1, 10_000, 0, None), (2, 10_000, 10_000, True), (3, 10_000, 0, None)}
+
+
 def test_no_rules(spark):
     got, rejects = R.resolve(
         spark.createDataFrame([(1, "a")], "n int, input string"), spark.createDataFrame([], R.RULE_SCHEMA))
