@@ -33,12 +33,14 @@ WORDS = 3  # in a shingle
 TOKENS = 64  # minwise tokens of a sketch
 TREES = 10
 LEVELS = 3
+DEEPEST = 10  # where branching ends for nodes that are still large
 SMALL = 64  # classes in a node that is compared exhaustively
 BLOCK = 256  # classes of a dense group that are compared with as many others at a time
 LIKE = 85  # per cent of the union that two sets share
 # Sketches of sets at the threshold agree in at least this many of 64 tokens, but for odds below 1e-6.
 SKETCH = 39
 _EXTRA = 18  # per cent of nodes that choose two tokens and not one, near 100 / LIKE on average
+_EXTRA_DEEP = 30  # the same below LEVELS
 _SEED = 7
 
 _MULTIPLY = np.random.default_rng(_SEED).integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -100,20 +102,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        f"id {id_type}, tag long, n long, set_id long, sig binary")
 
 
-def _choices(node: Column) -> Column:
-    """The numbers of the tokens that a node chooses: one, or two for some nodes."""
+def _choices(node: Column, extra: int) -> Column:
+    """The numbers of the tokens that a node chooses: one, or two for `extra` per cent of all nodes."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TOKENS)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-    return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(100)) < _EXTRA, F.array(first, second)).otherwise(F.array(first))
+    return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(100)) < extra, F.array(first, second)).otherwise(F.array(first))
 
 
 def _child(node: Column, choice: Column) -> Column:
     return F.xxhash64(node, choice, F.substring(F.col("sig"), choice * 4 + 1, F.lit(4)))
 
 
-def _branch(rows: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, extra: int = _EXTRA) -> DataFrame:
     """The rows of nodes (with node and sig) in the children that the nodes choose."""
-    chosen = rows.withColumn("choice", F.explode(_choices(F.col("node"))))
+    chosen = rows.withColumn("choice", F.explode(_choices(F.col("node"), extra)))
     return chosen.withColumn("node", _child(F.col("node"), F.col("choice"))).drop("choice")
 
 
@@ -237,21 +239,23 @@ def _first_round(nodes: DataFrame, sizes: DataFrame, classes: DataFrame) -> Data
 
 def _second_round(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of nodes with two groups or more: candidate links between the groups of small ones, and
-    (node, set_id) of those that are still large at the last level. `rows` are classes with their label."""
+    (node, set_id) of those that are still large at DEEPEST. `rows` are classes with their label."""
     named = materialise(nodes.join(rows.select("set_id", "label"), "set_id"), "path-labels")
     member = F.struct("set_id", "n", "sig", "label")
     found = None
-    for level in range(1, LEVELS + 1):
+    for level in range(1, DEEPEST + 1):
         stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
         stats = materialise(stats.filter("one <> other").select("node", "size"), "path-sizes")
         small = named.select("node", "set_id").join(stats.filter(F.col("size") <= SMALL), "node").join(rows, "set_id")
         groups = small.groupBy("node").agg(F.collect_list(member).alias("members"))
         pairs = map_batches(groups.select("members"), _across_groups, "a long, b long", rows=200)
         found = pairs if found is None else found.unionByName(pairs)
-        large = named.select("node", "set_id", "label").join(stats.filter(F.col("size") > SMALL).select("node"), "node")
-        if level < LEVELS:
-            named = materialise(_branch(large.join(rows.select("set_id", "sig"), "set_id")).select(
-                "node", "set_id", "label").distinct(), "path-labels")
+        large_nodes = stats.filter(F.col("size") > SMALL)
+        large = named.select("node", "set_id", "label").join(large_nodes.select("node"), "node")
+        if level == DEEPEST or large_nodes.isEmpty():
+            break
+        named = materialise(_branch(large.join(rows.select("set_id", "sig"), "set_id"), _EXTRA if level < LEVELS else _EXTRA_DEEP).select(
+            "node", "set_id", "label").distinct(), "path-labels")
     return found.distinct(), large.select("node", "set_id")
 
 

@@ -60,6 +60,25 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("n", [600, 1200])
+def test_documents_that_share_a_passage_part(spark, monkeypatch, n):
+    """Half of each text is the same passage: none of them is left to be compared in blocks, and links among them are found."""
+    left = []
+    compare = near_dedup._within_dense
+
+    def counted(dense, *rest):
+        left.append(dense.select("set_id").distinct().count())
+        return compare(dense, *rest)
+
+    monkeypatch.setattr(near_dedup, "_within_dense", counted)
+    passage = words(5, 50, "")
+    rows = [(i, f"{passage} {words(1000 + i, 50, f'{i}')}") for i in range(n)]
+    rows += [(n + i, edited(rows[i][1], 1, i)) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {key: component for key, _, component in brute_components(rows[:40] + rows[n:])} | {i: i for i in range(40, n)}
+    assert sum(left) < n // 10
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, awkward()).limit(0)).count() == 0
     alone = near_dedup.near_duplicates(table(spark, [(4, None), (2, " ")])).collect()
