@@ -237,12 +237,32 @@ def _first_round(nodes: DataFrame, sizes: DataFrame, classes: DataFrame) -> Data
     return map_batches(groups.filter(F.size("members") > 1).select("members"), _first_alike, "a long, b long", rows=200).distinct()
 
 
+def _alike_nodes(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """The nodes in which at least a quarter of the sketches pass for alike to three of the node's members."""
+    ends = (F.min("set_id"), F.max("set_id"), F.min_by("set_id", F.xxhash64("set_id")))
+    heads = large.groupBy("node").agg(F.array(*ends).alias("heads")).select("node", F.explode("heads").alias("head"))
+    heads = heads.join(rows.select(F.col("set_id").alias("head"), F.col("sig").alias("head_sig")), "head").groupBy("node").agg(
+        F.array_join(F.transform(F.collect_list("head_sig"), F.hex), "").alias("head_sigs"))
+    paired = large.join(heads, "node").join(rows.select("set_id", "sig"), "set_id").select("node", "sig", F.unhex("head_sigs").alias("heads"))
+
+    def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count = len(batch)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(count, 1, TOKENS)
+        of_heads = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(count, -1, TOKENS)
+        share = ((sig == of_heads).sum(axis=2) >= SKETCH).mean(axis=1)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], ["node", "share"])
+
+    return map_batches(paired, passing, "node long, share double").groupBy("node").agg(F.avg("share").alias("share")).filter(
+        "share >= 0.25").select("node")
+
+
 def _second_round(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of nodes with two groups or more: candidate links between the groups of small ones, and
-    (node, set_id) of those that are still large at DEEPEST. `rows` are classes with their label."""
+    (node, set_id) of those that are large at LEVELS and alike throughout, or still large at DEEPEST.
+    `rows` are classes with their label."""
     named = materialise(nodes.join(rows.select("set_id", "label"), "set_id"), "path-labels")
     member = F.struct("set_id", "n", "sig", "label")
-    found = None
+    found = dense = None
     for level in range(1, DEEPEST + 1):
         stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
         stats = materialise(stats.filter("one <> other").select("node", "size"), "path-sizes")
@@ -254,9 +274,14 @@ def _second_round(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
         large = named.select("node", "set_id", "label").join(large_nodes.select("node"), "node")
         if level == DEEPEST or large_nodes.isEmpty():
             break
+        if level == LEVELS:
+            of_one = materialise(_alike_nodes(large, rows), "path-alike")
+            dense = large.join(of_one, "node", "left_semi").select("node", "set_id")
+            large = large.join(of_one, "node", "left_anti")
         named = materialise(_branch(large.join(rows.select("set_id", "sig"), "set_id"), _EXTRA if level < LEVELS else _EXTRA_DEEP).select(
             "node", "set_id", "label").distinct(), "path-labels")
-    return found.distinct(), large.select("node", "set_id")
+    large = large.select("node", "set_id")
+    return found.distinct(), large if dense is None else large.unionByName(dense)
 
 
 def _within_dense(dense: DataFrame, rows: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
