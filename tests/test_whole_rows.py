@@ -9,7 +9,7 @@ from pairworks.operators.catalog import search_limit
 from pairworks.operators.clean import clean, dedupe_pairs
 from pairworks.operators.prepare import split_pairs
 from pairworks.sources.lines import read_pairs_jsonl, with_line_no
-from pairworks.streaming.versions import VersionedTable
+from pairworks.streaming.batches import BatchTable
 
 
 def plain_files(path, files=3, lines=20_000):
@@ -54,16 +54,18 @@ def test_rows_without_an_id_fail_a_split(spark):
         split_pairs(df, 0.5).collect()
 
 
-def test_a_half_written_version_is_not_read(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "version=5/t"), "a int", ["a"])
+def test_a_half_written_micro_batch_is_not_read(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "version=5/t"), "a int", "a")
     assert table.latest().count() == 0
     table.put(0, spark.createDataFrame([(1,), (2,)], "a int"))
-    spark.createDataFrame([(9,)], "a int").write.parquet(f"{table.path}/version=2")
+    # What tasks have written before the job is committed.
+    spark.createDataFrame([(9,)], "a int").write.parquet(f"{table.path}/batch=1/_temporary/0/task")
     assert table.latest().count() == 2
     touched = spark.createDataFrame([(1,), (2,), (3,)], "a int")
     table.put(1, spark.createDataFrame([(3,)], "a int"), touched)
     table.put(1, spark.createDataFrame([(3,)], "a int"), touched)
     assert [r.a for r in table.latest().collect()] == [3]
+    assert table.before(1).count() == 2
 
 
 def test_limits_are_read_like_numbers_at_the_start():
