@@ -21,13 +21,14 @@ LONGEST = 3
 PROFILE = 400
 UNDETERMINED = "und"
 FEWEST_FOR_LEAST = 200
+MOST_AT_ONCE = 512  # texts; with every letter there is, their n-grams' numbers stay below 2 ** 63
 _BITS = 21  # of a code point; three of them and no more fit into a key
 
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or 0 (a gap between words) if it is no letter."""
-    table = np.zeros(0x110000, np.int64)
+    table = np.zeros(0x110000, np.int32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
@@ -36,51 +37,76 @@ def _letters() -> np.ndarray:
     return table
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of every n-gram of 1 to LONGEST characters of words with a gap on either side."""
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(alphabet, number) of every n-gram of 1 to LONGEST characters of words with a gap on either side.
+
+    The alphabet is the gap and the letters of these texts in their order, b of them. A number has the
+    places of up to three characters there as its digits to the base b, and the text's number before
+    them. So numbers are in the order of texts and keys, and small enough to be sorted by themselves.
+    """
     flat = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)
     chars = _letters()[flat]
     # One gap between words is enough.
     keep = np.r_[True, (chars[1:] > 0) | (chars[:-1] > 0)]
-    owner, chars = np.r_[0, owner][:len(flat)][keep], chars[keep]
-    owners, keys = [], []
-    for n in range(1, LONGEST + 1):
-        if len(chars) < n:
-            break
-        key = np.zeros(len(chars) - n + 1, np.int64)
-        inner = np.zeros(len(key), bool)
-        for k in range(n):
-            part = chars[k:len(chars) - n + 1 + k]
-            key = key << _BITS | part
-            if 0 < k < n - 1 or n == 1:
-                inner |= part == 0
-        if n > 1:
-            inner |= key & ((1 << _BITS * n) - 1) == 0
-        if n == 2:
-            inner |= (chars[:len(key)] == 0) & (chars[1:] == 0)
-        # An n-gram belongs to the text of its last letter; gaps end a text.
-        at = owner[np.arange(len(key)) + (0 if n == 1 else 1)]
-        owners.append(at[~inner])
-        keys.append(key[~inner])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(owners), np.concatenate(keys)
+    seen = np.zeros(int(chars.max()) + 1, bool)
+    seen[chars] = True
+    seen[0] = True
+    alphabet = np.flatnonzero(seen)
+    b = len(alphabet)
+    kind = np.int32 if max(len(texts), 1) * b ** LONGEST < 2 ** 31 else np.int64
+    place = np.zeros(len(seen), kind)
+    place[alphabet] = np.arange(b)
+    # The gap after a text is its own, the one before the first text the first one's.
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts), dtype=kind) * kind(b ** LONGEST), lengths)
+    owner, char = np.r_[kind(0), owner][:len(flat)][keep], place[chars[keep]]
+    letter = char > 0
+    two = char[:-1] * kind(b) + char[1:]
+    three = owner[1:-1] + two[:-1] * kind(b) + char[2:]
+    # An n-gram belongs to the text of its last letter; none has a gap within.
+    return alphabet, np.concatenate([(owner + char)[letter], owner[1:] + two, three[letter[1:-1]]])
+
+
+def _keys(alphabet: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of numbers."""
+    b = len(alphabet)
+    rest, last = np.divmod(number.astype(np.int64), b)
+    rest, middle = np.divmod(rest, b)
+    owner, first = np.divmod(rest, b)
+    return owner, (alphabet[first] << _BITS | alphabet[middle]) << _BITS | alphabet[last]
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of every n-gram of 1 to LONGEST characters of words with a gap on either side."""
+    return _keys(*_numbered(texts))
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, key, count), sorted by text, then count from the highest, then key."""
-    owner, key = ngrams(texts)
-    order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])] if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    owner, key, count = owner[at], key[at], np.diff(np.r_[at, len(key)])
-    order = np.lexsort((key, -count, owner))
+    if len(texts) > MOST_AT_ONCE:
+        parts = [(start, *_counts(texts[start:start + MOST_AT_ONCE])) for start in range(0, len(texts), MOST_AT_ONCE)]
+        return tuple(map(np.concatenate, zip(*((owner + start, key, count) for start, owner, key, count in parts), strict=True)))
+    alphabet, number = _numbered(texts)
+    number, count = _run_lengths(number)
+    owner, key = _keys(alphabet, number)
+    if not len(count):
+        return owner, key, count
+    # The text, the count from the highest and the place make up one number again, if it is not too large.
+    most, places = int(count.max()), len(number)
+    if len(texts) * (most + 1) * places < 2 ** 63:
+        order = np.sort((owner * (most + 1) + most - count) * places + np.arange(places)) % places
+    else:
+        order = np.lexsort((key, -count, owner))
     return owner[order], key[order], count[order]
 
 
+def _run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each is there."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[at], np.diff(np.r_[at, len(values)])
+
+
 @dataclass
 class Profiles:
     languages: list[str]
@@ -123,9 +149,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
             texts.setdefault(lang, []).append(text)
         langs, keys, counts = [], [], []
         for lang, some in texts.items():
-            key, count = np.unique(ngrams(some)[1], return_counts=True)
-            langs += [lang] * len(key)
-            keys.append(key)
+            # As one text: the gaps between them keep their words apart.
+            alphabet, number = _numbered(["\0".join(some)])
+            number, count = _run_lengths(number)
+            langs += [lang] * len(count)
+            keys.append(_keys(alphabet, number)[1])
             counts.append(count)
         join = lambda parts: pa.array(np.concatenate(parts) if parts else [], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), join(keys), join(counts)], ["lang", "key", "n"])
