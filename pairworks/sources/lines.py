@@ -41,6 +41,23 @@ def with_line_no(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.join(offsets, ["file", "_block"]).select("file", number, "file_lines", "value")
 
 
+def across_files(numbered: DataFrame, group: str) -> DataFrame:
+    """Lines as from `with_line_no`, numbered over all files of a group, in the order of the files' names.
+
+    For tables that are written in order by many tasks; `file_lines` then is the number of a group's
+    lines. No line is shuffled: the table of files has one row per file.
+    """
+    of_group = Window.partitionBy(group)
+    before = of_group.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = materialise(
+        numbered.select(group, "file", "file_lines").distinct().select(
+            "file", F.coalesce(F.sum("file_lines").over(before), F.lit(0)).alias("_before"),
+            F.sum("file_lines").over(of_group).alias("_lines")),
+        "files", SPLITS_TO_BROADCAST)
+    return numbered.join(files, "file").withColumns({
+        "line_no": F.col("_before") + F.col("line_no"), "file_lines": F.col("_lines")}).drop("_before", "_lines")
+
+
 def parse_pairs(
     lines: DataFrame, extra: dict[str, str] | None = None, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:

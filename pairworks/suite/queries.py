@@ -107,13 +107,13 @@ def split_stats(parted):
 
 @query
 def line_numbers(spark, folder):
-    """The number of every line in a file of each dataset, written in order, and what the line holds."""
+    """The number of every line in the files of each dataset, written in order by many tasks, and what the line holds."""
     path = new_path(spark, "ordered")
     pairs = fx.table(spark, folder, "documents").selectExpr("source AS dataset", "doc_id AS sample_id", "lang AS input", "text AS target")
-    pairs.repartition(1, "dataset").sortWithinPartitions("dataset", "sample_id").write.partitionBy("dataset").json(path)
-    numbered = lines.with_line_no(spark, f"{path}/*/*.json")
-    return numbered.select(
-        tables.dataset_name(F.col("file")).alias("dataset"), "line_no", "file_lines",
+    tables.write_pairs_jsonl(pairs, path, order="sample_id")
+    numbered = lines.with_line_no(spark, f"{path}/*/*.json").withColumn("dataset", tables.dataset_name(F.col("file")))
+    return lines.across_files(numbered, "dataset").select(
+        "dataset", "line_no", "file_lines",
         F.try_variant_get(F.try_parse_json("value"), "$.sample_id", "bigint").alias("sample_id"))
 
 

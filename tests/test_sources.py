@@ -153,3 +153,27 @@ def test_inspect(spark, tmp_path):
     T.write_report(df.limit(1), df, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/samples")).count() == 3
     assert spark.read.json(str(tmp_path / "report/summary-json")).count() == 1
+
+
+def test_lines_are_numbered_across_files_written_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from pairworks.plans.shared import shared_dir
+    from pairworks.suite.queries import line_numbers
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('src', id % 3) AS source", "'en' AS lang", "repeat('x', 2000) AS text").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = line_numbers(spark, str(tmp_path))
+        got = sorted(map(tuple, rows.collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = []
+    for k in range(3):
+        ids = [i for i in range(4000) if i % 3 == k]
+        want += [(f"src{k}", at, len(ids), i) for at, i in enumerate(ids, 1)]
+    assert got == want
+    # No task has written, and so none has read, the whole of a dataset.
+    written = max((p for kind in ("ordered", "jsonl") for p in Path(shared_dir(spark).removeprefix("file://")).glob(f"pairworks/{kind}-*/dataset=src0")), key=lambda p: p.stat().st_mtime)
+    assert len(list(written.glob("*.json"))) > 1
