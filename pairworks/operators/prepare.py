@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pairworks.plans.ranking import (
 )
 
 Encoder = Callable[[Sequence[str]], list[list[int]]]
+CHARS_AT_ONCE = 1_000_000
 
 
 def validation_quota(val_split: float) -> Callable[[Column], Column]:
@@ -109,7 +111,8 @@ class LoadedTokenizer:
     """A tokenizer that `load` returns, loaded once per Python worker.
 
     `load()` gives a function from texts to id lists; `eos` is the end token's text. Both texts of
-    a row go to Python together, and ids beyond the limit do not come back.
+    a row go to Python together, and ids beyond the limit do not come back. A call gets texts of up to
+    CHARS_AT_ONCE characters, or one text: the ids of whole texts take many times their size.
     """
 
     def __init__(self, load: Callable[[], Encoder], eos: str, eos_id: int):
@@ -122,13 +125,28 @@ class LoadedTokenizer:
         def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             encode = load()
             for prompts, texts in batches:
-                ids = [list(found[:limit]) for found in encode(texts.tolist())]
-                lengths = [min(len(found), limit) for found in encode(prompts.tolist())]
-                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "asked": pd.Series(lengths, dtype="int32")})
+                for rows in _slices([len(p or "") + len(t or "") for p, t in zip(prompts, texts, strict=True)], CHARS_AT_ONCE):
+                    ids = [np.array(found[:limit], np.int32) for found in encode(texts[rows].tolist())]
+                    lengths = [min(len(found), limit) for found in encode(prompts[rows].tolist())]
+                    yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "asked": pd.Series(lengths, dtype="int32")})
 
         return pairs(asked, F.concat(answered, F.lit(self.eos)))
 
 
+def _slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """The rows in their order, cut so that the sizes of a slice with several rows add up to `most` at most.
+
+    No rows make one empty slice.
+    """
+    start = total = 0
+    for at, size in enumerate(sizes):
+        if at > start and total + size > most:
+            yield slice(start, at)
+            start, total = at, 0
+        total += size
+    yield slice(start, len(sizes))
+
+
 def tokenize_and_mask(
     df: DataFrame, tokenizer=None, max_len: int = fixed.DEFAULT_MAX_LEN
 ) -> DataFrame:

@@ -138,3 +138,24 @@ def test_plan(spark):
     got = {r["dataset"]: tuple(r)[1:] for r in P.plan_training(df, 4, 2, 3, 50).collect()}
     assert got == {"d": (10, 2, 3, 2, 6, 6), "e": (1, 0, 1, 1, 3, 3)}
     assert P.plan_training(df, 4, 0, 1, 0).filter("dataset = 'd'").first()["steps_per_epoch"] == 3
+
+
+def test_a_loaded_tokenizer_gets_few_texts_at_a_time(spark):
+    """The first id tells the most memory, in KB, that Python objects have taken in the worker so far."""
+    import tracemalloc
+
+    from pairworks.operators.prepare import LoadedTokenizer, tokenize_and_mask
+
+    def load():
+        tracemalloc.start()
+
+        def encode(texts):
+            ids = [list(text.encode()) for text in texts]
+            return [[tracemalloc.get_traced_memory()[1] // 1000, *found] for found in ids]
+        return encode
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("id AS sample_id", "'d' AS dataset", "'in' AS input", "repeat(chr(97 + id % 26), 20000) AS target")
+    got = tokenize_and_mask(rows, LoadedTokenizer(load, "!", 0), max_len=30000).selectExpr("sample_id", "input_ids").collect()
+    assert sorted(r["sample_id"] for r in got) == list(range(400))
+    assert all(set(r["input_ids"][-3:-1]) == {97 + r["sample_id"] % 26} and r["input_ids"][-1] == 33 for r in got)
+    assert 0 < max(r["input_ids"][0] for r in got) < 45_000
