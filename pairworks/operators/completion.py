@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pairworks.functions.text import evaluated, fill, strip_fences, with_json
 from pairworks.plans.shared import materialise, new_path
 
 Client = Callable[[str, float, float], str]
+ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1_000_000
 _REPLY = {"reply": "string", "error": "string", "status": "int"}
 
 
@@ -73,6 +76,17 @@ class HttpChat:
         return call
 
 
+def _parts(batch: pa.RecordBatch, prompt: str, least: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to ROWS_AT_ONCE rows and about BYTES_AT_ONCE of prompts, and of `least` rows where prompts
+    are long: prompts and replies are held for a part at a time, however many rows Spark sends at once."""
+    start = 0
+    while start < batch.num_rows:
+        sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(prompt).slice(start, max(ROWS_AT_ONCE, least))), 0).cast(pa.int64()))
+        within = pc.sum(pc.less_equal(sizes, BYTES_AT_ONCE)).as_py()
+        yield batch.slice(start, max(within, least))
+        start += max(within, least)
+
+
 def complete(
     df: DataFrame,
     prompt: str,
@@ -102,7 +116,7 @@ def complete(
                 return None, f"{type(error).__name__}: {error}", getattr(error, "status", 500)
 
         with ThreadPoolExecutor(calls_per_task) as pool:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, prompt, calls_per_task)):
                 answers = list(pool.map(one, batch.column(prompt).to_pylist()))
                 replies, errors, statuses = zip(*answers) if answers else ((), (), ())
                 yield pa.RecordBatch.from_arrays(

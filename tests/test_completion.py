@@ -148,3 +148,33 @@ def test_variations(spark):
     rows, bad = C.parse_variations(replies, ["n"])
     assert {tuple(r) for r in rows.collect()} == {(1, 0, "a", "b"), (1, 1, "c", None), (1, 2, None, "5")}
     assert {r["n"] for r in bad.collect()} == {3, 4, 5}
+
+
+def test_replies_are_held_for_few_rows_at_a_time(spark):
+    """A reply tells the most memory that Python objects have taken in the worker so far; Arrow's batch takes 20 MB and more of it."""
+    import tracemalloc
+
+    from pairworks.operators.completion import complete
+
+    def model():
+        tracemalloc.start()
+        return lambda prompt, temperature, timeout: f"{prompt[:8]} {tracemalloc.get_traced_memory()[1]} " + "x" * 20000
+
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "CASE WHEN id % 50 > 0 THEN concat(lpad(id, 8, '0'), repeat('y', 20000)) ELSE lpad(id, 8, '0') END AS prompt")
+    for calls in (1, 4):
+        got = complete(rows, "prompt", model, calls_per_task=calls).selectExpr("id", "split(reply, ' ') AS told", "error").collect()
+        assert [(r["id"], int(r["told"][0]), r["error"]) for r in sorted(got)] == [(i, i, None) for i in range(1000)]
+        assert max(int(r["told"][1]) for r in got) < 64_000_000
+
+
+def test_parts_hold_every_row_once():
+    import pyarrow as pa
+
+    from pairworks.operators import completion
+
+    for sizes in ([], [0], [None] * 3, [3_000_000, 10, 3_000_000], [10] * 1000, [600_000] * 5):
+        batch = pa.RecordBatch.from_arrays([pa.array([None if s is None else "x" * s for s in sizes], pa.string()), pa.array(range(len(sizes)), pa.int64())], ["p", "i"])
+        for least in (1, 4, 300):
+            parts = list(completion._parts(batch, "p", least))
+            assert [i for part in parts for i in part.column("i").to_pylist()] == list(range(len(sizes))) and all(part.num_rows for part in parts)
+            assert all(part.num_rows <= max(least, completion.ROWS_AT_ONCE) for part in parts)
