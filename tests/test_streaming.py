@@ -197,3 +197,27 @@ def test_temporary_tables_go(spark, tmp_path):
     kept = new_path(spark, "kept")
     spark.range(1).write.parquet(kept)
     assert Path(kept).exists()
+
+
+def test_a_stream_has_few_state_partitions_and_thins_what_has_ended(spark, tmp_path):
+    """However many partitions shuffles have; the newest row of a key that floods the log is all its state gets."""
+    import pyarrow as pa
+
+    from pairworks.streaming import newest
+
+    rows = [(f"run{i % 40}", i, i % 3 > 0, None, None, False) for i in range(2000)]
+    schema = "run_id string, seq bigint, running boolean, pid int, code int, killed boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        SM.start_status(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in (tmp_path / "c/state/0").iterdir() if p.name.isdigit()]) == 16
+    want = M.run_status(spark.createDataFrame(rows, schema))
+    assert {tuple(r) for r in M.run_status(spark.read.parquet(str(tmp_path / "out"))).collect()} == {tuple(r) for r in want.collect()}
+    columns = [["a"] * 500, list(range(500)), [True] * 500, [i == 7 for i in range(500)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k:k + 50]) for c in columns], ["k", "_order", "_ends", "_always"]) for k in range(0, 500, 50)]
+    thinned = [newest._thin(batch, "k", 1, ("_always",)).column("_order").to_pylist() for batch in newest._gathered(iter(batches))]
+    assert thinned == [[7, 499]]
