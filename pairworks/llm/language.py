@@ -22,6 +22,7 @@ PROFILE = 400
 UNDETERMINED = "und"
 FEWEST_FOR_LEAST = 200
 MOST_AT_ONCE = 512  # texts; with every letter there is, their n-grams' numbers stay below 2 ** 63
+BYTES_AT_ONCE = 1_000_000  # of texts; the arrays of their n-grams take some dozens of times as much
 _BITS = 21  # of a code point; three of them and no more fit into a key
 
 
@@ -160,7 +161,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
 
     rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).filter(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = map_batches(rows, run, "lang string, key long, n long", rows=2000).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows, run, "lang string, key long, n long", rows=2000, size=BYTES_AT_ONCE).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     best = counted.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < PROFILE).collect()
     languages = sorted({row.lang for row in best})
@@ -185,7 +186,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                           [id_col, "lang_pred", "score"])
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema, rows=256)
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, schema, rows=256, size=BYTES_AT_ONCE)
 
 
 def _length_class(text: str) -> int:
@@ -211,7 +212,7 @@ def learn_least_scores(docs: DataFrame, profiles: Profiles, text_col: str = "tex
                                           ["lang", "class", "score"]).filter(own)
 
     rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    seen = map_batches(rows, run, "lang string, class int, score double", rows=256).groupBy("lang", "class").agg(
+    seen = map_batches(rows, run, "lang string, class int, score double", rows=256, size=BYTES_AT_ONCE).groupBy("lang", "class").agg(
         F.count("*").alias("n"), F.min("score").alias("low"), F.percentile_approx("score", 0.5, 1000).alias("middle"))
     return {(r["lang"], r["class"]): r["low"] - (r["middle"] - r["low"]) / 2 for r in seen.filter(F.col("n") >= fewest).collect()}
 
@@ -234,7 +235,7 @@ def accepted(docs: DataFrame, profiles: Profiles, least: dict[tuple[str, int], f
                 for lang, score, text in zip(langs, scores, texts, strict=True)]
         return batch.filter(pa.array(fits, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema, rows=256)
+    return map_batches(docs, run, docs.schema, rows=256, size=BYTES_AT_ONCE)
 
 
 def learn_and_identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",

@@ -9,13 +9,14 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
 from llm_rows import awkward, table, words
 from pyspark.sql import functions as F
 
-from pairworks.llm import byte_bpe, language, quality, secret_scan, token_counts
+from pairworks.llm import byte_bpe, common, language, quality, secret_scan, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -352,3 +353,49 @@ def test_links_and_redaction_against_all_pairs(spark, monkeypatch, sizes):
                 out += text[at:start] + "[secret]"
             at = max(at, end)
         assert hidden[i] == out + text[at:]
+
+
+def test_tasks_take_few_bytes_of_long_texts_at_a_time(spark):
+    rows = [(i, words(i, 3_000)) for i in range(300)]
+    size = sum(len(text) for _, text in rows)
+    assert size > 4 * language.BYTES_AT_ONCE
+
+    def measured(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    docs = table(spark, rows).select("text").coalesce(1)
+    got = common.map_batches(docs, measured, "n long, size long", rows=2000, size=language.BYTES_AT_ONCE).collect()
+    assert sum(r["n"] for r in got) == 300
+    assert max(r["size"] for r in got) <= language.BYTES_AT_ONCE
+    # A text longer than that still comes whole.
+    got = common.map_batches(docs, measured, "n long, size long", size=100).collect()
+    assert [r["n"] for r in got] == [1] * 300 and min(r["size"] for r in got) > 100
+
+
+def test_profiles_do_not_depend_on_how_texts_are_put_together(spark, monkeypatch):
+    docs = table(spark, [(i, words(i, 200)) for i in range(60)] + awkward()).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    whole = language.learn(docs)
+    monkeypatch.setattr(language, "BYTES_AT_ONCE", 500)
+    parts = language.learn(docs)
+    assert parts.languages == whole.languages and np.array_equal(parts.keys, whole.keys) and np.array_equal(parts.places, whole.places)
+
+
+def test_a_worker_forgets_what_another_operator_remembered():
+    kept = common.Remembered(lambda texts: [len(text) for text in texts])
+
+    def counting(batch):
+        kept.look_up([batch.column(0).to_pylist()])
+        return batch
+
+    def other(batch):
+        return batch
+
+    counting.__module__, other.__module__ = "operator_a", "operator_b"
+    batch = pa.RecordBatch.from_arrays([pa.array(["one", "three"])], ["text"])
+    for _ in range(2):
+        assert list(common._in_pieces(counting, [batch], 512, 1000)) == [batch]
+        assert kept._known == {"one": 3, "three": 5}
+        # The next task of the same operator finds it.
+        assert list(common._in_pieces(counting, [], 512, 1000)) == [] and kept._known
+        assert list(common._in_pieces(other, [batch], 512, 1000)) == [batch]
+        assert not kept._known
