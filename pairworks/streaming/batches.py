@@ -32,9 +32,9 @@ class BatchTable:
             whole = whole.unionByName(touched.select(*blank, F.lit(True).alias("_gone")))
         whole.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def before(self, batch: int) -> DataFrame:
-        """The table as micro-batch `batch` finds it."""
-        return self._newest(F.col("batch") < batch)
+    def before(self, batch: int, touched: DataFrame | None = None) -> DataFrame:
+        """The table as micro-batch `batch` finds it, or of it the rows whose key is among the touched ones."""
+        return self._newest(F.col("batch") < batch, touched)
 
     def latest(self) -> DataFrame:
         """The table after all micro-batches; empty before the first."""
@@ -47,11 +47,15 @@ class BatchTable:
     def _same(self, *also: Column) -> Column:
         return reduce(Column.__and__, also, F.col(self.key).eqNullSafe(F.col("_key")))
 
-    def _newest(self, which: Column) -> DataFrame:
+    def _newest(self, which: Column, touched: DataFrame | None = None) -> DataFrame:
         try:
             rows = self.spark.read.schema(self._stored).parquet(self.path).filter(which)
         except AnalysisException:
             return self.spark.createDataFrame([], self.schema)
         newest = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max("batch").alias("_newest"))
+        if touched is not None:
+            # Keys and batches alone are matched first, and whole rows are joined once.
+            keys = touched.select(F.col(self.key).alias("_touched"))
+            newest = newest.join(keys, F.col("_key").eqNullSafe(F.col("_touched")), "left_semi")
         last = rows.join(newest, self._same(F.col("batch") == F.col("_newest")), "left_semi")
         return last.filter(~F.col("_gone")).select(*self.schema.names)

@@ -24,9 +24,11 @@ def start_rule_changes(
     """
     def apply(batch: DataFrame, number: int) -> None:
         with temporary_tables(table.spark):
+            # Each of these is read several times over.
             new = materialise(batch, "rule-changes")
-            touched = changed_ids(new)
-            rules, refused = apply_rule_changes(table.touching(table.before(number), touched), new)
+            touched = materialise(changed_ids(new), "touched-ids")
+            found = materialise(table.before(number, touched), "touched-rules")
+            rules, refused = apply_rule_changes(found, new)
             refused.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
             table.put(number, rules, touched)
 

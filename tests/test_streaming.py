@@ -163,6 +163,32 @@ def test_rule_stream_and_routing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
 
 
+def test_rule_stream_looks_rules_up_once(spark, tmp_path):
+    """Each micro-batch reads the rules it touches once, and no others reach the fold."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    class Counting(BatchTable):
+        def before(self, *args):
+            rows = super().before(*args)
+            return rows.mapInArrow(counted, rows.schema)
+
+    def log(start):
+        return [(start + i, None, "PUT" if start else "POST", str(i), {"trigger": f"t{start}"}) for i in range(0, 40, 4 if start else 1)]
+
+    table, path = Counting(spark, str(tmp_path / "rules"), R.RULE_SCHEMA, "id"), str(tmp_path / "log")
+    for start in (0, 100):
+        spark.createDataFrame(log(start), R.CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(R.CHANGE_SCHEMA).parquet(path)
+        SR.start_rule_changes(stream, table, str(tmp_path / "rejects"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert read.value == 10
+    assert Counter(r["trigger"] for r in table.latest().collect()) == {"t0": 30, "t100": 10}
+
+
 def test_changed_keys(spark, tmp_path):
     """Against a dict; keys lose all rows, and micro-batches run again."""
     rng = random.Random(9)
@@ -181,6 +207,8 @@ def test_changed_keys(spark, tmp_path):
         want.update(change)
         got = sorted(map(tuple, table.latest().collect()), key=str)
         assert got == sorted(((k, v) for k, vs in want.items() for v in vs), key=str)
+    some = spark.createDataFrame([("a",), ("c",), (None,), ("unknown",)], "k string")
+    assert sorted(map(repr, table.before(7, some).collect())) == sorted(map(repr, table.touching(table.before(7), some).collect()))
     assert {r["k"] for r in table.touching(table.latest(), spark.createDataFrame([("a",), (None,)], "k string")).collect()} <= {"a", None}
 
 
