@@ -9,10 +9,10 @@ from pairworks.llm.common import materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's smallest neighbour."""
+    """Every larger neighbour of a node is tied to the node's smallest neighbour. Edges may come out repeatedly."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,11 +39,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges of a round are read by the next, so that a lost executor costs one round. It ends when
     all edges are stars, after about the logarithm of the longest path.
     """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-edges")
+    now = edges.select("a", "b").filter("a <> b")
     for _ in range(rounds):
+        now = materialise(_small_star(_large_star(now)), "star-edges")
         if _settled(now):
             break
-        now = materialise(_small_star(_large_star(now)), "star-edges")
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -10,7 +10,8 @@ be of no use, as one connected group is all that is asked for. Links are therefo
 rounds. The first ties each class of a node to the smallest class of its block and node that it
 is like; confirmed links make groups. The second compares pairs of different groups only: nodes
 that hold one group are done, others branch on until they are small, and every pair in them that
-belongs to different groups and may be alike is confirmed. Classes whose nodes are still large at
+belongs to different groups and may be alike is confirmed. A node of up to WHOLE classes goes that
+way inside one task, larger ones level by level. Classes whose nodes are still large at
 the last level are alike throughout: classes with a common node are put together once for all
 trees and compared block by block, on the full sets and in the task, so that only links come out
 and their number grows with the classes and not with the pairs. Nothing is capped.
@@ -19,6 +20,7 @@ and their number grows with the classes and not with the pairs. Nothing is cappe
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ TREES = 10
 LEVELS = 3
 DEEPEST = 10  # where branching ends for nodes that are still large
 SMALL = 64  # classes in a node that is compared exhaustively
+WHOLE = 8192  # classes in a node, 280 bytes each, that branches on within a task
 BLOCK = 256  # classes of a dense group that are compared with as many others at a time
 LIKE = 85  # per cent of the union that two sets share
 # Sketches of sets at the threshold agree in at least this many of 64 tokens, but for odds below 1e-6.
@@ -158,19 +161,83 @@ def _first_alike(batch: pa.RecordBatch) -> pa.RecordBatch:
     return _pairs(np.concatenate(lefts) if lefts else np.zeros(0, np.int64), np.concatenate(rights) if rights else np.zeros(0, np.int64))
 
 
-def _across_groups(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """All pairs of members of different groups that may be alike."""
-    lefts, rights = [], []
-    for cell in batch.column(0).to_pylist():
-        ids, n, sig = _unpacked(cell)
-        labels = np.array([x["label"] for x in cell], np.int64)
-        left, right = np.triu_indices(len(ids), 1)
-        differ = labels[left] != labels[right]
-        left, right = left[differ], right[differ]
-        hit = _alike(sig, n, left, right)
-        lefts.append(ids[left[hit]])
-        rights.append(ids[right[hit]])
-    return _pairs(np.concatenate(lefts) if lefts else np.zeros(0, np.int64), np.concatenate(rights) if rights else np.zeros(0, np.int64))
+def _xxhash64(values: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """Spark's xxhash64 of longs, or of integers or four bytes if they are 32 bits wide; `seed` is the hash so far."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    h = np.asarray(seed, np.uint64) + p5 + np.uint64(values.itemsize)
+    if values.itemsize == 8:
+        h = turned(h ^ turned(values.view(np.uint64) * p2, 31) * p1, 27) * p1 + p4
+    else:
+        h = turned(h ^ values.astype(np.uint64) * p1, 23) * p2 + p3
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _branched(node: np.ndarray, sig: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `_branch` does, in a task and with the same nodes: which row goes on, and its node below."""
+    start = _xxhash64(node)
+    first, second, third = (_xxhash64(np.full(len(node), k, np.uint32), start).view(np.int64) for k in (1, 2, 3))
+    first = first % TOKENS
+    both = np.flatnonzero(third % 100 < extra)
+    at, choice = np.r_[np.arange(len(node)), both], np.r_[first, ((first + 1 + second % (TOKENS - 1)) % TOKENS)[both]]
+    return at, _xxhash64(sig[at, choice], _xxhash64(choice.astype(np.uint32), start[at]))
+
+
+def _alike_throughout(ids: np.ndarray, sig: np.ndarray) -> bool:
+    """What `_alike_nodes` asks of a node, in a task."""
+    heads = sig[[ids.argmin(), ids.argmax(), _xxhash64(ids).view(np.int64).argmin()]]
+    return np.mean([(sig == head).sum(axis=1) >= SKETCH for head in heads]) >= 0.25
+
+
+def _across_groups(node: int, level: int, cell: list[dict], small: int) -> tuple[list, list]:
+    """Of a node with all its members: (a, b) of members of different groups that may be alike, out
+    of small nodes in and below it, and (node, set_id) of those that go to the comparison by blocks."""
+    ids, n, sig = _unpacked(cell)
+    labels = np.array([x["label"] for x in cell], np.int64)
+    pairs, dense = [], []
+    at, nodes = np.arange(len(ids)), np.full(len(ids), node, np.int64).view(np.uint64)
+    while True:
+        order = np.argsort(nodes, kind="stable")
+        at, nodes = at[order], nodes[order]
+        starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+        differ = np.minimum.reduceat(labels[at], starts) != np.maximum.reduceat(labels[at], starts)
+        further = np.zeros(len(at), bool)
+        for start, end in zip(starts[differ], np.r_[starts[1:], len(at)][differ], strict=True):
+            some = at[start:end]
+            if len(some) <= small:
+                left, right = (some[x] for x in np.triu_indices(len(some), 1))
+                other = labels[left] != labels[right]
+                left, right = left[other], right[other]
+                hit = _alike(sig, n, left, right)
+                pairs.append(np.column_stack([ids[left[hit]], ids[right[hit]]]))
+            elif level == DEEPEST or level == LEVELS and _alike_throughout(ids[some], sig[some]):
+                dense.append(np.column_stack([nodes[start:end].view(np.int64), ids[some]]))
+            else:
+                further[start:end] = True
+        if not further.any():
+            break
+        at, nodes = at[further], nodes[further]
+        rows, nodes = _branched(nodes, sig[at], _EXTRA if level < LEVELS else _EXTRA_DEEP)
+        at, level = at[rows], level + 1
+    return pairs, dense
+
+
+def _whole_nodes(batch: pa.RecordBatch, small: int) -> pa.RecordBatch:
+    """`_across_groups` of each node: pairs once (a, b, false) and members of dense nodes (node, set_id, true)."""
+    pairs, dense = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for node, level, cell in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        found = _across_groups(node, level, cell, small)
+        pairs += found[0]
+        dense += found[1]
+    once = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    both = np.concatenate([once, *dense])
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(once))], ["a", "b", "dense"])
 
 
 def _block_links(ours: list[dict], theirs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,21 +286,17 @@ def _dense_links(batch: pa.RecordBatch) -> pa.RecordBatch:
     return _pairs(*(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)))
 
 
-def _first_round(nodes: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+def _first_round(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate links that tie the classes of every node to a smallest one, by way of blocks of SMALL.
 
     A large node's classes are dealt by hash into blocks, and each block also gets the node's
     smallest class, so that alike classes of different blocks meet in it.
     """
     blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    rows = nodes.join(sizes, "node").withColumn("blocks", blocks).join(classes, "set_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    member = F.struct("set_id", "n", "sig")
-    heads = sizes.filter(F.col("size") > SMALL).select(
-        "node", F.col("least").alias("set_id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SMALL).cast("int") - 1)).alias("block"))
-    heads = heads.join(classes, "set_id").select("node", "block", member.alias("m"))
-    groups = rows.select("node", "block", member.alias("m")).unionByName(heads).groupBy("node", "block").agg(
-        F.array_sort(F.collect_set("m")).alias("members"))
+    own = F.array(F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+    dealt = F.explode(F.when(F.col("set_id") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("block")
+    groups = nodes.join(classes, "set_id").select("node", dealt, F.struct("set_id", "n", "sig").alias("m")).groupBy("node", "block").agg(
+        F.array_sort(F.collect_list("m")).alias("members"))
     return map_batches(groups.filter(F.size("members") > 1).select("members"), _first_alike, "a long, b long", rows=200).distinct()
 
 
@@ -256,32 +319,36 @@ def _alike_nodes(large: DataFrame, rows: DataFrame) -> DataFrame:
         "share >= 0.25").select("node")
 
 
-def _second_round(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes with two groups or more: candidate links between the groups of small ones, and
-    (node, set_id) of those that are large at LEVELS and alike throughout, or still large at DEEPEST.
-    `rows` are classes with their label."""
-    named = materialise(nodes.join(rows.select("set_id", "label"), "set_id"), "path-labels")
-    member = F.struct("set_id", "n", "sig", "label")
-    found = dense = None
-    for level in range(1, DEEPEST + 1):
-        stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
-        stats = materialise(stats.filter("one <> other").select("node", "size"), "path-sizes")
-        small = named.select("node", "set_id").join(stats.filter(F.col("size") <= SMALL), "node").join(rows, "set_id")
-        groups = small.groupBy("node").agg(F.collect_list(member).alias("members"))
-        pairs = map_batches(groups.select("members"), _across_groups, "a long, b long", rows=200)
-        found = pairs if found is None else found.unionByName(pairs)
-        large_nodes = stats.filter(F.col("size") > SMALL)
-        large = named.select("node", "set_id", "label").join(large_nodes.select("node"), "node")
-        if level == DEEPEST or large_nodes.isEmpty():
+def _second_round(nodes: DataFrame, rows: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes with two groups or more: candidate links, but those of `first`, between the groups of
+    small ones, and (node, set_id) of those that are large at LEVELS and alike throughout, or still
+    large at DEEPEST. `rows` are classes with their label. Nodes of up to WHOLE classes are done in
+    one go at the end."""
+    whole = nodes.filter(F.col("size") <= WHOLE).select("node", "set_id", F.lit(1).alias("level"))
+    large = nodes.filter(F.col("size") > WHOLE).select("node", "set_id")
+    dense = large.limit(0)
+    for level in range(1, DEEPEST):
+        if large.isEmpty():
             break
         if level == LEVELS:
             of_one = materialise(_alike_nodes(large, rows), "path-alike")
-            dense = large.join(of_one, "node", "left_semi").select("node", "set_id")
+            dense = large.join(of_one, "node", "left_semi")
             large = large.join(of_one, "node", "left_anti")
-        named = materialise(_branch(large.join(rows.select("set_id", "sig"), "set_id"), _EXTRA if level < LEVELS else _EXTRA_DEEP).select(
-            "node", "set_id", "label").distinct(), "path-labels")
-    large = large.select("node", "set_id")
-    return found.distinct(), large if dense is None else large.unionByName(dense)
+        # A row's two choices are different nodes, so that no row comes twice.
+        named = materialise(_branch(large.join(rows.select("set_id", "sig", "label"), "set_id"), _EXTRA if level < LEVELS else _EXTRA_DEEP).select(
+            "node", "set_id", "label"), "path-labels")
+        stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
+        stats = materialise(stats.filter("one <> other").select("node", "size"), "path-sizes")
+        sized = named.select("node", "set_id").join(stats, "node")
+        whole = whole.unionByName(sized.filter(F.col("size") <= WHOLE).select("node", "set_id", F.lit(level + 1).alias("level")))
+        large = sized.filter(F.col("size") > WHOLE).select("node", "set_id")
+    groups = whole.join(rows, "set_id").groupBy("node", "level").agg(F.collect_list(F.struct("set_id", "n", "sig", "label")).alias("members"))
+    labels = F.col("members.label")
+    groups = groups.filter(F.array_min(labels) != F.array_max(labels))
+    found = materialise(map_batches(groups, partial(_whole_nodes, small=SMALL), "a long, b long, dense boolean", rows=200), "path-found")
+    pairs = found.filter("NOT dense").select("a", "b", F.lit(False).alias("old")).unionByName(first.select("a", "b", F.lit(True).alias("old")))
+    new = pairs.groupBy("a", "b").agg(F.max("old").alias("old")).filter("NOT old").select("a", "b")
+    return new, dense.unionByName(large).unionByName(found.filter("dense").select(F.col("a").alias("node"), F.col("b").alias("set_id")))
 
 
 def _within_dense(dense: DataFrame, rows: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -316,7 +383,7 @@ def _within_dense(dense: DataFrame, rows: DataFrame, docs: DataFrame, classes: D
 
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(set_id, shingles) of the wanted classes, made again from the text of one document of each."""
-    ids = wanted.distinct().join(classes.select("set_id", "id"), "set_id").select(F.col("id").alias("wanted_id")).distinct()
+    ids = wanted.distinct().join(classes.select("set_id", "id"), "set_id").select(F.col("id").alias("wanted_id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
@@ -367,22 +434,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketched = classes.select("set_id", "n", "sig")
     roots = F.explode(F.array(*[F.xxhash64(F.lit(_SEED), F.lit(tree)) for tree in range(TREES)]))
     nodes = _branch(classes.select("set_id", "sig", roots.alias("node"))).select("node", "set_id")
-    sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("set_id").alias("least")).filter("size > 1"), "node-sizes")
-    nodes = materialise(nodes.join(sizes.select("node"), "node"), "nodes")
-    first = materialise(_first_round(nodes, sizes, sketched), "candidates")
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("set_id").alias("least")).filter("size > 1")
+    nodes = materialise(nodes.join(sizes, "node"), "nodes")
+    first = materialise(_first_round(nodes, sketched), "candidates")
     links = _confirmed(first, docs, classes, id_col, text_col)
-    labels = materialise(components(links), "groups")
+    labels = components(links)
     rows = sketched.join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "n", "sig", F.coalesce("label", "set_id").alias("label"))
-    second, dense = _second_round(nodes, materialise(rows, "labelled"))
-    second = materialise(second.join(first, ["a", "b"], "left_anti"), "candidates")
+    rows = materialise(rows, "labelled")
+    second, dense = _second_round(nodes, rows, first)
+    second = materialise(second, "candidates")
     more = links
     if not second.isEmpty():
         more = more.unionByName(_confirmed(second, docs, classes, id_col, text_col))
     dense = materialise(dense, "dense-nodes")
     if not dense.isEmpty():
         more = more.unionByName(_within_dense(dense, rows, docs, classes, id_col, text_col))
-    labels = materialise(components(more), "groups")
+    labels = components(more)
     grouped = classes.select("set_id", "id").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "id", F.coalesce("label", "set_id").alias("label"))
     least = grouped.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from llm_rows import SCHEMA, awkward, table, words
 from pyspark.sql import functions as F
@@ -79,6 +80,45 @@ def test_documents_that_share_a_passage_part(spark, monkeypatch, n):
     assert sum(left) < n // 10
 
 
+def passages(n):
+    passage = words(5, 50, "")
+    rows = [(i, f"{passage} {words(1000 + i, 50, f'{i}')}") for i in range(n)]
+    return rows + [(n + i, edited(rows[i][1], 1, i)) for i in range(20)]
+
+
+def test_nodes_that_branch_on_are_not_stored_level_by_level(spark, monkeypatch):
+    """Each table stored on the way is a stage of as many tasks as there are partitions."""
+    labels = []
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label, store=near_dedup.materialise: labels.append(label) or store(df, label))
+    rows = passages(300)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {key: component for key, _, component in brute_components(rows)}
+    assert sum(label.startswith("path-") for label in labels) <= 2 and len(labels) <= 20
+
+
+@pytest.mark.parametrize("whole", [4, 40])
+def test_nodes_too_large_for_a_task_branch_on_level_by_level(spark, monkeypatch, whole):
+    stored = []
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label, store=near_dedup.materialise: stored.append(label) or store(df, label))
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    base = words(11, 120, "")
+    rows = passages(60) + [(300 + i, edited(base, i % 9, i)) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {key: component for key, _, component in brute_components(rows)}
+    assert "path-labels" in stored and "path-alike" in stored
+
+
+def test_nodes_below_are_the_same_in_a_task(spark):
+    rng = np.random.default_rng(3)
+    node, sig = rng.integers(-1 << 63, 1 << 63, 300), rng.integers(0, 1 << 32, (300, near_dedup.TOKENS), dtype=np.uint32)
+    df = spark.createDataFrame([(int(x), i, s.tobytes()) for i, (x, s) in enumerate(zip(node, sig, strict=True))], "node long, i int, sig binary")
+    want = near_dedup._branch(df, 30).select("i", "node").collect()
+    at, below = near_dedup._branched(node.view(np.uint64), sig, 30)
+    assert len(at) > 300
+    assert sorted(zip(at.tolist(), below.view(np.int64).tolist(), strict=True)) == sorted((r.i, r.node) for r in want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, awkward()).limit(0)).count() == 0
     alone = near_dedup.near_duplicates(table(spark, [(4, None), (2, " ")])).collect()
